@@ -7,9 +7,13 @@ global aggregate, merges it in one task; on a high-cardinality column of a
 large table that task runs out of memory.  Here the exact answer is found by
 refinement instead, and only bounded histograms ever reach the driver:
 
-1. one pass: counts, finite min/max and a ``percentile_approx`` sketch that
-   brackets each wanted rank (rank error at most n/accuracy);
-2. following passes: for every open bracket, a distributed histogram
+1. one pass: counts and finite min/max (a plain codegen'd aggregate); then a
+   ``percentile_approx`` sketch of a ~100k-row Bernoulli sample brackets each
+   wanted rank with a margin of several standard errors (small columns skip
+   this and are counted value by value);
+2. one conditional-count pass places each bracket exactly (rows below and
+   inside it); a bracket holding one value answers at once;
+3. following passes: for every open bracket, a distributed histogram
    (``groupBy(bracket, bucket).count()``, partially aggregated map-side, so a
    hot value costs one row per task) of the values inside the bracket;
    the bucket that holds the wanted rank becomes the next bracket.  Once a
@@ -38,6 +42,9 @@ from ..functions.columns import qcol, resolve_columns
 DEFAULT_ACCURACY = 10_000
 DEFAULT_BUCKETS = 4_096
 DEFAULT_LOCAL_ROWS = 50_000
+SAMPLE_ROWS = 100_000       # rows the bracketing sketch looks at
+SAMPLE_SEED = 17
+Z = 5.0                     # standard errors of margin around a sample quantile
 
 
 def quantiles(df: DataFrame, columns: list[str] | None, probs: list[float], *,
@@ -75,6 +82,13 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+def _any(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def _value(c: str):
     return qcol(c).cast("double")
 
@@ -106,23 +120,21 @@ class _Refiner:
         self.ninf: dict[int, int] = {}                     # -inf count per column
         self.ranges: dict[int, tuple] = {}                 # finite (min, max, count)
 
-    # -- pass 1: counts, finite range, sketch --------------------------------
+    # -- pass 1: counts and finite range; pass 2: sketch of a sample ----------
     def run(self) -> dict[str, list[float | None]]:
-        delta = 3.0 / self.accuracy
-        sketch_p = sorted({min(1.0, max(0.0, p + s * delta)) for p in self.probs for s in (-1, 1)})
         aggs = []
         for i in range(len(self.cols)):
             x = self._x(i)
-            fin = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+            fin = F.when(F.abs(x) != F.lit(float("inf")), x)
             aggs += [F.count(fin).alias(f"n{i}"),
                      F.count_if(x == F.lit(float("-inf"))).alias(f"ni{i}"),
                      F.count_if(x == F.lit(float("inf"))).alias(f"pi{i}"),
-                     F.min(fin).alias(f"mn{i}"), F.max(fin).alias(f"mx{i}"),
-                     F.percentile_approx(fin, sketch_p, self.accuracy).alias(f"s{i}")]
+                     F.min(fin).alias(f"mn{i}"), F.max(fin).alias(f"mx{i}")]
         head = self.df.agg(*aggs).first()
 
         probes: dict[tuple, _Probe] = {}
         wanted: dict[int, list[tuple[int, int, float]]] = {}
+        sketch_for: dict[int, list[tuple[int, float]]] = {}     # column -> (rank, finite q)
         for i in range(len(self.cols)):
             n, ninf, pinf = head[f"n{i}"], head[f"ni{i}"], head[f"pi{i}"]
             total = n + ninf + pinf
@@ -131,7 +143,6 @@ class _Refiner:
             wanted[i] = []
             if total == 0:
                 continue
-            sketch = dict(zip(sketch_p, head[f"s{i}"] or []))
             for p in self.probs:
                 h = p * (total - 1)
                 r0, r1 = math.floor(h), math.ceil(h)
@@ -141,18 +152,18 @@ class _Refiner:
                         self.answers[(i, r)] = float("-inf")
                     elif r >= ninf + n:
                         self.answers[(i, r)] = float("inf")
+                    elif n <= self.local_rows:
+                        # small column: count its values one by one right away
+                        self._add(probes, _Probe(i, float(head[f"mn{i}"]), float(head[f"mx{i}"]),
+                                                 True, ninf), r)
                     else:
-                        lo = sketch.get(min(1.0, max(0.0, p - delta)), head[f"mn{i}"])
-                        hi = sketch.get(min(1.0, max(0.0, p + delta)), head[f"mx{i}"])
-                        if p - delta <= 0:
-                            lo = head[f"mn{i}"]
-                        if p + delta >= 1:
-                            hi = head[f"mx{i}"]
-                        rows_guess = n * min(1.0, 2 * delta + 2.0 / max(n, 1))
-                        self._add(probes, _Probe(i, float(lo), float(hi),
-                                                 rows_guess <= self.local_rows, None), r)
-
-        # -- refinement passes ---------------------------------------------
+                        q = (r - ninf) / (n - 1)
+                        sketch_for.setdefault(i, []).append((r, q))
+        if sketch_for:
+            self._sketch(sketch_for, head, probes)
+
+        # -- place the sketch brackets exactly, then refine ----------------------
+        probes = self._count(list(probes.values()))
         while probes:
             probes = self._refine(list(probes.values()))
 
@@ -165,6 +176,37 @@ class _Refiner:
             out[c] = vals if wanted[i] else [None] * len(self.probs)
         return out
 
+    def _sketch(self, sketch_for, head, probes) -> None:
+        """Bracket each rank with quantiles of a Bernoulli sample of ~SAMPLE_ROWS rows.
+
+        The margin is Z standard errors of a sample quantile plus the sketch's
+        own error; the count pass that follows checks every bracket exactly.
+        """
+        n_max = max(head[f"n{i}"] for i in sketch_for)
+        frac = min(1.0, SAMPLE_ROWS / n_max)
+        src = self.df if frac >= 1.0 else self.df.sample(False, frac, seed=SAMPLE_SEED)
+        plan = {}
+        for i, ranks in sketch_for.items():
+            m = max(1.0, head[f"n{i}"] * frac)
+            qs = []
+            for r, q in ranks:
+                spread = (Z * math.sqrt(max(q * (1 - q), 1.0 / m) / m) if frac < 1.0 else 0.0)
+                spread += 3.0 / self.accuracy
+                qs += [max(0.0, q - spread), min(1.0, q + spread)]
+            plan[i] = (ranks, qs)
+        aggs = [F.percentile_approx(F.when(F.abs(self._x(i)) != F.lit(float("inf")), self._x(i)),
+                                    qs, self.accuracy).alias(f"s{i}")
+                for i, (_, qs) in plan.items()]
+        row = src.agg(*aggs).first()
+        for i, (ranks, qs) in plan.items():
+            vals = row[f"s{i}"] or []
+            mn, mx = float(head[f"mn{i}"]), float(head[f"mx{i}"])
+            for k, (r, _) in enumerate(ranks):
+                q_lo, q_hi = qs[2 * k], qs[2 * k + 1]
+                lo = mn if q_lo <= 0.0 or not vals else float(vals[2 * k])
+                hi = mx if q_hi >= 1.0 or not vals else float(vals[2 * k + 1])
+                self._add(probes, _Probe(i, min(lo, hi), max(lo, hi), False, None), r)
+
     @staticmethod
     def _x(i: int):
         return _valid_value(f"c{i}")
@@ -175,57 +217,101 @@ class _Refiner:
 
     def _add(self, probes, probe: _Probe, rank: int):
         """Queue ``rank`` (0-based over all values of the column, -inf first)."""
-        if probe.lo == probe.hi:
-            if probe.below is not None:      # counted bracket of one value: done
-                self.answers[(probe.col, rank)] = probe.lo
-                return
-            probe.exact = True               # one value, but still to be counted
+        if probe.lo == probe.hi and probe.below is not None:
+            self.answers[(probe.col, rank)] = probe.lo     # counted one-value bracket
+            return
         key = (probe.col, probe.lo, probe.hi, probe.exact, probe.below)
         probes.setdefault(key, probe).ranks.add(rank)
 
-    # -- one distributed histogram pass over every open probe -----------------
+    def _count(self, probes: list[_Probe]) -> dict[tuple, _Probe]:
+        """Exact position of each sketch bracket: rows below it and inside it.
+
+        One codegen'd conditional aggregate.  A bracket holding a single value
+        answers its ranks at once (common on low-cardinality columns); a
+        bracket the sketch misplaced falls back to the whole finite range.
+        """
+        nxt: dict[tuple, _Probe] = {}
+        for pr in (p for p in probes if p.below is not None):     # already placed
+            for rank in pr.ranks:
+                self._add(nxt, _Probe(pr.col, pr.lo, pr.hi, pr.exact, pr.below), rank)
+        probes = [p for p in probes if p.below is None]
+        if not probes:
+            return nxt
+        aggs = []
+        for t, pr in enumerate(probes):
+            x = self._x(pr.col)
+            aggs += [F.count_if(x < F.lit(pr.lo)).alias(f"b{t}"),
+                     F.count_if(x <= F.lit(pr.hi)).alias(f"e{t}")]
+        row = self.df.agg(*aggs).first()
+        for t, pr in enumerate(probes):
+            below, upto = row[f"b{t}"], row[f"e{t}"]
+            for rank in pr.ranks:
+                if below <= rank < upto:
+                    self._add(nxt, _Probe(pr.col, pr.lo, pr.hi,
+                                          upto - below <= self.local_rows, below), rank)
+                else:
+                    mn, mx, n = self.ranges[pr.col]
+                    self._add(nxt, _Probe(pr.col, float(mn), float(mx), n <= self.local_rows,
+                                          self.ninf[pr.col]), rank)
+        return nxt
+
+    # -- one refinement step over every open probe -----------------------------
     def _refine(self, probes: list[_Probe]) -> dict[tuple, _Probe]:
+        """Histogram of the rows inside each (counted) bracket.
+
+        Only rows inside some bracket are kept (the range filters reach the
+        scan); (bracket, bucket) groups are aggregated partially map-side.
+        In exact mode the bucket is the value itself.
+        """
         entries, keep = [], []
+        exact_cols: dict[int, list[_Probe]] = {}
+        for pr in probes:
+            if pr.exact:
+                exact_cols.setdefault(pr.col, []).append(pr)
+        # exact brackets of one column share one value histogram (group = column)
+        for i, prs in exact_cols.items():
+            x, raw = self._x(i), self._raw(i)
+            inside = _any([(x >= F.lit(p.lo)) & (x <= F.lit(p.hi)) for p in prs])
+            entries.append(F.when(inside, F.struct(F.lit(i).alias("g"), x.alias("key"),
+                                                   x.alias("x"))))
+            keep += [(raw >= F.lit(p.lo)) & (raw <= F.lit(p.hi)) for p in prs]
+        # wide brackets get their own equal-width buckets (group = -1 - probe)
         for t, pr in enumerate(probes):
+            if pr.exact:
+                continue
             x, raw = self._x(pr.col), self._raw(pr.col)
+            half = (x / 2 - F.lit(pr.lo / 2)) / F.lit(pr.hi / 2 - pr.lo / 2)
+            key = F.least(F.lit(self.buckets - 1), F.floor(half * F.lit(self.buckets))).cast("double")
             inside = (x >= F.lit(pr.lo)) & (x <= F.lit(pr.hi))
-            if pr.exact:
-                key = x
-            else:
-                half = (x / 2 - F.lit(pr.lo / 2)) / F.lit(pr.hi / 2 - pr.lo / 2)
-                key = F.least(F.lit(self.buckets - 1),
-                              F.floor(half * F.lit(self.buckets))).cast("double")
-            e = F.when(inside, F.struct(F.lit(t).alias("t"), F.lit(1).alias("k"),
-                                        key.alias("key"), x.alias("x")))
-            if pr.below is None:
-                e = F.when(x < F.lit(pr.lo), F.struct(F.lit(t).alias("t"), F.lit(0).alias("k"),
-                                                      F.lit(None).cast("double").alias("key"),
-                                                      F.lit(None).cast("double").alias("x"))
-                           ).otherwise(e)
-                keep.append(raw <= F.lit(pr.hi))
-            else:
-                keep.append((raw >= F.lit(pr.lo)) & (raw <= F.lit(pr.hi)))
-            entries.append(e)
-        any_keep = keep[0]
-        for k in keep[1:]:
-            any_keep = any_keep | k
-        hist = (self.df.where(any_keep)
-                .select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                .groupBy("e.t", "e.k", "e.key")
+            entries.append(F.when(inside, F.struct(F.lit(-1 - t).alias("g"), key.alias("key"),
+                                                   x.alias("x"))))
+            keep.append((raw >= F.lit(pr.lo)) & (raw <= F.lit(pr.hi)))
+        kept = self.df.where(_any(keep))
+        if len(entries) == 1:
+            flat = kept.select(entries[0].alias("e"))
+        else:
+            flat = kept.select(F.explode(F.array(*entries)).alias("e"))
+        hist = (flat.where(F.col("e").isNotNull())
+                .groupBy("e.g", "e.key")
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("e.x").alias("mn"),
                      F.max("e.x").alias("mx"))
                 .collect())
 
-        per_probe: dict[int, list] = {}
+        groups: dict[int, list] = {}
         for row in hist:
-            per_probe.setdefault(row["t"], []).append(row)
+            groups.setdefault(row["g"], []).append(row)
+        per_probe: dict[int, list] = {}
+        for t, pr in enumerate(probes):
+            if pr.exact:
+                per_probe[t] = [r for r in groups.get(pr.col, []) if pr.lo <= r["key"] <= pr.hi]
+            else:
+                per_probe[t] = groups.get(-1 - t, [])
 
         nxt: dict[tuple, _Probe] = {}
         for t, pr in enumerate(probes):
             rows = per_probe.get(t, [])
-            below = pr.below if pr.below is not None else sum(
-                r["cnt"] for r in rows if r["k"] == 0)
-            inside = sorted((r for r in rows if r["k"] == 1), key=lambda r: r["key"])
+            below = pr.below
+            inside = sorted(rows, key=lambda r: r["key"])
             total_inside = sum(r["cnt"] for r in inside)
             for rank in sorted(pr.ranks):
                 if not below <= rank < below + total_inside:
