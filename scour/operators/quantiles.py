@@ -31,7 +31,9 @@ Greenwald-Khanna sketch, the same as ``DataFrame.approxQuantile``.
 
 from __future__ import annotations
 
+import logging
 import math
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -39,9 +41,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import qcol, resolve_columns
 
+log = logging.getLogger(__name__)
+
 DEFAULT_ACCURACY = 10_000
-DEFAULT_BUCKETS = 4_096
-DEFAULT_LOCAL_ROWS = 50_000
+DEFAULT_BUCKETS = 2_048
+DEFAULT_LOCAL_ROWS = 20_000
 SAMPLE_ROWS = 100_000       # rows the bracketing sketch looks at
 SAMPLE_SEED = 17
 Z = 5.0                     # standard errors of margin around a sample quantile
@@ -64,7 +68,23 @@ def quantiles(df: DataFrame, columns: list[str] | None, probs: list[float], *,
         return {}
     if error is not None:
         return approx_quantiles(df, cols, probs, error)
-    return _Refiner(df, cols, list(probs), accuracy, buckets, local_rows).run()
+    return _Refiner(df, cols, list(probs), accuracy, buckets, local_rows).run()[0]
+
+
+def quantiles_and_aggregates(df: DataFrame, columns: list[str], probs: list[float],
+                             extra: list, **kw) -> tuple[dict, object]:
+    """Exact quantiles plus other aggregates of ``df`` computed in the same first pass.
+
+    ``extra`` are aggregate columns over ``df``'s own columns; returns
+    (quantiles, row of the extra aggregates).
+    """
+    cols = resolve_columns(df, columns, numeric=True)
+    if not cols:
+        return {}, df.agg(*extra).first() if extra else None
+    r = _Refiner(df, cols, list(probs), kw.get("accuracy", DEFAULT_ACCURACY),
+                 kw.get("buckets", DEFAULT_BUCKETS), kw.get("local_rows", DEFAULT_LOCAL_ROWS),
+                 extra=extra)
+    return r.run()
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -111,9 +131,13 @@ class _Probe:
 
 
 class _Refiner:
-    def __init__(self, df, cols, probs, accuracy, buckets, local_rows):
+    def __init__(self, df, cols, probs, accuracy, buckets, local_rows, extra=None):
         # raw columns under short names: range filters on them reach the scan
+        self.src, self.extra = df, list(extra or [])
         self.df = df.select(*[qcol(c).alias(f"c{i}") for i, c in enumerate(cols)])
+        # column expressions are built once: each one costs JVM round trips
+        self.xs = [_valid_value(f"c{i}") for i in range(len(cols))]
+        self.raws = [F.col(f"c{i}").cast("double") for i in range(len(cols))]
         self.cols, self.probs = cols, probs
         self.accuracy, self.buckets, self.local_rows = accuracy, buckets, local_rows
         self.answers: dict[tuple[int, int], float] = {}   # (column, rank) -> value
@@ -121,16 +145,18 @@ class _Refiner:
         self.ranges: dict[int, tuple] = {}                 # finite (min, max, count)
 
     # -- pass 1: counts and finite range; pass 2: sketch of a sample ----------
-    def run(self) -> dict[str, list[float | None]]:
+    def run(self) -> tuple[dict[str, list[float | None]], object]:
         aggs = []
         for i in range(len(self.cols)):
-            x = self._x(i)
+            x = _valid_value(self.cols[i])         # on the source: shares the scan with extra
             fin = F.when(F.abs(x) != F.lit(float("inf")), x)
             aggs += [F.count(fin).alias(f"n{i}"),
                      F.count_if(x == F.lit(float("-inf"))).alias(f"ni{i}"),
                      F.count_if(x == F.lit(float("inf"))).alias(f"pi{i}"),
                      F.min(fin).alias(f"mn{i}"), F.max(fin).alias(f"mx{i}")]
-        head = self.df.agg(*aggs).first()
+        t0 = time.perf_counter()
+        head = self.src.agg(*aggs, *self.extra).first()
+        log.debug("quantiles: range pass %.2fs", time.perf_counter() - t0)
 
         probes: dict[tuple, _Probe] = {}
         wanted: dict[int, list[tuple[int, int, float]]] = {}
@@ -174,7 +200,7 @@ class _Refiner:
                 a, b = self.answers[(i, r0)], self.answers[(i, r1)]
                 vals.append(a if r0 == r1 or a == b else a + (b - a) * frac)
             out[c] = vals if wanted[i] else [None] * len(self.probs)
-        return out
+        return out, head
 
     def _sketch(self, sketch_for, head, probes) -> None:
         """Bracket each rank with quantiles of a Bernoulli sample of ~SAMPLE_ROWS rows.
@@ -197,7 +223,9 @@ class _Refiner:
         aggs = [F.percentile_approx(F.when(F.abs(self._x(i)) != F.lit(float("inf")), self._x(i)),
                                     qs, self.accuracy).alias(f"s{i}")
                 for i, (_, qs) in plan.items()]
+        t0 = time.perf_counter()
         row = src.agg(*aggs).first()
+        log.debug("quantiles: sketch pass %.2fs (fraction %.4f)", time.perf_counter() - t0, frac)
         for i, (ranks, qs) in plan.items():
             vals = row[f"s{i}"] or []
             mn, mx = float(head[f"mn{i}"]), float(head[f"mx{i}"])
@@ -207,13 +235,11 @@ class _Refiner:
                 hi = mx if q_hi >= 1.0 or not vals else float(vals[2 * k + 1])
                 self._add(probes, _Probe(i, min(lo, hi), max(lo, hi), False, None), r)
 
-    @staticmethod
-    def _x(i: int):
-        return _valid_value(f"c{i}")
+    def _x(self, i: int):
+        return self.xs[i]
 
-    @staticmethod
-    def _raw(i: int):
-        return F.col(f"c{i}").cast("double")
+    def _raw(self, i: int):
+        return self.raws[i]
 
     def _add(self, probes, probe: _Probe, rank: int):
         """Queue ``rank`` (0-based over all values of the column, -inf first)."""
@@ -242,7 +268,9 @@ class _Refiner:
             x = self._x(pr.col)
             aggs += [F.count_if(x < F.lit(pr.lo)).alias(f"b{t}"),
                      F.count_if(x <= F.lit(pr.hi)).alias(f"e{t}")]
+        t0 = time.perf_counter()
         row = self.df.agg(*aggs).first()
+        log.debug("quantiles: count pass %.2fs (%d brackets)", time.perf_counter() - t0, len(probes))
         for t, pr in enumerate(probes):
             below, upto = row[f"b{t}"], row[f"e{t}"]
             for rank in pr.ranks:
@@ -291,11 +319,14 @@ class _Refiner:
             flat = kept.select(entries[0].alias("e"))
         else:
             flat = kept.select(F.explode(F.array(*entries)).alias("e"))
+        t0 = time.perf_counter()
         hist = (flat.where(F.col("e").isNotNull())
                 .groupBy("e.g", "e.key")
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("e.x").alias("mn"),
                      F.max("e.x").alias("mx"))
                 .collect())
+        log.debug("quantiles: histogram pass %.2fs (%d brackets, %d groups)",
+                  time.perf_counter() - t0, len(probes), len(hist))
 
         groups: dict[int, list] = {}
         for row in hist:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import field_types, is_fractional, qcol, resolve_columns
-from .quantiles import quantiles
+from .quantiles import quantiles, quantiles_and_aggregates
 
 PROFILE_STATS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
@@ -28,34 +28,33 @@ def _clean(df: DataFrame, c: str) -> Column:
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, *,
             error: float | None = None) -> DataFrame:
-    """One row per numeric column (``column_name``): count, mean, stddev (sample), min, quartiles, max.
+    """One row per numeric column (``column_name``): count, mean, stddev (sample),
+    min, quartiles (p25, p50, p75), max.
 
     Quartiles are exact and linearly interpolated unless ``error`` is given.
-    The moments come from a single aggregate; the result stays a lazy
-    DataFrame (aggregate + ``stack``), the quartiles enter as literals.
+    The moments are computed in the first pass of the quantile search, so an
+    exact profile of any number of columns costs four scans of them; the
+    result (one row per column) is built from that bounded summary.
     """
     cols = resolve_columns(df, columns, numeric=True)
     schema = ("column_name string, count bigint, mean double, stddev double, min double, "
               "p25 double, p50 double, p75 double, max double")
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], error=error)
+        return spark.createDataFrame([], schema)
     aggs = []
     for i, c in enumerate(cols):
         x = _clean(df, c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        qs = [F.lit(v).cast("double") for v in q[c]]
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
-                             F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("stddev"),
-                             F.col(f"lo{i}").alias("min"), qs[0].alias("p25"),
-                             qs[1].alias("p50"), qs[2].alias("p75"),
-                             F.col(f"hi{i}").alias("max")))
-    return one.select(F.inline(F.array(*rows)))
+        aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__a{i}"),
+                 F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__lo{i}"),
+                 F.max(x).alias(f"__hi{i}")]
+    if error is None:
+        q, row = quantiles_and_aggregates(df, cols, [0.25, 0.5, 0.75], aggs)
+    else:
+        q, row = quantiles(df, cols, [0.25, 0.5, 0.75], error=error), df.agg(*aggs).first()
+    out = [(c, row[f"__n{i}"], row[f"__a{i}"], row[f"__s{i}"], row[f"__lo{i}"],
+            *q[c], row[f"__hi{i}"]) for i, c in enumerate(cols)]
+    return spark.createDataFrame(out, schema)
 
 
 def explore(df: DataFrame, *, error: float | None = None) -> dict:
