@@ -129,4 +129,5 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def new_only(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key is not already present (A6 for incoming rows)."""
-    return batch.join(existing.select(*[qcol(k) for k in keys]).distinct(), list(keys), "left_anti")
+    # an anti join needs no distinct keys: duplicates on the right change nothing
+    return batch.join(existing.select(*[qcol(k) for k in keys]), list(keys), "left_anti")

@@ -227,4 +227,38 @@ FROM read_blob('{ORACLE_DIR}/*')
 WHERE lower(filename) LIKE '%.csv' OR lower(filename) LIKE '%.parquet' OR lower(filename) LIKE '%.json'""",
     "object_copy": f"""SELECT parse_filename(file) AS Key, true AS ok FROM glob('{ORACLE_DIR}/*.parquet')""",
     "stream_ingest": """SELECT event_id, user_id, event_type, value FROM events WHERE value >= 1.0""",
+    "dedup_key": "SELECT DISTINCT user_id, event_type FROM events",
+    "standardize_auto": f"""WITH s AS (
+  SELECT avg(p_partkey) AS mk, stddev_samp(p_partkey) AS sk, avg(p_size) AS ms,
+         stddev_samp(p_size) AS ss, avg(p_retailprice) AS mr, stddev_samp(p_retailprice) AS sr
+  FROM part)
+SELECT round((p_partkey - mk) / sk, {R}) AS p_partkey, p_name, p_brand, p_type,
+       round((p_size - ms) / ss, {R}) AS p_size, round((p_retailprice - mr) / sr, {R}) AS p_retailprice
+FROM part, s""",
+    "page_after": """SELECT c_custkey, c_name FROM customer WHERE c_custkey > 700
+ORDER BY c_custkey LIMIT 25""",
+    "nan_to_null": """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value
+FROM events""",
+    "name_search": """SELECT p_partkey, p_name, p_brand FROM part
+WHERE contains(p_name, 'ring') AND p_brand = 'Brand#2'""",
+    "new_only": """SELECT p_partkey, p_name FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)""",
+    "verify_append": f"""WITH {PERTURBED_SQL},
+n AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM copy) AS expected,
+             (SELECT count(*) FROM (SELECT * FROM orders UNION ALL SELECT * FROM copy)) AS got)
+SELECT 'append_count' AS check_name, expected AS source, got AS target, expected = got AS ok FROM n""",
+    "verify_messages": """WITH n AS (SELECT (SELECT count(*) FROM orders) AS a,
+                  (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) AS b)
+SELECT 'row_count' AS check_name,
+       'Rows mismatch: Source(' || CAST(a AS VARCHAR) || ') != Target(' || CAST(b AS VARCHAR) || ')'
+         AS details
+FROM n WHERE a <> b""",
+    "copy_verify": """SELECT 'row_count' AS check_name, (SELECT count(*) FROM supplier) AS rows, true AS ok
+UNION ALL SELECT 'checksum', NULL, true""",
+    "audit_append": f"""WITH {LOG_SQL},
+e AS (SELECT id, action, resource, details FROM log WHERE action = 'task_failed')
+SELECT * FROM e UNION ALL SELECT * FROM e""",
+    "spec_run": """WITH f AS (SELECT o_orderkey, o_totalprice AS total FROM orders
+  WHERE o_orderstatus = 'F' AND o_totalprice IS NOT NULL)
+SELECT o_orderkey, total, (SELECT count(*) FROM f) AS rows_written FROM f""",
 }

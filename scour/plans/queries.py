@@ -445,6 +445,93 @@ def q_stream_ingest(spark, d):
     return read_parquet(spark, out)
 
 
+# -- further operator coverage --------------------------------------------------------------------------
+
+def q_dedup_key(spark, d):
+    # P2 without an order: only the key columns are promised
+    return cleaning.dedup(_t(spark, d, "events"), ["user_id", "event_type"]) \
+        .select("user_id", "event_type")
+
+
+def q_standardize_auto(spark, d):
+    # P10: numeric columns found from the schema (p_partkey, p_size, p_retailprice)
+    out = stats.standardize(_t(spark, d, "part"))
+    return out.select(_r("p_partkey").alias("p_partkey"), "p_name", "p_brand", "p_type",
+                      _r("p_size").alias("p_size"), _r("p_retailprice").alias("p_retailprice"))
+
+
+def q_page_after(spark, d):
+    return tables.page_after(_t(spark, d, "customer"), "c_custkey", after=700, limit=25) \
+        .select("c_custkey", "c_name")
+
+
+def q_nan_to_null(spark, d):
+    e = _t(spark, d, "events")
+    v = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return tables.nan_to_null(e.select("event_id", v.alias("value")))
+
+
+def q_name_search(spark, d):
+    return auditlog.search_by_name(_t(spark, d, "part"), "p_name", "ring", "p_brand", "Brand#2") \
+        .select("p_partkey", "p_name", "p_brand")
+
+
+def q_new_only(spark, d):
+    batch = _t(spark, d, "part").select("p_partkey", "p_name")
+    # parts never ordered in quantities above 45
+    existing = (_t(spark, d, "lineitem").where(F.col("l_quantity") > 45)
+                .select(F.col("l_partkey").alias("p_partkey")))
+    return registry.new_only(batch, existing, ["p_partkey"])
+
+
+def q_verify_append(spark, d):
+    orders, copy = _t(spark, d, "orders"), perturbed_orders(spark, d)
+    before = orders.count()                     # the target before the append
+    v = verify.verify_append(before, copy, orders.unionAll(copy))
+    return v.select("check_name", F.col("source").cast("bigint").alias("source"),
+                    F.col("target").cast("bigint").alias("target"), "ok")
+
+
+def lossy_copy(spark, d):
+    """A copy that lost every hundredth order (a failed chunk)."""
+    return _t(spark, d, "orders").where(F.col("o_orderkey") % 100 != 0)
+
+
+def q_verify_messages(spark, d):
+    v = verify.verification(_t(spark, d, "orders"), lossy_copy(spark, d), checks=["row_count"])
+    return verify.failure_messages(v)
+
+
+def q_copy_verify(spark, d):
+    target = scratch_path(spark, "copy")
+    _, ver = verify.copy_table(spark, {"type": "parquet", "path": f"{d}/supplier.parquet"},
+                               {"type": "parquet", "path": target, "mode": "overwrite"})
+    return ver.select("check_name", F.when(F.col("check_name") == "row_count", F.col("source"))
+                      .cast("bigint").alias("rows"), "ok")
+
+
+def q_audit_append(spark, d):
+    entries = auditlog.sanitize_details(
+        auditlog.filter_log(log_from_events(spark, d), action="task_failed"))
+    path = scratch_path(spark, "audit-log")
+    auditlog.append_log(entries, path)
+    auditlog.append_log(entries, path)
+    return read_parquet(spark, path).select("id", "action", "resource", "details")
+
+
+def q_spec_run(spark, d):
+    target = scratch_path(spark, "spec-run")
+    res = specs.run(spark, {
+        "job_name": "orders_clean",
+        "source": {"type": "parquet", "path": f"{d}/orders.parquet"},
+        "operators": [{"type": "filter", "condition": "o_orderstatus = 'F'"},
+                      {"type": "rename", "mapping": {"o_totalprice": "total"}},
+                      {"type": "drop_na", "columns": ["total"]}],
+        "target": {"type": "parquet", "path": target, "mode": "overwrite"}})
+    return read_parquet(spark, target).select(
+        "o_orderkey", "total", F.lit(res.rows_written).cast("bigint").alias("rows_written"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_rows": q_dedup_rows,
     "dedup_key_latest": q_dedup_key_latest,
@@ -491,4 +578,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asset_scan": q_asset_scan,
     "object_copy": q_object_copy,
     "stream_ingest": q_stream_ingest,
+    "dedup_key": q_dedup_key,
+    "standardize_auto": q_standardize_auto,
+    "page_after": q_page_after,
+    "nan_to_null": q_nan_to_null,
+    "name_search": q_name_search,
+    "new_only": q_new_only,
+    "verify_append": q_verify_append,
+    "verify_messages": q_verify_messages,
+    "copy_verify": q_copy_verify,
+    "audit_append": q_audit_append,
+    "spec_run": q_spec_run,
 }
