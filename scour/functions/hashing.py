@@ -21,11 +21,13 @@ def row_text(columns: list[str], null_safe: bool = True) -> Column:
 
     ``null_safe=False`` reproduces ``CONCAT_WS(',', …)``, which skips NULLs, so
     ``(a, NULL, b)`` and ``(a, b, NULL)`` give the same text.  The null-safe
-    form is a JSON array where NULL keeps its position.
+    form writes each field as ``<length>:<text>`` and NULL as ``N``, which
+    decodes in only one way; it stays in generated code (``to_json`` does not).
     """
     as_text = [qcol(c).cast("string") for c in columns]
     if null_safe:
-        return F.to_json(F.array(*as_text))
+        return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N"))
+                          for t in as_text])
     return F.concat_ws(",", *as_text)
 
 

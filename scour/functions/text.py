@@ -26,9 +26,19 @@ WARNING_WORDS = ("fail", "error", "delete", "exception", "warning")
 
 
 def redact_secrets(text: Column) -> Column:
-    """Mask database URL passwords and ``password=…`` style values."""
-    step = F.regexp_replace(text, DB_URL_PASSWORD, "$1" + MASK + "$3")
-    return F.regexp_replace(step, KEY_VALUE_PASSWORD, "$1" + MASK)
+    """Mask database URL passwords and ``password=…`` style values.
+
+    Each regex runs only on texts whose lower-cased form contains its trigger
+    word ("mysql+pymysql://"; "pass" or "pwd").  The guard is exact: the
+    patterns are ASCII case-insensitive, so any match implies the trigger is
+    in the lower-cased text; texts without it are returned untouched, and the
+    expensive scan is skipped for most rows.
+    """
+    low = F.lower(text)
+    step = F.when(low.contains("mysql+pymysql://"),
+                  F.regexp_replace(text, DB_URL_PASSWORD, "$1" + MASK + "$3")).otherwise(text)
+    return F.when(low.contains("pass") | low.contains("pwd"),
+                  F.regexp_replace(step, KEY_VALUE_PASSWORD, "$1" + MASK)).otherwise(step)
 
 
 def truncate_text(text: Column, limit: int = DETAIL_LIMIT,
