@@ -8,10 +8,12 @@ like NULL throughout: it is not counted, averaged or ranked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.columns import field_types, is_fractional, qcol, resolve_columns
 from .quantiles import quantiles, quantiles_and_aggregates
@@ -115,7 +117,8 @@ def within_bounds(df: DataFrame, bounds: dict, keep_nulls: bool = True) -> DataF
         if b is None:
             continue
         x = qcol(c)
-        inside = (x >= F.lit(b[0])) & (x <= F.lit(b[1]))
+        lo, hi = _typed_bounds(b, types[c])
+        inside = (x >= lo) & (x <= hi)
         if is_fractional(types[c]):
             inside = inside & ~F.isnan(x)
             gap = x.isNull() | F.isnan(x)
@@ -126,6 +129,22 @@ def within_bounds(df: DataFrame, bounds: dict, keep_nulls: bool = True) -> DataF
     return df if cond is None else df.where(cond)
 
 
+def _typed_bounds(b: tuple[float, float], dt) -> tuple[Column, Column]:
+    """Bounds as literals of the column's own type, so the comparison needs no
+    cast and reaches the Parquet scan.  Integers: ``x >= 2.5`` is ``x >= 3``."""
+    if isinstance(dt, IntegralType):
+        lo, hi = math.ceil(b[0]), math.floor(b[1])
+        if lo > hi:                                     # no integer inside: keep none
+            return F.lit(1).cast(dt), F.lit(0).cast(dt)
+        low_end, high_end = _INT_RANGE[dt.typeName()]
+        return (F.lit(max(lo, low_end)).cast(dt), F.lit(min(hi, high_end)).cast(dt))
+    return F.lit(b[0]), F.lit(b[1])
+
+
+_INT_RANGE = {"byte": (-2 ** 7, 2 ** 7 - 1), "short": (-2 ** 15, 2 ** 15 - 1),
+              "integer": (-2 ** 31, 2 ** 31 - 1), "long": (-2 ** 63, 2 ** 63 - 1)}
+
+
 def handle_outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr",
                     *, factor: float = 1.5, sequential: bool = True, keep_nulls: bool = True,
                     error: float | None = None) -> DataFrame:

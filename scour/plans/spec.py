@@ -14,11 +14,12 @@ A spec is the reference's job config::
 spec is validated before anything is read; unknown operator types raise
 instead of being skipped.  Operators that need statistics (outliers,
 standardize, fill by mean/median/mode, explore) run their statistics jobs
-while the plan is built.  When such an operator follows a shuffle (dedup), the
-rows are first written once as Parquet to the shared checkpoint folder and
-read back, so the several statistics passes re-read a pruned columnar copy
-instead of re-running the shuffle, and the lineage is cut (executor loss
-recomputes from the written table, not from the start).
+while the plan is built.  When such an operator follows a shuffle (dedup), or
+the source is text or a database (CSV, JSON, JDBC), the rows are first written
+once as Parquet to the shared checkpoint folder and read back, so the several
+statistics passes re-read a pruned columnar copy instead of re-running the
+shuffle, re-parsing text or re-querying the database, and the lineage is cut
+(executor loss recomputes from the written table, not from the start).
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ OPERATORS: dict[str, tuple[set[str], set[str]]] = {
     "rename": ({"mapping"}, {"mapping"}),
 }
 SHUFFLING = {"dedup"}
+# sources that are slow to read more than once: text to re-parse or a database to re-query
+REREAD_COSTLY = {"csv", "json", "jdbc", "mysql", "clickhouse"}
 STATISTICAL = {"outliers", "standardize", "explore"}
 
 
@@ -132,13 +135,15 @@ def build(spark: SparkSession, spec: dict, df: DataFrame | None = None, *,
     if df is None:
         df = read_source(spark, spec["source"], connections)
     reports: list[dict] = []
-    shuffled = False
+    # statistics operators read their input several times: make sure that input
+    # is a columnar table, not a shuffle to redo or a text / database source
+    costly = spec["source"]["type"] in REREAD_COSTLY
     for op in spec.get("operators", []):
-        if shuffled and materialize_after_shuffle and _needs_statistics(op):
+        if costly and materialize_after_shuffle and _needs_statistics(op):
             df = materialize(df, spec.get("job_name", "spec"))
-            shuffled = False
+            costly = False
         df = apply_operator(df, op, reports)
-        shuffled = shuffled or op["type"] in SHUFFLING
+        costly = costly or op["type"] in SHUFFLING
     return SpecResult(df, reports)
 
 

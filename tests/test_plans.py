@@ -60,3 +60,14 @@ def test_last_failure_limits_per_task(spark):
                               F.col("ts").cast("timestamp").alias("timestamp"))
     plan = physical(auditlog.last_failure(df))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_outlier_bounds_reach_the_scan(spark, tmp_dir):
+    from scour.operators import stats
+    path = tmp_dir + "/ints"
+    spark.range(1000).selectExpr("cast(id as int) k", "id * 1.0 v").write.parquet(path)
+    out = stats.handle_outliers(spark.read.parquet(path), ["k"], keep_nulls=False)
+    plan = formatted(out)
+    # q1 = 249.75, q3 = 749.25: integer bounds -499 .. 1498, pushed without a cast
+    assert "GreaterThanOrEqual(k,-499)" in plan and "LessThanOrEqual(k,1498)" in plan
+    assert out.count() == 1000
