@@ -11,14 +11,14 @@ refinement instead, and only bounded histograms ever reach the driver:
    ``percentile_approx`` sketch of a ~100k-row Bernoulli sample brackets each
    wanted rank with a margin of several standard errors (small columns skip
    this and are counted value by value);
-2. one conditional-count pass places each bracket exactly (rows below and
-   inside it); a bracket holding one value answers at once;
-3. following passes: for every open bracket, a distributed histogram
+2. following passes: for every open bracket, a distributed histogram
    (``groupBy(bracket, bucket).count()``, partially aggregated map-side, so a
    hot value costs one row per task) of the values inside the bracket;
    the bucket that holds the wanted rank becomes the next bracket.  Once a
    bracket holds few rows, its values are counted one by one and the rank is
-   read off exactly.
+   read off exactly.  The first of these passes also counts the rows below
+   each fresh bracket (a conditional aggregate unioned into the same job),
+   which places the bracket exactly.
 
 Brackets are checked against the exact counts, so a sketch that missed only
 costs a wider pass, never a wrong answer.  Range filters on the bracket reach
@@ -48,6 +48,8 @@ DEFAULT_BUCKETS = 2_048
 DEFAULT_LOCAL_ROWS = 20_000
 SAMPLE_ROWS = 100_000       # rows the bracketing sketch looks at
 SAMPLE_SEED = 17
+_BELOW = -1_000_000         # group ids at or below this carry "rows below bracket" counts
+_UPTO = -2_000_000          # ... and at or below this, "rows up to a one-value bracket"
 Z = 5.0                     # standard errors of margin around a sample quantile
 
 
@@ -189,7 +191,6 @@ class _Refiner:
             self._sketch(sketch_for, head, probes)
 
         # -- place the sketch brackets exactly, then refine ----------------------
-        probes = self._count(list(probes.values()))
         while probes:
             probes = self._refine(list(probes.values()))
 
@@ -229,11 +230,14 @@ class _Refiner:
         for i, (ranks, qs) in plan.items():
             vals = row[f"s{i}"] or []
             mn, mx = float(head[f"mn{i}"]), float(head[f"mx{i}"])
+            n = head[f"n{i}"]
             for k, (r, _) in enumerate(ranks):
                 q_lo, q_hi = qs[2 * k], qs[2 * k + 1]
                 lo = mn if q_lo <= 0.0 or not vals else float(vals[2 * k])
                 hi = mx if q_hi >= 1.0 or not vals else float(vals[2 * k + 1])
-                self._add(probes, _Probe(i, min(lo, hi), max(lo, hi), False, None), r)
+                # rows expected inside: the bracket's share of the sample, with slack
+                exact = lo == hi or 2 * (q_hi - q_lo) * n <= self.local_rows
+                self._add(probes, _Probe(i, min(lo, hi), max(lo, hi), exact, None), r)
 
     def _x(self, i: int):
         return self.xs[i]
@@ -249,52 +253,23 @@ class _Refiner:
         key = (probe.col, probe.lo, probe.hi, probe.exact, probe.below)
         probes.setdefault(key, probe).ranks.add(rank)
 
-    def _count(self, probes: list[_Probe]) -> dict[tuple, _Probe]:
-        """Exact position of each sketch bracket: rows below it and inside it.
-
-        One codegen'd conditional aggregate.  A bracket holding a single value
-        answers its ranks at once (common on low-cardinality columns); a
-        bracket the sketch misplaced falls back to the whole finite range.
-        """
-        nxt: dict[tuple, _Probe] = {}
-        for pr in (p for p in probes if p.below is not None):     # already placed
-            for rank in pr.ranks:
-                self._add(nxt, _Probe(pr.col, pr.lo, pr.hi, pr.exact, pr.below), rank)
-        probes = [p for p in probes if p.below is None]
-        if not probes:
-            return nxt
-        aggs = []
-        for t, pr in enumerate(probes):
-            x = self._x(pr.col)
-            aggs += [F.count_if(x < F.lit(pr.lo)).alias(f"b{t}"),
-                     F.count_if(x <= F.lit(pr.hi)).alias(f"e{t}")]
-        t0 = time.perf_counter()
-        row = self.df.agg(*aggs).first()
-        log.debug("quantiles: count pass %.2fs (%d brackets)", time.perf_counter() - t0, len(probes))
-        for t, pr in enumerate(probes):
-            below, upto = row[f"b{t}"], row[f"e{t}"]
-            for rank in pr.ranks:
-                if below <= rank < upto:
-                    self._add(nxt, _Probe(pr.col, pr.lo, pr.hi,
-                                          upto - below <= self.local_rows, below), rank)
-                else:
-                    mn, mx, n = self.ranges[pr.col]
-                    self._add(nxt, _Probe(pr.col, float(mn), float(mx), n <= self.local_rows,
-                                          self.ninf[pr.col]), rank)
-        return nxt
-
     # -- one refinement step over every open probe -----------------------------
     def _refine(self, probes: list[_Probe]) -> dict[tuple, _Probe]:
-        """Histogram of the rows inside each (counted) bracket.
+        """Histogram of the rows inside each bracket, and rows below new brackets.
 
         Only rows inside some bracket are kept (the range filters reach the
-        scan); (bracket, bucket) groups are aggregated partially map-side.
-        In exact mode the bucket is the value itself.
+        scan); (bracket, bucket) groups are aggregated partially map-side.  In
+        exact mode the bucket is the value itself.  For brackets whose offset
+        is not known yet (fresh from the sketch) a plain conditional count of
+        the rows below them is unioned in, so both scans run in the same job.
         """
         entries, keep = [], []
+        # a fresh one-value bracket is placed by two conditional counts alone:
+        # it never pulls rows (on low-cardinality columns it would pull many)
+        single = {t for t, pr in enumerate(probes) if pr.below is None and pr.lo == pr.hi}
         exact_cols: dict[int, list[_Probe]] = {}
-        for pr in probes:
-            if pr.exact:
+        for t, pr in enumerate(probes):
+            if pr.exact and t not in single:
                 exact_cols.setdefault(pr.col, []).append(pr)
         # exact brackets of one column share one value histogram (group = column)
         for i, prs in exact_cols.items():
@@ -314,26 +289,52 @@ class _Refiner:
             entries.append(F.when(inside, F.struct(F.lit(-1 - t).alias("g"), key.alias("key"),
                                                    x.alias("x"))))
             keep.append((raw >= F.lit(pr.lo)) & (raw <= F.lit(pr.hi)))
-        kept = self.df.where(_any(keep))
-        if len(entries) == 1:
-            flat = kept.select(entries[0].alias("e"))
-        else:
-            flat = kept.select(F.explode(F.array(*entries)).alias("e"))
         t0 = time.perf_counter()
-        hist = (flat.where(F.col("e").isNotNull())
-                .groupBy("e.g", "e.key")
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("e.x").alias("mn"),
-                     F.max("e.x").alias("mx"))
-                .collect())
+        hist_df = None
+        if entries:
+            kept = self.df.where(_any(keep))
+            if len(entries) == 1:
+                flat = kept.select(entries[0].alias("e"))
+            else:
+                flat = kept.select(F.explode(F.array(*entries)).alias("e"))
+            hist_df = (flat.where(F.col("e").isNotNull())
+                       .groupBy(F.col("e.g").alias("g"), F.col("e.key").alias("key"))
+                       .agg(F.count(F.lit(1)).alias("cnt"), F.min("e.x").alias("mn"),
+                            F.max("e.x").alias("mx")))
+        unplaced = [(t, pr) for t, pr in enumerate(probes) if pr.below is None]
+        if unplaced:
+            none = F.lit(None).cast("double")
+            aggs = [F.count_if(self._x(pr.col) < F.lit(pr.lo)).alias(f"b{t}") for t, pr in unplaced]
+            aggs += [F.count_if(self._x(probes[t].col) <= F.lit(probes[t].hi)).alias(f"u{t}")
+                     for t in sorted(single)]
+            rows = [F.struct(F.lit(_BELOW - t).alias("g"), none.alias("key"),
+                             F.col(f"b{t}").alias("cnt"), none.alias("mn"), none.alias("mx"))
+                    for t, _ in unplaced]
+            rows += [F.struct(F.lit(_UPTO - t).alias("g"), none.alias("key"),
+                              F.col(f"u{t}").alias("cnt"), none.alias("mn"), none.alias("mx"))
+                     for t in sorted(single)]
+            counts = self.df.agg(*aggs).select(F.inline(F.array(*rows)))
+            hist_df = counts if hist_df is None else hist_df.unionByName(counts)
+        hist = hist_df.collect()
         log.debug("quantiles: histogram pass %.2fs (%d brackets, %d groups)",
                   time.perf_counter() - t0, len(probes), len(hist))
 
         groups: dict[int, list] = {}
+        below_of: dict[int, int] = {}
         for row in hist:
-            groups.setdefault(row["g"], []).append(row)
+            if row["g"] <= _UPTO:            # rows <= a one-value bracket: its inside count
+                groups.setdefault(-1 - (_UPTO - row["g"]), []).append(row)
+            elif row["g"] <= _BELOW:
+                below_of[_BELOW - row["g"]] = row["cnt"]
+            else:
+                groups.setdefault(row["g"], []).append(row)
         per_probe: dict[int, list] = {}
         for t, pr in enumerate(probes):
-            if pr.exact:
+            if t in single:
+                # one value: inside = (rows <= value) - (rows < value)
+                upto = groups.get(-1 - t, [])[0]["cnt"]
+                per_probe[t] = [{"key": pr.lo, "cnt": upto - below_of[t], "mn": pr.lo, "mx": pr.lo}]
+            elif pr.exact:
                 per_probe[t] = [r for r in groups.get(pr.col, []) if pr.lo <= r["key"] <= pr.hi]
             else:
                 per_probe[t] = groups.get(-1 - t, [])
@@ -341,7 +342,7 @@ class _Refiner:
         nxt: dict[tuple, _Probe] = {}
         for t, pr in enumerate(probes):
             rows = per_probe.get(t, [])
-            below = pr.below
+            below = pr.below if pr.below is not None else below_of[t]
             inside = sorted(rows, key=lambda r: r["key"])
             total_inside = sum(r["cnt"] for r in inside)
             for rank in sorted(pr.ranks):

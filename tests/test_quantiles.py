@@ -80,3 +80,10 @@ def test_rejects_non_numeric_and_bad_probability(spark):
         quantiles(df, ["s"], [0.5])
     with pytest.raises(ValueError):
         quantiles(spark.range(3), ["id"], [1.5])
+
+
+def test_low_cardinality_one_value_brackets(spark, monkeypatch):
+    from scour.operators import quantiles as q
+    monkeypatch.setattr(q, "SAMPLE_ROWS", 500)
+    values = [float(i % 5) for i in range(6000)] + [2.5] * 7
+    check(spark, values, local_rows=100, buckets=8)
