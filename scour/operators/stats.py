@@ -35,16 +35,22 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *,
 
     Quartiles are exact and linearly interpolated unless ``error`` is given.
     The moments are computed in the first pass of the quantile search, so an
-    exact profile of any number of columns costs four scans of them; the
-    result (one row per column) is built from that bounded summary.
+    exact profile of any number of columns costs three or four scans of them
+    (range + moments, sample sketch, one or two histogram jobs); the result
+    (one row per column) is built from that bounded summary.
     """
     cols = resolve_columns(df, columns, numeric=True)
     schema = ("column_name string, count bigint, mean double, stddev double, min double, "
               "p25 double, p50 double, p75 double, max double")
-    spark = df.sparkSession
+    rows, _ = _profile_rows(df, cols, error, [])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _profile_rows(df: DataFrame, cols: list[str], error: float | None, extra: list):
+    """Profile tuples of numeric columns, plus a row of ``extra`` aggregates."""
     if not cols:
-        return spark.createDataFrame([], schema)
-    aggs = []
+        return [], (df.agg(*extra).first() if extra else None)
+    aggs = list(extra)
     for i, c in enumerate(cols):
         x = _clean(df, c).cast("double")
         aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__a{i}"),
@@ -56,7 +62,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *,
         q, row = quantiles(df, cols, [0.25, 0.5, 0.75], error=error), df.agg(*aggs).first()
     out = [(c, row[f"__n{i}"], row[f"__a{i}"], row[f"__s{i}"], row[f"__lo{i}"],
             *q[c], row[f"__hi{i}"]) for i, c in enumerate(cols)]
-    return spark.createDataFrame(out, schema)
+    return out, row
 
 
 def explore(df: DataFrame, *, error: float | None = None) -> dict:
@@ -72,8 +78,12 @@ def explore(df: DataFrame, *, error: float | None = None) -> dict:
     for i, c in enumerate(others):
         aggs += [F.count(qcol(c)).alias(f"n{i}"), F.min(qcol(c)).cast("string").alias(f"lo{i}"),
                  F.max(qcol(c)).cast("string").alias(f"hi{i}")]
-    head = df.agg(*aggs).first()
-    stats = {r["column_name"]: r for r in profile(df, numeric, error=error).collect()} if numeric else {}
+    if numeric:
+        # numeric moments, quartiles and the other columns' stats share the scans
+        prof, head = _profile_rows(df, numeric, error, aggs)
+        stats = {r[0]: dict(zip(("column_name", *PROFILE_STATS), r)) for r in prof}
+    else:
+        head, stats = df.agg(*aggs).first(), {}
     summary = []
     for stat in PROFILE_STATS:
         entry = {"summary": stat}
@@ -170,19 +180,24 @@ def handle_outliers(df: DataFrame, columns: Sequence[str] | None = None, method:
 
 # -- M5: z-score ------------------------------------------------------------------------
 
-def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(x - mean) / stddev_samp`` per numeric column, stats in one aggregate (M5).
-
-    Columns whose standard deviation is NULL (fewer than two values) or zero
-    are left unchanged; standardized columns become DOUBLE.
-    """
+def fit_standardize(df: DataFrame, columns: Sequence[str] | None = None
+                    ) -> dict[str, tuple[float | None, float | None]]:
+    """``{column: (mean, stddev_samp)}`` from one aggregate (the fit half of M5)."""
     cols = resolve_columns(df, columns, numeric=True)
     if not cols:
-        return df
+        return {}
     row = df.agg(*[e for i, c in enumerate(cols) for e in
                    (F.avg(_clean(df, c)).alias(f"m{i}"),
                     F.stddev_samp(_clean(df, c)).alias(f"s{i}"))]).first()
-    scale = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
+    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
+
+
+def apply_standardize(df: DataFrame, scale: dict[str, tuple[float | None, float | None]]
+                      ) -> DataFrame:
+    """Apply fitted (mean, stddev) as literals; works on streaming DataFrames too.
+
+    Columns whose standard deviation is NULL or zero are left unchanged.
+    """
     out = []
     for c in df.columns:
         m, s = scale.get(c, (None, None))
@@ -193,6 +208,16 @@ def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.select(*out)
 
 
+def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(x - mean) / stddev_samp`` per numeric column, stats in one aggregate (M5).
+
+    Columns whose standard deviation is NULL (fewer than two values) or zero
+    are left unchanged; standardized columns become DOUBLE.  For a stream, fit
+    on a batch with ``fit_standardize`` and ``apply_standardize`` the stream.
+    """
+    return apply_standardize(df, fit_standardize(df, columns))
+
+
 # -- M6: row counts without an extra job --------------------------------------------------
 
 def observe_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -16,6 +16,9 @@ twice.
 
 Row-wise operators (filter, fill with a constant, drop_na, rename, coercion,
 redaction, truncation, warning flags) apply to streaming DataFrames unchanged.
+Statistics are fitted on a batch and applied to the stream as literals
+(``stats.fit_standardize`` / ``apply_standardize``, ``stats.iqr_bounds`` /
+``within_bounds``); deduplication uses a watermark (``dedup_stream``).
 """
 
 from __future__ import annotations
@@ -76,6 +79,17 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, *, fmt: str = "parqu
     return q
 
 
+def dedup_stream(stream: DataFrame, columns: list[str], event_time: str,
+                 delay: str = "10 minutes") -> DataFrame:
+    """Drop duplicate keys of a stream with bounded state (P1/P2 on streams).
+
+    A key seen again within ``delay`` of event time is dropped; state for a
+    key is evicted once the watermark passes it, so memory stays bounded by
+    the keys of one delay window rather than growing with the stream.
+    """
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(columns)
+
+
 def next_increment(source: DataFrame, target: DataFrame | None, key: str,
                    max_rows: int | None = None) -> DataFrame:
     """Rows of ``source`` with ``key`` above the largest key already in ``target`` (R2).

@@ -41,3 +41,26 @@ def test_poll_table_appends_once(spark, tmp_dir):
     assert out.count() == out.select("id").distinct().count() == 30
     assert os.path.isdir(tmp_dir + "/ck")
     assert out.agg(F.max("id")).first()[0] == 29
+
+
+def test_stream_dedup_and_fitted_statistics(spark, tmp_dir):
+    from scour.operators import stats
+    from scour.streaming import dedup_stream
+    src = tmp_dir + "/ev"
+    df = spark.range(200).selectExpr("id % 50 as k", "cast(id as double) v",
+                                     "timestamp_seconds(1700000000 + id) as ts")
+    df.repartition(4).write.parquet(src)
+    stream = file_stream(spark, src, "parquet", df.schema)
+    batch = spark.read.parquet(src)
+    scale = stats.fit_standardize(batch, ["v"])
+    bounds = stats.iqr_bounds(batch, ["v"])
+    ingest(stream, tmp_dir + "/out", tmp_dir + "/ck", available_now=True,
+           transform=lambda s: stats.apply_standardize(
+               stats.within_bounds(dedup_stream(s, ["k"], "ts", "1 hour"), bounds), scale))
+    out = spark.read.parquet(tmp_dir + "/out")
+    assert out.count() == 50 and out.select("k").distinct().count() == 50
+    m, sd = scale["v"]
+    # one row per key survives (the first seen); its value is standardized
+    for r in out.collect():
+        original = r.v * sd + m
+        assert abs(original - round(original)) < 1e-9 and round(original) % 50 == r.k
