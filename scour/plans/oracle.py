@@ -258,6 +258,7 @@ UNION ALL SELECT 'checksum', NULL, true""",
     "audit_append": f"""WITH {LOG_SQL},
 e AS (SELECT id, action, resource, details FROM log WHERE action = 'task_failed')
 SELECT * FROM e UNION ALL SELECT * FROM e""",
+    "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "spec_run": """WITH f AS (SELECT o_orderkey, o_totalprice AS total FROM orders
   WHERE o_orderstatus = 'F' AND o_totalprice IS NOT NULL)
 SELECT o_orderkey, total, (SELECT count(*) FROM f) AS rows_written FROM f""",

@@ -20,7 +20,7 @@ from ..operators import auditlog, cleaning, registry, stats, tables, verify
 from ..session import scratch_path
 from ..sinks import copy_objects, object_digests, write_file
 from ..sources import list_objects, read_csv, read_json, read_parquet, scan_data_dir
-from ..streaming import file_stream, ingest
+from ..streaming import dedup_stream, file_stream, ingest
 from . import spec as specs
 
 R = 6                       # digits kept of floating results on both sides
@@ -532,6 +532,18 @@ def q_spec_run(spark, d):
         "o_orderkey", "total", F.lit(res.rows_written).cast("bigint").alias("rows_written"))
 
 
+def q_stream_dedup(spark, d):
+    # watermark dedup on the event stream; the delay spans the whole month of
+    # events, so every repeat of a (user, type) key is dropped
+    schema = _t(spark, d, "events").schema
+    stream = file_stream(spark, d, "parquet", schema, pattern="events.parquet")
+    out, ckpt = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ckpt")
+    ingest(stream, out, ckpt, available_now=True,
+           transform=lambda s: dedup_stream(s, ["user_id", "event_type"], "ts", "60 days")
+           .select("user_id", "event_type"))
+    return read_parquet(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_rows": q_dedup_rows,
     "dedup_key_latest": q_dedup_key_latest,
@@ -589,4 +601,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_verify": q_copy_verify,
     "audit_append": q_audit_append,
     "spec_run": q_spec_run,
+    "stream_dedup": q_stream_dedup,
 }

@@ -87,6 +87,14 @@ def dedup_stream(stream: DataFrame, columns: list[str], event_time: str,
     key is evicted once the watermark passes it, so memory stays bounded by
     the keys of one delay window rather than growing with the stream.
     """
+    from pyspark.sql.types import TimestampNTZType
+    dt = dict((f.name, f.dataType) for f in stream.schema.fields)[event_time]
+    if isinstance(dt, TimestampNTZType):
+        # watermarks need TIMESTAMP; wall-clock time read in the session zone
+        tag = "__event_time"
+        keyed = stream.withColumn(tag, qcol(event_time).cast("timestamp"))
+        return (keyed.withWatermark(tag, delay).dropDuplicatesWithinWatermark(columns)
+                .drop(tag))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(columns)
 
 
