@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.columns import qcol, resolve_columns
 
@@ -137,8 +138,11 @@ class _Refiner:
         # raw columns under short names: range filters on them reach the scan
         self.src, self.extra = df, list(extra or [])
         self.df = df.select(*[qcol(c).alias(f"c{i}") for i, c in enumerate(cols)])
+        # only float / double columns can hold NaN or +-infinity
+        types = {f.name: f.dataType for f in df.schema.fields}
+        self.fractional = [isinstance(types[c], (FloatType, DoubleType)) for c in cols]
         # column expressions are built once: each one costs JVM round trips
-        self.xs = [_valid_value(f"c{i}") for i in range(len(cols))]
+        self.xs = [self._value_of(f"c{i}", i) for i in range(len(cols))]
         self.raws = [F.col(f"c{i}").cast("double") for i in range(len(cols))]
         self.cols, self.probs = cols, probs
         self.accuracy, self.buckets, self.local_rows = accuracy, buckets, local_rows
@@ -150,12 +154,17 @@ class _Refiner:
     def run(self) -> tuple[dict[str, list[float | None]], object]:
         aggs = []
         for i in range(len(self.cols)):
-            x = _valid_value(self.cols[i])         # on the source: shares the scan with extra
-            fin = F.when(F.abs(x) != F.lit(float("inf")), x)
-            aggs += [F.count(fin).alias(f"n{i}"),
-                     F.count_if(x == F.lit(float("-inf"))).alias(f"ni{i}"),
-                     F.count_if(x == F.lit(float("inf"))).alias(f"pi{i}"),
-                     F.min(fin).alias(f"mn{i}"), F.max(fin).alias(f"mx{i}")]
+            x = self._value_of(self.cols[i], i)    # on the source: shares the scan with extra
+            if self.fractional[i]:
+                fin = F.when(F.abs(x) != F.lit(float("inf")), x)
+                aggs += [F.count_if(x == F.lit(float("-inf"))).alias(f"ni{i}"),
+                         F.count_if(x == F.lit(float("inf"))).alias(f"pi{i}")]
+            else:
+                fin = x
+                aggs += [F.lit(0).cast("bigint").alias(f"ni{i}"),
+                         F.lit(0).cast("bigint").alias(f"pi{i}")]
+            aggs += [F.count(fin).alias(f"n{i}"), F.min(fin).alias(f"mn{i}"),
+                     F.max(fin).alias(f"mx{i}")]
         t0 = time.perf_counter()
         head = self.src.agg(*aggs, *self.extra).first()
         log.debug("quantiles: range pass %.2fs", time.perf_counter() - t0)
@@ -221,7 +230,8 @@ class _Refiner:
                 spread += 3.0 / self.accuracy
                 qs += [max(0.0, q - spread), min(1.0, q + spread)]
             plan[i] = (ranks, qs)
-        aggs = [F.percentile_approx(F.when(F.abs(self._x(i)) != F.lit(float("inf")), self._x(i)),
+        aggs = [F.percentile_approx(F.when(F.abs(self._x(i)) != F.lit(float("inf")), self._x(i))
+                                    if self.fractional[i] else self._x(i),
                                     qs, self.accuracy).alias(f"s{i}")
                 for i, (_, qs) in plan.items()]
         t0 = time.perf_counter()
@@ -239,6 +249,10 @@ class _Refiner:
                 exact = lo == hi or 2 * (q_hi - q_lo) * n <= self.local_rows
                 self._add(probes, _Probe(i, min(lo, hi), max(lo, hi), exact, None), r)
 
+    def _value_of(self, name: str, i: int):
+        """Column as double; NaN becomes NULL (only float columns can hold it)."""
+        return _valid_value(name) if self.fractional[i] else qcol(name).cast("double")
+
     def _x(self, i: int):
         return self.xs[i]
 

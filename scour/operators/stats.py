@@ -47,19 +47,34 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *,
 
 
 def _profile_rows(df: DataFrame, cols: list[str], error: float | None, extra: list):
-    """Profile tuples of numeric columns, plus a row of ``extra`` aggregates."""
+    """Profile tuples of numeric columns, plus a row of ``extra`` aggregates.
+
+    Exact mode: mean and stddev join the quantile search's first pass, whose
+    counts and finite range also give count, min and max (NULL and NaN are not
+    values; +-infinity are), so the wide first aggregate stays small.
+    """
     if not cols:
         return [], (df.agg(*extra).first() if extra else None)
-    aggs = list(extra)
+    moments = list(extra)
     for i, c in enumerate(cols):
         x = _clean(df, c).cast("double")
-        aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__a{i}"),
-                 F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__lo{i}"),
-                 F.max(x).alias(f"__hi{i}")]
+        moments += [F.avg(x).alias(f"__a{i}"), F.stddev_samp(x).alias(f"__s{i}")]
     if error is None:
-        q, row = quantiles_and_aggregates(df, cols, [0.25, 0.5, 0.75], aggs)
-    else:
-        q, row = quantiles(df, cols, [0.25, 0.5, 0.75], error=error), df.agg(*aggs).first()
+        q, row = quantiles_and_aggregates(df, cols, [0.25, 0.5, 0.75], moments)
+        out = []
+        for i, c in enumerate(cols):
+            n, ninf, pinf = row[f"n{i}"], row[f"ni{i}"], row[f"pi{i}"]
+            lo = float("-inf") if ninf else (row[f"mn{i}"] if n else (float("inf") if pinf else None))
+            hi = float("inf") if pinf else (row[f"mx{i}"] if n else (float("-inf") if ninf else None))
+            out.append((c, n + ninf + pinf, row[f"__a{i}"], row[f"__s{i}"],
+                        None if lo is None else float(lo), *q[c],
+                        None if hi is None else float(hi)))
+        return out, row
+    for i, c in enumerate(cols):
+        x = _clean(df, c).cast("double")
+        moments += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"),
+                    F.max(x).alias(f"__hi{i}")]
+    q, row = quantiles(df, cols, [0.25, 0.5, 0.75], error=error), df.agg(*moments).first()
     out = [(c, row[f"__n{i}"], row[f"__a{i}"], row[f"__s{i}"], row[f"__lo{i}"],
             *q[c], row[f"__hi{i}"]) for i, c in enumerate(cols)]
     return out, row
