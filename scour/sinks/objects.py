@@ -25,6 +25,9 @@ def _open_fs(uri: str):
         return pafs.LocalFileSystem(), path
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
+    for hadoop_scheme in ("s3a://", "s3n://"):          # Hadoop names for the same store
+        if uri.startswith(hadoop_scheme):
+            uri = "s3://" + uri[len(hadoop_scheme):]
     return pafs.FileSystem.from_uri(uri)
 
 
