@@ -1,11 +1,12 @@
-"""The registered queries of this package and their DuckDB SQL."""
+"""The registered queries of this package; their DuckDB SQL is in ``oracle.py``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import packing, pii, rules, tokens
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -14,13 +15,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("broken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_mixture, op9_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscated, op3_pack_mixture, op5_quality_rules, op9_token_counts)}
