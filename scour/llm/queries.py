@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, rules, tokens
+from . import linededup, mixing, nearest, packing, pii, quality, rules, simhash, tokens, urls
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -19,16 +20,45 @@ def op1_pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: what is deleted because an earlier document has it, and the md5 of what stays."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__removed_words").alias("removed_words"), F.col("__removed_chars").alias("removed_chars"),
+                      F.col("__spans").alias("removed_spans"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op3_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("broken")
 
 
+def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "part")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscated, op3_pack_mixture, op5_quality_rules, op9_token_counts)}
+def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pii_deobfuscated, op2_line_alignment, op3_pack_mixture, op4_pu_quality, op5_quality_rules, op6_simhash_pigeonring,
+    op7_url_markov, op8_mix_sources, op9_token_counts, op10_block_nearest)}
