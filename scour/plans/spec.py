@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, stats
-from ..session import scratch_path
+from ..session import delete_path, scratch_path
 from ..sinks import write_target
 from ..sources import read_source
 
@@ -55,6 +55,7 @@ class SpecResult:
     df: DataFrame
     reports: list[dict] = field(default_factory=list)
     rows_written: int | None = None
+    scratch: list[str] = field(default_factory=list)   # intermediate tables ``df`` reads
 
 
 def validate(spec: dict, *, need_target: bool = False) -> None:
@@ -120,9 +121,10 @@ def _needs_statistics(op: dict) -> bool:
         op["type"] == "fill_na" and op.get("method") in ("mean", "median", "mode"))
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str, scratch: list[str]) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back."""
     path = scratch_path(df.sparkSession, name)
+    scratch.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -135,25 +137,34 @@ def build(spark: SparkSession, spec: dict, df: DataFrame | None = None, *,
     if df is None:
         df = read_source(spark, spec["source"], connections)
     reports: list[dict] = []
+    scratch: list[str] = []
     # statistics operators read their input several times: make sure that input
     # is a columnar table, not a shuffle to redo or a text / database source
     costly = spec["source"]["type"] in REREAD_COSTLY
     for op in spec.get("operators", []):
         if costly and materialize_after_shuffle and _needs_statistics(op):
-            df = materialize(df, spec.get("job_name", "spec"))
+            df = materialize(df, spec.get("job_name", "spec"), scratch)
             costly = False
         df = apply_operator(df, op, reports)
         costly = costly or op["type"] in SHUFFLING
-    return SpecResult(df, reports)
+    return SpecResult(df, reports, scratch=scratch)
 
 
 def run(spark: SparkSession, spec: dict, *, connections: dict | None = None,
         materialize_after_shuffle: bool = True) -> SpecResult:
-    """Build the plan and write it to the spec's target, counting written rows."""
+    """Build the plan and write it to the spec's target, counting written rows.
+
+    Intermediate tables are deleted once the target is written, so ``df`` of the
+    result is then only good for its schema; read the target for the rows.
+    """
     validate(spec, need_target=True)
     res = build(spark, spec, connections=connections,
                 materialize_after_shuffle=materialize_after_shuffle)
     observed, obs = stats.observe_rows(res.df, "written")
-    write_target(observed, spec["target"], connections)
-    res.rows_written = obs.get.get("rows", 0)
+    try:
+        write_target(observed, spec["target"], connections)
+        res.rows_written = obs.get.get("rows", 0)
+    finally:
+        for path in res.scratch:
+            delete_path(spark, path)
     return res

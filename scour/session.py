@@ -48,15 +48,18 @@ def get_session(master: str | None = None, app_name: str = "scour",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset.
+    """Return the shared checkpoint folder, setting a local one only in local mode.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is read, never replaced.  Only a session without one (a test or a
-    laptop run) gets a fresh temporary folder.
+    reach; it is read, never replaced, and its absence is an error: a folder of
+    the driver's machine would be another folder on every executor.  Only a
+    session in local mode (a test or a laptop run) gets a fresh temporary one.
     """
     sc = spark.sparkContext
     current = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not current:
+        if not is_local(sc.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="scour-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, current)
     if not sc.getCheckpointDir():
@@ -64,11 +67,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scour/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for intermediate tables.
 
     Written tables cut lineage and survive executor loss; they live in the
     shared folder so any executor can read them back.
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/scour/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system layer; a missing one is fine."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written.
+
+    Call it when the results that read them have been written.
+    """
+    delete_path(spark, _scratch_root(spark))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and absolute, as Spark's own file system layer resolves it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
