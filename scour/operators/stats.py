@@ -8,6 +8,7 @@ like NULL throughout: it is not counted, averaged or ranked.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -15,15 +16,11 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..functions.columns import field_types, is_fractional, qcol, resolve_columns
+from ..functions.columns import contains_map, field_types, is_fractional, non_nan, qcol, resolve_columns
 from .quantiles import quantiles, quantiles_and_aggregates
 
 PROFILE_STATS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
-
-
-def _clean(df: DataFrame, c: str) -> Column:
-    x = qcol(c)
-    return F.when(~F.isnan(x), x) if is_fractional(field_types(df)[c]) else x
+SUMMARY_NAMES = {"p25": "25%", "p50": "50%", "p75": "75%"}      # as Spark's summary() has them
 
 
 # -- M1 / M2: profile -----------------------------------------------------------------
@@ -35,9 +32,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *,
 
     Quartiles are exact and linearly interpolated unless ``error`` is given.
     The moments are computed in the first pass of the quantile search, so an
-    exact profile of any number of columns costs three or four scans of them
-    (range + moments, sample sketch, one or two histogram jobs); the result
-    (one row per column) is built from that bounded summary.
+    exact profile of any number of columns costs two scans of them (moments
+    and sketches, then one histogram; a further one where a bracket holds many
+    rows); the result (one row per column) is built from that bounded summary.
     """
     cols = resolve_columns(df, columns, numeric=True)
     schema = ("column_name string, count bigint, mean double, stddev double, min double, "
@@ -57,7 +54,7 @@ def _profile_rows(df: DataFrame, cols: list[str], error: float | None, extra: li
         return [], (df.agg(*extra).first() if extra else None)
     moments = list(extra)
     for i, c in enumerate(cols):
-        x = _clean(df, c).cast("double")
+        x = non_nan(c, df).cast("double")
         moments += [F.avg(x).alias(f"__a{i}"), F.stddev_samp(x).alias(f"__s{i}")]
     if error is None:
         q, row = quantiles_and_aggregates(df, cols, [0.25, 0.5, 0.75], moments)
@@ -71,7 +68,7 @@ def _profile_rows(df: DataFrame, cols: list[str], error: float | None, extra: li
                         None if hi is None else float(hi)))
         return out, row
     for i, c in enumerate(cols):
-        x = _clean(df, c).cast("double")
+        x = non_nan(c, df).cast("double")
         moments += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"),
                     F.max(x).alias(f"__hi{i}")]
     q, row = quantiles(df, cols, [0.25, 0.5, 0.75], error=error), df.agg(*moments).first()
@@ -83,16 +80,19 @@ def _profile_rows(df: DataFrame, cols: list[str], error: float | None, extra: li
 def explore(df: DataFrame, *, error: float | None = None) -> dict:
     """Report as a dict: total_rows, columns and a summary per statistic (M1).
 
-    Shape of Spark's ``summary()`` report (one entry per statistic, one key per
-    column); numeric columns get every statistic, others count/min/max.
+    The summary has one entry per statistic, under the names of Spark's
+    ``summary()`` (count, mean, stddev, min, 25%, 50%, 75%, max), with one key
+    per column.  Numeric columns have every statistic; of other columns mean,
+    stddev and quartiles are None, and of maps, which have no order, min and max too.
     """
     types = field_types(df)
     numeric = resolve_columns(df, None, numeric=True)
-    others = [c for c in df.columns if c not in numeric and _orderable(types[c])]
+    others = [c for c in df.columns if c not in numeric]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(others):
-        aggs += [F.count(qcol(c)).alias(f"n{i}"), F.min(qcol(c)).cast("string").alias(f"lo{i}"),
-                 F.max(qcol(c)).cast("string").alias(f"hi{i}")]
+        x = F.lit(None).cast("string") if contains_map(types[c]) else qcol(c)
+        aggs += [F.count(qcol(c)).alias(f"__on{i}"), F.min(x).cast("string").alias(f"__olo{i}"),
+                 F.max(x).cast("string").alias(f"__ohi{i}")]
     if numeric:
         # numeric moments, quartiles and the other columns' stats share the scans
         prof, head = _profile_rows(df, numeric, error, aggs)
@@ -100,21 +100,22 @@ def explore(df: DataFrame, *, error: float | None = None) -> dict:
     else:
         head, stats = df.agg(*aggs).first(), {}
     summary = []
+    at = {c: i for i, c in enumerate(others)}
     for stat in PROFILE_STATS:
-        entry = {"summary": stat}
+        entry = {"summary": SUMMARY_NAMES.get(stat, stat)}
         for c in df.columns:
             if c in stats:
                 entry[c] = stats[c][stat]
-            elif c in others and stat in ("count", "min", "max"):
-                i = others.index(c)
-                entry[c] = head[{"count": f"n{i}", "min": f"lo{i}", "max": f"hi{i}"}[stat]]
+            else:
+                name = {"count": "__on", "min": "__olo", "max": "__ohi"}.get(stat)
+                entry[c] = head[f"{name}{at[c]}"] if name else None
         summary.append(entry)
     return {"total_rows": head["__rows"], "columns": list(df.columns), "summary": summary}
 
 
-def _orderable(dt) -> bool:
-    from pyspark.sql.types import MapType
-    return not isinstance(dt, MapType)
+def explore_json(df: DataFrame, *, error: float | None = None) -> str:
+    """The report of ``explore`` as JSON; what JSON has no type for is text."""
+    return json.dumps(explore(df, error=error), ensure_ascii=False, default=str)
 
 
 # -- M3 / M4: IQR outlier filter ------------------------------------------------------
@@ -202,8 +203,8 @@ def fit_standardize(df: DataFrame, columns: Sequence[str] | None = None
     if not cols:
         return {}
     row = df.agg(*[e for i, c in enumerate(cols) for e in
-                   (F.avg(_clean(df, c)).alias(f"m{i}"),
-                    F.stddev_samp(_clean(df, c)).alias(f"s{i}"))]).first()
+                   (F.avg(non_nan(c, df)).alias(f"m{i}"),
+                    F.stddev_samp(non_nan(c, df)).alias(f"s{i}"))]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 

@@ -38,12 +38,35 @@ def test_hot_value_holding_a_third(spark):
     check(spark, values, local_rows=10, buckets=4)
 
 
-def test_sampled_brackets(spark, monkeypatch):
-    from scour.operators import quantiles as q
-    monkeypatch.setattr(q, "SAMPLE_ROWS", 300)
+def test_coarse_sketch_only_costs_passes(spark):
     rng = np.random.default_rng(5)
-    values = list(rng.exponential(size=6000))
-    check(spark, values, local_rows=100, buckets=16)
+    values = list(rng.exponential(size=6000)) + [float(i) for i in range(300)]
+    check(spark, values, local_rows=100, buckets=16, accuracy=8)
+
+
+def test_ranks_the_sketch_missed_are_found_in_the_gaps(spark, monkeypatch):
+    from scour.operators import quantiles as q
+    monkeypatch.setattr(q._Refiner, "_margin", lambda self: 1e-6)
+    rng = np.random.default_rng(6)
+    check(spark, list(rng.normal(size=5000)), local_rows=50, buckets=8, accuracy=8)
+
+
+def test_wide_table_takes_two_scans(spark, tmp_dir):
+    rng = np.random.default_rng(7)
+    data = pd.DataFrame(rng.normal(size=(4000, 64)), columns=[f"c{i}" for i in range(64)])
+    spark.createDataFrame(data).write.parquet(tmp_dir + "/wide")
+    df = spark.read.parquet(tmp_dir + "/wide")
+    passes = []
+    from scour.operators import quantiles as q
+    refine = q._Refiner._refine
+    q._Refiner._refine = lambda self, todo: passes.append(len(todo)) or refine(self, todo)
+    try:
+        got = quantiles(df, None, [0.25, 0.5, 0.75])
+    finally:
+        q._Refiner._refine = refine
+    assert passes == [64]
+    for c in data:
+        assert got[c] == pytest.approx([float(np.quantile(data[c], p)) for p in (0.25, 0.5, 0.75)], rel=1e-12)
 
 
 def test_infinities_are_extreme_values(spark):
@@ -82,8 +105,6 @@ def test_rejects_non_numeric_and_bad_probability(spark):
         quantiles(spark.range(3), ["id"], [1.5])
 
 
-def test_low_cardinality_one_value_brackets(spark, monkeypatch):
-    from scour.operators import quantiles as q
-    monkeypatch.setattr(q, "SAMPLE_ROWS", 500)
+def test_low_cardinality_one_value_brackets(spark):
     values = [float(i % 5) for i in range(6000)] + [2.5] * 7
     check(spark, values, local_rows=100, buckets=8)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from scour.operators import stats
@@ -51,7 +53,11 @@ def test_profile_and_explore(spark):
     rep = stats.explore(df)
     assert rep["total_rows"] == 100 and rep["columns"] == ["d", "i", "s"]
     by = {e["summary"]: e for e in rep["summary"]}
-    assert by["count"]["s"] == 100 and by["min"]["s"] == "s1" and by["p50"]["d"] == 50.5
+    assert by["count"]["s"] == 100 and by["min"]["s"] == "s1" and by["50%"]["d"] == 50.5
+    assert list(by) == ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"] and by["mean"]["s"] is None
+    assert json.loads(stats.explore_json(df)) == rep
+    nested = spark.createDataFrame([(({"a": 1},),)], "s struct<m:map<string,int>>")
+    assert stats.explore(nested)["summary"][0]["s"] == 1
 
 
 def test_observe_rows(spark, tmp_dir):
