@@ -1,5 +1,7 @@
 """Incremental ingest with Structured Streaming."""
 
-from .ingest import POLL_SECONDS, dedup_stream, file_stream, ingest, next_increment, poll_table
+from .ingest import (POLL_SECONDS, dedup_ingest, dedup_stream, file_stream, ingest, next_increment,
+                     poll_once, poll_table)
 
-__all__ = ["POLL_SECONDS", "dedup_stream", "file_stream", "ingest", "next_increment", "poll_table"]
+__all__ = ["POLL_SECONDS", "dedup_ingest", "dedup_stream", "file_stream", "ingest", "next_increment",
+           "poll_once", "poll_table"]

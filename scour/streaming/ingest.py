@@ -9,10 +9,11 @@ and a lost executor only re-runs its micro-batch.
 R2 (fetch only rows added since the last poll, in bounded batches) needs a
 monotone key: the reference's "row count at open" breaks as soon as a row is
 deleted.  For files the file source already reads only new files
-(``max_files_per_trigger`` bounds a batch).  For a table, ``poll_table`` runs a
-micro-batch per trigger whose state is the target itself: the next batch is
-``key > max(key already in the target)``, so a retried batch does not append
-twice.
+(``max_files_per_trigger`` bounds a batch).  For a table, ``poll_once`` appends
+the next increment: it first records the key range it is about to take, then
+writes exactly that range to a folder of its own below the target, so a poll
+that died is done again with the same range and the same folder.  The target is
+never scanned for its state.
 
 Row-wise operators (filter, fill with a constant, drop_na, rename, coercion,
 redaction, truncation, warning flags) apply to streaming DataFrames unchanged.
@@ -28,8 +29,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..functions.columns import qcol
+from ..functions.columns import field_types, qcol
+from ..session import delete_path, path_exists
 
 # --- fixed values: must equal the reference's behaviour -----------------------
 POLL_SECONDS = 5           # default poll interval
@@ -98,52 +101,153 @@ def dedup_stream(stream: DataFrame, columns: list[str], event_time: str,
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(columns)
 
 
-def next_increment(source: DataFrame, target: DataFrame | None, key: str,
-                   max_rows: int | None = None) -> DataFrame:
-    """Rows of ``source`` with ``key`` above the largest key already in ``target`` (R2).
+def dedup_ingest(stream: DataFrame, columns: list[str], event_time: str, target: str, checkpoint: str, *,
+                 delay: str = "10 minutes", available_now: bool = False,
+                 interval_seconds: float = POLL_SECONDS) -> StreamingQuery:
+    """Append the rows of a stream to ``target``, one per key within ``delay`` of event time.
 
-    The key predicate is pushed into the source (Parquet or JDBC).  A bounded
-    batch takes the ``max_rows`` smallest new keys; the rest come next time.
+    Unlike ``dedup_stream``, which keys its state by the whole stream, a
+    micro-batch here is first cut to one row per key on the map side (a key
+    that holds a third of the rows costs one row per task) and then compared
+    with the target's rows of the last ``delay`` before the batch's oldest row.
+    A batch is written to a folder of its own, so a retried one replaces itself;
+    read the target with ``recursiveFileLookup``.
     """
-    new = source
-    if target is not None:
-        top = target.agg(F.max(qcol(key))).first()[0]
-        if top is not None:
-            new = source.where(qcol(key) > F.lit(top))
+    schema = stream.schema
+    span = F.expr(f"interval {delay}")
+
+    def batch(rows, epoch):
+        spark = rows.sparkSession
+        one = rows.dropDuplicates(columns)
+        oldest = rows.agg((F.min(qcol(event_time)) - span).alias("t")).first()["t"]
+        have = [p for p in (f"{target}/batch-{i:09d}" for i in range(epoch)) if path_exists(spark, p)]
+        if have and oldest is not None:
+            # the range on event time skips the older folders' row groups
+            recent = spark.read.schema(schema).parquet(*have).where(qcol(event_time) >= F.lit(oldest))
+            one = one.join(recent.select(*[qcol(c) for c in columns]), columns, "left_anti").select(*rows.columns)
+        one.write.mode("overwrite").parquet(f"{target}/batch-{epoch:09d}")
+
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    q = _trigger(w, available_now, interval_seconds).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def next_increment(source: DataFrame, key: str, after: tuple | None = None, max_rows: int | None = None,
+                   tie_break: str | None = None) -> tuple[DataFrame, tuple] | None:
+    """The next rows of ``source`` behind the mark ``after``, and the mark that ends them (R2).
+
+    A mark is a (key, tie_break) pair; with no ``tie_break`` its second half is
+    None and a batch always takes all rows of its last key, so no row that ties
+    with a mark is ever left behind (``max_rows`` is then a lower bound where the
+    last key has many rows).  With a ``tie_break`` that tells rows of one key
+    apart, batches hold exactly ``max_rows`` rows and rows that arrive later
+    under the mark's key are still found.  None when nothing is new.
+
+    Rows with a NULL key (or tie-break) have no place in the order: they raise.
+    """
+    k, t = qcol(key), qcol(tie_break) if tie_break else F.lit(None).cast("int")
+    order = [k] if tie_break is None else [k, t]
+    gap = k.isNull() if tie_break is None else k.isNull() | t.isNull()
+    if after is not None:
+        behind = k > F.lit(after[0])
+        if tie_break is not None:
+            behind = (k >= F.lit(after[0])) & (behind | (t > F.lit(after[1])))
+        source = source.where(behind | gap)
+    ends = source.select(k.alias("k"), t.alias("t"), gap.alias("gap"))
     if max_rows:
-        new = new.orderBy(qcol(key)).limit(max_rows)
-    return new
+        # NULLs sort first, so one of them is seen if there is any
+        ends = ends.orderBy(*([F.col("k"), F.col("t")] if tie_break else [F.col("k")])).limit(max_rows)
+    row = ends.agg(F.max(F.struct("k", "t")).alias("top"), F.count_if("gap").alias("gaps")).first()
+    if row["gaps"]:
+        raise ValueError(f"rows with a NULL in {[c for c in (key, tie_break) if c]} cannot be polled in order")
+    if row["top"] is None:
+        return None
+    mark = (row["top"]["k"], row["top"]["t"])
+    upto = k <= F.lit(mark[0])
+    if tie_break is not None:
+        upto = upto & ((k < F.lit(mark[0])) | (t <= F.lit(mark[1])))
+    return source.where(upto & k.isNotNull()), mark
+
+
+def poll_once(spark: SparkSession, source: DataFrame, key: str, target: str, state: str, *,
+              max_rows: int | None = None, tie_break: str | None = None) -> int | None:
+    """Append the next increment of ``source`` to ``target``; its number, or None when nothing is new.
+
+    ``state`` is a folder that holds one mark per increment, written *before* the
+    increment.  An increment goes to ``target/increment-<n>`` in overwrite mode,
+    so whatever a poll that died has left is replaced by the same rows.  Read
+    errors are errors: only a missing folder means a first run.  Read the target
+    with ``recursiveFileLookup``.
+    """
+    types = field_types(source)
+    schema = StructType([StructField("n", LongType()), StructField("k", types[key]),
+                         StructField("t", types[tie_break] if tie_break else IntegerType())])
+    marks = {}
+    if path_exists(spark, state):
+        marks = {r["n"]: (r["k"], r["t"]) for r in spark.read.schema(schema).parquet(f"{state}/mark-*").collect()} \
+            if _children(spark, state) else {}
+    last = max(marks, default=0)
+    if last and not path_exists(spark, f"{target}/increment-{last:09d}/_SUCCESS"):
+        n, before, mark = last, marks.get(last - 1), marks[last]        # the poll before died
+        rows = _between(source, key, tie_break, before, mark)
+    else:
+        got = next_increment(source, key, marks.get(last), max_rows, tie_break)
+        if got is None:
+            return None
+        n, (rows, mark) = last + 1, got
+        spark.createDataFrame([(n, *mark)], schema).coalesce(1).write.mode("overwrite").parquet(f"{state}/mark-{n:09d}")
+    rows.write.mode("overwrite").parquet(f"{target}/increment-{n:09d}")
+    if n > 2:
+        delete_path(spark, f"{state}/mark-{n - 2:09d}")     # the last two marks are all a restart needs
+    return n
+
+
+def _children(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/mark-*")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def _between(source: DataFrame, key: str, tie_break: str | None, before: tuple | None, mark: tuple) -> DataFrame:
+    """Rows behind ``before`` up to ``mark``."""
+    k = qcol(key)
+    rows = source.where(k <= F.lit(mark[0]))
+    if tie_break is not None:
+        rows = rows.where((k < F.lit(mark[0])) | (qcol(tie_break) <= F.lit(mark[1])))
+    if before is not None:
+        behind = k > F.lit(before[0])
+        if tie_break is not None:
+            behind = behind | ((k == F.lit(before[0])) & (qcol(tie_break) > F.lit(before[1])))
+        rows = rows.where(behind)
+    return rows
 
 
 def poll_table(spark: SparkSession, read_source: Callable[[], DataFrame], key: str,
-               target: str, checkpoint: str, *, max_rows: int | None = None,
+               target: str, checkpoint: str, *, max_rows: int | None = None, tie_break: str | None = None,
                interval_seconds: float = POLL_SECONDS, duration_seconds: float | None = None,
-               available_now: bool = False) -> StreamingQuery:
+               available_now: bool = False) -> StreamingQuery | None:
     """Poll a table for new keys every interval and append them to ``target`` (R2).
 
-    A ``rate`` stream is the clock; each micro-batch appends the next
-    increment.  The target (Parquet) is its own state: restarting the query
-    or retrying a batch never appends a key twice.
+    ``available_now`` takes increment after increment until nothing is new and
+    returns None.  Otherwise a ``rate`` stream is the clock, and each tick takes
+    all increments there are.  Either way a restart with the same ``checkpoint``
+    goes on where the last poll stopped, and no row is appended twice.
     """
-    def batch(_, epoch_id):
-        src = read_source()
-        try:
-            tgt = spark.read.schema(src.schema).parquet(target)
-        except Exception:       # first run: no target yet
-            tgt = None
-        inc = next_increment(src, tgt, key, max_rows)
-        inc.write.mode("append").parquet(target)
+    state = f"{checkpoint}/marks"
+
+    def drain() -> None:
+        while poll_once(spark, read_source(), key, target, state, max_rows=max_rows, tie_break=tie_break):
+            pass
 
-    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    w = clock.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    if available_now:
-        w = w.trigger(availableNow=True)
-    else:
-        w = w.trigger(processingTime=f"{interval_seconds} seconds")
-    q = w.start()
     if available_now:
-        q.awaitTermination()
-    elif duration_seconds is not None:
+        drain()
+        return None
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = (clock.writeStream.foreachBatch(lambda _, epoch: drain())
+         .option("checkpointLocation", f"{checkpoint}/clock")
+         .trigger(processingTime=f"{interval_seconds} seconds").start())
+    if duration_seconds is not None:
         q.awaitTermination(duration_seconds)
         q.stop()
     return q

@@ -1,9 +1,11 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scour.operators import cleaning
-from scour.streaming import file_stream, ingest, next_increment, poll_table
+from scour.streaming import dedup_ingest, file_stream, ingest, next_increment, poll_once, poll_table
 
 
 def test_file_ingest_available_now_matches_batch(spark, tmp_dir):
@@ -23,24 +25,81 @@ def test_file_ingest_available_now_matches_batch(spark, tmp_dir):
     assert spark.read.parquet(tmp_dir + "/out").count() == 89 + 10
 
 
-def test_next_increment_bounded(spark):
-    src = spark.range(20)
-    tgt = spark.range(5)
-    inc = next_increment(src, tgt, "id", max_rows=4)
-    assert [r.id for r in inc.collect()] == [5, 6, 7, 8]
-    assert next_increment(src, None, "id").count() == 20
+def test_increments_take_whole_keys(spark):
+    src = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e")], "k int, v string")
+    seen, mark = [], None
+    while got := next_increment(src, "k", mark, max_rows=3):
+        rows, mark = got
+        seen.append(sorted(r.v for r in rows.collect()))
+    assert seen == [["a", "b", "c", "d"], ["e"]]
+    seen, mark = [], None
+    while got := next_increment(src, "k", mark, max_rows=3, tie_break="v"):
+        rows, mark = got
+        seen.append(sorted(r.v for r in rows.collect()))
+    assert seen == [["a", "b", "c"], ["d", "e"]]
+    with pytest.raises(ValueError, match="NULL"):
+        next_increment(src.unionByName(spark.createDataFrame([(None, "z")], "k int, v string")), "k", (3, None))
+
 
+def polled(spark, path):
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
 
-def test_poll_table_appends_once(spark, tmp_dir):
+
+def test_poll_table_takes_everything_once(spark, tmp_dir):
     src = tmp_dir + "/table"
-    spark.range(30).write.parquet(src)
+    spark.range(30).selectExpr("id div 4 as k", "id").write.parquet(src)
+    read = lambda: spark.read.parquet(src)
+    assert poll_table(spark, read, "k", tmp_dir + "/tgt", tmp_dir + "/ck", max_rows=10, available_now=True) is None
+    assert sorted(r.id for r in polled(spark, tmp_dir + "/tgt").collect()) == list(range(30))
+    spark.range(30, 41).selectExpr("id + 100 as k", "id").write.mode("append").parquet(src)
+    poll_table(spark, read, "k", tmp_dir + "/tgt", tmp_dir + "/ck", max_rows=4, available_now=True)     # a restart
+    poll_table(spark, read, "k", tmp_dir + "/tgt", tmp_dir + "/ck", max_rows=4, available_now=True)     # nothing new
+    assert sorted(r.id for r in polled(spark, tmp_dir + "/tgt").collect()) == list(range(41))
+
+
+def test_poll_table_on_a_clock(spark, tmp_dir):
+    src = tmp_dir + "/table"
+    spark.range(12).write.parquet(src)
     q = poll_table(spark, lambda: spark.read.parquet(src), "id", tmp_dir + "/tgt", tmp_dir + "/ck",
-                   max_rows=10, interval_seconds=0.5, duration_seconds=6)
+                   max_rows=6, interval_seconds=0.5, duration_seconds=12)
     assert not q.isActive
-    out = spark.read.parquet(tmp_dir + "/tgt")
-    assert out.count() == out.select("id").distinct().count() == 30
-    assert os.path.isdir(tmp_dir + "/ck")
-    assert out.agg(F.max("id")).first()[0] == 29
+    assert sorted(r.id for r in polled(spark, tmp_dir + "/tgt").collect()) == list(range(12))
+
+
+def test_a_poll_that_died_is_done_again_with_the_same_rows(spark, tmp_dir, monkeypatch):
+    src = spark.range(10).selectExpr("id", "id % 2 as p")
+    assert poll_once(spark, src, "id", tmp_dir + "/t", tmp_dir + "/s", max_rows=4) == 1
+    assert poll_once(spark, src, "id", tmp_dir + "/t", tmp_dir + "/s", max_rows=4) == 2
+    os.remove(tmp_dir + "/t/increment-000000002/_SUCCESS")      # as if it had stopped half-way
+    late = src.unionByName(spark.createDataFrame([(100, 0)], "id bigint, p bigint"))
+    assert poll_once(spark, late, "id", tmp_dir + "/t", tmp_dir + "/s", max_rows=4) == 2
+    assert sorted(r.id for r in polled(spark, tmp_dir + "/t").collect()) == list(range(8))
+    while poll_once(spark, late, "id", tmp_dir + "/t", tmp_dir + "/s", max_rows=1):
+        pass
+    assert sorted(r.id for r in polled(spark, tmp_dir + "/t").collect()) == [*range(10), 100]
+
+
+def test_an_unreadable_state_is_an_error_not_a_first_run(spark, tmp_dir):
+    src = spark.range(5)
+    poll_once(spark, src, "id", tmp_dir + "/t", tmp_dir + "/s")
+    for d in os.listdir(tmp_dir + "/s"):
+        for f in os.listdir(f"{tmp_dir}/s/{d}"):
+            if f.endswith(".parquet"):
+                with open(f"{tmp_dir}/s/{d}/{f}", "wb") as out:
+                    out.write(b"broken")
+    with pytest.raises(Exception):
+        poll_once(spark, src, "id", tmp_dir + "/t", tmp_dir + "/s")
+    assert polled(spark, tmp_dir + "/t").count() == 5
+
+
+def test_dedup_ingest_over_batches(spark, tmp_dir):
+    src = tmp_dir + "/in"
+    for i in range(3):
+        spark.range(100).selectExpr(f"id % {20 + 5 * i} as k", "timestamp_seconds(1700000000 + id) as ts") \
+            .coalesce(1).write.mode("append").parquet(src)
+    stream = file_stream(spark, src, "parquet", spark.read.parquet(src).schema, max_files_per_trigger=1)
+    dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="1 day", available_now=True)
+    assert sorted(r.k for r in polled(spark, tmp_dir + "/out").collect()) == list(range(30))
 
 
 def test_stream_dedup_and_fitted_statistics(spark, tmp_dir):
