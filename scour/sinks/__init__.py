@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .files import WRITE_MODES, check_mode, export_table, write_file
-from .jdbc import clickhouse_ddl, resolve_target, write_jdbc
-from .objects import copy_objects, object_digests
+from .jdbc import clickhouse_ddl, clickhouse_frame, resolve_target, write_jdbc
+from .objects import copy_objects, object_digests, verify_copy
 
 TARGET_TYPES = ("csv", "parquet", "json", "table", "jdbc", "mysql", "clickhouse",
                 "system_mysql", "system_clickhouse")
@@ -37,6 +37,6 @@ def write_target(df: DataFrame, target: dict, connections: dict | None = None) -
         raise ValueError(f"unsupported target type {kind!r}; use one of {TARGET_TYPES}")
 
 
-__all__ = ["TARGET_TYPES", "WRITE_MODES", "check_mode", "clickhouse_ddl", "copy_objects",
-           "export_table", "object_digests", "resolve_target", "write_file", "write_jdbc",
-           "write_target"]
+__all__ = ["TARGET_TYPES", "WRITE_MODES", "check_mode", "clickhouse_ddl", "clickhouse_frame",
+           "copy_objects", "export_table", "object_digests", "resolve_target", "verify_copy",
+           "write_file", "write_jdbc", "write_target"]

@@ -28,7 +28,9 @@ def write_file(df: DataFrame, fmt: str, path: str, mode: str, *,
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).options(**options).csv(path)
+        # quotes are doubled as other tools expect, and blanks at the ends of a value stay
+        w.options(**{"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+                     "ignoreTrailingWhiteSpace": False, **options}).csv(path)
     elif fmt == "parquet":
         w.options(**options).parquet(path)
     elif fmt == "json":

@@ -9,36 +9,33 @@ are opened with ``pyarrow.fs`` (local, HDFS, S3, GCS as available).
 from __future__ import annotations
 
 import hashlib
+import sys
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..session import is_local, qualified, scratch_path
+from ..sources.files import list_objects, open_fs
 
 CHUNK_BYTES = 8 << 20
+COPY_SCHEMA = "Key string, source string, target string, bytes bigint, error string"
+
+# the functions tasks run travel with the job: executors need not have this package
+register_pickle_by_value(sys.modules[__name__])
 
 
-def _open_fs(uri: str):
-    from pyarrow import fs as pafs
-    if uri.startswith("file:"):
-        path = uri[5:]
-        while path.startswith("//"):
-            path = path[1:]
-        return pafs.LocalFileSystem(), path
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    for hadoop_scheme in ("s3a://", "s3n://"):          # Hadoop names for the same store
-        if uri.startswith(hadoop_scheme):
-            uri = "s3://" + uri[len(hadoop_scheme):]
-    return pafs.FileSystem.from_uri(uri)
+def _chunks(stream):
+    while chunk := stream.read(CHUNK_BYTES):
+        yield chunk
 
 
 def _md5(uri: str) -> str:
-    fs, path = _open_fs(uri)
+    fs, path = open_fs(uri)
     h = hashlib.md5()
     with fs.open_input_stream(path) as f:
-        while True:
-            chunk = f.read(CHUNK_BYTES)
-            if not chunk:
-                break
+        for chunk in _chunks(f):
             h.update(chunk)
     return h.hexdigest()
 
@@ -56,39 +53,58 @@ def object_digests(listing: DataFrame, path_col: str = "path",
     return listing.mapInPandas(digest, schema)
 
 
+def _copy(source: str, target: str) -> int:
+    sfs, spath = open_fs(source)
+    tfs, tpath = open_fs(target)
+    tfs.create_dir(tpath.rsplit("/", 1)[0], recursive=True)
+    n = 0
+    with sfs.open_input_stream(spath) as fin, tfs.open_output_stream(tpath) as fout:
+        for chunk in _chunks(fin):
+            fout.write(chunk)
+            n += len(chunk)
+    return n
+
+
 def copy_objects(listing: DataFrame, target_root: str, key_col: str = "Key",
                  path_col: str = "path") -> DataFrame:
-    """Copy every listed object to ``target_root/<Key>`` (K8).
+    """Copy every listed object to ``target_root/<Key>``, now and once (K8).
 
-    Returns one row per object: Key, source path, target path, bytes copied
-    and the MD5 of the bytes written, ready for ``verify.compare_listings``.
+    Returns one row per object: Key, source path, target path, bytes copied and
+    the error, if it could not be copied (the others are copied all the same).
+    The result is read from a written table, so using it copies nothing again.
+    Whether the target holds the right bytes is for ``verify_copy`` to say.
     """
-    schema = StructType([StructField("Key", StringType()), StructField("source", StringType()),
-                         StructField("target", StringType()), StructField("bytes", LongType()),
-                         StructField("ETag", StringType())])
-    root = target_root.rstrip("/")
+    spark = listing.sparkSession
+    root = qualified(spark, target_root).rstrip("/")
+    if root.startswith("file:") and not is_local(spark.sparkContext.master):
+        raise ValueError(f"{root} is another folder on every executor; name a shared store")
 
-    def copy(batches):
+    def run(batches):
         import pandas as pd
         for pdf in batches:
             out = []
             for key, src in zip(pdf[key_col], pdf[path_col]):
-                sfs, spath = _open_fs(src)
-                dst = f"{root}/{key}"
-                tfs, tpath = _open_fs(dst)
-                parent = tpath.rsplit("/", 1)[0]
-                if parent:
-                    tfs.create_dir(parent, recursive=True)
-                h, n = hashlib.md5(), 0
-                with sfs.open_input_stream(spath) as fin, tfs.open_output_stream(tpath) as fout:
-                    while True:
-                        chunk = fin.read(CHUNK_BYTES)
-                        if not chunk:
-                            break
-                        fout.write(chunk)
-                        h.update(chunk)
-                        n += len(chunk)
-                out.append((key, src, dst, n, h.hexdigest()))
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    return listing.select(key_col, path_col).mapInPandas(copy, schema)
+                n, error = None, None
+                try:
+                    n = _copy(src, f"{root}/{key}")
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append((key, src, f"{root}/{key}", n, error))
+            yield pd.DataFrame(out, columns=["Key", "source", "target", "bytes", "error"])
+
+    path = scratch_path(spark, "copied")
+    listing.select(key_col, path_col).mapInPandas(run, COPY_SCHEMA).write.parquet(path)
+    return spark.read.schema(COPY_SCHEMA).parquet(path)
+
+
+def verify_copy(listing: DataFrame, target_root: str) -> DataFrame:
+    """What the target really holds against what was listed (V4).
+
+    One row per object of the listing: Key, source_digest, target_digest,
+    reason (``missing_in_target``, ``digest_mismatch`` or null) and ok.  Objects
+    that only the target has are none of the copy's business.
+    """
+    from ..operators.verify import compare_listings
+    there = list_objects(listing.sparkSession, target_root).join(listing.select("Key"), "Key", "left_semi") \
+        .select("Key", F.col("Size"), "path")
+    return compare_listings(object_digests(listing).select("Key", "ETag"), object_digests(there).select("Key", "ETag"))

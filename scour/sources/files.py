@@ -1,28 +1,45 @@
 """File sources (S1-S3, S7 for files, S8, S10).
 
 Readers are thin on purpose: ``spark.read`` already prunes columns and pushes
-filters into Parquet.  Listings use the ``binaryFile`` source with the
-``content`` column pruned, so a listing of a bucket reads no object bodies.
+filters into Parquet.  Listings walk the store itself (``pyarrow.fs``: local,
+HDFS, S3, GCS as available), because Spark's file sources leave hidden and empty
+objects out.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+from ..session import qualified
+
+# --- fixed values: must equal the reference's behaviour -----------------------
+FILE_SOURCE = "Local File"     # what the catalog shows as the source of a file
+# ------------------------------------------------------------------------------
+
 FILE_FORMATS = ("csv", "parquet", "json")
 
+# the functions tasks run travel with the job: executors need not have this package
+register_pickle_by_value(sys.modules[__name__])
+
 
 def read_csv(spark: SparkSession, path: str | list[str], *, header: bool = True,
              infer_schema: bool = True, schema=None, sampling_ratio: float | None = None,
-             **options) -> DataFrame:
+             multi_line: bool = True, **options) -> DataFrame:
     """CSV with a header row (S1); a UTF-8 byte-order mark is stripped.
 
+    Quoted values may hold delimiters, doubled quotes and line breaks.  Line
+    breaks in values make a file one task, since it cannot be cut at lines;
+    ``multi_line=False`` reads plain files, without such values, in splits.
+
     ``infer_schema`` costs an extra pass over the files; at scale pass an
     explicit ``schema`` (or a ``sampling_ratio``) instead.  Without inference
     every column is a string, which the reference's Spark path did.
     """
-    r = spark.read.option("header", header)
+    r = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
     else:
@@ -63,22 +80,83 @@ def query_files(spark: SparkSession, tables: dict[str, DataFrame], sql: str) ->
     return spark.sql(sql)
 
 
+LISTING_SCHEMA = "Key string, Size bigint, LastModified timestamp, path string"
+LIST_LEVELS = 2            # folder levels the driver opens to find work for the tasks
+LIST_BATCH = 10_000
+
+
 def list_objects(spark: SparkSession, root: str, pattern: str | None = None,
                  recursive: bool = True) -> DataFrame:
     """Object listing as a table (S8): Key, Size, LastModified, path.
 
-    ``Key`` is the path relative to ``root``.  Object bodies are not read: the
-    ``content`` column of ``binaryFile`` is never selected.  Digests are a
-    separate, opt-in step (``sinks.objects.object_digests``).
+    Every object counts: hidden and empty ones too, in folders of any depth.
+    ``Key`` is the path relative to ``root``; ``pattern`` is matched against the
+    object's name.  ``root`` may be relative or without a scheme; it is resolved
+    as Spark resolves paths.  The driver opens the first folder levels only,
+    tasks list what is below, so a bucket's index never sits in one place.
+    Object bodies are not read; digests are a separate, opt-in step
+    (``sinks.objects.object_digests``).
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if pattern:
-        r = r.option("pathGlobFilter", pattern)
-    listing = r.load(root).select("path", "length", "modificationTime")
-    prefix = _normalise_root(root)
-    key = F.regexp_replace(F.col("path"), "^" + _regex_escape(prefix), "")
-    return listing.select(key.alias("Key"), F.col("length").alias("Size"),
-                          F.col("modificationTime").alias("LastModified"), "path")
+    base = qualified(spark, root).rstrip("/")
+    work = [("", True)]
+    for _ in range(LIST_LEVELS if recursive else 0):
+        work = [x for folder, deep in work for x in
+                ([(folder, False), *((sub, True) for sub in subfolders(base, folder))] if deep else [(folder, False)])]
+    if not recursive:
+        work = [("", False)]
+    todo = spark.createDataFrame(work, "folder string, deep boolean").repartition(min(len(work), 1000))
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            for folder, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for rows in list_folder(base, folder, deep, pattern):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string()))],
+                        ["Key", "Size", "LastModified", "path"])
+
+    return todo.mapInArrow(run, LISTING_SCHEMA)
+
+
+def subfolders(base: str, folder: str) -> list[str]:
+    """Folders one level below, relative to ``base``."""
+    from pyarrow import fs as pafs
+    fs, top = open_fs(base)
+    at = f"{top}/{folder}" if folder else top
+    return [i.path[len(top):].lstrip("/") for i in fs.get_file_info(pafs.FileSelector(at)) if i.type == pafs.FileType.Directory]
+
+
+def list_folder(base: str, folder: str, deep: bool, pattern: str | None):
+    """(Key, Size, LastModified, path) of the objects of a folder, a list of up to LIST_BATCH at a time."""
+    import fnmatch
+
+    from pyarrow import fs as pafs
+    fs, top = open_fs(base)
+    rows, todo = [], [f"{top}/{folder}" if folder else top]
+    while todo:
+        for i in fs.get_file_info(pafs.FileSelector(todo.pop())):
+            if i.type == pafs.FileType.Directory:
+                if deep:
+                    todo.append(i.path)
+            elif not pattern or fnmatch.fnmatchcase(i.base_name, pattern):
+                key = i.path[len(top):].lstrip("/")
+                rows.append((key, i.size, i.mtime, f"{base}/{key}"))
+                if len(rows) == LIST_BATCH:
+                    yield rows
+                    rows = []
+    if rows:
+        yield rows
+
+
+def open_fs(uri: str):
+    """(file system, path in it) of a qualified URI; Hadoop's names of a store count as the store."""
+    from pyarrow import fs as pafs
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    for hadoop_scheme in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop_scheme):
+            uri = "s3://" + uri[len(hadoop_scheme):]
+    return pafs.FileSystem.from_uri(uri)
 
 
 def scan_data_dir(spark: SparkSession, root: str,
@@ -99,17 +177,4 @@ def scan_data_dir(spark: SparkSession, root: str,
             .select(name.alias("name"), F.lit("file").alias("type"), F.col("path"),
                     F.col("Size").alias("size_bytes"),
                     F.round(F.col("Size") / 1024, 2).alias("size_kb"),
-                    F.lit("Local File").alias("source")))
-
-
-def _normalise_root(root: str) -> str:
-    if "://" in root or root.startswith("file:"):
-        base = root
-    else:
-        base = "file:" + root
-    return base.rstrip("/") + "/"
-
-
-def _regex_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+                    F.lit(FILE_SOURCE).alias("source")))

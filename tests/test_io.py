@@ -4,18 +4,35 @@ import pytest
 
 from scour import sinks, sources
 from scour.operators import cleaning, verify
-from scour.sinks.jdbc import clickhouse_ddl, resolve_target
+from scour.sinks.jdbc import clickhouse_ddl, clickhouse_frame, resolve_target, write_steps
 
 
-def test_csv_round_trip_reference_case(spark, tmp_dir):
-    df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
-    sinks.write_file(df, "csv", tmp_dir + "/in", "overwrite")
-    back = sources.read_csv(spark, tmp_dir + "/in")
-    out = cleaning.dedup(cleaning.fill_na(back, "0"))
-    sinks.write_file(out, "csv", tmp_dir + "/out", "overwrite")
-    final = sources.read_csv(spark, tmp_dir + "/out")
-    assert final.count() == 2
-    assert sorted((r.a, r.b) for r in final.collect()) == [(1, "0"), (2, "x")]
+def test_csv_cleaning_chain(spark, tmp_dir):
+    df = spark.createDataFrame([("n1", 7), ("n2", None), ("n1", 7), ("n3", 0)], "node string, load int")
+    sinks.write_file(df, "csv", tmp_dir + "/raw", "overwrite")
+    clean = cleaning.fill_na(cleaning.dedup(sources.read_csv(spark, tmp_dir + "/raw")), -1)
+    sinks.write_file(clean, "csv", tmp_dir + "/clean", "overwrite")
+    assert {r.node: r.load for r in sources.read_csv(spark, tmp_dir + "/clean").collect()} == {"n1": 7, "n2": -1, "n3": 0}
+
+
+def test_csv_keeps_what_a_value_holds(spark, tmp_dir):
+    odd = ['a "quoted" word', "two\nlines", "cr\r\nlf", 'ends with "', "comma, and; semi", " blanks around ", "back\\slash", '\\"', "", None, "'", "#x"]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    sinks.export_table(df, tmp_dir + "/e", "csv")
+    back = sources.read_csv(spark, tmp_dir + "/e", schema=df.schema)
+    # CSV has one way to write NULL and the empty string
+    assert {r.i: r.t for r in back.collect()} == {i: t or None for i, t in enumerate(odd)}
+
+
+def test_copy_to_csv_verifies(spark, tmp_dir):
+    df = spark.createDataFrame([("0123", 1.0, 'x "y"\nz'), ("", None, None), ("007", 2.5, " ")], "code string, v double, t string")
+    df.write.parquet(tmp_dir + "/src")
+    for fmt in ("csv", "json", "parquet"):
+        rows, ver = verify.copy_table(spark, {"type": "parquet", "path": tmp_dir + "/src"},
+                                      {"type": fmt, "path": f"{tmp_dir}/{fmt}", "mode": "overwrite"})
+        assert rows == 3 and verify.status(ver) == "success", fmt
+    a, b = spark.createDataFrame([(1, "2")], "n int, s string"), spark.createDataFrame([(1.0, 2)], "n double, s int")
+    assert verify.status(verify.verification(a, b)) == "success"
 
 
 def test_csv_with_bom_and_non_ascii_header(spark, tmp_dir):
@@ -63,12 +80,49 @@ def test_listing_scan_copy_and_digests(spark, tmp_dir):
     scan = {r.name: r.size_bytes for r in sources.scan_data_dir(spark, root).collect()}
     assert scan == {"a.csv": 4, "b.json": 3}
     copied = sinks.copy_objects(listing, os.path.join(tmp_dir, "copy"))
-    src = sinks.object_digests(listing).select("Key", "ETag")
-    res = verify.compare_listings(src, copied.select("Key", "ETag"))
+    assert copied.where("error is null").count() == 3
+    res = sinks.verify_copy(listing, os.path.join(tmp_dir, "copy"))
     assert all(r.ok for r in res.collect()) and res.count() == 3
     assert open(os.path.join(tmp_dir, "copy", "sub", "b.json"), "rb").read() == b"{}\n"
 
 
+def fill(root, names):
+    for i, name in enumerate(names):
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(b"" if "empty" in name else name.encode() * (i + 1))
+
+
+def test_listing_is_complete_and_copies_verify_what_is_there(spark, tmp_dir, monkeypatch):
+    names = ["_hidden", ".dot", "empty", "a/_b/c.bin", "a/d/e/f/g.txt", "a/d/e/empty.csv", "z.csv"]
+    fill(tmp_dir + "/bucket", names)
+    monkeypatch.chdir(tmp_dir)
+    spark_dir = os.getcwd()
+    for root in (tmp_dir + "/bucket", "file://" + tmp_dir + "/bucket", tmp_dir + "/bucket/"):
+        assert sorted(r.Key for r in sources.list_objects(spark, root).collect()) == sorted(names), (root, spark_dir)
+    listing = sources.list_objects(spark, tmp_dir + "/bucket")
+    assert [r.Key for r in sources.list_objects(spark, tmp_dir + "/bucket", pattern="*.csv", recursive=False).collect()] == ["z.csv"]
+    done = sinks.copy_objects(listing, tmp_dir + "/target")
+    assert done.count() == len(names) and done.where("error is not null").count() == 0
+    with open(tmp_dir + "/target/z.csv", "wb") as f:
+        f.write(b"junk")
+    os.remove(tmp_dir + "/target/a/_b/c.bin")
+    bad = {r.Key: r.reason for r in sinks.verify_copy(listing, tmp_dir + "/target").where("not ok").collect()}
+    assert bad == {"z.csv": "digest_mismatch", "a/_b/c.bin": "missing_in_target"}
+    assert done.count() == len(names)       # using the result copies nothing again
+    assert open(tmp_dir + "/target/z.csv", "rb").read() == b"junk"
+
+
+def test_objects_that_cannot_be_copied_are_reported(spark, tmp_dir):
+    fill(tmp_dir + "/b", ["one", "two"])
+    listing = sources.list_objects(spark, tmp_dir + "/b").cache()
+    listing.count()
+    os.remove(tmp_dir + "/b/two")
+    out = {r.Key: r.error for r in sinks.copy_objects(listing, tmp_dir + "/t").collect()}
+    assert out["one"] is None and "FileNotFoundError" in out["two"]
+
+
 def test_jdbc_options_and_targets():
     url = sources.jdbc_url("mysql", "h", None, "db")
     assert url == "jdbc:mysql://h:3306/db"
@@ -89,5 +143,16 @@ def test_jdbc_options_and_targets():
 
 
 def test_clickhouse_ddl(spark):
-    df = spark.createDataFrame([(1, 2.0, "x", True)], "a bigint, b double, c string, d boolean")
-    assert clickhouse_ddl(df.schema) == "`a` Int64, `b` Float64, `c` String, `d` String"
+    from pyspark.sql.types import StructType
+    df = spark.createDataFrame([(1, 2.0, "x", True)], "a int, b float, `c d` string, e boolean")
+    ddl = clickhouse_ddl(df.schema)
+    assert ddl == "`a` bigint, `b` double, `c d` string, `e` string"
+    assert StructType.fromDDL(ddl).simpleString() == clickhouse_frame(df).schema.simpleString()
+
+
+def test_create_like_source_never_turns_an_overwrite_into_an_append():
+    assert write_steps("overwrite", False, False) == [(True, "overwrite", False)]
+    assert write_steps("overwrite", True, False) == [(True, "overwrite", True)]
+    assert write_steps("overwrite", False, True) == [(False, "ignore", False), (True, "overwrite", True)]
+    assert write_steps("append", False, True) == [(False, "ignore", False), (True, "append", False)]
+    assert write_steps("error", False, True) == [(True, "error", False)]
