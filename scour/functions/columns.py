@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,27 +74,30 @@ def lossless_fill(value, dt: DataType) -> bool:
     """A numeric constant fits the column type without truncation."""
     if isinstance(dt, IntegralType) and isinstance(value, float):
         return value.is_integer()
-    if isinstance(dt, DecimalType) and isinstance(value, float):
-        scaled = value * (10 ** dt.scale)
-        return scaled == int(scaled)
+    if isinstance(dt, DecimalType) and isinstance(value, (int, float)) and not isinstance(value, bool):
+        exact = Decimal(str(value))
+        if not exact.is_finite():
+            return False
+        _, digits, exponent = exact.normalize().as_tuple()
+        return exponent >= -dt.scale and len(digits) + exponent <= dt.precision - dt.scale
     return True
 
 
 def has_map_column(df: DataFrame, columns: Iterable[str] | None = None) -> list[str]:
     types = field_types(df)
     names = list(columns) if columns else list(types)
-    return [c for c in names if _contains_map(types[c])]
+    return [c for c in names if contains_map(types[c])]
 
 
-def _contains_map(dt: DataType) -> bool:
+def contains_map(dt: DataType) -> bool:
     if isinstance(dt, MapType):
         return True
     inner = getattr(dt, "elementType", None)
     if inner is not None:
-        return _contains_map(inner)
+        return contains_map(inner)
     fields = getattr(dt, "fields", None)
     if fields:
-        return any(_contains_map(f.dataType) for f in fields)
+        return any(contains_map(f.dataType) for f in fields)
     return False
 
 
@@ -102,3 +106,9 @@ def missing(c: Column, dt: DataType) -> Column:
     if is_fractional(dt):
         return c.isNull() | F.isnan(c)
     return c.isNull()
+
+
+def non_nan(c: str, df: DataFrame) -> Column:
+    """The column with NaN as NULL."""
+    x = qcol(c)
+    return F.when(~F.isnan(x), x) if is_fractional(field_types(df)[c]) else x

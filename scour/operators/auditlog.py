@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import qcol
 from ..functions.text import redact_secrets, truncate_text, warning_flag
+from .tables import page
 
 LOG_SCHEMA = ("id bigint, user_id string, action string, resource string, details string, "
               "timestamp timestamp")
@@ -47,9 +49,8 @@ def count_log(log: DataFrame, **filters) -> int:
 
 def newest_first(log: DataFrame, offset: int = 0, limit: int = 100,
                  cols: dict | None = None) -> DataFrame:
-    """A page of the log, newest first, ties by id descending (A3)."""
-    return (log.orderBy(_c(cols, "timestamp").desc(), _c(cols, "id").desc())
-            .offset(offset).limit(limit))
+    """A page of the log, newest first, ties by id descending (A3); deep pages as in ``tables.page``."""
+    return page(log, [_c(cols, "timestamp").desc(), _c(cols, "id").desc()], offset, limit)
 
 
 def _id_frame(log: DataFrame, ids, idc: str) -> DataFrame:
@@ -57,8 +58,7 @@ def _id_frame(log: DataFrame, ids, idc: str) -> DataFrame:
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).cast(dt).alias(idc))
     keys = log.sparkSession.createDataFrame([(int(i),) for i in ids], "k bigint")
-    # ids listed by the caller: a known, small list, so broadcast it
-    return F.broadcast(keys.select(F.col("k").cast(dt).alias(idc)))
+    return keys.select(F.col("k").cast(dt).alias(idc))
 
 
 def delete_entries(log: DataFrame, ids, cols: dict | None = None) -> DataFrame:
@@ -69,7 +69,8 @@ def delete_entries(log: DataFrame, ids, cols: dict | None = None) -> DataFrame:
     if not isinstance(ids, DataFrame) and not ids:
         return log
     idc = (cols or DEFAULT_COLS)["id"]
-    return log.join(_id_frame(log, ids, idc), idc, "left_anti")
+    kept = log.join(_id_frame(log, ids, idc), idc, "left_anti")
+    return kept.select(*[qcol(c) for c in log.columns])     # a join puts its key first
 
 
 def count_deleted(log: DataFrame, ids, cols: dict | None = None) -> int:

@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType
+from pyspark.sql.types import (BooleanType, DataType, DateType, IntegralType, NumericType,
+                               StringType, TimestampNTZType)
 
 from ..functions.columns import (field_types, has_map_column, is_fractional,
-                                 is_numeric, lossless_fill, qcol,
+                                 is_numeric, lossless_fill, missing, non_nan, qcol,
                                  resolve_columns, value_matches)
 from .quantiles import quantiles
 
@@ -93,8 +94,9 @@ def fill_na(df: DataFrame, value=None, columns: Sequence[str] | None = None,
     ``method="constant"`` (default when ``value`` is given) fills columns whose
     type matches the value: strings for a string, numbers for a number,
     booleans for a bool.  A string fill such as ``"0123"`` stays a string.
-    Without ``columns`` non-matching columns are left alone; a listed column of
-    another type, a fraction into an integer column, or a missing value raise.
+    Without ``columns`` columns of another type are left alone.  A listed column
+    of another type, a fill that a column's type would round (a fraction into an
+    integer column), or a missing value raise.
 
     ``mean`` / ``median`` / ``mode`` fill numeric columns (mode: any orderable
     column) with the statistic of the non-missing values; integer columns get
@@ -119,27 +121,24 @@ def fill_na(df: DataFrame, value=None, columns: Sequence[str] | None = None,
 
 
 def _constant_targets(types: dict[str, DataType], value, columns) -> dict:
-    if columns:
-        cols = list(columns)
-        unknown = [c for c in cols if c not in types]
-        if unknown:
-            raise ValueError(f"unknown column(s): {unknown}")
-        wrong = [c for c in cols if not value_matches(value, types[c])]
-        if wrong:
-            raise ValueError(f"fill value {value!r} does not match the type of {wrong}")
-        lossy = [c for c in cols if not lossless_fill(value, types[c])]
-        if lossy:
-            raise ValueError(f"fill value {value!r} would be truncated in {lossy}")
-        return {c: value for c in cols}
-    return {c: value for c, dt in types.items()
-            if value_matches(value, dt) and lossless_fill(value, dt)}
+    cols = list(columns) if columns else [c for c, dt in types.items() if value_matches(value, dt)]
+    unknown = [c for c in cols if c not in types]
+    if unknown:
+        raise ValueError(f"unknown column(s): {unknown}")
+    wrong = [c for c in cols if not value_matches(value, types[c])]
+    if wrong:
+        raise ValueError(f"fill value {value!r} does not match the type of {wrong}")
+    lossy = [c for c in cols if not lossless_fill(value, types[c])]
+    if lossy:
+        raise ValueError(f"fill value {value!r} would be truncated in {lossy}; list the columns to fill")
+    return {c: value for c in cols}
 
 
 def _statistic(df: DataFrame, cols: list[str], method: str) -> dict:
     if not cols:
         return {}
     if method == "mean":
-        row = df.agg(*[F.avg(_non_nan(c, df)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.avg(non_nan(c, df)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         return {c: row[f"m{i}"] for i, c in enumerate(cols)}
     q = quantiles(df, cols, [0.5])
     return {c: q[c][0] for c in cols}
@@ -148,20 +147,35 @@ def _statistic(df: DataFrame, cols: list[str], method: str) -> dict:
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
     """Most frequent non-missing value per column, smallest on ties.
 
-    A distributed ``groupBy(value).count()`` (partial aggregation, no
-    value->count map in one task) followed by a top-1, per column.
+    One scan and one shuffle for all columns: values are counted as (column,
+    value) pairs with partial aggregation, so no task keeps a map of a column's
+    values, and one aggregate per column picks the winner among the counts.
     """
     types = field_types(df)
-    out = {}
+    plain = [c for c in cols if _textual(types[c])]
+    out = {c: None for c in cols}
+    if plain:
+        pairs = [F.when(~missing(qcol(c), types[c]), F.struct(F.lit(i).alias("i"), qcol(c).cast("string").alias("v")))
+                 for i, c in enumerate(plain)]
+        counted = (df.select(F.explode(F.array(*pairs)).alias("p")).where(F.col("p").isNotNull())
+                   .groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n")))
+        best = [F.min(F.when(F.col("i") == i, F.struct((-F.col("n")).alias("n"), F.col("v").cast(types[c]).alias("v")))).alias(f"m{i}")
+                for i, c in enumerate(plain)]
+        row = counted.agg(*best).first()
+        out.update({c: row[f"m{i}"] and row[f"m{i}"]["v"] for i, c in enumerate(plain)})
     for c in cols:
-        x = qcol(c)
-        counted = (df.where(~_missing(x, types[c])).groupBy(x.alias("v"))
-                   .agg(F.count(F.lit(1)).alias("n")))
-        top = counted.orderBy(F.col("n").desc(), F.col("v").asc()).first()
-        out[c] = None if top is None else top["v"]
+        if c not in plain:
+            counted = df.where(~missing(qcol(c), types[c])).groupBy(qcol(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            top = counted.orderBy(F.col("n").desc(), F.col("v").asc()).first()
+            out[c] = None if top is None else top["v"]
     return out
 
 
+def _textual(dt: DataType) -> bool:
+    """Whether a value survives the way through its text."""
+    return isinstance(dt, (NumericType, StringType, BooleanType, DateType, TimestampNTZType))
+
+
 def apply_fills(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
     """One projection: ``coalesce`` (and ``nanvl`` for floats) per filled column."""
     types = field_types(df)
@@ -185,15 +199,6 @@ def apply_fills(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
     return df.select(*out)
 
 
-def _missing(x: Column, dt: DataType) -> Column:
-    return (x.isNull() | F.isnan(x)) if is_fractional(dt) else x.isNull()
-
-
-def _non_nan(c: str, df: DataFrame) -> Column:
-    x = qcol(c)
-    return F.when(~F.isnan(x), x) if is_fractional(field_types(df)[c]) else x
-
-
 # -- P7 / P8: dropping rows with missing values -------------------------------------
 
 def drop_na(df: DataFrame, columns: Sequence[str] | None = None, how: str = "any") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import qcol
+from .tables import number_rows, page
 
 REGISTRY_SCHEMA = ("id bigint, table_name string, source_type string, source_name string, "
                    "row_count bigint, created_at timestamp, updated_at timestamp")
@@ -40,16 +41,23 @@ def upsert_registry(registry: DataFrame, batch: DataFrame, *, mode: str = "set",
     class) as a sync does, updating ``source_type``/``source_name`` too;
     ``False`` matches the exact (table_name, source_type) as a preprocess job
     does.  New entries get ids after the current maximum, in name order.
-    ``batch`` must hold one row per match key.
+
+    One entry per key: batch rows that share a key are one fact (``add`` sums
+    their counts, ``set`` takes the largest; type and source are those of the
+    largest count), and of several entries of a key the oldest (smallest id) is
+    the one that is changed.
     """
     if mode not in ("set", "add"):
         raise ValueError("mode must be 'set' or 'add'")
     now = now if now is not None else F.current_timestamp()
     match = type_class if match_class else (lambda c: c)
-    reg = registry.withColumn("__m", match(F.col("source_type")))
-    b = batch.select(F.col("table_name").alias("__bn"), F.col("source_type").alias("__bt"),
-                     F.col("source_name").alias("__bs"), F.col("row_count").alias("__br"),
-                     match(F.col("source_type")).alias("__bm"))
+    # only the oldest entry of a key can be hit: the others get no key to join on
+    oldest = Window.partitionBy("table_name", match(F.col("source_type"))).orderBy("id")
+    reg = registry.withColumn("__m", F.when(F.row_number().over(oldest) == 1, match(F.col("source_type"))))
+    largest = F.max(F.struct(F.coalesce("row_count", F.lit(0)).alias("n"), "source_type", "source_name"))
+    b = (batch.groupBy(F.col("table_name").alias("__bn"), match(F.col("source_type")).alias("__bm"))
+         .agg((F.sum("row_count") if mode == "add" else F.max("row_count")).alias("__br"), largest.alias("__l"))
+         .select("__bn", "__bm", "__br", F.col("__l.source_type").alias("__bt"), F.col("__l.source_name").alias("__bs")))
     j = reg.join(b, (reg["table_name"] == b["__bn"]) & (reg["__m"] == b["__bm"]), "full_outer")
     hit, fresh = F.col("id").isNotNull() & F.col("__bn").isNotNull(), F.col("id").isNull()
     rows = F.when(F.lit(mode == "add") & hit, F.col("row_count") + F.col("__br")) \
@@ -67,11 +75,9 @@ def upsert_registry(registry: DataFrame, batch: DataFrame, *, mode: str = "set",
          .cast("timestamp").alias("updated_at"))
     top = registry.agg(F.max("id")).first()[0] or 0      # one number
     old = merged.where(F.col("id").isNotNull())
-    # ids for new entries: the batch is a handful of tables, so numbering it
-    # in one ordered window is bounded by the batch size
-    new = merged.where(F.col("id").isNull()).withColumn(
-        "id", F.lit(top) + F.row_number().over(Window.orderBy("table_name", "source_type")))
-    return old.unionByName(new.select(*old.columns))
+    new = number_rows(merged.where(F.col("id").isNull()).drop("id"),
+                      [F.col("table_name").asc(), F.col("source_type").asc()], "__n")
+    return old.unionByName(new.withColumn("id", F.lit(top + 1) + F.col("__n")).select(*old.columns))
 
 
 def catalog(files: DataFrame | None, registry: DataFrame) -> DataFrame:
@@ -104,7 +110,7 @@ def search_assets(assets: DataFrame, query: str | None = None, asset_type: str |
         df = df.where(F.col("type") == asset_type)
     if limit is None:
         return df
-    return df.orderBy(*[qcol(c) for c in order_by]).offset(offset).limit(limit)
+    return page(df, list(order_by), offset, limit)
 
 
 def remove_assets(registry: DataFrame, *, ids: Sequence[int] = (), names: Sequence[str] = ()
@@ -113,10 +119,9 @@ def remove_assets(registry: DataFrame, *, ids: Sequence[int] = (), names: Sequen
     spark = registry.sparkSession
     out = registry
     if ids:
-        out = out.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "id bigint")),
-                       "id", "left_anti")
+        out = out.join(spark.createDataFrame([(int(i),) for i in ids], "id bigint"), "id", "left_anti")
     if names:
-        out = out.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "table_name string")),
+        out = out.join(spark.createDataFrame([(n,) for n in names], "table_name string"),
                        "table_name", "left_anti")
     return out.select(*registry.columns)
 

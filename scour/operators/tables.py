@@ -11,15 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from ..functions.coerce import coerce_text, rejected
+from ..functions.coerce import coerce_text, parse_type, rejected
 from ..functions.columns import field_types, is_fractional, qcol, quote
+from ..session import scratch_path
 from .cleaning import OrderSpec, _order_columns
 
 ROWID = "_rowid"
+NUMBER = "__number"
+SHALLOW = 100_000          # rows up to the end of a page that a task may hold
 
 
 # -- T1 / T2 / T3: pages --------------------------------------------------------------
@@ -27,28 +30,75 @@ ROWID = "_rowid"
 def page(df: DataFrame, order_by: OrderSpec, offset: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``offset .. offset+limit`` in a total order.
 
-    The order is required: without one a page is not reproducible.  Spark
-    plans a per-task top-(offset+limit) and merges, so shallow pages never sort
-    the table; for deep pages use ``page_after`` (keyset paging).
+    The order is required: without one a page is not reproducible.  A page
+    that ends within ``SHALLOW`` rows is a per-task top-(offset+limit) and a
+    merge; a deeper one is cut out of a distributed numbering of the rows, so no
+    task ever holds the rows before it.  For walking a table use ``page_after``.
     """
     if not order_by:
         raise ValueError("page needs order_by: a page without an order is not reproducible")
     if offset < 0 or limit < 0:
         raise ValueError("offset and limit must be >= 0")
-    return df.orderBy(*_order_columns(order_by)).offset(offset).limit(limit)
+    order = _order_columns(order_by)
+    if offset + limit <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    n = F.col(NUMBER)
+    return (number_rows(df, order).where((n >= offset) & (n < offset + limit)).orderBy(n).drop(NUMBER))
 
 
-def page_after(df: DataFrame, key: str, after=None, limit: int = 100,
-               descending: bool = False) -> DataFrame:
-    """Keyset page: the ``limit`` rows following key value ``after`` (T1 at depth).
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = NUMBER) -> DataFrame:
+    """Add the row's place (from 0) in a total order, without one task seeing all rows.
 
-    The key predicate reaches the scan (row groups skipped), and the top-k
-    stays per task, however deep the page.
+    Rows are range-partitioned, sorted and written with their place in the
+    partition; the partitions' sizes, one number each, give where it starts.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "numbered")
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select("*", part.alias("__part"), place.alias("__place")).write.parquet(path))
+    rows = spark.read.parquet(path)
+    start, sizes = {}, rows.groupBy("__part").count().collect()
+    total = 0
+    for r in sorted(sizes, key=lambda r: r["__part"]):
+        start[r["__part"]] = total
+        total += r["count"]
+    if not start:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    pairs = [F.lit(x) for p, n in start.items() for x in (p, n)]
+    return rows.withColumn(name, F.col("__place") + F.create_map(*pairs)[F.col("__part")]).drop("__part", "__place")
+
+
+def page_after(df: DataFrame, key: str | Sequence[str], after=None, limit: int = 100,
+               descending: bool = False) -> DataFrame:
+    """Keyset page: the ``limit`` rows following the key values ``after`` (T1 at depth).
+
+    ``key`` is one column or several that together tell all rows apart (a
+    non-unique column needs a tie-break behind it, or rows that tie at a page's
+    end would be skipped); ``after`` has one value per column, as the last row
+    of the page before.  NULLs come last in either direction.  The predicate on
+    the first column reaches the scan, and the top-k stays per task, however
+    deep the page.
     """
-    k = qcol(key)
+    keys = [key] if isinstance(key, str) else list(key)
     if after is not None:
-        df = df.where(k < F.lit(after) if descending else k > F.lit(after))
-    return df.orderBy(k.desc() if descending else k.asc()).limit(limit)
+        last = list(after) if isinstance(after, (tuple, list)) else [after]
+        if len(last) != len(keys):
+            raise ValueError(f"after needs one value for each of {keys}")
+        df = df.where(_follows([qcol(k) for k in keys], last, descending))
+    order = [qcol(k).desc_nulls_last() if descending else qcol(k).asc_nulls_last() for k in keys]
+    return df.orderBy(*order).limit(limit)
+
+
+def _follows(cols: list[Column], last: list, descending: bool) -> Column:
+    """Rows behind ``last`` in the order of ``cols``, NULLs last."""
+    c, v = cols[0], last[0]
+    later = F.lit(False) if v is None else ((c < F.lit(v) if descending else c > F.lit(v)) | c.isNull())
+    if len(cols) == 1:
+        return later
+    here = c.isNull() if v is None else c == F.lit(v)
+    # implied by the rest, and a plain range that the scan can use
+    out = later | (here & _follows(cols[1:], last[1:], descending))
+    return out if v is None else ((c <= F.lit(v) if descending else c >= F.lit(v)) | c.isNull()) & out
 
 
 def total_rows(df: DataFrame) -> int:
@@ -73,22 +123,22 @@ def with_rowid(page_df: DataFrame, order_by: OrderSpec, *, key: str | None = Non
 
 def pick_key(columns: Sequence[str], primary_key: Sequence[str] | None = None,
              dialect: str = "sql") -> str | None:
-    """Row key column (T4).
+    """The column that addresses rows (T4).
 
-    SQL databases: first primary-key column, else ``id``, else None (edits are
-    refused).  ClickHouse: ``id``, else the first column.
+    A column called ``id`` serves both dialects.  In a SQL database a declared
+    primary key goes before it, and a table with neither cannot be edited
+    (None); a ClickHouse table falls back to the column it starts with.
     """
-    cols = list(columns)
-    if dialect == "clickhouse":
-        return "id" if "id" in cols else (cols[0] if cols else "id")
-    if primary_key:
-        return list(primary_key)[0]
-    return "id" if "id" in cols else None
+    if not columns:
+        raise ValueError("a table without columns has no key")
+    declared = list(primary_key or ()) if dialect != "clickhouse" else []
+    fallback = columns[0] if dialect == "clickhouse" else None
+    return next(iter(declared), "id" if "id" in columns else fallback)
 
 
 def _require_key(df: DataFrame, key: str | None) -> str:
     if key is None:
-        raise ValueError("table has no primary key or id column; cannot edit rows")
+        raise ValueError("no key column is known for this table; pass key=")
     if key not in df.columns:
         raise ValueError(f"key column {key!r} not in table")
     return key
@@ -104,8 +154,7 @@ def _keys_frame(df: DataFrame, keys, key: str) -> DataFrame:
     text = any(isinstance(v, str) for v in vals)
     schema = StructType([StructField(key, StringType() if text else dt, True)])
     lit_df = df.sparkSession.createDataFrame([(v,) for v in vals], schema)
-    # a key list given by the caller has a known, small size: broadcast it
-    return F.broadcast(lit_df.select(qcol(key).cast(dt).alias(key)))
+    return lit_df.select(qcol(key).cast(dt).alias(key))
 
 
 # -- T5: delete by key -----------------------------------------------------------------------
@@ -113,7 +162,8 @@ def _keys_frame(df: DataFrame, keys, key: str) -> DataFrame:
 def delete_rows(df: DataFrame, keys, key: str | None) -> DataFrame:
     """Rows whose key is not in ``keys`` (T5): a left anti join."""
     key = _require_key(df, key)
-    return df.join(_keys_frame(df, keys, key), on=key, how="left_anti")
+    kept = df.join(_keys_frame(df, keys, key), on=key, how="left_anti")
+    return kept.select(*[qcol(c) for c in df.columns])      # a join puts its key first
 
 
 def count_matches(df: DataFrame, keys, key: str | None) -> int:
@@ -163,13 +213,15 @@ def update_rows(df: DataFrame, changes: DataFrame, key: str | None, *,
 # -- T7: coercion ---------------------------------------------------------------------------------
 
 def coerce_columns(df: DataFrame, types: Mapping[str, DataType | str]) -> DataFrame:
-    """Parse text columns into types; add ``<column>_rejected`` flags."""
-    from pyspark.sql.types import _parse_datatype_string
+    """Parse text columns into types; add ``<column>_rejected`` flags.
+
+    Types are Spark types, or names of Spark or ClickHouse types.
+    """
     out, flags = [], []
     for c in df.columns:
         if c in types:
             t = types[c]
-            dt = _parse_datatype_string(t) if isinstance(t, str) else t
+            dt = parse_type(t) if isinstance(t, str) else t
             raw = qcol(c).cast("string")
             val = coerce_text(raw, dt)
             out.append(val.alias(c))
@@ -200,6 +252,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
                        if is_fractional(types[c]) else qcol(c) for c in df.columns])
 
 
-__all__ = ["ROWID", "coerce_columns", "count_matches", "delete_rows", "nan_to_null", "page",
-           "page_after", "pick_key", "quote", "structure", "total_rows", "update_rows",
+__all__ = ["ROWID", "coerce_columns", "count_matches", "delete_rows", "nan_to_null", "number_rows",
+           "page", "page_after", "pick_key", "quote", "structure", "total_rows", "update_rows",
            "with_rowid"]

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, IntegralType, LongType, StringType
 
-from ..functions.columns import qcol
+from ..functions.columns import field_types, is_fractional, is_numeric, qcol
 from ..functions.hashing import SUM_TYPE, row_hash
 from ..sinks import write_target
 from ..sources import read_source
@@ -31,6 +32,30 @@ def _aligned(source: DataFrame, target: DataFrame, columns: Sequence[str] | None
     return cols
 
 
+def _common_types(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> dict[str, DataType]:
+    """For columns whose two types differ: the type both are compared in.
+
+    Stores name types differently, so INT 1 and DOUBLE 1.0 are the same value.
+    Numbers meet as numbers, anything else as text.
+    """
+    a, b = field_types(source), field_types(target)
+    out: dict[str, DataType] = {}
+    for c in cols:
+        x, y = a[c], b[c]
+        if x == y:
+            continue
+        if not (is_numeric(x) and is_numeric(y)):
+            out[c] = StringType()
+        elif is_fractional(x) or is_fractional(y):
+            out[c] = DoubleType()
+        elif isinstance(x, IntegralType) and isinstance(y, IntegralType):
+            out[c] = LongType()
+        else:
+            scale = max(getattr(x, "scale", 0), getattr(y, "scale", 0))
+            out[c] = DecimalType(38, scale)
+    return out
+
+
 def verification(source: DataFrame, target: DataFrame, *, checks: Sequence[str] = CHECKS,
                  columns: Sequence[str] | None = None, null_safe: bool = True,
                  algorithm: str = "crc32") -> DataFrame:
@@ -45,8 +70,11 @@ def verification(source: DataFrame, target: DataFrame, *, checks: Sequence[str]
         raise ValueError(f"unknown check(s) {sorted(bad)}; use {CHECKS}")
     cols = _aligned(source, target, columns)
     need_hash = "checksum" in checks
+    common = _common_types(source, target, cols) if need_hash else {}
 
     def tagged(df: DataFrame, side: int) -> DataFrame:
+        if need_hash:
+            df = df.select(*[qcol(c).cast(common[c]).alias(c) if c in common else qcol(c) for c in cols])
         h = (row_hash(cols, null_safe, algorithm).cast(SUM_TYPE) if need_hash
              else F.lit(None).cast(SUM_TYPE))
         return df.select(F.lit(side).alias("side"), h.alias("h"))
@@ -88,15 +116,10 @@ def status(ver: DataFrame) -> str:
 
 
 def failure_messages(ver: DataFrame) -> DataFrame:
-    """Failed checks as text, e.g. ``Rows mismatch: Source(10) != Target(9)``."""
-    check = F.col("check_name")
-    label = F.when(check == "row_count", F.lit("Rows mismatch")) \
-             .when(check == "checksum", F.lit("Checksum mismatch")) \
-             .otherwise(F.initcap(F.regexp_replace(check, "_", " ")))
-    return ver.where(~F.col("ok")).select(
-        "check_name", F.format_string("%s: Source(%s) != Target(%s)", label,
-                                 F.col("source").cast("string"),
-                                 F.col("target").cast("string")).alias("details"))
+    """Failed checks as text, e.g. ``row_count differs: 10 in the source, 9 in the target``."""
+    return ver.where(~F.col("ok")).select("check_name", F.format_string(
+        "%s differs: %s in the source, %s in the target", F.col("check_name"),
+        F.col("source").cast("string"), F.col("target").cast("string")).alias("details"))
 
 
 def row_diff(source: DataFrame, target: DataFrame,
@@ -126,18 +149,48 @@ def copy_table(spark: SparkSession, source: dict, target: dict, *,
     Returns (rows written, verification DataFrame or None).  Overwrite runs
     every check; append has no total to compare unless the caller counted the
     target before (see ``verify_append``).  ``verify_target`` is the spec to
-    read the target back (defaults to the target spec itself).
+    read the target back (defaults to the target spec itself); text files are
+    read back with the source's schema, as they carry no types of their own.
+
+    CSV has one way to write NULL and the empty string, so they count as equal
+    there.  The source is read once: its count and checksum are observed while it is
+    written, and the check scans the target only.
     """
-    from .stats import observe_rows
     df = read_source(spark, source, connections)
-    observed, obs = observe_rows(df, "copied")
-    write_target(observed, target, connections)
-    rows = obs.get.get("rows", 0)
+    obs = Observation("copied")
+    seen = [F.count(F.lit(1)).alias("n")]
+    if "checksum" in checks:
+        seen.append(F.coalesce(F.sum(F.col("__h").cast(SUM_TYPE)), F.lit(0).cast(SUM_TYPE)).alias("h"))
+    blank = target["type"] == "csv"
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        if "checksum" not in checks:
+            return rows
+        text = {f.name for f in rows.schema.fields if blank and isinstance(f.dataType, StringType)}
+        return rows.withColumn("__h", row_hash(rows.columns, blank_null=text))
+
+    write_target(hashed(df).observe(obs, *seen).select(*[qcol(c) for c in df.columns]), target, connections)
+    got = obs.get
+    rows = got.get("n", 0)
     if target.get("mode") != "overwrite":
         return rows, None
-    back_spec = verify_target or {k: v for k, v in target.items() if k != "mode"}
+    back_spec = dict(verify_target or {k: v for k, v in target.items() if k != "mode"})
+    if back_spec.get("type") in ("csv", "json"):
+        back_spec["options"] = {"schema": df.schema, **(back_spec.get("options") or {})}
     back = read_source(spark, back_spec, connections)
-    return rows, verification(read_source(spark, source, connections), back, checks=checks)
+    missing = [c for c in df.columns if c not in back.columns]
+    if missing:
+        raise ValueError(f"target lacks column(s) {missing}")
+    same = back.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    agg = hashed(same).agg(*seen)
+    rows_of = {"row_count": ("n", rows), "checksum": ("h", got.get("h"))}
+    out = []
+    for check in checks:
+        name, value = rows_of[check]
+        source_value = F.lit(str(value or 0)).cast(SUM_TYPE)
+        out.append(F.struct(F.lit(check).alias("check_name"), source_value.alias("source"),
+                            F.col(name).cast(SUM_TYPE).alias("target"), (source_value == F.col(name)).alias("ok")))
+    return rows, agg.select(F.inline(F.array(*out)))
 
 
 def compare_listings(source: DataFrame, target: DataFrame, key: str = "Key",

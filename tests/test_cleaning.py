@@ -38,10 +38,33 @@ def test_dedup_refuses_map_columns(spark):
         cleaning.dedup(df)
 
 
-def test_dedup_reference_smoke_csv(spark):
-    df = spark.createDataFrame([(1, "Alice", 100), (2, "Bob", 200), (1, "Alice", 100),
-                                (3, "Charlie", 300)], "id int, name string, value int")
-    assert cleaning.dedup(df).count() == 3
+def test_dedup_drops_whole_row_copies_only(spark):
+    rows = [("kiwi", 4, None), ("plum", 4, 1.5), ("kiwi", 4, None), ("kiwi", 5, None), ("kiwi", 4, None)]
+    out = cleaning.dedup(spark.createDataFrame(rows, "fruit string, box int, kg double"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, cleaning.dedup(out).collect())) and out.count() == 3
+
+
+def test_fill_na_without_columns_refuses_a_lossy_fill(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([(None, None, None)], "i int, m decimal(10,2), s string")
+    with pytest.raises(ValueError, match="truncated"):
+        cleaning.fill_na(df, 2.7)
+    assert cleaning.fill_na(df, 0.29, columns=["m"]).first().m == Decimal("0.29")
+    with pytest.raises(ValueError, match="truncated"):
+        cleaning.fill_na(df, 0.295, columns=["m"])
+    with pytest.raises(ValueError, match="truncated"):
+        cleaning.fill_na(df, 123456789.0, columns=["m"])
+
+
+def test_modes_of_all_types_in_one_pass(spark):
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(1, 2.5, "b", Decimal("1.10"), True, dt.date(2020, 1, 2), b"x"), (1, 2.5, "a", Decimal("1.10"), False, dt.date(2020, 1, 2), b"x"),
+            (2 ** 60 + 1, float("nan"), "a", None, None, None, b"y"), (2 ** 60 + 1, None, "b", None, None, dt.date(2021, 1, 2), None)]
+    df = spark.createDataFrame(rows, "i bigint, d double, s string, m decimal(10,2), f boolean, t date, b binary")
+    assert cleaning.mode_values(df, df.columns) == {
+        "i": 1, "d": 2.5, "s": "a", "m": Decimal("1.10"), "f": False, "t": dt.date(2020, 1, 2), "b": b"x"}
+    assert cleaning.mode_values(df.limit(0), ["i", "b"]) == {"i": None, "b": None}
 
 
 def test_filter_rows_sql_predicate(spark):
@@ -73,7 +96,7 @@ def test_fill_na_rejects_lossy_and_wrong_type_and_none(spark):
     with pytest.raises(ValueError):
         cleaning.fill_na(df, None)
     # without a subset, a fraction is only put where it fits
-    out = cleaning.fill_na(spark.createDataFrame([(None, None)], "i int, d double"), 2.5).first()
+    out = cleaning.fill_na(spark.createDataFrame([(None, None)], "i int, d double"), 2.5, columns=["d"]).first()
     assert out.i is None and out.d == 2.5
 
 

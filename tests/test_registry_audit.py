@@ -95,3 +95,13 @@ def test_audit_entry_and_summary(spark, tmp_dir):
     assert spark.read.parquet(tmp_dir + "/log").count() == 2
     names = spark.createDataFrame([("b",), ("a",)], "name string")
     assert auditlog.deleted_summary(names).first().details == "Deleted 2 tasks: a, b"
+
+
+def test_upsert_makes_one_entry_per_key(spark):
+    reg = spark.createDataFrame([(4, "t", "mysql", "a", 10, T0, T0), (2, "t", "postgres", "b", 20, T0, T0)], registry.REGISTRY_SCHEMA)
+    batch = spark.createDataFrame([("t", "mysql", "a", 3), ("t", "mysql", "a", 4), ("new", "csv", "x", 1), ("new", "csv", "x", 2)],
+                                  "table_name string, source_type string, source_name string, row_count bigint")
+    add = {r.id: r.row_count for r in registry.upsert_registry(reg, batch, mode="add").collect()}
+    assert add == {2: 27, 4: 10, 5: 3}      # the oldest entry of the class grows, the other stays
+    put = {r.id: r.row_count for r in registry.upsert_registry(reg, batch, mode="set").collect()}
+    assert put == {2: 4, 4: 10, 5: 2}

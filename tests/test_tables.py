@@ -18,7 +18,7 @@ def test_reference_no_key_refused(spark):
     nopk = spark.createDataFrame([("a",)], "name string")
     key = tables.pick_key(nopk.columns)
     assert key is None
-    with pytest.raises(ValueError, match="no primary key"):
+    with pytest.raises(ValueError, match="no key column"):
         tables.update_rows(nopk, spark.createDataFrame([("b",)], "name string"), key)
 
 
@@ -54,6 +54,9 @@ def test_pages(spark):
     assert [r.id for r in p.collect()] == [89, 88, 87, 86, 85]
     with pytest.raises(ValueError):
         tables.page(df, [], 0, 5)
+    deep = tables.page(df, [("id", "desc")], offset=10, limit=tables.SHALLOW)
+    assert [r.id for r in deep.collect()] == list(range(89, -1, -1))
+    assert tables.page(df.limit(0), ["id"], offset=tables.SHALLOW, limit=5).count() == 0
     nxt = tables.page_after(df, "id", after=41, limit=3)
     assert [r.id for r in nxt.collect()] == [42, 43, 44]
     ids = tables.with_rowid(p, [("id", "desc")], offset=10).orderBy("_rowid").collect()
@@ -77,3 +80,50 @@ def test_structure_and_nan_to_null(spark):
     st = [tuple(r) for r in tables.structure(df).collect()]
     assert st == [(0, "a", "int", True), (1, "b c", "double", True), (2, "s", "string", True)]
     assert tables.nan_to_null(df).first()["b c"] is None
+
+
+def test_keyset_pages_meet_every_row_once(spark):
+    rows = [(k, i) for i, k in enumerate([1, 1, 2, 2, 3, None, None, 2, 1, None])]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(3)
+    for down in (False, True):
+        seen, after = [], None
+        while got := tables.page_after(df, ["k", "i"], after, limit=3, descending=down).collect():
+            seen += [(r.k, r.i) for r in got]
+            after = seen[-1]
+        assert sorted(seen, key=str) == sorted(rows, key=str)
+        keys = [k for k, _ in seen if k is not None]
+        assert keys == sorted(keys, reverse=down) and seen[-1][0] is None
+    with pytest.raises(ValueError):
+        tables.page_after(df, ["k", "i"], after=3)
+
+
+def test_deletes_keep_the_column_order(spark):
+    from scour.operators import auditlog
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "name string, id int")
+    assert tables.delete_rows(df, [1], "id").columns == ["name", "id"]
+    assert [tuple(r) for r in tables.delete_rows(df, [1], "id").collect()] == [("b", 2)]
+    assert auditlog.delete_entries(df, [2]).columns == ["name", "id"]
+
+
+def test_numbers_must_look_like_numbers(spark):
+    texts = ["12d", "3F", "0x1p3", "1.5", " -2e3 ", ".5", "7.", "", None, "nan", "Infinity", "1e", "--1"]
+    df = spark.createDataFrame([(t, t, t) for t in texts], "v string, w string, b string")
+    out = tables.coerce_columns(df, {"v": "double", "w": "Nullable(Decimal(10, 2))", "b": "Nullable(Bool)"}).collect()
+    ok = {t: r.v for t, r in zip(texts, out) if not r.v_rejected}
+    assert {t for t in ok} == {"1.5", " -2e3 ", ".5", "7.", "", None, "nan", "Infinity"} and ok[" -2e3 "] == -2000.0
+    assert [r.w_rejected for r in out] == [t not in ("1.5", " -2e3 ", ".5", "7.", "", None) for t in texts]
+    words = spark.createDataFrame([("Yes",), (" yes",), ("0",)], "b string")
+    assert [r.b for r in tables.coerce_columns(words, {"b": "Bool"}).collect()] == [True, None, False]
+
+
+def test_clickhouse_type_names():
+    from scour.functions.coerce import parse_type
+    names = {"Nullable(Int32)": "int", "UInt8": "smallint", "UInt64": "decimal(20,0)", "LowCardinality(Nullable(String))": "string",
+             "Float64": "double", "DateTime64(3, 'UTC')": "timestamp", "Int256": "decimal(38,0)", "bigint": "bigint", "Decimal(10, 2)": "decimal(10,2)"}
+    assert {n: parse_type(n).simpleString() for n in names} == names
+
+
+def test_pick_key_needs_columns():
+    assert tables.pick_key(["a", "id"], ["a", "b"]) == "a" and tables.pick_key(["a"]) is None
+    with pytest.raises(ValueError):
+        tables.pick_key([], dialect="clickhouse")

@@ -16,7 +16,7 @@ def test_verification_detects_changes(spark):
     assert c["row_count"][2] is True and c["checksum"][2] is False
     assert verify.status(verify.verification(src, other)) == "failed"
     msgs = verify.failure_messages(verify.verification(src, other)).collect()
-    assert msgs[0].details.startswith("Checksum mismatch: Source(")
+    assert msgs[0].details.startswith("checksum differs: ")
 
 
 def test_null_safe_checksum(spark):
