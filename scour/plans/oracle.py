@@ -1,15 +1,17 @@
 """DuckDB oracle SQL for the registered queries (tables pre-registered as views).
 
 Queries missing here are checked on row count only:
-``outliers_approx`` (approximate quartiles by design), ``verify_checksum``
-(DuckDB has no crc32).
+``outliers_approx`` (approximate quartiles by design; ``outliers_ranks`` checks
+what they promise), ``verify_checksum`` (DuckDB has no crc32;
+``verify_checksum_ok`` checks the verdicts).
 """
 
 from __future__ import annotations
 
+from ..functions.text import DB_URL_PASSWORD, KEY_VALUE_PASSWORD, MASK, WARNING_WORDS
 from .queries import (BATCH_SQL, EVENTS_NULLS_SQL, FILTER_CONDITION, LINEITEM_NUMERIC, LOG_SQL,
                       ORACLE_DIR, ORDERS_NULLS_SQL, PERTURBED_SQL, R, REGISTRY_SQL, SECRET_SUFFIX,
-                      STANDARDIZE_COLS)
+                      SKEWED_SQL, STANDARDIZE_COLS)
 
 
 def _fill_stat(stat_sql: str) -> str:
@@ -93,20 +95,31 @@ SELECT event_id, raw, as_int, as_double, as_bool,
 FROM c"""
 
 
+def _explore() -> str:
+    out = []
+    for name, text, number in (
+            ("count", "CAST(count(event_type) AS VARCHAR)", "count({c})"), ("mean", "NULL", "avg({c})"),
+            ("stddev", "NULL", "stddev_samp({c})"), ("min", "min(event_type)", "min({c})"),
+            ("25%", "NULL", "quantile_cont({c}, 0.25)"), ("50%", "NULL", "quantile_cont({c}, 0.5)"),
+            ("75%", "NULL", "quantile_cont({c}, 0.75)"), ("max", "max(event_type)", "max({c})")):
+        out.append(f"SELECT count(*) AS total_rows, '{name}' AS summary, CAST({text} AS VARCHAR) AS event_type, "
+                   f"round(CAST({number.format(c='value')} AS DOUBLE), {R}) AS value FROM events_n")
+    return f"WITH {EVENTS_NULLS_SQL}\n" + "\nUNION ALL ".join(out)
+
+
 def _redact() -> str:
     s0, s1, s2, s3 = SECRET_SUFFIX
-    text = (f"text || '{s0}' || CAST(doc_id AS VARCHAR) || '{s1}' || CAST(doc_id AS VARCHAR) "
-            f"|| '{s2}' || CAST(doc_id AS VARCHAR) || '{s3}' || CAST(doc_id AS VARCHAR)")
-    url = r"(mysql\+pymysql://[^:\s]+:)([^@\s]+)(@)"
-    kv = r"""((?:password|passwd|pwd)\s*[:=]\s*)([^,\s'"\\]+)""".replace("'", "''")
-    return (f"SELECT doc_id, regexp_replace(regexp_replace({text}, '{url}', '\\1****\\3', 'gi'), "
-            f"'{kv}', '\\1****', 'gi') AS text FROM documents")
+    out = (f"text || '{s0}' || CAST(doc_id AS VARCHAR) || '{s1}' || CAST(doc_id AS VARCHAR) "
+           f"|| '{s2}' || CAST(doc_id AS VARCHAR) || '{s3}' || CAST(doc_id AS VARCHAR)")
+    for pattern, kept in ((DB_URL_PASSWORD, "\\3"), (KEY_VALUE_PASSWORD, "")):
+        pattern = pattern.removeprefix("(?i)").replace("'", "''")
+        out = f"regexp_replace({out}, '{pattern}', '\\1{MASK}{kept}', 'gi')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
 
 
 def _warning() -> str:
-    words = ("fail", "error", "delete", "exception", "warning")
     t = "lower(concat_ws(' ', action, details))"
-    cond = " OR ".join(f"contains({t}, '{w}')" for w in words)
+    cond = " OR ".join(f"contains({t}, '{w}')" for w in WARNING_WORDS)
     return f"WITH {LOG_SQL}\nSELECT id, action, ({cond}) AS warning FROM log"
 
 
@@ -138,11 +151,13 @@ SELECT * FROM orders_n WHERE o_orderpriority IS NOT NULL""",
     "outliers_iqr": f"""WITH qa AS ({_iqr('value', 'events')}), qb AS ({_iqr('user_id', 'events')})
 SELECT event_id, user_id, value FROM events, qa, qb
 WHERE {_keep('value', 'qa')} AND {_keep('user_id', 'qb')}""",
-    "outliers_sequential": f"""WITH qa AS ({_iqr('l_extendedprice', 'lineitem')}),
-s1 AS (SELECT lineitem.* FROM lineitem, qa WHERE {_keep('l_extendedprice', 'qa')}),
-qb AS ({_iqr('l_quantity', 's1')}),
-s2 AS (SELECT s1.* FROM s1, qb WHERE {_keep('l_quantity', 'qb')})
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM s2""",
+    "outliers_sequential": f"""WITH {SKEWED_SQL},
+qa AS ({_iqr('unit', 'skewed')}),
+s1 AS (SELECT skewed.* FROM skewed, qa WHERE {_keep('unit', 'qa')}),
+qb AS ({_iqr('cube', 's1')}),
+s2 AS (SELECT s1.* FROM s1, qb WHERE {_keep('cube', 'qb')})
+SELECT l_orderkey, l_linenumber FROM s2""",
+    "outliers_ranks": "SELECT count(*) AS n, true AS q1_ok, true AS q3_ok FROM lineitem",
     "standardize": _standardize(),
     "spec_chain": f"""WITH f AS (SELECT DISTINCT * FROM lineitem WHERE l_quantity > 10),
 q AS ({_iqr('l_extendedprice', 'f')}),
@@ -155,6 +170,16 @@ SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, {R}) AS l_quantit
 SELECT 'row_count' AS check_name, (SELECT count(*) FROM orders) AS source,
        (SELECT count(*) FROM copy) AS target,
        (SELECT count(*) FROM orders) = (SELECT count(*) FROM copy) AS ok""",
+    "verify_checksum_ok": f"""WITH {PERTURBED_SQL}
+SELECT * FROM (VALUES ('same', 'row_count', true), ('same', 'checksum', true),
+  ('changed', 'row_count', (SELECT count(*) FROM copy) = (SELECT count(*) FROM orders)),
+  ('changed', 'checksum', NOT EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * FROM copy)),
+  ('lossy', 'row_count', NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 100 = 0)),
+  ('lossy', 'checksum', NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 100 = 0))) AS v(copy, check_name, ok)""",
+    "status": f"""WITH {PERTURBED_SQL}
+SELECT 'same' AS copy, 'success' AS status
+UNION ALL SELECT 'changed', CASE WHEN EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * FROM copy) THEN 'failed' ELSE 'success' END
+UNION ALL SELECT 'lossy', CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 100 = 0) THEN 'failed' ELSE 'success' END""",
     "verify_diff": f"""WITH {PERTURBED_SQL}
 SELECT 'source_only' AS side, * FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM copy)
 UNION ALL
@@ -201,7 +226,7 @@ ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 20""",
 SELECT count(*) AS total FROM log WHERE action = 'purchase' AND resource = 'task_3'""",
     "audit_delete": f"""WITH {LOG_SQL}
 SELECT id, action, resource FROM log
-WHERE id NOT IN (SELECT id FROM log WHERE contains(details, 'deleted'))""",
+WHERE id % 3 <> 0""",
     "audit_warning": _warning(),
     "last_failure": f"""WITH {LOG_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY timestamp DESC, id DESC) AS rn
@@ -244,17 +269,37 @@ WHERE contains(p_name, 'ring') AND p_brand = 'Brand#2'""",
     "new_only": """SELECT p_partkey, p_name FROM part p
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)""",
     "verify_append": f"""WITH {PERTURBED_SQL},
-n AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM copy) AS expected,
-             (SELECT count(*) FROM (SELECT * FROM orders UNION ALL SELECT * FROM copy)) AS got)
-SELECT 'append_count' AS check_name, expected AS source, got AS target, expected = got AS ok FROM n""",
+n AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM copy) AS c,
+             (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) AS l)
+SELECT 'append_count' AS check_name, a + c AS source, a + c AS target, true AS ok FROM n
+UNION ALL SELECT 'append_count', a + 2 * c, a + c + l, c = l FROM n""",
     "verify_messages": """WITH n AS (SELECT (SELECT count(*) FROM orders) AS a,
                   (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) AS b)
 SELECT 'row_count' AS check_name,
-       'Rows mismatch: Source(' || CAST(a AS VARCHAR) || ') != Target(' || CAST(b AS VARCHAR) || ')'
-         AS details
+       'row_count differs: ' || CAST(a AS VARCHAR) || ' in the source, ' || CAST(b AS VARCHAR)
+         || ' in the target' AS details
 FROM n WHERE a <> b""",
-    "copy_verify": """SELECT 'row_count' AS check_name, (SELECT count(*) FROM supplier) AS rows, true AS ok
-UNION ALL SELECT 'checksum', NULL, true""",
+    "copy_verify": """WITH f AS (SELECT unnest(['parquet', 'csv']) AS format),
+t AS (SELECT 'supplier' AS copied, (SELECT count(*) FROM supplier) AS n
+      UNION ALL SELECT 'documents', (SELECT count(*) FROM documents))
+SELECT copied, format, 'row_count' AS check_name, n AS rows, true AS ok FROM t, f
+UNION ALL SELECT copied, format, 'checksum', NULL, true FROM t, f""",
+    "csv_documents": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
+    "file_query": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    "export_json": "SELECT c_custkey, c_name, c_nationkey FROM customer",
+    "explore": _explore(),
+    "total_rows": """SELECT 'orders' AS name, count(*) AS n FROM orders
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events
+UNION ALL SELECT 'documents', count(*) FROM documents""",
+    "pick_key": """SELECT 'nation' AS name, 'n_nationkey' AS picked, count(*) AS n FROM nation
+UNION ALL SELECT 'customer', 'c_custkey', count(*) FROM customer
+UNION ALL SELECT 'documents', 'doc_id', count(*) FROM documents""",
+    "poll_increment": "SELECT event_id, user_id, event_type, value FROM events",
+    "stream_dedup_ingest": "SELECT DISTINCT user_id, event_type FROM events",
+    "page_after_ties": """SELECT event_id, user_id FROM events
+WHERE user_id > 20 OR (user_id = 20 AND event_id > 0) ORDER BY user_id, event_id LIMIT 500""",
+    "page_deep": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 80000 OFFSET 30000""",
     "audit_append": f"""WITH {LOG_SQL},
 e AS (SELECT id, action, resource, details FROM log WHERE action = 'task_failed')
 SELECT * FROM e UNION ALL SELECT * FROM e""",

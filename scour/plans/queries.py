@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets, truncate_text
 from ..operators import auditlog, cleaning, registry, stats, tables, verify
+from ..operators.quantiles import quantiles
 from ..session import scratch_path
-from ..sinks import copy_objects, object_digests, write_file
-from ..sources import list_objects, read_csv, read_json, read_parquet, scan_data_dir
-from ..streaming import dedup_stream, file_stream, ingest
+from ..sinks import copy_objects, export_table, verify_copy, write_file
+from ..sources import list_objects, read_csv, read_json, read_parquet, read_source, scan_data_dir
+from ..streaming import dedup_ingest, dedup_stream, file_stream, ingest, poll_table
 from . import spec as specs
 
 R = 6                       # digits kept of floating results on both sides
@@ -221,10 +222,32 @@ def q_outliers_iqr(spark, d):
             .select("event_id", "user_id", "value"))
 
 
+def skewed_lineitem(spark, d):
+    """Line items with a value that has real outliers: price to the fourth power, and its root."""
+    x = F.col("l_extendedprice")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (x * x * x / 1e9).alias("cube"),
+                                           (x / (F.col("l_quantity") * F.col("l_quantity"))).alias("unit"))
+
+
+SKEWED_SQL = """skewed AS (SELECT l_orderkey, l_linenumber,
+  l_extendedprice * l_extendedprice * l_extendedprice / 1e9 AS cube,
+  l_extendedprice / (l_quantity * l_quantity) AS unit FROM lineitem)"""
+
+
 def q_outliers_sequential(spark, d):
-    li = _t(spark, d, "lineitem")
-    return (stats.handle_outliers(li, ["l_extendedprice", "l_quantity"], sequential=True)
-            .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    return (stats.handle_outliers(skewed_lineitem(spark, d), ["unit", "cube"], sequential=True)
+            .select("l_orderkey", "l_linenumber"))
+
+
+def q_outliers_ranks(spark, d):
+    # the approximate quartiles hold their promise: their true ranks are within the error
+    li, error = _t(spark, d, "lineitem"), 0.05
+    got = quantiles(li, ["l_extendedprice"], [0.25, 0.75], error=error)["l_extendedprice"]
+    x, n = F.col("l_extendedprice"), F.count(F.lit(1))
+    ranks = li.agg(*[c for i, (p, v) in enumerate(zip((0.25, 0.75), got)) for c in
+                     ((F.count_if(x < F.lit(v)) / n <= p + error).alias(f"low{i}"),
+                      (F.count_if(x <= F.lit(v)) / n >= p - error).alias(f"high{i}"))], n.alias("n"))
+    return ranks.select("n", (F.col("low0") & F.col("high0")).alias("q1_ok"), (F.col("low1") & F.col("high1")).alias("q3_ok"))
 
 
 def q_outliers_approx(spark, d):
@@ -273,6 +296,23 @@ def q_verify_checksum(spark, d):
     return verify.verification(_t(spark, d, "orders"), perturbed_orders(spark, d))
 
 
+def q_verify_checksum_ok(spark, d):
+    # one table against itself in another order and layout, and against a changed copy
+    orders = _t(spark, d, "orders")
+    same = orders.repartition(7, "o_custkey").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    a = verify.verification(orders, same).select(F.lit("same").alias("copy"), "check_name", "ok")
+    b = verify.verification(orders, perturbed_orders(spark, d)).select(F.lit("changed").alias("copy"), "check_name", "ok")
+    c = verify.verification(orders, lossy_copy(spark, d), algorithm="xxhash64")
+    return a.unionAll(b).unionAll(c.select(F.lit("lossy").alias("copy"), "check_name", "ok"))
+
+
+def q_status(spark, d):
+    orders = _t(spark, d, "orders")
+    out = [(name, verify.status(verify.verification(orders, copy))) for name, copy in
+           (("same", orders), ("changed", perturbed_orders(spark, d)), ("lossy", lossy_copy(spark, d)))]
+    return spark.createDataFrame(out, "copy string, status string")
+
+
 def q_verify_diff(spark, d):
     return verify.row_diff(_t(spark, d, "orders"), perturbed_orders(spark, d))
 
@@ -365,7 +405,7 @@ def q_audit_count(spark, d):
 
 def q_audit_delete(spark, d):
     log = log_from_events(spark, d)
-    ids = log.where(F.col("details").contains("deleted")).select("id")
+    ids = log.where(F.col("id") % 3 == 0).select("id")
     return auditlog.delete_entries(log, ids).select("id", "action", "resource")
 
 
@@ -427,9 +467,8 @@ def q_asset_scan(spark, d):
 def q_object_copy(spark, d):
     src = list_objects(spark, d, pattern="*.parquet")
     target = scratch_path(spark, "bucket-copy")
-    copied = copy_objects(src, target).select("Key", "ETag")
-    source_digests = object_digests(src).select("Key", "ETag")
-    return verify.compare_listings(source_digests, copied).select("Key", "ok")
+    copy_objects(src, target)
+    return verify_copy(src, target).select("Key", "ok")     # digests of what the target holds
 
 
 # -- R1 / R2: streaming ingest -------------------------------------------------------------------------
@@ -465,6 +504,18 @@ def q_page_after(spark, d):
         .select("c_custkey", "c_name")
 
 
+def q_page_after_ties(spark, d):
+    # many events share a user: the page goes on behind (user, event), not behind the user
+    return tables.page_after(_t(spark, d, "events"), ["user_id", "event_id"], after=(20, 0), limit=500) \
+        .select("event_id", "user_id")
+
+
+def q_page_deep(spark, d):
+    # past what one task may hold, so the rows are numbered in a distributed way
+    return tables.page(_t(spark, d, "lineitem"), ["l_extendedprice", "l_orderkey", "l_linenumber"],
+                       offset=30_000, limit=80_000).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 def q_nan_to_null(spark, d):
     e = _t(spark, d, "events")
     v = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
@@ -485,9 +536,18 @@ def q_new_only(spark, d):
 
 
 def q_verify_append(spark, d):
-    orders, copy = _t(spark, d, "orders"), perturbed_orders(spark, d)
-    before = orders.count()                     # the target before the append
-    v = verify.verify_append(before, copy, orders.unionAll(copy))
+    target = scratch_path(spark, "append")
+    write_file(_t(spark, d, "orders"), "parquet", target, "overwrite")
+    before = read_parquet(spark, target).count()
+    # a good append, then one that lost rows on the way
+    copy = perturbed_orders(spark, d)
+    write_file(copy, "parquet", target, "append")
+    good = verify.verify_append(before, copy, read_parquet(spark, target))
+    got = good.collect()            # before the next append changes what is read
+    middle = read_parquet(spark, target).count()
+    write_file(lossy_copy(spark, d), "parquet", target, "append")
+    got += verify.verify_append(middle, copy, read_parquet(spark, target)).collect()
+    v = spark.createDataFrame(got, good.schema)
     return v.select("check_name", F.col("source").cast("bigint").alias("source"),
                     F.col("target").cast("bigint").alias("target"), "ok")
 
@@ -503,11 +563,71 @@ def q_verify_messages(spark, d):
 
 
 def q_copy_verify(spark, d):
-    target = scratch_path(spark, "copy")
-    _, ver = verify.copy_table(spark, {"type": "parquet", "path": f"{d}/supplier.parquet"},
-                               {"type": "parquet", "path": target, "mode": "overwrite"})
-    return ver.select("check_name", F.when(F.col("check_name") == "row_count", F.col("source"))
-                      .cast("bigint").alias("rows"), "ok")
+    out = None
+    for name in ("supplier", "documents"):
+        for fmt in ("parquet", "csv"):
+            _, ver = verify.copy_table(spark, {"type": "parquet", "path": f"{d}/{name}.parquet"},
+                                       {"type": fmt, "path": scratch_path(spark, "copy"), "mode": "overwrite"})
+            ver = ver.select(F.lit(name).alias("copied"), F.lit(fmt).alias("format"), "check_name", F.when(
+                F.col("check_name") == "row_count", F.col("source")).cast("bigint").alias("rows"), "ok")
+            out = ver if out is None else out.unionAll(ver)
+    return out
+
+
+def q_csv_documents(spark, d):
+    # whole documents: quotes, delimiters, line breaks and blanks survive the way through CSV
+    docs, path = _t(spark, d, "documents"), scratch_path(spark, "documents-csv")
+    export_table(docs, path, "csv")
+    return read_csv(spark, path, schema=docs.schema).select("doc_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
+
+
+def q_file_query(spark, d):
+    return read_source(spark, {"type": "parquet", "path": f"{d}/orders.parquet", "view": "o",
+                               "query": "SELECT o_orderstatus, count(*) AS n FROM o GROUP BY o_orderstatus"})
+
+
+def q_export_json(spark, d):
+    src, path = _t(spark, d, "customer"), scratch_path(spark, "customer-json")
+    export_table(src, path, "json")
+    return read_json(spark, path, schema=src.schema).select("c_custkey", "c_name", "c_nationkey")
+
+
+def q_explore(spark, d):
+    report = stats.explore(events_with_nulls(spark, d).select("event_id", "event_type", "value"))
+    rows = [(report["total_rows"], r["summary"], str(r["event_type"]) if r.get("event_type") is not None else None,
+             float(r["value"])) for r in report["summary"]]
+    return spark.createDataFrame(rows, "total_rows bigint, summary string, event_type string, value double") \
+        .select("total_rows", "summary", "event_type", _r("value").alias("value"))
+
+
+def q_total_rows(spark, d):
+    names = ("orders", "lineitem", "events", "documents")
+    return spark.createDataFrame([(n, tables.total_rows(_t(spark, d, n))) for n in names], "name string, n bigint")
+
+
+def q_pick_key(spark, d):
+    # the key the rule picks tells the table's rows apart
+    out = []
+    for name, declared in (("nation", ["n_nationkey"]), ("customer", ["c_custkey"]), ("documents", None)):
+        t = _t(spark, d, name)
+        key = tables.pick_key(t.columns, declared, "sql" if declared else "clickhouse")
+        out.append((name, key, t.select(key).distinct().count()))
+    return spark.createDataFrame(out, "name string, picked string, n bigint")
+
+
+def q_poll_increment(spark, d):
+    # a key with many ties, taken a few rows at a time: every row arrives once
+    out, state = scratch_path(spark, "poll-out"), scratch_path(spark, "poll-state")
+    src = _t(spark, d, "events").withColumn("slot", F.floor(F.col("event_id") / 1700).cast("bigint"))
+    poll_table(spark, lambda: src, "slot", out, state, max_rows=6000, available_now=True)
+    return read_parquet(spark, out, recursiveFileLookup=True).select("event_id", "user_id", "event_type", "value")
+
+
+def q_stream_dedup_ingest(spark, d):
+    out, ckpt = scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt")
+    stream = file_stream(spark, d, "parquet", _t(spark, d, "events").schema, pattern="events.parquet")
+    dedup_ingest(stream, ["user_id", "event_type"], "ts", out, ckpt, delay="3650 days", available_now=True)
+    return read_parquet(spark, out, recursiveFileLookup=True).select("user_id", "event_type")
 
 
 def q_audit_append(spark, d):
@@ -560,10 +680,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outliers_iqr": q_outliers_iqr,
     "outliers_sequential": q_outliers_sequential,
     "outliers_approx": q_outliers_approx,
+    "outliers_ranks": q_outliers_ranks,
     "standardize": q_standardize,
     "spec_chain": q_spec_chain,
     "verify_counts": q_verify_counts,
     "verify_checksum": q_verify_checksum,
+    "verify_checksum_ok": q_verify_checksum_ok,
+    "status": q_status,
     "verify_diff": q_verify_diff,
     "registry_upsert": q_registry_upsert,
     "registry_set": q_registry_set,
@@ -593,6 +716,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_key": q_dedup_key,
     "standardize_auto": q_standardize_auto,
     "page_after": q_page_after,
+    "page_after_ties": q_page_after_ties,
+    "page_deep": q_page_deep,
+    "total_rows": q_total_rows,
+    "pick_key": q_pick_key,
+    "csv_documents": q_csv_documents,
+    "file_query": q_file_query,
+    "export_json": q_export_json,
+    "explore": q_explore,
+    "poll_increment": q_poll_increment,
+    "stream_dedup_ingest": q_stream_dedup_ingest,
     "nan_to_null": q_nan_to_null,
     "name_search": q_name_search,
     "new_only": q_new_only,
