@@ -21,7 +21,7 @@ def _rules() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{WORD}')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
 g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
@@ -32,9 +32,9 @@ c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::B
              (len(t) - len(translate(t, '{rules.SHOUTS}', '')))::BIGINT AS n_shouts,
              len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, x -> lower(x) IN ({stops}))) AS n_stops,
-             len(list_filter(ls, x -> regexp_matches(x, '{rules.BULLET}'))) AS n_bullets,
-             len(list_filter(ls, x -> regexp_matches(x, '{rules.ELLIPSIS}'))) AS n_ellipses
+             len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stops,
+             len(list_filter(ls, lambda x: regexp_matches(x, '{rules.BULLET}'))) AS n_bullets,
+             len(list_filter(ls, lambda x: regexp_matches(x, '{rules.ELLIPSIS}'))) AS n_ellipses
       FROM w LEFT JOIN cov USING (rid)),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
              {ratio('word_chars', 'n_words')} AS mean_word_chars, {ratio('n_symbols', 'n_words')} AS symbols_per_word,
