@@ -150,14 +150,17 @@ class _Refiner:
             for name, v in (("ni", "-inf"), ("pi", "inf")):
                 n = F.count_if(_value(c) == F.lit(float(v))) if self.fractional[i] else F.lit(0).cast("bigint")
                 aggs.append(n.alias(f"{name}{i}"))
-            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                     F.kll_sketch_agg_double(x, F.lit(self.accuracy)).alias(f"__k{i}")]
+            aggs.append(F.kll_sketch_agg_double(x, F.lit(self.accuracy)).alias(f"__k{i}"))
         t0 = time.perf_counter()
         marks = self._marks()
         head = self.src.agg(*aggs, *self.extra)
-        # quantiles are read off the sketches next to them: only numbers reach the driver
-        bars = [F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"__k{i}"), F.array(*map(F.lit, marks))))
-                .alias(f"__q{i}") for i in range(len(self.cols))]
+        # a sketch knows its exact count, least and greatest value; only numbers reach the driver
+        bars = []
+        for i in range(len(self.cols)):
+            k, n = F.col(f"__k{i}"), F.coalesce(F.kll_sketch_get_n_double(f"__k{i}"), F.lit(0).cast("bigint"))
+            q = F.when(n > 0, F.kll_sketch_get_quantile_double(k, F.array(F.lit(0.0), F.lit(1.0), *map(F.lit, marks))))
+            bars += [n.alias(f"n{i}"), F.get(q, F.lit(0)).alias(f"mn{i}"), F.get(q, F.lit(1)).alias(f"mx{i}"),
+                     F.slice(q, 3, len(marks)).alias(f"__q{i}")]
         head = head.select("*", *bars).drop(*(f"__k{i}" for i in range(len(self.cols)))).first()
         log.debug("quantiles: range and sketch pass %.2fs", time.perf_counter() - t0)
 
@@ -230,29 +233,40 @@ class _Refiner:
         return out
 
     # -- one refinement step over every open bracket --------------------------------
-    def _entry(self, i: int, brackets: list[_Bracket]):
-        """The stretch of a column's value: 2j for the gap below bracket j, 2j + 1 inside it, with its bucket there."""
-        x, none = self.xs[i], F.lit(None).cast("double")
-
-        def at(stretch: int, key):
-            return F.struct(F.lit(i).alias("g"), F.lit(stretch).alias("s"), key.alias("key"), x.alias("x"))
-
-        out = F.when(x.isNull(), F.lit(None))
+    def _stretch(self, i: int, brackets: list[_Bracket]):
+        """The stretch of a column's value: 2j for the gap below bracket j, 2j + 1 inside it."""
+        x = self.xs[i]
+        out = F.when(x < F.lit(brackets[0].lo), 0)
         for j, b in enumerate(brackets):
-            if b.exact or b.lo == b.hi:
-                key = x
-            else:
-                share = (x / 2 - F.lit(b.lo / 2)) / F.lit(b.hi / 2 - b.lo / 2)
-                key = F.least(F.lit(self.buckets - 1), F.floor(share * F.lit(self.buckets))).cast("double")
-            out = out.when(x < F.lit(b.lo), at(2 * j, none)).when(x <= F.lit(b.hi), at(2 * j + 1, key))
-        return out.otherwise(at(2 * len(brackets), none))
+            if j:
+                out = out.when(x < F.lit(b.lo), 2 * j)
+            out = out.when(x <= F.lit(b.hi), 2 * j + 1)
+        return out.otherwise(2 * len(brackets))
+
+    def _buckets(self, todo: dict[int, list[_Bracket]]):
+        """The bucket of an exploded entry (g, s, x): nothing in a gap, the value or its share of the bracket inside one."""
+        x, inside = F.col("e.x"), F.col("e.s") % 2 == 1
+        flat = [(i, b) for i, bs in todo.items() for b in bs]
+        if all(b.exact or b.lo == b.hi for _, b in flat):
+            return F.when(inside, x)
+        # literal tables of the brackets' ends, by the bracket's place among all
+        starts, n = {}, 1
+        for i, bs in todo.items():
+            starts[i], n = n, n + len(bs)
+        at = (F.element_at(F.array(*[F.lit(starts.get(i, 0)) for i in range(max(starts) + 1)]), F.col("e.g") + 1)
+              + F.floor(F.col("e.s") / 2).cast("int"))
+        lo, hi = (F.element_at(F.array(*[F.lit(v / 2) for v in ends]), at) for ends in ([b.lo for _, b in flat], [b.hi for _, b in flat]))
+        exact = F.element_at(F.array(*[F.lit(b.exact or b.lo == b.hi) for _, b in flat]), at)
+        share = F.least(F.lit(self.buckets - 1), F.floor((x / 2 - lo) / (hi - lo) * F.lit(self.buckets))).cast("double")
+        return F.when(inside, F.when(exact, x).otherwise(share))
 
     def _refine(self, todo: dict[int, list[_Bracket]]) -> dict[int, list[_Bracket]]:
         """Count the rows of every stretch and bucket in one scan, then narrow each bracket to the wanted bucket."""
         t0 = time.perf_counter()
-        entries = [self._entry(i, bs) for i, bs in todo.items()]
-        hist = (self.src.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
-                .groupBy("e.g", "e.s", "e.key")
+        # one small expression per column: the generated code of a wide table must stay small to be compiled
+        entries = [F.struct(F.lit(i).alias("g"), self._stretch(i, bs).alias("s"), self.xs[i].alias("x")) for i, bs in todo.items()]
+        hist = (self.src.select(F.explode(F.array(*entries)).alias("e")).where("e.x IS NOT NULL")
+                .groupBy(F.col("e.g").alias("g"), F.col("e.s").alias("s"), self._buckets(todo).alias("key"))
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))).collect()
         log.debug("quantiles: histogram pass %.2fs (%d columns, %d groups)", time.perf_counter() - t0, len(todo), len(hist))
         groups: dict[tuple[int, int], list] = {}
