@@ -201,7 +201,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     src = (docs.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
            .withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
     blocks = materialize(copied_blocks(src, text, least), "lines-blocks")
-    joined = src.join(blocks, (F.col("__d") == blocks.d) & (F.col("__t") == blocks.t), "left").drop("__d", "__t", "d", "t")
+    # always a shuffle join: what is cut grows with the documents, so it is never sent to every task
+    joined = src.join(blocks.hint("merge"), (F.col("__d") == blocks.d) & (F.col("__t") == blocks.t), "left").drop("__d", "__t", "d", "t")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
