@@ -200,9 +200,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     # one pair of columns knows a row's document and text
     src = (docs.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
            .withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    blocks = materialize(copied_blocks(src, text, least), "lines-blocks")
+    blocks = materialize(copied_blocks(src, text, least), "lines-blocks").select(
+        F.col("d").alias("__bd"), F.col("t").alias("__bt"), F.col("cuts").alias("__cuts"))
     # always a shuffle join: what is cut grows with the documents, so it is never sent to every task
-    joined = src.join(blocks.hint("merge"), (F.col("__d") == blocks.d) & (F.col("__t") == blocks.t), "left").drop("__d", "__t", "d", "t")
+    joined = src.join(blocks.hint("merge"), (F.col("__d") == F.col("__bd")) & (F.col("__t") == F.col("__bt")), "left") \
+        .drop("__d", "__t", "__bd", "__bt")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
