@@ -180,6 +180,6 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("__th").alias("t"))
     first = materialize(marks.groupBy("root").agg(F.min(rank).alias("r")).select(
         F.col("r.d").alias("__id"), F.col("r.t").alias("__t")), "simhash-kept")
-    kept = src.join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left_semi")
+    kept = src.join(first.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left_semi")
     one = Window.partitionBy(doc_id, "__th").orderBy(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map"))))
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*(F.col(f"`{c}`") for c in names))
