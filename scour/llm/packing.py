@@ -116,7 +116,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...], end_id: int) -> Da
     def run(batches):
         part, filled = TaskContext.get().partitionId(), {}
         for b in batches:
-            ids, width = tokens.ids_batch(path, b.column(b.num_columns - 1).to_pylist())
+            ids, width = tokens.ids_batch(path, b.column(b.num_columns - 1))
             end = np.array([end_id], f"<u{width}").tobytes()
             ids = [x + end for x in ids]
             n = [len(x) // width for x in ids]

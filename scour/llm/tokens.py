@@ -1,15 +1,16 @@
 """Token counts and token ids of whole texts, by a public tokenizer file.
 
-Texts travel as Arrow batches.  A text is split at *safe boundaries*: a single
-space between two non-blank characters, across which neither the pre-tokenizer
-nor the normaliser of the supported files looks.  Every piece keeps its leading
-space, so the ids of a text are the concatenation of the ids of its pieces.
-Web text repeats its pieces, so each worker keeps the encodings of the ones it
-has met in a bounded store and sends only unseen pieces to the tokenizer, many
-at a time in runs of about ``BATCH_CHARS`` characters (batches balanced by bytes;
-a long text simply fills several runs).  Offsets assign the ids of a run back to
-its pieces.  A text with any other white space next to a space (two spaces, a
-space at the start or end, a tab after a space, ...) is encoded whole.
+Texts travel as Arrow batches, worked on in chunks of about ``CHUNK_BYTES`` (batches
+balanced by bytes).  A text is split at *safe boundaries*: a single space between
+two non-blank characters, across which neither the pre-tokenizer nor the
+normaliser of the supported files looks.  Every piece keeps its leading space, so
+the ids of a text are the concatenation of the ids of its pieces.  Arrow splits a
+chunk and numbers its distinct pieces; each worker keeps the encodings of pieces
+it has met in a bounded store and sends only unseen ones to the tokenizer, joined
+into runs of about ``RUN_CHARS`` characters (so a long text fills several runs);
+ids or offsets tell the pieces of a run apart.  A text with any other white space
+next to a space (two spaces, a space at an end, a tab after a space, ...) is
+encoded whole.
 
 Edge cases: a null or empty text has no ids; special strings inside a text get
 the tokenizer file's default treatment; nothing is truncated or padded.
@@ -18,24 +19,26 @@ the tokenizer file's default treatment; nothing is truncated or padded.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Text that is split and numbered at once.
+CHUNK_BYTES = 32 << 20
 #: Characters of unseen pieces that one entry of an encode batch holds.
-BATCH_CHARS = 1 << 12
+RUN_CHARS = 1 << 12
 #: How a byte-level vocabulary writes the space.
 SPACE = "\u0120"
 #: Pieces a worker remembers at most; then the older half makes room.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 1_500_000
+#: White space, Unicode's included.
+BLANK = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space that is not a safe boundary: next to other white space or at an end.
-UNSAFE = re.compile(r"\A | \Z| \s|\s ")
-#: White space other than space and newline; texts without any skip the slower search.
-OTHER_BLANK = re.compile(r"[^\S \n]")
+UNSAFE = rf"\A | \z| {BLANK}|{BLANK} "
 
 
 class Encoder:
@@ -80,7 +83,7 @@ class Encoder:
         for p in unseen:
             run.append(p)
             n += len(p) + 1
-            if n >= BATCH_CHARS:
+            if n >= RUN_CHARS:
                 runs.append(run)
                 run, n = [], 0
         if run:
@@ -108,81 +111,77 @@ def _remember(seen: dict, limit: int) -> None:
             del seen[k]
 
 
-def _unsafe(t: str) -> bool:
-    return (t[:1] == " " or t[-1:] == " " or "  " in t or " \n" in t or "\n " in t
-            or OTHER_BLANK.search(t) is not None and UNSAFE.search(t) is not None)
-
-
-def _split(texts: list[str]) -> tuple[list[list[str] | None], set[str], set[str]]:
-    """Pieces of each text (None: encode whole), the distinct first pieces and the distinct ones."""
-    split = [None if _unsafe(t) else t.split(" ") for t in texts]
-    first, rest = set(), set()
-    for p in split:
-        if p is not None:
-            first.add(p[0])
-            rest.update(p)
-    return split, first, rest
-
-
-def _encode(enc: Encoder, firsts: dict, seen: dict, texts: list[str], values) -> list[list[str] | None]:
-    """Fill both stores with the value of every piece of ``texts``; return the pieces."""
-    _remember(firsts, enc.max_pieces // 8)
-    _remember(seen, enc.max_pieces)
-    split, first, rest = _split(texts)
-    new = [p for p in first if p not in firsts]
-    for p, ids in zip(new, enc.whole(new)):
-        firsts[p] = values(np.array(ids, enc.dtype), np.array([len(ids)]))[0]
-    for run, ids, ends in enc.pieces([p for p in rest if p not in seen]):
-        seen.update(zip(run, values(ids, ends)))
-    return split
-
-
 _STATE: dict = {}
 
 
-def state(path: str, kind: str) -> tuple[Encoder, dict, dict]:
-    """One encoder and its stores per worker process, file and kind of value."""
+def state(path: str, kind: str) -> tuple[Encoder, dict]:
+    """One encoder and its store per worker process, file and kind of value."""
     if (path, kind) not in _STATE:
-        _STATE[path, kind] = (Encoder(path), {}, {})
+        _STATE[path, kind] = (Encoder(path), {})
     return _STATE[path, kind]
 
 
-def chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of about ``chars`` characters together."""
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t)
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of consecutive texts of about CHUNK_BYTES together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
-def count_batch(path: str, texts: list[str]) -> list[int]:
-    enc, firsts, seen = state(path, "count")
-    out: list[int] = []
+def pieces(enc: Encoder, seen: dict, texts: pa.Array, values) -> tuple[list, np.ndarray, np.ndarray]:
+    """Values of the distinct pieces, the piece numbers of all texts in a row, and where each text's begin (and the end).
+
+    The first piece of a text has no space before it and gets a value of its own;
+    a text that is not safe to split is one such piece.
+    """
+    _remember(seen, enc.max_pieces)
+    texts = pc.fill_null(texts, "")
+    unsafe = pc.match_substring_regex(texts, UNSAFE)
+    split = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
+    at = split.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
+    flat = split.flatten()
+    names = pc.list_element(split, 0).to_pylist()
+    whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+    for i, t in zip(whole.tolist(), texts.take(pa.array(whole)).to_pylist()):
+        names[i] = t
+    numbered = flat.dictionary_encode()
+    rest, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+    for run, ids, ends in enc.pieces([p for p in rest if p not in seen]):
+        seen.update(zip(run, values(ids, ends)))
+    first: dict[str, int] = {}
+    number[at[:-1]] = [len(rest) + first.setdefault(t, len(first)) for t in names]
+    own = []
+    for lo in range(0, len(first), 1024):
+        for ids in enc.whole(list(first)[lo:lo + 1024]):
+            own += values(np.array(ids, enc.dtype), np.array([len(ids)]))
+    return [seen[p] for p in rest] + own, number, at
+
+
+def count_batch(path: str, texts: pa.Array) -> np.ndarray:
+    """Tokens of each text."""
+    enc, seen = state(path, "count")
+    out = [np.zeros(0, np.int64)]
     for part in chunks(texts):
-        split = _encode(enc, firsts, seen, part, _lengths)
-        whole = iter(enc.whole([t for t, p in zip(part, split) if p is None]))
-        for p in split:
-            out.append(len(next(whole)) if p is None else firsts[p[0]] + sum(map(seen.__getitem__, p[1:])))
-    return out
+        value, number, at = pieces(enc, seen, part, _lengths)
+        out.append(np.add.reduceat(np.array(value, np.int64)[number], at[:-1]))
+    return np.concatenate(out)
 
 
-def ids_batch(path: str, texts: list[str]) -> tuple[list[bytes], int]:
+def ids_batch(path: str, texts: pa.Array) -> tuple[list[bytes], int]:
     """Little-endian ids of each text, and the bytes of one id."""
-    enc, firsts, seen = state(path, "ids")
+    enc, seen = state(path, "ids")
     out: list[bytes] = []
     for part in chunks(texts):
-        split = _encode(enc, firsts, seen, part, _bytes)
-        whole = iter(enc.whole([t for t, p in zip(part, split) if p is None]))
-        for p in split:
-            if p is None:
-                out.append(np.array(next(whole), enc.dtype).tobytes())
-            else:
-                out.append(firsts[p[0]] + b"".join(map(seen.__getitem__, p[1:])))
+        value, number, at = pieces(enc, seen, part, _bytes)
+        joined = pa.array(value, pa.large_binary()).take(pa.array(number))
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64)[joined.offset:joined.offset + len(joined) + 1][at].tolist()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        out += [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
     return out, enc.dtype.itemsize
 
 
@@ -197,10 +196,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048
 
     def count(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(b.num_columns - 1)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([len(t.encode()) for t in texts], pa.int64()),
-                 pa.array(count_batch(path, texts), pa.int64())],
+                [*b.columns[:-1], pc.cast(pc.binary_length(texts), pa.int64()), pa.array(count_batch(path, texts), pa.int64())],
                 [*keep, "n_bytes", "n_tokens"])
 
     types = dict(src.dtypes)

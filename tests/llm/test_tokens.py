@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -21,17 +22,21 @@ def test_pieces_equal_whole_texts(name):
                    for _ in range(2000)]
     tok = Tokenizer.from_file(P.path(name))
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    assert tokens.count_batch(P.path(name), texts) == [len(w) for w in want]
-    ids, width = tokens.ids_batch(P.path(name), texts)
+    assert tokens.count_batch(P.path(name), pa.array(texts)).tolist() == [len(w) for w in want]
+    ids, width = tokens.ids_batch(P.path(name), pa.array(texts))
     assert [np.frombuffer(x, f"<u{width}").tolist() for x in ids] == want
 
 
-def test_store_stays_bounded():
+def test_store_stays_bounded_and_chunks_are_balanced(monkeypatch):
     enc = tokens.Encoder(P.path("word_bpe_49k.json"), max_pieces=100)
-    firsts, seen = {}, {}
+    seen = {}
     for k in range(20):
-        tokens._encode(enc, firsts, seen, [" ".join(f"w{k}x{i}" for i in range(50))], tokens._lengths)
+        tokens.pieces(enc, seen, pa.array([" ".join(f"w{k}x{i}" for i in range(50))]), tokens._lengths)
         assert len(seen) <= 150
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 10)
+    parts = list(tokens.chunks(pa.array(["aaaa", None, "", "bbbbbb", "c", "d" * 30, "e"])))
+    assert [p.to_pylist() for p in parts] == [["aaaa", None, "", "bbbbbb"], ["c"], ["d" * 30], ["e"]]
+    assert tokens.count_batch(P.path("word_bpe_49k.json"), pa.array([], pa.string())).tolist() == []
 
 
 def test_counts_of_whole_table(spark):
