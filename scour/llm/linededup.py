@@ -1,24 +1,25 @@
 """Line dedup by pairwise alignment: blocks that an earlier document has leave the later one.
 
-A document is a sequence of *lines*: it is cut at line ends and, because web text
-often puts a whole paragraph in one line, after sentence ends.  Lines are hashed,
-and every run of lines that just reaches ``MIN_WORDS`` words is an anchor (the
-shortest run from each line, and the shortest up to each line): single lines are
-common by chance, a run that long is rare unless it was copied.
-
-1. Candidate partners: an anchor's documents are all paired with the first one
-   that holds it (the smallest id), never with each other, so a passage that a
-   third of all documents share makes one pair per document.  Any block of
-   ``MIN_WORDS`` words that an earlier document has contains an anchor, so no overlap
-   is lost and no frequency cap is needed.
-2. Alignment: the anchors of a pair are aligned by patience diff (the longest
-   increasing sequence of positions in both), and touching anchors on one diagonal
-   are merged into blocks.  What crosses the alignment, because it was moved or
-   repeated, is aligned again in further rounds over what is left.
-3. The blocks' lines, with the blanks that follow them, are deleted from the later
+A document is a sequence of words.  A *window* is ``MIN_WORDS`` words in a row; a word
+is deleted exactly if it lies in a window that an earlier document (smaller id) has,
+wherever lines and sentences end.  Windows are hashed, never sampled.
+
+1. Runs: the rarest-looking gram of a window (the least hash of its ``gram_words``
+   word grams) depends on the window alone, so equal windows agree on it.  Neighbouring
+   windows with the same gram make one run, a row with the gram, the hash of the run's
+   words and its place.  Grams that one document alone has are done with.
+2. A run that an earlier document has word for word is copied as a whole.  Of every
+   other run the first holder is left; where a gram has several different runs, the
+   windows of these are compared one by one, with their texts at hand.
+3. Alignment: every hit names the first holder (never all holders, so a passage that a
+   third of all documents share makes one pair per document).  The hits of a pair are
+   aligned by patience diff and touching ones on one diagonal are merged into blocks;
+   what crosses the alignment, because it was moved or repeated, is aligned again in
+   further rounds.  All hits end up in blocks: the result is their union.
+4. The blocks' words, with the blanks that follow them, are deleted from the later
    document.
 
-Edge cases: null and empty texts have no lines and stay as they are; documents
+Edge cases: null and empty texts have no words and stay as they are; documents
 under MIN_WORDS words are never touched; rows that share an id are one document
 (not compared with each other, repeated rows get the same result), rows without
 an id come last and count as one document as well; an empty table gives no rows;
@@ -58,46 +59,140 @@ def lines(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [*starts, len(text)], np.array(words, np.int64), np.array(hashes, np.uint64)
 
 
-def anchors(words: np.ndarray, least: int) -> np.ndarray:
-    """Runs (first, last + 1) of lines that just reach ``least`` words: from each line on, and up to each line."""
-    sums = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    ahead = np.stack([np.arange(n), np.searchsorted(sums, sums[:-1] + least, "left")], 1)
-    back = np.stack([np.searchsorted(sums, sums[1:] - least, "right") - 1, np.arange(1, n + 1)], 1)
-    runs = np.concatenate([ahead[ahead[:, 1] <= n], back[back[:, 0] >= 0]])
-    return np.unique(runs, axis=0)
+WORD = re.compile(r"\S+")
+#: Words hashed in one go, and distinct words a task remembers.
+CHUNK, KNOWN = 1 << 20, 1 << 20
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
 
 
-def anchor_rows(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """(h, d, t, pos, n, first) of every anchor: its hash, its document and the hash of its text, place, length, and
-    whether it is the first of its hash in the text."""
+class Hashes(dict):
+    """Hash of each word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+def gram_words(least: int) -> int:
+    return max(1, 2 * least // 5)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Stretches:
+    """Hashes of any stretches of a word sequence, by prefix sums of a polynomial modulo 2^64."""
+
+    def __init__(self, x: np.ndarray):
+        power = np.full(len(x) + 1, STEP, np.uint64)
+        power[0] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(power)[:-1], dtype=np.uint64)])
+        power[1:] = BACK
+        self.back = np.cumprod(power)
+
+    def at(self, a: np.ndarray, n) -> np.ndarray:
+        """Hashes of the n words from each of the places a."""
+        return mix((self.sums[a + n] - self.sums[a]) * self.back[a] + np.asarray(n).astype(np.uint64))
+
+
+def runs(x: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share their least gram, of documents laid end to end: document, first window's word,
+    windows, gram, hash of all words."""
+    last = len(x) - least + 1
+    if last <= 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    parts, k = Stretches(x), gram_words(least)
+    low, span, want = parts.at(np.arange(len(x) - k + 1), k), 1, least - k + 1
+    while span < want:
+        step = min(span, want - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    inside = doc[:last] == doc[least - 1:]
+    doc = doc[:last]
+    fresh = np.ones(last + 1, bool)
+    fresh[1:-1] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1] | ~inside[1:]
+    begin = np.flatnonzero(fresh[:-1] & inside)
+    n = np.flatnonzero(fresh[1:] & inside) - begin + 1
+    first = np.cumsum(sizes) - sizes
+    return doc[begin], begin - first[doc[begin]], n, low[begin], parts.at(begin, n + least - 1)
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def run_rows(docs: DataFrame, text: str, least: int) -> DataFrame:
+    """(g, h, d, t, pos, n) of every run: its gram, the hash of its words, its document and the hash of its text,
+    place and number of words."""
     src = docs.select("__d", "__t", text)
 
     def run(batches):
+        known = Hashes()
+
+        def flush(b, at, words, sizes):
+            doc, pos, n, gram, whole = runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(sizes), least)
+            at = pa.array(np.array(at, np.int64)[doc])
+            return pa.RecordBatch.from_arrays(
+                [signed(gram), signed(whole), b.column(0).take(at), b.column(1).take(at), pa.array(pos.astype(np.int32)),
+                 pa.array((n + least - 1).astype(np.int32))], ["g", "h", "d", "t", "pos", "n"])
+
         for b in batches:
-            h, row, pos, n, first = [], [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                if not t:
-                    continue
-                _, words, hashes = lines(t)
-                if words.sum() < least:
-                    continue
-                runs, raw, seen = anchors(words, least), hashes.tobytes(), set()
-                for a, z in runs.tolist():
-                    x = xxhash.xxh3_64_intdigest(raw[8 * a:8 * z])
-                    h.append(x)
-                    first.append(x not in seen)
-                    seen.add(x)
-                row += [i] * len(runs)
-                pos.append(runs[:, 0])
-                n.append(runs[:, 1] - runs[:, 0])
-            at = pa.array(row, pa.int64())
-            join = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(h, np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at),
-                 pa.array(join(pos)), pa.array(join(n)), pa.array(first, pa.bool_())], ["h", "d", "t", "pos", "n", "first"])
+            at, words, sizes = [], [], []
+            for i, t in enumerate(b.column(2)):
+                own = (t.as_py() or "").split()
+                if len(own) >= least:
+                    at.append(i)
+                    sizes.append(len(own))
+                    words += own
+                if len(words) >= CHUNK:
+                    yield flush(b, at, words, sizes)
+                    at, words, sizes = [], [], []
+            if at:
+                yield flush(b, at, words, sizes)
+
+    return src.mapInArrow(run, "g long, h long, d long, t long, pos int, n int")
+
+
+def window_rows(docs: DataFrame, text: str, places: DataFrame, least: int) -> DataFrame:
+    """(h, d, t, pos, n) of every window in the runs ``places`` (d, t, pos, n)."""
+    lists = places.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    src = (docs.select("__d", "__t", text).join(lists.hint("merge"), (F.col("__d") == F.col("d")) & (F.col("__t") == F.col("t")))
+           .select("d", "t", F.col(text).alias("text"), "runs"))
+
+    def run(batches):
+        known = Hashes()
+        for b in batches:
+            flat = b.column(3).flatten()
+            pos, n = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            ends = np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            for i, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
+                words = b.column(2)[i].as_py().split()
+                parts = Stretches(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                at = np.unique(np.concatenate([np.arange(a, a + m - least + 1) for a, m in zip(pos[lo:hi].tolist(), n[lo:hi].tolist())]))
+                row = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays(
+                    [signed(parts.at(at, least)), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)),
+                     pa.array(np.full(len(at), least, np.int32))], ["h", "d", "t", "pos", "n"])
+
+    return src.mapInArrow(run, "h long, d long, t long, pos int, n int")
+
+
+def holders(rows: DataFrame, *keep: str) -> DataFrame:
+    """The first document (a) that holds each hash, its place there (other) and the last document (z)."""
+    return (rows.groupBy("h", *keep).agg(F.min(F.struct("d", "t", "pos")).alias("one"), F.max("d").alias("z"))
+            .select("h", *keep, F.col("one.d").alias("a"), F.col("one.pos").alias("other"), "z"))
+
 
-    return src.mapInArrow(run, "h long, d long, t long, pos int, n int, first boolean")
+def later(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Hits: the rows whose hash an earlier document has."""
+    return rows.join(first.where("a < z").select("h", "a", "other"), "h").where("d > a").select("d", "t", "a", "pos", "other", "n")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -156,12 +251,16 @@ def ranges(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def copied_blocks(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """(d, t, cuts): the lines (first, last + 1, flat) to delete from each document that repeats an earlier one."""
-    rows = materialize(anchor_rows(docs, text, least), "lines-anchors")
-    shared = materialize(rows.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z"),
-                                               F.min_by("pos", F.when(F.col("first"), F.col("d"))).alias("other"))
-                         .where("a < z").select("h", "a", "other"), "lines-shared")
-    hits = rows.join(shared, "h").where("d > a").select("d", "t", "a", "pos", "other", "n")
+    """(d, t, cuts): the words (first, last + 1, flat) to delete from each document that repeats an earlier one."""
+    rows = materialize(run_rows(docs, text, least), "lines-runs")
+    shared = materialize(rows.groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("g"), "lines-shared")
+    rows = materialize(rows.join(shared, "g"), "lines-candidates")
+    first = materialize(holders(rows, "g"), "lines-holders")
+    # grams whose runs differ: only there a window can be shared without its run
+    mixed = first.groupBy("g").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("g")
+    places = rows.join(first.join(mixed, "g").select("h", "a"), "h").where("d = a").select("d", "t", "pos", "n")
+    windows = materialize(window_rows(docs, text, places, least), "lines-windows")
+    hits = later(rows, first).unionByName(later(windows, holders(windows)))
     per_doc = hits.groupBy("d", "t").agg(F.collect_list(F.struct("a", "pos", "other", "n")).alias("hits"))
 
     def run(batches):
@@ -182,11 +281,11 @@ def copied_blocks(docs: DataFrame, text: str, least: int) -> DataFrame:
 
 
 def cut(text: str, cuts: list[int]) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the lines cut, the deleted spans in code points, and the words deleted."""
-    starts, words, _ = lines(text)
+    """The text without the words cut, the deleted spans in code points, and the words deleted."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
     starts[0] = 0
     spans = [(starts[a], starts[z]) for a, z in zip(cuts[::2], cuts[1::2])]
-    gone = sum(int(words[a:z].sum()) for a, z in zip(cuts[::2], cuts[1::2]))
+    gone = sum(z - a for a, z in zip(cuts[::2], cuts[1::2]))
     kept, last = [], 0
     for a, z in spans:
         kept.append(text[last:a])

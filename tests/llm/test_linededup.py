@@ -110,3 +110,61 @@ def test_whole_table(spark):
     rows = queries.op2_line_alignment(spark, sf).collect()
     assert len(rows) == len(docs) and {r.doc_id: r.kept_md5 for r in rows} == want
     assert sum(r.removed_words > 0 for r in rows) > 20
+
+
+def brute_words(docs, least=20):
+    """docs: {id: text}; each text without the words that lie in ``least`` words in a row some earlier document has."""
+    first, split, out = {}, {d: (t or "").split() for d, t in docs.items()}, {}
+    for d in sorted(docs):
+        own, gone = [tuple(split[d][i:i + least]) for i in range(len(split[d]) - least + 1)], set()
+        for i, w in enumerate(own):
+            if first.setdefault(w, d) < d:
+                gone.update(range(i, i + least))
+        out[d] = [w for i, w in enumerate(split[d]) if i not in gone]
+    return out
+
+
+def tangled(seed):
+    """Passages cut anywhere, with words changed, in documents with few sentence ends."""
+    rng = random.Random(seed)
+    passages, docs = [words(rng, rng.randint(15, 120)).split() for _ in range(8)], make(seed)
+    for d in range(1000, 1080):
+        text = words(rng, rng.randint(0, 30)).split()
+        for p in rng.sample(passages, rng.choice([0, 1, 2, 3])):
+            a = rng.randint(0, len(p) // 2)
+            part = p[a:rng.randint(a, len(p))]
+            if part and rng.random() < 0.5:
+                part[rng.randrange(len(part))] = "changed"
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        docs[d] = "".join(w + rng.choice([" "] * 9 + ["! ", "\n", ".\n", "  "]) for w in text)
+    return docs
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_deletes_every_shared_window_of_words(spark, seed):
+    docs = tangled(seed)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    rows = L.dedup_lines(df).collect()
+    assert {r.doc_id: (r.text or "").split() for r in rows} == brute_words(docs)
+    for r in rows:
+        spans = [tuple(map(int, s.split(":"))) for s in r["__spans"].split(",") if s]
+        old = docs[r.doc_id] or ""
+        assert sum(len(old[a:z].split()) for a, z in spans) == r["__removed_words"]
+        assert len(old) - len(r.text or "") == r["__removed_chars"] == sum(z - a for a, z in spans)
+
+
+def test_passage_from_mid_sentence_to_mid_sentence_goes(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    df = spark.createDataFrame([(1, f"It says {passage} and goes on."), (2, f"Who said {passage} here?"),
+                                (3, f"Only {passage[:-4]} is short.")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert out == {1: f"It says {passage} and goes on.", 2: "Who said here?", 3: f"Only {passage[:-4]} is short."}
+
+
+def test_every_shared_window_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = brute_words(docs)
+    got = {r.doc_id: r.removed_words for r in queries.op2_line_alignment(spark, sf).collect()}
+    assert got == {d: len((docs[d] or "").split()) - len(w) for d, w in want.items()}
