@@ -12,10 +12,10 @@ wherever lines and sentences end.  Windows are hashed, never sampled.
    other run the first holder is left; where a gram has several different runs, the
    windows of these are compared one by one, with their texts at hand.
 3. Alignment: every hit names the first holder (never all holders, so a passage that a
-   third of all documents share makes one pair per document).  The hits of a pair are
-   aligned by patience diff and touching ones on one diagonal are merged into blocks;
-   what crosses the alignment, because it was moved or repeated, is aligned again in
-   further rounds.  All hits end up in blocks: the result is their union.
+   third of all documents share makes one pair per document).  The hits of a pair that
+   touch on one diagonal are merged and aligned by patience diff; what crosses the
+   alignment, because it was moved or repeated, counts as it is.  All hits end up in
+   blocks: the result is their union.
 4. The blocks' words, with the blanks that follow them, are deleted from the later
    document.
 
@@ -214,10 +214,24 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
+def merge(doc: np.ndarray, a: np.ndarray, pos: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The hits with those that touch on one diagonal of a pair made one, by document and partner."""
+    order = np.lexsort((pos, other - pos, a, doc))
+    doc, a, pos, other, n = (x[order].astype(np.int64) for x in (doc, a, pos, other, n))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (np.diff(doc) != 0) | (np.diff(a) != 0) | (np.diff(other - pos) != 0)
+    group = np.cumsum(fresh) << 32
+    reach = np.maximum.accumulate(group + pos + n) - group
+    fresh[1:] |= pos[1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    stop = reach[np.append(at[1:], len(doc)) - 1] if len(at) else reach
+    return doc[at], a[at], pos[at], other[at], stop - pos[at]
+
+
 def align(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Common blocks (own first, own last + 1, other first) from anchors (own, other, length) of one pair."""
     left, blocks = sorted(set(found)), []
-    while left:
+    if left:
         # own positions must rise as well: of several runs at one place the longest speaks
         best: dict[int, tuple[int, int, int]] = {}
         for p in left:
@@ -235,7 +249,8 @@ def align(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         covered = np.zeros(max(a + n for a, _, n in left) + 1, bool)
         for a, z, _ in merged:
             covered[a:z] = True
-        left = [(a, y, n) for a, y, n in left if not covered[a:a + n].all()]
+        # what crosses the alignment, because it was moved or repeated, counts as it is
+        blocks += [(a, a + n, y) for a, y, n in left if not covered[a:a + n].all()]
     return blocks
 
 
@@ -265,16 +280,14 @@ def copied_blocks(docs: DataFrame, text: str, least: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cuts = []
-            flat = b.column(2).flatten()
-            a, pos, other, n = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
-            ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                own: list[tuple[int, int]] = []
-                for partner in np.unique(a[lo:hi]).tolist():
-                    at = lo + np.flatnonzero(a[lo:hi] == partner)
-                    own += [x[:2] for x in align(list(zip(pos[at].tolist(), other[at].tolist(), n[at].tolist())))]
-                cuts.append([x for r in ranges(own) for x in r])
+            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            fields = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
+            doc, a, pos, other, n = merge(np.repeat(np.arange(len(sizes)), sizes), *fields)
+            own: list[list[tuple[int, int]]] = [[] for _ in sizes]
+            at = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(a) != 0))) if len(doc) else doc
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(doc)]):
+                own[doc[lo]] += [x[:2] for x in align(list(zip(pos[lo:hi].tolist(), other[lo:hi].tolist(), n[lo:hi].tolist())))]
+            cuts = [[x for r in ranges(o) for x in r] for o in own]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.int32()))], ["d", "t", "cuts"])
 
     return per_doc.mapInArrow(run, "d long, t long, cuts array<int>")
