@@ -14,8 +14,8 @@ up and only sums travel.
 Smoothing is Witten-Bell: order ``n`` gives way to order ``n - 1`` by the number of
 distinct characters seen in its context, down to the uniform distribution.
 
-Edge cases: a null url or one without "://" has empty host and path and is judged
-by the model as the empty text; repeated rows are judged (and counted) each; with
+Edge cases: a null url or one without "://" has empty host and path, so no rule
+fits, and is judged by the model as its text (null as the empty one); repeated rows are judged (and counted) each; with
 no accepted or no rejected URL to learn from there is nothing to tell apart and
 the verdict is ``allow``; an empty table gives no rows.
 """
@@ -174,18 +174,17 @@ def train(seen: DataFrame) -> Model | None:
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and ratio (null where a rule decides) of every row."""
-    src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__url"))
-    parts = src.select("page_id", host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
+    src = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("text"))
+    parts = src.select("page_id", "text", host(F.col("text")).alias("host"), path(F.col("text")).alias("path"))
     told = materialize(parts.withColumn("rule", rule(F.col("host"), F.col("path"), rules)), "url-rules")
     by_rule = F.lit(None).cast("string")
     for r, v in rules.items():
         by_rule = F.when(F.col("rule") == r, F.lit(v)).otherwise(by_rule)
-    text = F.concat("host", "path").alias("text")
-    model = train(told.where("rule IS NOT NULL").select(by_rule.alias("kind"), text))
+    model = train(told.where("rule IS NOT NULL").select(by_rule.alias("kind"), "text"))
     if model is None:
-        return told.withColumn("verdict", F.coalesce(by_rule, F.lit("allow"))).withColumn("ratio", F.lit(None).cast("double"))
+        return told.drop("text").withColumn("verdict", F.coalesce(by_rule, F.lit("allow"))).withColumn("ratio", F.lit(None).cast("double"))
     keep = ["page_id", "host", "path", "rule"]
-    scored = score(told.select(*keep, text), model, keep, "text")
+    scored = score(told.select(*keep, "text"), model, keep, "text")
     ratio = F.when(F.col("rule").isNull(), F.col("ratio"))
     return scored.select(*keep, F.coalesce(by_rule, F.when(F.col("ratio") >= model.threshold, "allow").otherwise("block")).alias("verdict"),
                          ratio.alias("ratio"))

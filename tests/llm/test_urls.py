@@ -107,3 +107,11 @@ def test_whole_table(spark):
     best = min((a < t).mean() + (b >= t).mean() for t in np.concatenate([a, b]))
     if lows and highs:
         assert (a < cut).mean() + (b >= cut).mean() <= best + 0.05
+
+
+def test_query_string_and_urls_without_scheme_reach_the_model(spark):
+    seen = [f"https://a{i}.example.org/{k}/1{i}?from={v}" for i in range(20) for k, v in (("en", "xxx"), ("de", "yyy"))]
+    ask = ["http://h.net/?from=xxx", "http://h.net/?from=yyy", "no scheme", "other text"]
+    df = spark.createDataFrame(list(enumerate(seen + ask)), "page_id long, url string")
+    r = [x.ratio for x in sorted(urls.judge(df).collect(), key=lambda x: x.page_id)[len(seen):]]
+    assert r[0] < r[1] and r[2] != r[3]
