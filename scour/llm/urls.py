@@ -5,11 +5,11 @@ characters; a URL that no rule fits is judged by the difference of its
 log-likelihoods under the two, divided by its length, against a threshold
 calibrated on the training URLs themselves.
 
-Characters are folded to ``SYMBOLS`` classes (letters to lower case, digits to one
-class), so a model of order ``ORDER`` has at most ``SYMBOLS ** (ORDER + 1)`` counts
-whatever the corpus: that is the proven bound of what is gathered and sent to
-the tasks.  Counts of all training URLs are summed: each task adds its own URLs
-up and only sums travel.
+The models read the whole url text as it stands, character by character; host and
+path are for the rules alone.  Contexts have 0 to ``ORDER`` characters.  The counts of
+(context, next character) are tables that grow with the URLs: they are summed, joined
+to the URLs' own windows of ``ORDER + 1`` characters and never gathered.  Only the
+histogram of ratios (``BINS``) reaches the driver.
 
 Smoothing is Witten-Bell: order ``n`` gives way to order ``n - 1`` by the number of
 distinct characters seen in its context, down to the uniform distribution.
@@ -22,8 +22,6 @@ the verdict is ``allow``; an empty table gives no rows.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,21 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Character classes: 26 letters, digit, '/', '.', '-', anything else, start/end of text.
-SYMBOLS, EDGE, OTHER = 32, 31, 30
-ORDER = 3
+ORDER = 12
+#: Characters a text can go on with: any code point or the end mark.
+SYMBOLS = 0x110000 + 1
+START, END = "\x02", "\x03"
 #: Score bins of the calibration.
 BINS = 4000
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
-CLASS = np.full(256, OTHER, np.uint8)
-CLASS[ord("a"):ord("z") + 1] = np.arange(26)
-CLASS[ord("A"):ord("Z") + 1] = np.arange(26)
-CLASS[ord("0"):ord("9") + 1] = 26
-for _c, _n in (("/", 27), (".", 28), ("-", 29)):
-    CLASS[ord(_c)] = _n
-
-
 def host(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1),
                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,93 +56,63 @@ def rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def classes(text: str) -> np.ndarray:
-    """Edge marks (ORDER in front, one behind) around the character classes."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    out = np.full(len(raw) + ORDER + 1, EDGE, np.int64)
-    out[ORDER:-1] = CLASS[raw]
-    return out
-
-
-def codes(x: np.ndarray) -> np.ndarray:
-    """Each character with the ORDER before it, as one number."""
-    out = np.zeros(len(x) - ORDER, np.int64)
-    for k in range(ORDER + 1):
-        out = out * SYMBOLS + x[k:len(x) - ORDER + k]
-    return out
-
-
-def counts(seen: DataFrame) -> DataFrame:
-    """(kind, code, n) over rows (kind, text): character counts in context, summed over all rows."""
+def windows(rows: DataFrame) -> DataFrame:
+    """(row, kind, w) over rows (row, kind, text): each character, the end mark included, behind the ORDER before it."""
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            kinds = np.array(b.column(0).to_pylist())
-            texts = np.array(b.column(1).to_pylist(), object)
-            for kind in np.unique(kinds):
-                part = [codes(classes(t)) for t in texts[kinds == kind]]
-                add = np.bincount(np.concatenate(part), minlength=SYMBOLS ** (ORDER + 1))
-                sums[kind] = sums[kind] + add if kind in sums else add
-        for kind, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([str(kind)] * len(at)), pa.array(at), pa.array(n[at])], ["kind", "code", "n"])
-
-    return seen.mapInArrow(run, "kind string, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-class Markov(NamedTuple):
-    """log P(character | ORDER before it), by code."""
-
-    logp: np.ndarray
-
-    @classmethod
-    def fit(cls, code: np.ndarray, n: np.ndarray) -> Markov:
-        full = np.zeros(SYMBOLS ** (ORDER + 1))
-        full[code] = n
-        p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        for order in range(ORDER + 1):
-            # counts of the last `order` characters and the next, summed over what stands before
-            c = full.reshape(-1, SYMBOLS ** (order + 1)).sum(0).reshape(-1, SYMBOLS)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            lower = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if order else p.reshape(1, -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p = np.where(total > 0, (c + kinds * lower) / (total + kinds), lower)
-        return cls(np.log(p).ravel())
-
-
-class Model(NamedTuple):
-    accept: Markov
-    reject: Markov
-    threshold: float
-
-    def ratios(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood difference per character, the end mark included."""
-        if not texts:
-            return np.zeros(0)
-        part = [codes(classes(t)) for t in texts]
-        n = np.array([len(p) for p in part])
-        code = np.concatenate(part)
-        diff = self.accept.logp[code] - self.reject.logp[code]
-        return np.add.reduceat(diff, np.cumsum(n) - n) / n
-
-
-def score(df: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
-    src = df.select(*keep, text)
-    types = dict(src.dtypes)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.ratios(b.column(b.num_columns - 1).to_pylist()))], [*keep, "ratio"])
-
-    return src.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "ratio double"]))
-
-
-def calibrate(seen: DataFrame, model: Model) -> float:
-    """The threshold with the least sum of the two error rates over all training URLs, by a histogram of ratios."""
-    top = float(np.abs(model.accept.logp - model.reject.logp).max()) or 1.0
-    bins = (score(seen, model, ["kind"], "text")
-            .withColumn("bin", F.floor((F.col("ratio") / top + 1) * (BINS / 2)).cast("int"))
+            at, w = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                x = START * ORDER + t + END
+                own = [x[k:k + ORDER + 1] for k in range(len(t) + 1)]
+                at += [i] * len(own)
+                w += own
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(w, pa.string())], ["row", "kind", "w"])
+
+    return rows.mapInArrow(run, "row long, kind string, w string")
+
+
+def grams(seen: DataFrame) -> DataFrame:
+    """Each window's endings g of 1 to ORDER + 1 characters and their contexts c, all but the last character."""
+    return (seen.select("*", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"))
+            .withColumn("g", F.expr(f"substring(w, {ORDER + 1} - k)")).withColumn("c", F.expr("left(g, k)")))
+
+
+def evidence(seen: DataFrame) -> DataFrame:
+    """(w, diff) of windows (w, allow, block: times seen): log-likelihood difference of the last character."""
+    parts = grams(seen)
+    counts = materialize(parts.where("allow + block > 0").groupBy("g").agg(
+        F.sum("allow").alias("na"), F.sum("block").alias("nb"), F.first("c").alias("c")), "url-counts")
+    contexts = materialize(counts.groupBy("c").agg(
+        F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.count_if(F.col("na") > 0).alias("ka"),
+        F.count_if(F.col("nb") > 0).alias("kb")), "url-contexts")
+    # shuffle joins at every size: the counts grow with the URLs
+    terms = (parts.select("w", "k", "g", "c").join(counts.drop("c").hint("merge"), "g", "left").join(contexts.hint("merge"), "c", "left")
+             .na.fill(0, ["na", "nb", "ta", "tb", "ka", "kb"])
+             .groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "na", "nb", "ta", "tb", "ka", "kb"))).alias("terms")))
+
+    def logp(n: str, total: str, kinds: str) -> Column:
+        return F.log(F.aggregate("terms", F.lit(1.0 / SYMBOLS), lambda p, x: F.when(
+            x[total] > 0, (x[n] + x[kinds] * p) / (x[total] + x[kinds])).otherwise(p)))
+
+    return terms.select("w", (logp("na", "ta", "ka") - logp("nb", "tb", "kb")).alias("diff"))
+
+
+def ratios(rows: DataFrame) -> DataFrame:
+    """(row, ratio) over rows (row, kind: allow, block or null, text): log-likelihood difference per character, the
+    end mark included, under the models of the rows of both kinds."""
+    at = materialize(windows(rows), "url-windows")
+    seen = materialize(at.groupBy("w").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("allow", "block"))), "url-seen")
+    worth = materialize(evidence(seen), "url-evidence")
+    return at.join(worth.hint("merge"), "w").groupBy("row").agg(F.avg("diff").alias("ratio"))
+
+
+def calibrate(scored: DataFrame) -> float:
+    """The threshold with the least sum of the two error rates over all training URLs (kind, ratio), by a histogram of ratios."""
+    scored = scored.where("kind IS NOT NULL")
+    top = scored.agg(F.max(F.abs("ratio"))).first()[0] or 1.0
+    bins = (scored.withColumn("bin", F.floor((F.col("ratio") / top + 1) * (BINS / 2)).cast("int"))
             .groupBy("kind", "bin").count().collect())
     hist = {"allow": np.zeros(BINS + 2), "block": np.zeros(BINS + 2)}
     for r in bins:
@@ -162,29 +123,19 @@ def calibrate(seen: DataFrame, model: Model) -> float:
     return top * (edge / (BINS / 2) - 1)
 
 
-def train(seen: DataFrame) -> Model | None:
-    """Both models and the threshold from (kind: allow or block, text); None if a kind is missing."""
-    rows = counts(seen).toPandas()
-    fit = {k: Markov.fit(g["code"].to_numpy(), g["n"].to_numpy()) for k, g in rows.groupby("kind")}
-    if len(fit) < 2:
-        return None
-    model = Model(fit["allow"], fit["block"], 0.0)
-    return model._replace(threshold=calibrate(seen, model))
-
-
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and ratio (null where a rule decides) of every row."""
-    src = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("text"))
-    parts = src.select("page_id", "text", host(F.col("text")).alias("host"), path(F.col("text")).alias("path"))
-    told = materialize(parts.withColumn("rule", rule(F.col("host"), F.col("path"), rules)), "url-rules")
+    src = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    parts = src.select("*", host(F.col("text")).alias("host"), path(F.col("text")).alias("path"))
+    ruled = parts.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for r, v in rules.items():
         by_rule = F.when(F.col("rule") == r, F.lit(v)).otherwise(by_rule)
-    model = train(told.where("rule IS NOT NULL").select(by_rule.alias("kind"), "text"))
-    if model is None:
-        return told.drop("text").withColumn("verdict", F.coalesce(by_rule, F.lit("allow"))).withColumn("ratio", F.lit(None).cast("double"))
-    keep = ["page_id", "host", "path", "rule"]
-    scored = score(told.select(*keep, "text"), model, keep, "text")
-    ratio = F.when(F.col("rule").isNull(), F.col("ratio"))
-    return scored.select(*keep, F.coalesce(by_rule, F.when(F.col("ratio") >= model.threshold, "allow").otherwise("block")).alias("verdict"),
-                         ratio.alias("ratio"))
+    told = materialize(ruled.withColumn("kind", by_rule), "url-rules")
+    keep = [F.col(c) for c in ("page_id", "host", "path", "rule")]
+    if told.where("kind IS NOT NULL").select("kind").distinct().count() < 2:
+        return told.select(*keep, F.coalesce("kind", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("ratio"))
+    scored = materialize(told.join(ratios(told.select("row", "kind", "text")), "row"), "url-scored")
+    verdict = F.when(F.col("ratio") >= calibrate(scored), "allow").otherwise("block")
+    return scored.select(*keep, F.coalesce("kind", verdict).alias("verdict"), F.when(F.col("rule").isNull(), F.col("ratio")).alias("ratio"))

@@ -115,3 +115,61 @@ def test_query_string_and_urls_without_scheme_reach_the_model(spark):
     df = spark.createDataFrame(list(enumerate(seen + ask)), "page_id long, url string")
     r = [x.ratio for x in sorted(urls.judge(df).collect(), key=lambda x: x.page_id)[len(seen):]]
     assert r[0] < r[1] and r[2] != r[3]
+
+
+def brute_ratios(told, texts):
+    """Witten-Bell over whole, unfolded texts by dictionaries; told: {kind: texts}."""
+    def p(seen):
+        n, ctx = Counter(), {}
+        for t in seen:
+            x = urls.START * urls.ORDER + t + urls.END
+            for i in range(urls.ORDER, len(x)):
+                for k in range(urls.ORDER + 1):
+                    n[x[i - k:i + 1]] += 1
+        for g, v in n.items():
+            total, kinds = ctx.get(g[:-1], (0, 0))
+            ctx[g[:-1]] = total + v, kinds + 1
+
+        def logp(t):
+            x, out = urls.START * urls.ORDER + t + urls.END, 0.0
+            for i in range(urls.ORDER, len(x)):
+                q = 1 / urls.SYMBOLS
+                for k in range(urls.ORDER + 1):
+                    total, kinds = ctx.get(x[i - k:i], (0, 0))
+                    if total:
+                        q = (n[x[i - k:i + 1]] + kinds * q) / (total + kinds)
+                out += math.log(q)
+            return out
+        return logp
+
+    a, b = p(told["allow"]), p(told["block"])
+    return {t: (a(t) - b(t)) / (len(t) + 1) for t in texts}
+
+
+def test_models_read_whole_unfolded_urls(spark):
+    seen = [f"https://a{i}.example.org/en/{d}{i}?from={'x' if d == 1 else 'y'}" for i in range(30) for d in (1, 2, 9)]
+    ask = ["http://h.example.net/en/1651", "http://h.example.net/en/2651", "http://h.example.net/q?from=x", "http://h.example.net/q?from=y",
+           "no scheme é", "other text", None, ""]
+    df = spark.createDataFrame(list(enumerate(seen + ask)), "page_id long, url string").repartition(4)
+    rows = {r.page_id: r for r in urls.judge(df).collect()}
+    got = [rows[len(seen) + i].ratio for i in range(len(ask))]
+    told = {"allow": [], "block": []}
+    for u in seen:
+        told[urls.RULES[rule(*parts(u))]].append(u)
+    want = brute_ratios(told, [u or "" for u in ask])
+    for u, r in zip(ask, got):
+        assert math.isclose(r, want[u or ""], rel_tol=1e-9, abs_tol=1e-12), u
+    assert got[0] < got[1] and got[2] < got[3] and got[4] != got[5] and got[6] == got[7]
+
+
+def test_ratios_of_the_whole_table_are_those_of_whole_urls(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    told, free = {"allow": [], "block": []}, []
+    for u in pages.values():
+        r = rule(*parts(u))
+        (told[urls.RULES[r]] if r else free).append(u)
+    want, rows = brute_ratios(told, free), queries.op7_url_markov(spark, sf).collect()
+    assert len(rows) == len(pages) and {r.page_id for r in rows if r.rule is None} == {i for i, u in pages.items() if u in want}
+    for r in rows:
+        assert r.ratio is None if r.rule else math.isclose(r.ratio, want[pages[r.page_id]], rel_tol=1e-9, abs_tol=1e-12)
