@@ -11,6 +11,8 @@ from ..session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table (bytes) that is broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: A key is heavy from one row in this many on, so a table has at most this many heavy keys.
+HEAVY = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,32 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast for a written table whose counted size allows it, else leave a plain join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def measured(df: DataFrame) -> int:
+    """Bytes of a written table's rows: eight and a bit for each column, and the length of each text."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    flat = 16 * (len(df.columns) + 1)
+    size = sum(texts, F.lit(flat)).cast("long")
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast for a written table of flat columns whose measured size allows it, else leave a plain join."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with a written ``table`` of one row a key, however many rows a key has.
+
+    ``weight`` is a column of ``table``: the rows of its key.  Keys that hold more than one row in ``HEAVY`` are at
+    most ``HEAVY``, so their table rows are broadcast and their rows are not shuffled at all; the others are joined
+    by a shuffle.  Null keys match nothing.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    bar = max(total // HEAVY, 1)
+    heavy = F.broadcast(table.where(F.col(weight) > bar))
+    known = rows.join(heavy.select(F.col(key), F.lit(True).alias("__heavy")), key, "left")
+    few = known.where("__heavy IS NULL").drop("__heavy").join(table.where(F.col(weight) <= bar).hint("merge"), key)
+    return few.unionByName(rows.join(heavy, key))
 
 
 def word_count(text: Column) -> Column:

@@ -86,10 +86,10 @@ def plan(table: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     ends = bins.withColumn("end", F.sum("n").over(run))
     same = F.col("e.source").eqNullSafe(F.col("a.source"))
     # the bin in which the budget runs out, and what is left of it there
-    edge = materialize(ends.alias("e").join(small(aim, 64).alias("a"), same)
+    edge = materialize(ends.alias("e").join(small(aim).alias("a"), same)
                        .where("e.end - e.n < a.budget AND e.end >= a.budget")
                        .select("e.source", "e.__bin", (F.col("a.budget") - F.col("e.end") + F.col("e.n")).alias("left")), "mix-edges")
-    ties = (table.alias("e").join(small(edge, 64).alias("a"), same & (F.col("e.__bin") == F.col("a.__bin")))
+    ties = (table.alias("e").join(small(edge).alias("a"), same & (F.col("e.__bin") == F.col("a.__bin")))
             .groupBy("e.source", "__key", "__id").agg(F.sum("__size").alias("n"), F.count("*").alias("rows"), F.first("left").alias("left")))
     rank = Window.partitionBy("source").orderBy("__key", F.col("__id").asc_nulls_first())
     last = (ties.withColumn("end", F.sum("n").over(rank)).where("end - n < left AND end >= left")
@@ -101,7 +101,7 @@ def plan(table: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
 
 def taken(table: DataFrame, sources: DataFrame, whole: bool) -> DataFrame:
     """``table`` with source_size, target, copies (whole ones) and part (words of one more)."""
-    t, s = table.alias("t"), small(sources, 128).alias("s")
+    t, s = table.alias("t"), small(sources).alias("s")
     out = t.join(s, F.col("t.source").eqNullSafe(F.col("s.source")))
     before = (F.col("s.budget") > 0) & ((F.col("__key") < F.col("last_key")) | (F.col("__key") == F.col("last_key")) & (
         F.coalesce(F.col("__id") < F.col("last_id"), F.col("__id").isNull() & F.col("last_id").isNotNull())))

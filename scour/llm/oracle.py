@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import codes, mixing, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,4 +45,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR {' OR '.join(breaks(r) for r in rules.RULES)}) AS kept FROM m"""
 
 
-ORACLE = {"op5_quality_rules": _rules(), "op8_mix_sources": mixing.SQL}
+ORACLE = {"op5_quality_rules": _rules(), "op8_mix_sources": mixing.SQL, "op11_vector_codes": codes.sql()}

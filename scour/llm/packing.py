@@ -163,7 +163,7 @@ def pack(docs: DataFrame, path: str, weights: dict | None = None, window: int =
         raise ValueError("weights must be positive")
     bases = parts.select("source", "__part", (F.sum("n").over(
         Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__base"))
-    bases = small(materialize(bases.na.fill(0, ["__base"]), "pack-bases"), 64)
+    bases = small(materialize(bases.na.fill(0, ["__base"]), "pack-bases"))
     index = {s: i for i, (s, _) in enumerate(queues)}
     lengths, share = np.array([n for _, n in queues], np.int64), np.array(share, np.float64)
     placed = (enc.alias("e").join(bases.alias("b"), F.col("e.source").eqNullSafe(F.col("b.source"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, nearest, packing, pii, quality, rules, simhash, tokens, urls
+from . import codes, linededup, mixing, nearest, packing, pii, quality, rules, simhash, tokens, urls
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -59,6 +59,10 @@ def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_deobfuscated, op2_line_alignment, op3_pack_mixture, op4_pu_quality, op5_quality_rules, op6_simhash_pigeonring,
-    op7_url_markov, op8_mix_sources, op9_token_counts, op10_block_nearest)}
+    op7_url_markov, op8_mix_sources, op9_token_counts, op10_block_nearest, op11_vector_codes)}
