@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, conversations, linededup, mixing, nearest, packing, pii, quality, rules, simhash, tokens, urls
+from . import codes, conversations, jaccard, linededup, mixing, nearest, packing, pii, quality, rules, simhash, tokens, urls
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -67,7 +67,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_jaccard_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_deobfuscated, op2_line_alignment, op3_pack_mixture, op4_pu_quality, op5_quality_rules, op6_simhash_pigeonring,
     op7_url_markov, op8_mix_sources, op9_token_counts, op10_block_nearest, op11_vector_codes,
-    op12_conversation_repair)}
+    op12_conversation_repair, op13_jaccard_metric)}
