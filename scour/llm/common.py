@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 #: A key is heavy from one row in this many on, so a table has at most this many heavy keys.
 HEAVY = 1024
+#: Keys with so few rows are never heavy.
+FEW = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,19 +45,32 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with a written ``table`` of one row a key, however many rows a key has.
 
-    ``weight`` is a column of ``table``: the rows of its key.  Keys that hold more than one row in ``HEAVY`` are at
+    ``weight`` is a column of ``table``: the rows of its key, at least.  Keys that hold more than one row in ``HEAVY`` are at
     most ``HEAVY``, so their table rows are broadcast and their rows are not shuffled at all; the others are joined
-    by a shuffle.  Null keys match nothing.
+    by a shuffle.  Without heavy keys that is the whole join.  ``total``: how many ``rows`` there are, where that is more
+    than the weights' sum (rows without a match).  Null keys match nothing.
     """
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    bar = max(total // HEAVY, 1)
-    heavy = F.broadcast(table.where(F.col(weight) > bar))
-    known = rows.join(heavy.select(F.col(key), F.lit(True).alias("__heavy")), key, "left")
-    few = known.where("__heavy IS NULL").drop("__heavy").join(table.where(F.col(weight) <= bar).hint("merge"), key)
-    return few.unionByName(rows.join(heavy, key))
+    total = max(total or 0, table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
+    bar = max(total // HEAVY, FEW)
+    heavy, light = table.where(F.col(weight) > bar), table.where(F.col(weight) <= bar)
+    if not heavy.limit(1).count():
+        return rows.join(table.hint("merge"), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rest.join(light.hint("merge"), key).unionByName(rows.join(F.broadcast(heavy), key))
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many "_" before it as it takes to clash with none of ``taken`` (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n = "_" + n
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def word_count(text: Column) -> Column:

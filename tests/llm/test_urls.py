@@ -3,7 +3,8 @@
 import math
 from collections import Counter
 
-import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from scour.llm import queries, urls
 
@@ -48,67 +49,6 @@ def test_no_training_data_allows(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def model(texts):
-    """Witten-Bell by dictionaries."""
-    n = [Counter() for _ in range(urls.ORDER + 1)]
-    for t in texts:
-        x = urls.classes(t).tolist()
-        for i in range(urls.ORDER, len(x)):
-            for k in range(urls.ORDER + 1):
-                n[k][tuple(x[i - k:i + 1])] += 1
-
-    def p(context, c):
-        out = 1 / urls.SYMBOLS
-        for k in range(urls.ORDER + 1):
-            ctx = context[len(context) - k:]
-            seen = [v for g, v in n[k].items() if g[:-1] == ctx]
-            if seen:
-                out = (n[k][(*ctx, c)] + len(seen) * out) / (sum(seen) + len(seen))
-        return out
-    return p
-
-
-def test_markov_model():
-    texts = ["a.org/en/12", "b.org/en/9", "c.net", ""]
-    code = np.concatenate([urls.codes(urls.classes(t)) for t in texts])
-    at, n = np.unique(code, return_counts=True)
-    fit, p = urls.Markov.fit(at, n), model(texts)
-    for t in ("a.org/en/77", "zz", "", "é"):
-        x = urls.classes(t).tolist()
-        want = sum(math.log(p(tuple(x[i - 3:i]), x[i])) for i in range(3, len(x)))
-        assert math.isclose(fit.logp[urls.codes(urls.classes(t))].sum(), want, rel_tol=1e-9)
-
-
-def test_whole_table(spark):
-    sf = "/root/testdata/sf0.01"
-    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    rows = queries.op7_url_markov(spark, sf).collect()
-    told = {"allow": [], "block": []}
-    for u in pages.values():
-        h, p = parts(u)
-        if rule(h, p):
-            told[urls.RULES[rule(h, p)]].append(h + p)
-    fit = {k: urls.Markov.fit(*np.unique(np.concatenate([urls.codes(urls.classes(t)) for t in v]), return_counts=True)) for k, v in told.items()}
-    m = urls.Model(fit["allow"], fit["block"], 0.0)
-    assert len(rows) == len(pages)
-    lows, highs = [], []
-    for r in rows:
-        h, p = parts(pages[r.page_id])
-        assert (r.host, r.path, r.rule) == (h, p, rule(h, p))
-        if r.rule:
-            assert r.verdict == urls.RULES[r.rule] and r.ratio is None
-        else:
-            assert math.isclose(r.ratio, m.ratios([h + p])[0], rel_tol=1e-9, abs_tol=1e-12)
-            (highs if r.verdict == "allow" else lows).append(r.ratio)
-    assert max(lows, default=-9) < min(highs, default=9)
-    # the calibrated threshold parts the training URLs as well as any
-    a, b = m.ratios(told["allow"]), m.ratios(told["block"])
-    cut = (max(lows, default=-9) + min(highs, default=9)) / 2
-    best = min((a < t).mean() + (b >= t).mean() for t in np.concatenate([a, b]))
-    if lows and highs:
-        assert (a < cut).mean() + (b >= cut).mean() <= best + 0.05
-
-
 def test_query_string_and_urls_without_scheme_reach_the_model(spark):
     seen = [f"https://a{i}.example.org/{k}/1{i}?from={v}" for i in range(20) for k, v in (("en", "xxx"), ("de", "yyy"))]
     ask = ["http://h.net/?from=xxx", "http://h.net/?from=yyy", "no scheme", "other text"]
@@ -146,30 +86,81 @@ def brute_ratios(told, texts):
     return {t: (a(t) - b(t)) / (len(t) + 1) for t in texts}
 
 
+def fold(spark, texts):
+    df = spark.createDataFrame([(t,) for t in set(texts)], "t string")
+    return {r.t: r.f for r in df.select("t", F.pmod(F.xxhash64("t"), F.lit(urls.FOLDS)).alias("f")).collect()}
+
+
+def judged(spark, rows, pages):
+    """Ratios and verdicts of all rows (page_id, rule, ratio, verdict, ...) against dictionaries; ``pages``: {page_id: url}."""
+    texts = {i: u or "" for i, u in pages.items()}
+    told, free = {"allow": [], "block": []}, []
+    for u in texts.values():
+        r = rule(*parts(u))
+        (told[urls.RULES[r]] if r else free).append(u)
+    want, folds = brute_ratios(told, free), fold(spark, texts.values())
+    unseen = {"allow": [], "block": []}
+    for f in range(urls.FOLDS):
+        rest = {k: [t for t in v if folds[t] != f] for k, v in told.items()}
+        for k, v in told.items():
+            mine = [t for t in v if folds[t] == f]
+            got = brute_ratios(rest, mine)
+            unseen[k] += [got[t] for t in mine]
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    lows, highs = [], []
+    for r in rows:
+        u = texts[r.page_id]
+        assert (r.host, r.path, r.rule) == (*parts(u), rule(*parts(u)))
+        if r.rule:
+            assert r.verdict == urls.RULES[r.rule] and r.ratio is None
+        else:
+            assert math.isclose(r.ratio, want[u], rel_tol=1e-9, abs_tol=1e-11), u
+            (highs if r.verdict == "allow" else lows).append(r.ratio)
+    # the verdicts part at one ratio, which parts the unseen training URLs as well as any
+    low, high = max(lows, default=-math.inf), min(highs, default=math.inf)
+    assert low < high
+
+    def wrong(cut):
+        return sum(x < cut for x in unseen["allow"]) / len(unseen["allow"]) + sum(x >= cut for x in unseen["block"]) / len(unseen["block"])
+
+    cuts = [low + 1e-12, high, *(x for v in unseen.values() for x in v if low < x <= high)]
+    assert min(map(wrong, (c for c in cuts if math.isfinite(c)))) <= min(map(wrong, unseen["allow"] + unseen["block"])) + 0.02
+    return lows, highs
+
+
 def test_models_read_whole_unfolded_urls(spark):
     seen = [f"https://a{i}.example.org/en/{d}{i}?from={'x' if d == 1 else 'y'}" for i in range(30) for d in (1, 2, 9)]
     ask = ["http://h.example.net/en/1651", "http://h.example.net/en/2651", "http://h.example.net/q?from=x", "http://h.example.net/q?from=y",
-           "no scheme é", "other text", None, ""]
-    df = spark.createDataFrame(list(enumerate(seen + ask)), "page_id long, url string").repartition(4)
-    rows = {r.page_id: r for r in urls.judge(df).collect()}
-    got = [rows[len(seen) + i].ratio for i in range(len(ask))]
-    told = {"allow": [], "block": []}
-    for u in seen:
-        told[urls.RULES[rule(*parts(u))]].append(u)
-    want = brute_ratios(told, [u or "" for u in ask])
-    for u, r in zip(ask, got):
-        assert math.isclose(r, want[u or ""], rel_tol=1e-9, abs_tol=1e-12), u
-    assert got[0] < got[1] and got[2] < got[3] and got[4] != got[5] and got[6] == got[7]
-
-
-def test_ratios_of_the_whole_table_are_those_of_whole_urls(spark):
+           "no scheme é", "other text", None, "", "日本語 " * 20]
+    pages = dict(enumerate(seen + ask))
+    df = spark.createDataFrame(list(pages.items()), "page_id long, url string").withColumn("h", F.lit(1)).withColumn("kind", F.lit("x")).repartition(4)
+    rows = urls.judge(df).collect()
+    judged(spark, rows, pages)
+    got = {r.page_id: r.ratio for r in rows}
+    n = len(seen)
+    assert got[n] < got[n + 1] and got[n + 2] < got[n + 3] and got[n + 4] != got[n + 5] and got[n + 6] == got[n + 7]
+
+
+def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    told, free = {"allow": [], "block": []}, []
-    for u in pages.values():
-        r = rule(*parts(u))
-        (told[urls.RULES[r]] if r else free).append(u)
-    want, rows = brute_ratios(told, free), queries.op7_url_markov(spark, sf).collect()
-    assert len(rows) == len(pages) and {r.page_id for r in rows if r.rule is None} == {i for i, u in pages.items() if u in want}
-    for r in rows:
-        assert r.ratio is None if r.rule else math.isclose(r.ratio, want[pages[r.page_id]], rel_tol=1e-9, abs_tol=1e-12)
+    rows = queries.op7_url_markov(spark, sf)
+    assert rows.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    lows, highs = judged(spark, rows.collect(), pages)
+    assert lows and highs
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_contexts_over_the_edges_of_ranges(spark, ranges):
+    seen = [f"https://a{i % 5}.example.org/{p}/{i}" for i in range(40) for p in ("es", "fr")] + ["https://x.org/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    pages = dict(enumerate([*seen, "http://b.net/es/1", "http://b.net/fr/aaaaaaaaaaaaaaaa"]))
+    df = spark.createDataFrame(list(pages.items()), "page_id long, url string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = urls.judge(df).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    judged(spark, rows, pages)
