@@ -20,7 +20,6 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,11 +82,11 @@ LOOKALIKES = dict(zip(
     "асеорхуіјѕһԁԛԝ"
     "АВСЕНКМОРТХІЈЅ"
     "οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-    "ıɡ‐‑‒–−․。｡",
+    "ıİɡ‐‑‒–−․。｡",
     "aceopxyijshdqw"
     "ABCEHKMOPTXIJS"
     "oavpABEZHIKMNOPTYX"
-    "ig-----...", strict=True))
+    "iIg-----...", strict=True))
 # Characters that print nothing (fixed values).
 INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 # Digits in words, by language (fixed values).
@@ -100,9 +99,12 @@ DIGIT_WORDS = {
 DIGITS = {w: str(i) for line in DIGIT_WORDS.values() for i, w in enumerate(line.split())}
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto", "plus|más"
 DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-#: Two or more spelled digits in a row, parted by one space, hyphen or comma and space.
-SPELLED = re.compile(rf"(?<!\w)(?:{DIGIT_WORD})(?:(?:,? |-)(?:{DIGIT_WORD}))+(?!\w)", re.I)
-SPELLED_ONE = re.compile(DIGIT_WORD, re.I)
+LETTER = r"[^\W\d_]"
+#: A spelled digit that no letter adjoins; numerals may ("4five39").
+SPELLED = re.compile(rf"(?<!{LETTER})(?:{DIGIT_WORD})(?!{LETTER})", re.I)
+#: What may part a spelled digit from the digit, spelled or not, beside it.  Dots stay: they part the numbers of an address.
+PARTED = re.compile(r" ?\n ?| {1,2}|, ?|-|\. ?")
+DIGIT_BEFORE, DIGIT_AFTER = re.compile(r"[0-9]( ?\n ?| {1,2}|, ?|-|\. ?)?\Z"), re.compile(r"( ?\n ?| {1,2}|, ?|-|\. ?)?[0-9]")
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
 LOCAL_PART, LABEL = r"[A-Za-z0-9_%+-]", r"[A-Za-z0-9-]"
 #: "(at)", "[dot]", ... with optional blanks, between the parts of an address or number.
@@ -110,6 +112,7 @@ BRACKETED = re.compile(rf" ?{OPEN} ?(?:(?P<at>{AT_WORDS}|@)|(?P<dot>{DOT_WORDS}|
 #: "name at host dot tld" in bare words, and "name at host.tld".
 BARE = re.compile(
     rf"(?<={LOCAL_PART})(?P<at> (?:{AT_WORDS}) )(?P<host>{LABEL}{{1,63}}(?:(?: (?:{DOT_WORDS}) |\.){LABEL}{{1,63}})+)", re.I)
+AT_MARK = re.compile(rf" (?=(?:{AT_WORDS}) )", re.I)
 BARE_DOT = re.compile(rf"(?<={LABEL}) (?:{DOT_WORDS}) (?={LABEL})", re.I)
 BARE_HOST = re.compile(rf"{LABEL}+(?:\.{LABEL}+)*\.[A-Za-z]{{2,24}}", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9]) ?(?: (?:{DOT_WORDS}) ) ?(?=[0-9])", re.I)
@@ -129,9 +132,15 @@ def _folds(c: str) -> str | None:
     return n if n != c and n.isascii() and n.isprintable() and n.strip() else None
 
 
-@lru_cache(maxsize=1 << 16)
-def _fold(c: str) -> str | None:
-    return None if c.isascii() else _folds(c)
+class Folds(dict):
+    """``_folds`` of each character met."""
+
+    def __missing__(self, c: str) -> str | None:
+        out = self[c] = None if c.isascii() else _folds(c)
+        return out
+
+
+FOLDS = Folds()
 
 
 class Mapped:
@@ -191,23 +200,34 @@ class Mapped:
 def fold_edits(text: str) -> list[tuple[int, int, str]]:
     if text.isascii():
         return []
-    odd = {c for c in set(text) if _fold(c) is not None}
+    odd = {c for c in set(text) if FOLDS[c] is not None}
     if not odd:
         return []
-    return [(m.start(), m.end(), _fold(m[0])) for m in re.finditer("[" + re.escape("".join(sorted(odd))) + "]", text)]
+    return [(m.start(), m.end(), FOLDS[m[0]]) for m in re.finditer("[" + re.escape("".join(sorted(odd))) + "]", text)]
 
 
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits in a row become digits; what parts them goes."""
-    out = []
-    for m in SPELLED.finditer(text):
-        last = m.start()
-        for d in SPELLED_ONE.finditer(text, m.start(), m.end()):
-            if d.start() > last:
-                out.append((last, d.start(), ""))
-            out.append((d.start(), d.end(), DIGITS[d[0].lower()]))
-            last = d.end()
-    return out
+    """Spelled digits beside a numeral or another spelled digit become digits; what parts them goes, but for dots."""
+    found = list(SPELLED.finditer(text))
+    out: list[tuple[int, int, str]] = []
+    joined = False  # with the one before
+    for m, after in zip(found, [*found[1:], None]):
+        a, b = m.span()
+        gap = text[b:after.start()] if after else None
+        next_joined = after is not None and PARTED.fullmatch(gap) is not None
+        left = None if joined else DIGIT_BEFORE.search(text, max(0, a - 4), a)
+        right = None if next_joined else DIGIT_AFTER.match(text, b)
+        if joined or next_joined or left or right:
+            if left and left[1] and "." not in left[1]:
+                out.append((a - len(left[1]), a, ""))
+            out.append((a, b, DIGITS[m[0].lower()]))
+            if next_joined and "." not in gap:
+                out.append((b, after.start(), ""))
+            elif right and right[1] and "." not in right[1]:
+                out.append((b, b + len(right[1]), ""))
+        joined = next_joined
+    # two words beside one numeral may both want the blank between
+    return [e for e, before in zip(out, [(0, 0, ""), *out]) if e[0] >= before[1]]
 
 
 def lone_digit_edits(text: str) -> list[tuple[int, int, str]]:
@@ -215,8 +235,8 @@ def lone_digit_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), DIGITS[m[0].lower()]) for m in LONE.finditer(text)]
 
 
-LONE = re.compile(rf"(?<!\w)(?:{DIGIT_WORD})(?= (?:{DOT_WORDS}) )|(?:(?<= dot )|(?<= punkt )|(?<= point )|(?<= punto ))"
-                  rf"(?:{DIGIT_WORD})(?!\w)", re.I)
+LONE = re.compile(rf"(?<!{LETTER})(?:{DIGIT_WORD})(?= (?:{DOT_WORDS}) )|(?:(?<= dot )|(?<= punkt )|(?<= point )|(?<= punto ))"
+                  rf"(?:{DIGIT_WORD})(?!{LETTER})", re.I)
 
 
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
@@ -224,13 +244,16 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def bare_edits(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in BARE.finditer(text):
-        host = BARE_DOT.sub(".", m["host"])
-        last = host.rpartition(".")[2]
-        if BARE_HOST.match(host) and (last.islower() or last.isupper()):
-            out.append((m.start("at"), m.end("at"), "@"))
-            out += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, m.start("host"), m.end("host"))]
+    out, end = [], 0
+    for at in AT_MARK.finditer(text):
+        m = BARE.match(text, at.start()) if at.start() >= end else None
+        if m:
+            end = m.end()
+            host = BARE_DOT.sub(".", m["host"])
+            last = host.rpartition(".")[2]
+            if BARE_HOST.match(host) and (last.islower() or last.isupper()):
+                out.append((m.start("at"), m.end("at"), "@"))
+                out += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, m.start("host"), m.end("host"))]
     return out
 
 
@@ -257,42 +280,55 @@ def broken_at(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@") for m in BROKEN_AT.finditer(text) if len(m[0]) > 1]
 
 
-#: The cascade after folding, each reading what the one before has written.
-TRANSDUCERS = (digit_edits, lone_digit_edits, disguise_edits, joined_dots, broken_at, bare_edits, host_dots, plus_edits)
-IN_BRACKETS = re.compile(rf"{OPEN} ?(?:{AT_WORDS}|{DOT_WORDS}|@|\.) ?{CLOSE}")
-AT_THEN_HOST = re.compile(rf"(?:{'|'.join(f' {w} ' for w in AT_WORDS.split('|'))})[a-z0-9-]+\.[a-z]")
-DOT_MARKS = [f" {w} " for w in DOT_WORDS.split("|")]
-PLUS_MARKS = re.compile(rf"(?:{PLUS_WORDS}) ?(?:[0-9]|{DIGIT_WORD})")
-PARTS_WORDS = str.maketrans(",-", "  ")
-
-
-def suspect(text: str) -> bool:
-    """Whether a transducer could rewrite anything in the folded, lower-cased text."""
-    if " @" in text or "@ " in text or any(w in text for w in DOT_MARKS):
-        return True
-    if any(f" {w} " in text for w in AT_WORDS.split("|")) and AT_THEN_HOST.search(text):
-        return True
-    if any(c in text for c in "([{<") and IN_BRACKETS.search(text):
-        return True
-    words = text.translate(PARTS_WORDS).split()
-    if not DIGITS.keys().isdisjoint(words):
-        at = [i for i, w in enumerate(words) if w in DIGITS]
-        if any(b - a == 1 for a, b in zip(at, at[1:])) or any(w.strip(".;:!?()") in DIGITS for i in at
-                                                              for w in words[i + 1:i + 2] + words[max(0, i - 1):i]):
-            return True
-    return ("plus" in text or "más" in text) and PLUS_MARKS.search(text) is not None
-
-
-def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the normal form shows, in source characters."""
+class Clues:
+    """What of a text without look-alikes any edit of a transducer needs; read once for all of them."""
+
+    #: ASCII letters and the bytes of other characters; all else parts words.
+    PARTS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+    SPELT = frozenset(w.encode() for w in DIGITS)
+
+    def __init__(self, text: str):
+        self.text, self.low = text, text.lower()
+        self.dot, self.at = (any(f" {w} " in self.low for w in words.split("|")) for words in (DOT_WORDS, AT_WORDS))
+        self.plus = any(w in self.low for w in PLUS_WORDS.split("|"))
+        self.sign = "@" in text
+        self.spaced = " @" in text or "@ " in text
+        self.brackets = any(c in text for c in "([{<") and any(c in text for c in ")]}>")
+
+    @property
+    def digit(self) -> bool:
+        """Whether a run of letters is a spelled digit."""
+        low = self.low
+        if not low.isascii():
+            for c in set(low):
+                if not c.isascii() and (c.isdecimal() or not c.isalnum()):
+                    low = low.replace(c, " ")
+        return not self.SPELT.isdisjoint(low.encode().translate(self.PARTS).split())
+
+
+#: The cascade after folding, each reading what the one before has written, and what of a text it needs to do anything.
+TRANSDUCERS = (
+    (digit_edits, lambda c: c.digit),
+    (lone_digit_edits, lambda c: c.dot and c.digit),
+    (disguise_edits, lambda c: c.brackets),
+    (joined_dots, lambda c: c.dot),
+    (broken_at, lambda c: c.spaced),
+    (bare_edits, lambda c: c.at),
+    (host_dots, lambda c: c.sign and c.dot),
+    (plus_edits, lambda c: c.plus),
+)
+
+
+def disguised(text: str, base: list[Span], guarded: bool = True) -> list[Span]:
+    """Spans that only the normal form shows, in source characters.  ``guarded``: ask for a transducer's clue before it runs."""
     m = Mapped(text)
     if edits := fold_edits(text):
         m = m.rewrite(edits)
-    elif not suspect(text.lower()):
-        return []
-    for t in TRANSDUCERS:
-        if edits := t(m.text):
+    clues = Clues(m.text)
+    for transduce, needs in TRANSDUCERS:
+        if (not guarded or needs(clues)) and (edits := transduce(m.text)):
             m = m.rewrite(edits)
+            clues = Clues(m.text)
     if m.text == text:
         return []
     taken: dict[int, list[tuple[int, int]]] = {}
