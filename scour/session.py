@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Folders of the scratch scopes that are open, below the application's own.
+_SCOPE: ContextVar[str] = ContextVar("scratch_scope", default="")
 
 
 def get_session(master: str | None = None, app_name: str = "scour",
@@ -81,7 +86,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     Written tables cut lineage and survive executor loss; they live in the
     shared folder so any executor can read them back.
     """
-    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}{_SCOPE.get()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted when the scope ends.
+
+    For steps whose result is written inside as well, to a path from outside or
+    elsewhere; a result that is still lazy would read tables that are gone.
+    """
+    token = _SCOPE.set(f"{_SCOPE.get()}/scope-{uuid.uuid4().hex[:12]}")
+    try:
+        yield
+    finally:
+        delete_path(spark, _scratch_root(spark) + _SCOPE.get())
+        _SCOPE.reset(token)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
