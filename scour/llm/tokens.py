@@ -8,9 +8,9 @@ the ids of a text are the concatenation of the ids of its pieces.  Arrow splits
 chunk and numbers its distinct pieces; each worker keeps the encodings of pieces
 it has met in a bounded store and sends only unseen ones to the tokenizer, joined
 into runs of about ``RUN_CHARS`` characters (so a long text fills several runs);
-ids or offsets tell the pieces of a run apart.  A text with any other white space
-next to a space (two spaces, a space at an end, a tab after a space, ...) is
-encoded whole.
+ids or offsets tell the pieces of a run apart.  Other white space next to a space (two
+spaces, a tab after a space, ...) stays inside its piece, so it keeps together only the
+two words beside it, however long the text.
 
 Edge cases: a null or empty text has no ids; special strings inside a text get
 the tokenizer file's default treatment; nothing is truncated or padded.
@@ -19,6 +19,7 @@ the tokenizer file's default treatment; nothing is truncated or padded.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ MAX_PIECES = 1_500_000
 BLANK = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space that is not a safe boundary: next to other white space or at an end.
 UNSAFE = rf"\A | \z| {BLANK}|{BLANK} "
+SPACES = "\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 
 
 class Encoder:
@@ -83,7 +86,7 @@ class Encoder:
         for p in unseen:
             run.append(p)
             n += len(p) + 1
-            if n >= RUN_CHARS:
+            if n >= RUN_CHARS or p[-1:].isspace():  # what ends in white space has nothing behind it
                 runs.append(run)
                 run, n = [], 0
         if run:
@@ -131,23 +134,29 @@ def chunks(texts: pa.Array) -> Iterator[pa.Array]:
         lo = hi
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """The pieces of each text: cut at every safe boundary."""
+    unsafe = pc.match_substring_regex(texts, UNSAFE)
+    if not pc.any(unsafe).as_py():
+        return pc.split_pattern(texts, " ")
+    odd = texts.filter(unsafe).to_pylist()
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if not pc.any(pc.match_substring(texts, c)).as_py())
+    plain = pc.replace_substring(texts, " ", mark)
+    marked = pa.array([SAFE.sub(mark, t) for t in odd], texts.type)
+    return pc.split_pattern(pc.replace_with_mask(plain, unsafe, marked), mark)
+
+
 def pieces(enc: Encoder, seen: dict, texts: pa.Array, values) -> tuple[list, np.ndarray, np.ndarray]:
     """Values of the distinct pieces, the piece numbers of all texts in a row, and where each text's begin (and the end).
 
-    The first piece of a text has no space before it and gets a value of its own;
-    a text that is not safe to split is one such piece.
+    The first piece of a text has no space before it and gets a value of its own.
     """
     _remember(seen, enc.max_pieces)
-    texts = pc.fill_null(texts, "")
-    unsafe = pc.match_substring_regex(texts, UNSAFE)
-    split = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
-    at = split.offsets.to_numpy().astype(np.int64)
+    split_up = split(pc.fill_null(texts, ""))
+    at = split_up.offsets.to_numpy().astype(np.int64)
     at -= at[0]
-    flat = split.flatten()
-    names = pc.list_element(split, 0).to_pylist()
-    whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
-    for i, t in zip(whole.tolist(), texts.take(pa.array(whole)).to_pylist()):
-        names[i] = t
+    flat = split_up.flatten()
+    names = pc.list_element(split_up, 0).to_pylist()
     numbered = flat.dictionary_encode()
     rest, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
     for run, ids, ends in enc.pieces([p for p in rest if p not in seen]):

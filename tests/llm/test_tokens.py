@@ -56,3 +56,29 @@ def test_edges(spark):
     rows = sorted(map(tuple, tokens.token_counts(df, P.path("word_bpe_49k.json")).collect()), key=str)
     assert rows == [(1, 0, 0, False), (1, 0, 0, False), (2, 6000, 3000, True), (None, 0, 0, False)]
     assert tokens.token_counts(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_one_odd_blank_does_not_keep_a_text_together(name, monkeypatch):
+    rng = random.Random(2)
+    words = ["ab", "é", "<|endoftext|>", "x1", "\U0001f642", "it's", ".", "日本"]
+    texts = []
+    for _ in range(300):
+        t = " ".join(rng.choices(words, k=rng.randint(1, 40)))
+        for odd in rng.choices(["  ", " \t", "\n ", "\xa0 ", "   ", " \u3000"], k=rng.randint(1, 2)):
+            i = rng.randint(0, len(t))
+            t = t[:i] + odd + t[i:]
+        texts.append(t)
+    texts += ["\ue000 a  b", "plain words here", " ", "  "]
+    tok = Tokenizer.from_file(P.path(name))
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    ids, width = tokens.ids_batch(P.path(name), pa.array(texts))
+    assert [np.frombuffer(x, f"<u{width}").tolist() for x in ids] == want
+    # a long text is never one call of the tokenizer
+    longest = []
+    whole, runs = tokens.Encoder.whole, tokens.Encoder.pieces
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, t: longest.extend(map(len, t)) or whole(self, t))
+    monkeypatch.setattr(tokens.Encoder, "pieces", lambda self, u: longest.extend(map(len, u)) or runs(self, u))
+    text = "word other  " + "some more words of it " * 2_400_000 + "end "
+    n = tokens.count_batch(P.path(name), pa.array([text], pa.large_string()))[0]
+    assert n >= 12_000_000 and max(longest) < 100
