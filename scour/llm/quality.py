@@ -141,41 +141,61 @@ def risk_parts(table: DataFrame, model: Linear) -> dict:
         z = model.design(x)
         g = z @ model.w
         s = sigmoid(g)
-        p = z[trusted]
+        p, q, bend = z[trusted], s[trusted], (s * (1 - s))[:, None] * z
         return np.concatenate([[len(z), len(p), softplus(g).sum(), softplus(g[trusted]).sum(), softplus(-g[trusted]).sum()],
-                               (s[:, None] * z).sum(0), p.sum(0), ((s * (1 - s))[:, None] * z).T.dot(z).ravel()])
+                               (s[:, None] * z).sum(0), p.sum(0), (q[:, None] * p).sum(0), bend.T.dot(z).ravel(), bend[trusted].T.dot(p).ravel()])
 
-    t = sums(table, 5 + 2 * d + d * d, add)
+    t = sums(table, 5 + 3 * d + 2 * d * d, add)
     n, m = max(t[0], 1), max(t[1], 1)
-    return {"u_neg": t[2] / n, "p_neg": t[3] / m, "p_pos": t[4] / m, "u_grad": t[5:5 + d] / n,
-            "p_mean": t[5 + d:5 + 2 * d] / m, "curve": t[5 + 2 * d:].reshape(d, d) / n}
+    u_grad, p_mean, p_grad = (t[5 + i * d:5 + (i + 1) * d] for i in range(3))
+    curves = t[5 + 3 * d:].reshape(2, d, d)
+    return {"u_neg": t[2] / n, "p_neg": t[3] / m, "p_pos": t[4] / m, "u_grad": u_grad / n, "p_mean": p_mean / m, "p_grad": p_grad / m,
+            "curve": curves[0] / n, "p_curve": curves[1] / m}
 
 
-def fit(table: DataFrame, start: Linear, prior: float) -> Linear:
-    """Newton steps on the unbiased risk; a step is halved while it does not lower the non-negative risk."""
+def slope(parts: dict, prior: float, clamped: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the risk without its ridge, where the negative part counts or is clamped to zero."""
+    if clamped:  # the positive part alone: the gradient of l(g) is (s - 1) z
+        return prior * (parts["p_grad"] - parts["p_mean"]), prior * parts["p_curve"]
+    # for the logistic loss l(g) - l(-g) = -g, so P enters the unbiased gradient through its mean alone
+    return parts["u_grad"] - prior * parts["p_mean"], parts["curve"]
+
+
+def fit(table: DataFrame, start: Linear, prior: float, steps: int = STEPS) -> Linear:
+    """Newton steps on the non-negative risk, shortened while they do not lower it.
+
+    Where the negative part is below zero it is clamped, and the step follows the gradient of what is left; where
+    that does not lower the risk, as at the edge between the two, the step of the other side is tried.
+    """
     reg = np.full(WIDTH + 1, RIDGE)
     reg[-1] = 0
 
+    def negative(parts):
+        return parts["u_neg"] - prior * parts["p_neg"]
+
     def risk(parts, w):
-        return prior * parts["p_pos"] + max(0.0, parts["u_neg"] - prior * parts["p_neg"]) + 0.5 * (reg * w * w).sum()
+        return prior * parts["p_pos"] + max(0.0, negative(parts)) + 0.5 * (reg * w * w).sum()
 
-    model, parts = start, risk_parts(table, start)
-    now = risk(parts, model.w)
-    for _ in range(STEPS):
-        # for the logistic loss l(g) - l(-g) = -g, so P enters the unbiased gradient through its mean alone
-        grad = parts["u_grad"] - prior * parts["p_mean"] + reg * model.w
-        step = np.linalg.solve(parts["curve"] + np.diag(reg + 1e-9), grad)
+    def lower(model, parts, now, clamped):
+        grad, curve = slope(parts, prior, clamped)
+        step = np.linalg.solve(curve + np.diag(reg + 1e-9), grad + reg * model.w)
         scale = min(1.0, 20.0 / (np.abs(step).max() + 1e-12))
         for _ in range(5):
             trial = Linear(model.mean, model.std, model.w - scale * step)
             got = risk_parts(table, trial)
             if risk(got, trial.w) < now:
-                break
+                return trial, got
             scale /= 4
-        else:
-            return model
-        gain, model, parts, now = now - risk(got, trial.w), trial, got, risk(got, trial.w)
-        if gain < 1e-6:
+        return None
+
+    model, parts = start, risk_parts(table, start)
+    for _ in range(steps):
+        now, clamped = risk(parts, model.w), negative(parts) < 0
+        found = lower(model, parts, now, clamped) or lower(model, parts, now, not clamped)
+        if found is None:
+            break
+        model, parts = found
+        if now - risk(parts, model.w) < 1e-6:
             break
     return model
 

@@ -58,6 +58,58 @@ def test_gradient_of_the_risk(spark):
         assert np.isclose((unbiased(w + e) - unbiased(w - e)) / 2e-5, grad[i], atol=1e-6)
 
 
+def test_fit_where_the_negative_part_is_clamped(spark):
+    """Few trusted rows of many unlabelled and a high prior: the risk comes near that of a slow, dense optimiser."""
+    rng = np.random.default_rng(3)
+    n, prior = 80, 0.9
+    x = rng.normal(size=(n, quality.WIDTH)).astype(np.float32)
+    trusted = np.arange(n) < 12
+    df = spark.createDataFrame([(r.tobytes(), bool(t)) for r, t in zip(x, trusted)], "x binary, trusted boolean").coalesce(2).cache()
+    z = np.hstack([x.astype(float), np.ones((n, 1))])
+    reg = np.full(quality.WIDTH + 1, quality.RIDGE)
+    reg[-1] = 0
+
+    def risk(w):
+        g = z @ w
+        neg = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[trusted]).mean()
+        s = quality.sigmoid(g)
+        grad = prior * ((s[trusted] - 1)[:, None] * z[trusted]).mean(0) + reg * w
+        if neg > 0:
+            grad = grad + (s[:, None] * z).mean(0) - prior * (s[trusted][:, None] * z[trusted]).mean(0)
+        return prior * np.logaddexp(0, -g[trusted]).mean() + max(0.0, neg) + 0.5 * (reg * w * w).sum(), grad, neg
+
+    best, w, m, v, clamped = np.inf, np.zeros(quality.WIDTH + 1), 0, 0, 0
+    for i in range(20_000):
+        r, grad, neg = risk(w)
+        best, clamped = min(best, r), clamped + (neg < 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
+        w = w - 0.02 / (1 + i / 2000) * (m / (1 - 0.9 ** (i + 1))) / (np.sqrt(v / (1 - 0.999 ** (i + 1))) + 1e-9)
+    start = quality.Linear(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), np.zeros(quality.WIDTH + 1))
+    got = quality.fit(df, start, prior, steps=40)
+    mine = risk(got.w)[0]
+    assert clamped > 1000 and risk(np.zeros_like(w))[0] - best > 0.2
+    assert mine <= best + 0.03, (mine, best)
+
+
+def test_slopes_are_the_risk_s(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, quality.WIDTH)).astype(np.float32)
+    trusted = np.arange(40) % 4 == 0
+    df = spark.createDataFrame([(r.tobytes(), bool(t)) for r, t in zip(x, trusted)], "x binary, trusted boolean")
+    w = rng.normal(size=quality.WIDTH + 1) * 0.2
+    model = quality.Linear(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), w)
+    grad, curve = quality.slope(quality.risk_parts(df, model), 0.6, True)
+
+    def at(w):
+        return 0.6 * np.logaddexp(0, -quality.Linear(model.mean, model.std, w).margin(x.astype(float))[trusted]).mean()
+
+    for i in (0, 7, quality.WIDTH):
+        e = np.zeros(quality.WIDTH + 1)
+        e[i] = 1e-4
+        assert np.isclose((at(w + e) - at(w - e)) / 2e-4, grad[i], atol=1e-6)
+        assert np.isclose((at(w + e) + at(w - e) - 2 * at(w)) / 1e-8, curve[i, i], atol=1e-4)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (None, "some words", 0.1), (4, "a b " * 40000, 0.1), (4, "a b " * 40000, 0.1),
                                   (6, "plain text. Of words.", 0.1)], "doc_id long, text string, score double")
