@@ -9,18 +9,20 @@ length of what rounding lost is kept beside it, so by Cauchy-Schwarz
 bounds the error of each approximate cosine.  A pair survives when its upper
 bound reaches the k-th best lower bound of its query in the tile; only survivors
 are computed again, in double precision on the original vectors.  Tiles give at
-most k rows a query (ties of the k-th included by the smaller id), which are then
-merged per query with a bounded heap's worth of state.
+most k rows a query (ties of the k-th included by the smaller id).
 
 The query set is stated by the caller (here: ids divisible by 50); it is dealt to
-the candidate blocks in blocks, by a shuffle, never by a broadcast.  Every
-candidate is tried: recall is 1.
+the candidate blocks in blocks, by a shuffle, never by a broadcast.  Consecutive candidate
+blocks make slots of at most ``HELD`` bytes, and a slot is a partition.  A task holds its
+slot and lets the query blocks pass: the heaps of one query block are merged over the slot's
+blocks, emitted and dropped before the next one comes, so its memory does not grow with
+the queries.  Every candidate is tried: recall is 1.
 
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
 components take no part; vectors of another length than the query's are not
 comparable and are skipped; a query's own id is left out, so repeated rows of a
-query's id are too; repeated candidate rows count once (the best score of an id);
-fewer candidates than k give them all; an empty table gives no rows.
+query's id are too; an id with several vectors, asked for or found, counts with the best
+score over them; fewer candidates than k give them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 #: Vectors of a block; a tile of products is CANDIDATES x QUERIES.
 CANDIDATES, QUERIES = 2048, 512
 INT8 = 127
+#: Bytes of candidate vectors that a task holds.
+HELD = 64 << 20
 
 
 def usable(vec: Column) -> Column:
@@ -76,10 +80,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
 
 
-def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, cosine) of each query's k best of one block, ties by smaller id."""
+def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, codes: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, candidate id, cosine) of each query's k best of one block, ties by smaller id; ``codes``: the block's, if known."""
     qc, qs, ql, qe = quantise(q)
-    cc, cs, _, ce = quantise(c)
+    cc, cs, _, ce = codes or quantise(c)
     about = products(qc, cc) * qs[:, None] * cs
     error = qe[:, None] + ql[:, None] * ce + 1e-12
     own = qid[:, None] == cid
@@ -142,55 +146,73 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
     """
     kind = "<f8" if vectors.schema[vec].dataType.elementType.typeName() != "float" else "<f4"
     ok = vectors.where(usable(F.col(vec)) & F.col(vec_id).isNotNull())
-    asked = ok.where(queries).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec")).dropDuplicates(["id"])
     rows = ok.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec"))
+    asked = ok.where(queries).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec")).distinct()
     # written blocks keep their rows and numbers, whatever executor is lost
-    c = materialize(blocks(rows, candidates).select(F.monotonically_increasing_id().alias("n"), "__dim", F.col("__ids").alias("c_ids"),
-                                                    F.col("__data").alias("c_data")), "nn-rows")
-    q = materialize(blocks(asked, block).select(F.col("__dim").alias("q_dim"), F.col("__ids").alias("q_ids"),
-                                                F.col("__data").alias("q_data")), "nn-queries")
-    # candidate blocks are hashed to as many slots as there are blocks; every query block visits every slot
-    slots = max(1, c.count())
-    c = c.withColumn("slot", F.pmod(F.xxhash64("n"), F.lit(slots)).cast("int"))
-    dealt = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = c.join(dealt, (c.slot == dealt.slot) & (c["__dim"] == dealt.q_dim)).select("__dim", "c_ids", "c_data", "q_ids", "q_data")
+    c = numbered(materialize(blocks(rows, candidates).select(F.monotonically_increasing_id().alias("at"), "*"), "nn-rows"))
+    q = materialize(blocks(asked, block).select(F.monotonically_increasing_id().alias("n"), "*"), "nn-queries")
+    count, most = c.agg(F.count("*"), F.coalesce(F.max(F.octet_length("__data")), F.lit(1))).first()
+    if not count:
+        return merge(rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0), k)
+    held = max(1, min(HELD // most, count // (2 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    slots = -(-count // held)
+    cols = ["slot", "kind", "n", "__dim", "__ids", "__data"]
+    dealt = c.select(F.floor(F.col("n") / held).cast("int").alias("slot"), F.lit(0).alias("kind"), *cols[2:]).unionByName(
+        q.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(1).alias("kind"), *cols[2:]))
+    streams = dealt.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "kind", "n").select("slot", "kind", "__dim", "__ids", "__data")
 
     def run(batches):
+        now, slot = None, []
         for b in batches:
             for r in range(b.num_rows):
-                dim = b.column(0)[r].as_py()
-                view = [np.frombuffer(b.column(n)[r].as_buffer(), t) for n, t in ((1, "<i8"), (2, kind), (3, "<i8"), (4, kind))]
-                a, d, s = tile(view[2], view[3].reshape(-1, dim).astype(np.float64), view[0], view[1].reshape(-1, dim).astype(np.float64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    return merge(found, k)
+                at, asks, dim = (b.column(i)[r].as_py() for i in range(3))
+                ids = np.frombuffer(b.column(3)[r].as_buffer(), "<i8")
+                data = np.frombuffer(b.column(4)[r].as_buffer(), kind).reshape(-1, dim).astype(np.float64)
+                if at != now:
+                    now, slot = at, []
+                if not asks:
+                    slot.append((ids, data, quantise(data)))
+                    continue
+                heaps: dict[int, list] = {}
+                for own, vecs, codes in slot:
+                    if vecs.shape[1] == dim:
+                        push(heaps, k, *tile(ids, data, own, vecs, k, codes))
+                out = [(a, -d, s) for a, heap in heaps.items() for s, d in heap]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                        zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    return merge(streams.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Written blocks with n, their places without gaps, from ``at`` (monotonically increasing): partitions are counted, not rows ranked."""
+    part = F.shiftright("at", 33).alias("part")
+    counts = blocks.groupBy(part).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = materialize(counts.select("part", F.coalesce(before, F.lit(0)).alias("begin")), "nn-begins")
+    return blocks.withColumn("part", F.shiftright("at", 33)).join(small(begins), "part") \
+        .withColumn("n", F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "begin", "at")
+
+
+def push(heaps: dict[int, list], k: int, queries: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+    """Keep the k best distinct candidates (score, -id) of each query."""
+    for a, d, s in zip(queries.tolist(), found.tolist(), scores.tolist()):
+        heap, item = heaps.setdefault(a, []), (s, -d)
+        same = [x for x in heap if x[1] == -d]
+        if same and same[0] >= item:
+            continue
+        if same:
+            heap.remove(same[0])
+            heapq.heapify(heap)
+        if len(heap) < k:
+            heapq.heappush(heap, item)
+        elif item > heap[0]:
+            heapq.heapreplace(heap, item)
 
 
 def merge(found: DataFrame, k: int) -> DataFrame:
-    """The k best distinct candidates of each query, by heaps within partitions and then over them."""
-
-    def heaps(batches):
-        best: dict[int, list] = {}
-        for b in batches:
-            for a, d, s in zip(*(b.column(i).to_pylist() for i in range(3))):
-                heap, item = best.setdefault(a, []), (s, -d)
-                same = [x for x in heap if x[1] == -d]
-                if same and same[0] >= item:
-                    continue
-                if same:
-                    heap.remove(same[0])
-                    heapq.heapify(heap)
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        out = [(a, -d, s) for a, heap in best.items() for s, d in heap]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    local = found.mapInArrow(heaps, "query_id long, vec_id long, score double")
-    one = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    """The k best distinct candidates of each query over all slots."""
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
