@@ -6,11 +6,11 @@ epochs and then a fraction: its documents get exponential keys ``-ln(u) / w``
 taken in order of key until the rest of the budget is filled.  Equal runs agree,
 as nothing depends on partitions.
 
-No source is sorted or gathered.  Keys are cut into ``BINS`` fixed bins; sizes per
+No source is sorted or gathered.  Keys are cut into ``BINS`` bins; sizes per
 (source, bin) are pre-aggregated and prefix-summed, which names the one bin where
-the budget runs out; only that bin's documents are ranked (of ``n`` documents
-about ``n / BINS``), which names the last key.  The decision on a document is then a
-comparison of its key with its source's last key.
+the budget runs out; that bin is cut again, whatever share of a source it holds, until
+at most ``EDGE`` documents are left to be ranked, which names the last key.  The decision
+on a document is then a comparison of its key with its source's last key.
 
 Edge cases: a null text has size 0, a null source is a source of its own (ordered
 last), documents of size 0 take 0 words, repeated rows share a key and are
@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 #: A target never exceeds so many times its source.
 EPOCHS = 3
 BINS = 4096
+#: Rows of the last bin that are ranked one by one.
+EDGE = 100_000
 NOISE = "#*$%&|<>!"
 
 
@@ -44,12 +46,12 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column | None, seed: int) -> DataFrame:
-    """``docs`` with __size, __key (ascending: taken first) and __bin."""
+def keyed(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column | None, seed: int, row: bool = False) -> DataFrame:
+    """(source, __id, __size, __key: ascending, taken first) of every row, and the row itself as the struct __row."""
     w = quality_weight(F.col(text)) if weight is None else weight
-    return (docs.withColumn("__size", word_count(F.col(text)))
-            .withColumn("__key", -F.log(uniform(F.col(doc_id), seed)) / w)
-            .withColumn("__bin", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1)).cast("int")))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")] * row
+    return docs.select(*whole, F.col(doc_id).alias("__id"), F.col(source).alias("source"), word_count(F.col(text)).alias("__size"),
+                       (-F.log(uniform(F.col(doc_id), seed)) / w).alias("__key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -72,24 +74,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return w.select("source", "source_size", F.least(fits * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
+def summed(rows: DataFrame) -> DataFrame:
+    """(source, __bin, n, rows, low, high): words, rows and range of keys of each bin."""
+    return rows.groupBy("source", "__bin").agg(F.sum("__size").alias("n"), F.count("*").alias("rows"), F.min("__key").alias("low"),
+                                               F.max("__key").alias("high"))
+
+
+def ending(bins: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(source, rows, low, high, left): the bin in which each source's budget (source, left) runs out, and what is left of it there."""
+    ends = bins.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("__bin")))
+    return materialize(ends.alias("e").join(small(budgets).alias("a"), F.col("e.source").eqNullSafe(F.col("a.source")))
+                       .where("e.end - e.n < a.left AND e.end >= a.left")
+                       .select("e.source", "rows", "low", "high", (F.col("a.left") - F.col("e.end") + F.col("e.n")).alias("left")), "mix-edges")
+
+
 def plan(table: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     """One row per source: target, epochs, budget, and the last key with the words left for each row that has it.
 
-    ``table`` is a written (source, __id, __size, __key, __bin).
+    ``table`` is a written (source, __id, __size, __key).  The key at which a budget runs out is closed in on: its
+    source's words are summed in ``BINS`` bins of the keys, then in as many bins of the one bin in which the budget
+    ends, until that holds ``EDGE`` rows at most or a single key.
     """
-    bins = materialize(table.groupBy("source", "__bin").agg(F.sum("__size").alias("n")), "mix-bins")
+    first = F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1)).cast("int")
+    bins = materialize(summed(table.withColumn("__bin", first)), "mix-bins")
     aim = targets(bins.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs) \
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))) \
         .withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5))
     aim = materialize(aim, "mix-targets")
-    run = Window.partitionBy("source").orderBy("__bin")
-    ends = bins.withColumn("end", F.sum("n").over(run))
     same = F.col("e.source").eqNullSafe(F.col("a.source"))
-    # the bin in which the budget runs out, and what is left of it there
-    edge = materialize(ends.alias("e").join(small(aim).alias("a"), same)
-                       .where("e.end - e.n < a.budget AND e.end >= a.budget")
-                       .select("e.source", "e.__bin", (F.col("a.budget") - F.col("e.end") + F.col("e.n")).alias("left")), "mix-edges")
-    ties = (table.alias("e").join(small(edge).alias("a"), same & (F.col("e.__bin") == F.col("a.__bin")))
+    edge = ending(bins, aim.select("source", F.col("budget").alias("left")))
+    while edge.where((F.col("rows") > EDGE) & (F.col("low") < F.col("high"))).limit(1).count():
+        inside = (table.alias("e").join(small(edge).alias("a"), same & F.col("e.__key").between(F.col("a.low"), F.col("a.high")))
+                  .select("e.source", "__size", "__key", F.when(F.col("low") < F.col("high"), F.least(F.floor(
+                          (F.col("__key") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))).otherwise(0).cast("int").alias("__bin")))
+        edge = ending(materialize(summed(inside), "mix-bins"), edge.select("source", "left"))
+    ties = (table.alias("e").join(small(edge).alias("a"), same & F.col("e.__key").between(F.col("a.low"), F.col("a.high")))
             .groupBy("e.source", "__key", "__id").agg(F.sum("__size").alias("n"), F.count("*").alias("rows"), F.first("left").alias("left")))
     rank = Window.partitionBy("source").orderBy("__key", F.col("__id").asc_nulls_first())
     last = (ties.withColumn("end", F.sum("n").over(rank)).where("end - n < left AND end >= left")
@@ -120,8 +139,7 @@ def taken(table: DataFrame, sources: DataFrame, whole: bool) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
         epochs: int = EPOCHS, weight: Column | None = None, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and part of every row; ``part`` fills the budget to the word."""
-    src = keyed(docs, doc_id, text, source, weight, seed)
-    table = materialize(src.select(F.col(doc_id).alias("__id"), F.col(source).alias("source"), "__size", "__key", "__bin"), "mix-sizes")
+    table = materialize(keyed(docs, doc_id, text, source, weight, seed), "mix-sizes")
     out = taken(table, plan(table, weights, epochs), whole=False)
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
                       (F.col("copies") * F.col("__size") + F.col("part")).alias("taken"), "copies", "part")
@@ -130,10 +148,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
              epochs: int = EPOCHS, weight: Column | None = None, seed: int = 0) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as it is taken, whole (the last one where it comes nearer)."""
-    src = keyed(docs, doc_id, text, source, weight, seed)
-    table = materialize(src.select(F.col(doc_id).alias("__id"), F.col(source).alias("source"), "__size", "__key", "__bin"), "mix-sizes")
-    rows = src.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(doc_id).alias("__id"),
-                      F.col(source).alias("source"), "__size", "__key")
+    rows = keyed(docs, doc_id, text, source, weight, seed, row=True)
+    table = materialize(rows.drop("__row"), "mix-sizes")
     out = taken(rows, plan(table, weights, epochs), whole=True)
     return out.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -81,6 +82,27 @@ def test_targets_and_budgets(spark, sizes):
         assert abs(sum(g[4] for g in own) - own[0][3]) <= 0.51 and all(g[4] <= 3 * g[1] for g in own)
 
 
+@pytest.mark.parametrize("bins,edge", [(2, 1), (8, 5), (3, 40)])
+def test_the_last_bin_is_cut_until_it_is_small(spark, monkeypatch, bins, edge):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "EDGE", edge)
+    rng = random.Random(bins)
+    rows = [(i // 2, "w " * rng.randint(0, 9) + "#" * rng.choice([0, 0, 40]), rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    rows += [(7, "same row", "c")] * 50 + [(500, "few words", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r)[:5] for r in mixing.mix(df).collect()]
+    monkeypatch.undo()
+    assert sorted(got, key=str) == sorted((tuple(r)[:5] for r in mixing.mix(df).collect()), key=str)
+
+
+def test_clashing_names(spark):
+    names = ["__size", "__key", "__bin", "__id", "__row", "__n", "copies", "part", "size", "target", "source_size", "a.b"]
+    df = spark.createDataFrame([(i, "some words", "a", *range(len(names))) for i in range(20)], ["doc_id", "text", "source", *names])
+    out = mixing.resample(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in out.collect())
+
+
 def test_edges_and_resample(spark):
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (None, "q r s", "x"), (3, "e f " * 2000, None), (4, "", "y"), (5, None, "y")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, copies int")
