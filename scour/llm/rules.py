@@ -158,4 +158,5 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     """The rows of ``df`` that pass, with its own columns."""
     m = measures()
     fine = reduce(lambda a, r: a & ~breaks(r, m), rules, ~base_failed(m))
-    return arrays(df, text).where(fine).drop("__text", "__words", "__lines")
+    src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text"))
+    return arrays(src, "text").where(fine).select("row.*")

@@ -173,13 +173,13 @@ def near_duplicates(df: DataFrame, keep: tuple[str, ...] = (), doc_id: str = "do
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df``, with its own columns, that are the first of their component."""
-    names = df.columns
     # a row is known by its id and text; rows that agree in both are copies, of which one stays
-    src = df.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    marks = near_duplicates(src, ("__th",), doc_id, text, **options)
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("__th").alias("t"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    src = df.select(whole, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    marks = near_duplicates(src, ("th",), **options)
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
     first = materialize(marks.groupBy("root").agg(F.min(rank).alias("r")).select(
-        F.col("r.d").alias("__id"), F.col("r.t").alias("__t")), "simhash-kept")
-    kept = src.join(first.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left_semi")
-    one = Window.partitionBy(doc_id, "__th").orderBy(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map"))))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*(F.col(f"`{c}`") for c in names))
+        F.col("r.d").alias("id"), F.col("r.t").alias("t")), "simhash-kept")
+    kept = src.select("row", "doc_id", "th").join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left_semi")
+    one = Window.partitionBy("doc_id", "th").orderBy(F.xxhash64(*(F.col(f"row.`{c}`") for c, t in df.dtypes if not t.startswith("map"))))
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
