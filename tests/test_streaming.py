@@ -1,11 +1,13 @@
 import os
+import random
+import sys
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from scour.operators import cleaning
-from scour.streaming import dedup_ingest, file_stream, ingest, next_increment, poll_once, poll_table
+from scour.streaming import dedup_ingest, file_stream, ingest, next_increment, poll_backlog, poll_once, poll_stream, poll_table
 
 
 def test_file_ingest_available_now_matches_batch(spark, tmp_dir):
@@ -60,9 +62,8 @@ def test_poll_table_takes_everything_once(spark, tmp_dir):
 def test_poll_table_on_a_clock(spark, tmp_dir):
     src = tmp_dir + "/table"
     spark.range(12).write.parquet(src)
-    q = poll_table(spark, lambda: spark.read.parquet(src), "id", tmp_dir + "/tgt", tmp_dir + "/ck",
-                   max_rows=6, interval_seconds=0.5, duration_seconds=12)
-    assert not q.isActive
+    poll_table(spark, lambda: spark.read.parquet(src), "id", tmp_dir + "/tgt", tmp_dir + "/ck",
+               max_rows=6, interval_seconds=0.5, duration_seconds=2)
     assert sorted(r.id for r in polled(spark, tmp_dir + "/tgt").collect()) == list(range(12))
 
 
@@ -98,10 +99,96 @@ def test_dedup_ingest_over_batches(spark, tmp_dir):
         spark.range(100).selectExpr(f"id % {20 + 5 * i} as k", "timestamp_seconds(1700000000 + id) as ts") \
             .coalesce(1).write.mode("append").parquet(src)
     stream = file_stream(spark, src, "parquet", spark.read.parquet(src).schema, max_files_per_trigger=1)
-    dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="1 day", available_now=True)
+    dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="1 day", available_now=True, close=True)
     assert sorted(r.k for r in polled(spark, tmp_dir + "/out").collect()) == list(range(30))
 
 
+def greedy(rows, within):
+    """rows: (key, seconds, n); the (key, n) kept by hand."""
+    kept, last = [], {}
+    for k, t, n in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or t - last[k] >= within:
+            kept.append((k, n))
+            last[k] = t
+    return sorted(kept, key=str)
+
+
+@pytest.mark.parametrize("cuts", [(), (40,), (10, 20, 55)])
+def test_what_dedup_keeps_does_not_depend_on_files(spark, tmp_dir, cuts):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 1, 2, 3]), 100 * i + rng.randint(0, 300), i) for i in range(80)]
+    src, ends = tmp_dir + "/in", [0, *cuts, 80]
+    for a, z in zip(ends, ends[1:]):
+        part = rows[a:z]
+        rng.shuffle(part)
+        spark.createDataFrame(part, "k long, s long, n long").selectExpr("k", "timestamp_seconds(1700000000 + s) as ts", "n") \
+            .coalesce(1).write.mode("append").parquet(src)
+    stream = file_stream(spark, src, "parquet", spark.read.parquet(src).schema, max_files_per_trigger=1)
+    dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="15 minutes", lateness="5 minutes", order=["n"],
+                 available_now=True, close=True)
+    got = polled(spark, tmp_dir + "/out")
+    assert sorted(((r.k, r.n) for r in got.collect()), key=str) == greedy(rows, 900)
+    assert got.where("ts <> timestamp_seconds(1700000000 + 0) and ts is null").count() == 0
+    times = {r.n: r.s for r in got.selectExpr("n", "unix_seconds(ts) - 1700000000 as s").collect()}
+    assert all(times[n] == s for _, s, n in rows if n in times)
+
+
+def test_rows_without_an_event_time_raise(spark, tmp_dir):
+    spark.sql("select 1 as k, cast(null as timestamp) as ts").write.parquet(tmp_dir + "/in")
+    stream = file_stream(spark, tmp_dir + "/in", "parquet", spark.read.parquet(tmp_dir + "/in").schema)
+    with pytest.raises(Exception, match="without ts"):
+        dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", available_now=True)
+
+
+def test_a_backlog_is_cut_into_ranges(spark, tmp_dir, monkeypatch):
+    src = spark.range(1000).selectExpr("id div 3 as k", "id").repartition(5)
+    assert poll_backlog(spark, src, "k", tmp_dir + "/t", tmp_dir + "/s", max_rows=100) == 1
+    files = spark.read.parquet(tmp_dir + "/t/increment-000000001").groupBy(F.input_file_name()).agg(
+        F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("z")).orderBy("a").collect()
+    assert 5 <= len(files) <= 10 and all(x.z < y.a for x, y in zip(files, files[1:])) and sum(f.n for f in files) == 1000
+    assert poll_backlog(spark, src, "k", tmp_dir + "/t", tmp_dir + "/s", max_rows=100) is None
+    more = src.unionByName(spark.range(50).selectExpr("400 + id as k", "5000 + id as id"))
+    monkeypatch.setattr(sys.modules["scour.streaming.ingest"], "MAX_RANGES", 2)     # a backlog of more ranges takes several increments
+    n = 0
+    while poll_backlog(spark, more, "k", tmp_dir + "/t", tmp_dir + "/s", max_rows=10):
+        n += 1
+    assert n > 1 and sorted(r.id for r in polled(spark, tmp_dir + "/t").collect()) == [*range(1000), *range(5000, 5050)]
+    with pytest.raises(ValueError, match="NULL"):
+        poll_backlog(spark, more.unionByName(spark.sql("select cast(null as bigint) k, 1L id")), "k", tmp_dir + "/t", tmp_dir + "/s")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "timestamp", "decimal(20,2)"])
+def test_poll_stream_takes_every_row_once_over_restarts(spark, tmp_dir, kind):
+    key = {"bigint": "id div 4", "string": "lpad(id div 4, 6, '0')", "date": "date_add(date'2024-01-01', int(id div 4))",
+           "timestamp": "timestamp_seconds(1700000000 + id div 4)", "decimal(20,2)": "cast(id div 4 as decimal(20,2))"}[kind]
+    rows = spark.range(120).selectExpr(f"{key} as k", "id")
+    src, take = tmp_dir + "/src", lambda: poll_stream(spark, src, rows.schema, "k", tmp_dir + "/out", tmp_dir + "/ck", available_now=True)
+    for lo, hi in ((0, 40), (40, 44), (44, 120)):
+        rows.where((F.col("id") >= lo) & (F.col("id") < hi)).repartition(3).write.mode("append").parquet(src)
+        take()
+        take()
+    assert sorted(r.id for r in spark.read.parquet(tmp_dir + "/out").collect()) == list(range(120))
+
+
+def test_poll_stream_in_bounded_batches(spark, tmp_dir):
+    src = tmp_dir + "/src"
+    rows = spark.range(100).selectExpr("id div 10 as k", "id")
+    rows.repartitionByRange(10, "id").write.parquet(src)
+    q = poll_stream(spark, src, rows.schema, "k", tmp_dir + "/out", tmp_dir + "/ck", max_rows=25, interval_seconds=0.2, duration_seconds=20, tie_break="id")
+    sizes = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert max(sizes) < 60 and sum(sizes) == 100
+    # rows that come later under the last key are found by their tie-break
+    spark.range(100, 103).selectExpr("9L as k", "id").write.mode("append").parquet(src)
+    poll_stream(spark, src, rows.schema, "k", tmp_dir + "/out", tmp_dir + "/ck", available_now=True, tie_break="id")
+    assert sorted(r.id for r in spark.read.parquet(tmp_dir + "/out").collect()) == list(range(103))
+
+
+def test_poll_stream_refuses_null_keys(spark, tmp_dir):
+    spark.sql("select cast(null as bigint) k").write.parquet(tmp_dir + "/src")
+    with pytest.raises(Exception, match="NULL"):
+        poll_stream(spark, tmp_dir + "/src", spark.read.parquet(tmp_dir + "/src").schema, "k", tmp_dir + "/out", tmp_dir + "/ck", available_now=True)
+
+
 def test_stream_dedup_and_fitted_statistics(spark, tmp_dir):
     from scour.operators import stats
     from scour.streaming import dedup_stream
