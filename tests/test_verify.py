@@ -59,3 +59,37 @@ def test_copy_table_overwrite_verifies(spark, tmp_dir):
     rows, ver = verify.copy_table(spark, {"type": "parquet", "path": src_path},
                                   {"type": "parquet", "path": tmp_dir + "/dst", "mode": "append"})
     assert rows == 50 and ver is None
+
+
+def rows_of(df):
+    return sorted((tuple(map(repr, r)) for r in df.collect()))
+
+
+def test_row_diff_by_buckets_is_the_row_diff(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(rng.choice([None, i, i % 7]), rng.choice([None, 0.0, -0.0, float("nan"), 1.5]), rng.choice(["a", "", None])) for i in range(400)]
+    a = spark.createDataFrame(rows, "k long, x double, s string")
+    changed = [(r[0], 0.0 if r[1] == 0 else r[1], r[2]) for r in rows[5:]] + [(9, 9.0, "new")] * 2 + rows[10:12]
+    b = spark.createDataFrame(changed, "k long, x double, s string").repartition(3)
+    want = rows_of(verify.row_diff(a, b, buckets=0))
+    assert want and rows_of(verify.row_diff(a, b)) == want == rows_of(verify.row_diff(a, b, buckets=4))
+    assert rows_of(verify.row_diff(a, a.repartition(5))) == []
+    other = b.withColumn("k", F.col("k").cast("int"))
+    assert rows_of(verify.row_diff(a, other)) == want
+    assert verify.differing_buckets(a, a.limit(0), a.columns, 8) and not verify.differing_buckets(a.limit(0), a.limit(0), a.columns)
+
+
+def test_only_differing_buckets_are_shuffled(spark, tmp_dir):
+    spark.range(20_000).selectExpr("id", "id % 10 as g").write.parquet(tmp_dir + "/a")
+    a = spark.read.parquet(tmp_dir + "/a")
+    b = a.withColumn("g", F.when(F.col("id") == 77, 99).otherwise(F.col("g")))
+    found = verify.differing_buckets(a, b, a.columns)
+    assert len(found) == 2
+    diff = verify.row_diff(a, b)
+    assert rows_of(diff) == [("'source_only'", "77", "7"), ("'target_only'", "77", "99")]
+    here = F.pmod(F.xxhash64("id", "g"), F.lit(verify.BUCKETS)).cast("int").isin(found)
+    assert a.where(here).count() < 10           # of 20 000 rows
+    plan = diff._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Union"):]
+    assert below.count("Filter") == 2 and "xxhash64" in below
