@@ -8,9 +8,17 @@ so later reads prune partitions.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import qcol
+
+# the functions tasks run travel with the job: executors need not have this package
+register_pickle_by_value(sys.modules[__name__])
 
 WRITE_MODES = ("append", "overwrite", "error", "errorifexists", "ignore")
 
@@ -39,8 +47,30 @@ def write_file(df: DataFrame, fmt: str, path: str, mode: str, *,
         raise ValueError(f"unsupported file format {fmt!r}; use csv, parquet or json")
 
 
-def export_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """Export as CSV with a header or as JSON records, one per line (K9)."""
+def export_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", *, lines: bool = True,
+                 single: bool = False) -> None:
+    """Export as CSV with a header or as JSON records (K9).
+
+    ``lines``: one record per line.  ``lines=False`` writes JSON arrays: each file holds one array of its task's
+    records, with NULLs spelled out; ``single`` makes that one file (and one task: for exports that a person reads).
+    """
     if fmt not in ("csv", "json"):
         raise ValueError("export format must be 'csv' or 'json'")
-    write_file(df, fmt, path, mode)
+    if single:
+        df = df.coalesce(1)
+    if fmt == "csv" or lines:
+        write_file(df, fmt, path, mode)
+        return
+    records = df.select(F.to_json(F.struct(*[qcol(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    def bracket(batches):
+        import pyarrow as pa
+        begun = False
+        for b in batches:
+            if b.num_rows:
+                rows = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([("," if begun or i else "[") + r for i, r in enumerate(rows)], pa.string())], ["value"])
+                begun = True
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"], pa.string())], ["value"])
+
+    records.mapInArrow(bracket, "value string").write.mode(check_mode(mode)).text(path)

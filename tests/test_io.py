@@ -156,3 +156,22 @@ def test_create_like_source_never_turns_an_overwrite_into_an_append():
     assert write_steps("overwrite", False, True) == [(False, "ignore", False), (True, "overwrite", True)]
     assert write_steps("append", False, True) == [(False, "ignore", False), (True, "append", False)]
     assert write_steps("error", False, True) == [(True, "error", False)]
+
+
+def test_json_array_export(spark, tmp_dir):
+    import json
+    import os
+    from scour.sinks import export_table
+    df = spark.createDataFrame([(1, None), (2, 'a "b"\n,'), (3, "é")], "k int, s string")
+    want = [{"k": 1, "s": None}, {"k": 2, "s": 'a "b"\n,'}, {"k": 3, "s": "é"}]
+
+    def arrays(path):
+        texts = [open(f"{path}/{f}").read() for f in sorted(os.listdir(path)) if f.startswith("part-")]
+        return [json.loads(t) for t in texts if t]
+
+    export_table(df.repartition(5, "k"), tmp_dir + "/many", "json", lines=False)
+    assert sorted((r for x in arrays(tmp_dir + "/many") for r in x), key=lambda r: r["k"]) == want
+    export_table(df, tmp_dir + "/one", "json", lines=False, single=True)
+    assert len(arrays(tmp_dir + "/one")) == 1 and sorted(arrays(tmp_dir + "/one")[0], key=lambda r: r["k"]) == want
+    export_table(df.limit(0), tmp_dir + "/none", "json", lines=False, single=True)
+    assert arrays(tmp_dir + "/none") in ([], [[]])
