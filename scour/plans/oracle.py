@@ -295,7 +295,24 @@ UNION ALL SELECT 'documents', count(*) FROM documents""",
 UNION ALL SELECT 'customer', 'c_custkey', count(*) FROM customer
 UNION ALL SELECT 'documents', 'doc_id', count(*) FROM documents""",
     "poll_increment": "SELECT event_id, user_id, event_type, value FROM events",
+    "edit_files": """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < low + 200 THEN 0.5 ELSE o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey < low + 200 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+FROM orders, (SELECT min(o_orderkey) AS low FROM orders) WHERE o_orderkey >= low + 50""",
+    "export_json_array": "SELECT c_custkey, c_name, c_nationkey FROM customer",
+    "poll_stream": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_dedup_ingest": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_first": """
+WITH RECURSIVE e AS (
+  SELECT event_id, ts, CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, event_type FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM e),
+k AS (
+  SELECT event_id, ts, user_id, event_type, i, ts AS last, true AS kept FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.event_id, n.ts, n.user_id, n.event_type, n.i,
+         CASE WHEN n.ts >= k.last + INTERVAL 36 HOURS THEN n.ts ELSE k.last END, n.ts >= k.last + INTERVAL 36 HOURS
+  FROM k JOIN n ON n.user_id IS NOT DISTINCT FROM k.user_id AND n.event_type = k.event_type AND n.i = k.i + 1)
+SELECT files, event_id, user_id, event_type FROM k CROSS JOIN (VALUES (1), (3), (7)) AS f(files) WHERE kept""",
     "page_after_ties": """SELECT event_id, user_id FROM events
 WHERE user_id > 20 OR (user_id = 20 AND event_id > 0) ORDER BY user_id, event_id LIMIT 500""",
     "page_deep": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets, truncate_text
-from ..operators import auditlog, cleaning, registry, stats, tables, verify
+from ..operators import auditlog, cleaning, edits, registry, stats, tables, verify
 from ..operators.quantiles import quantiles
 from ..session import scratch_path
 from ..sinks import copy_objects, export_table, verify_copy, write_file
 from ..sources import list_objects, read_csv, read_json, read_parquet, read_source, scan_data_dir
-from ..streaming import dedup_ingest, dedup_stream, file_stream, ingest, poll_table
+from ..streaming import dedup_ingest, dedup_stream, file_stream, ingest, poll_stream, poll_table
 from . import spec as specs
 
 R = 6                       # digits kept of floating results on both sides
@@ -370,6 +370,19 @@ def q_delete_rows(spark, d):
     return tables.delete_rows(_t(spark, d, "customer"), keys, "c_custkey")
 
 
+def q_edit_files(spark, d):
+    # a partitioned copy of orders, updated and then deleted from by key; the files without these keys stay as they are
+    path, orders = scratch_path(spark, "orders-stored"), _t(spark, d, "orders")
+    edits.store(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").repartitionByRange(4, "o_orderkey"), path, ["o_orderstatus"])
+    low = orders.agg(F.min("o_orderkey")).first()[0]
+    changes = orders.where(F.col("o_orderkey") < low + 200).select("o_orderkey", F.lit(0.5).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    one = edits.update_stored(spark, path, changes, "o_orderkey")
+    two = edits.delete_stored(spark, path, orders.where(F.col("o_orderkey") < low + 50).select("o_orderkey"), "o_orderkey")
+    if not (one.untouched and two.untouched):
+        raise AssertionError("an edit of a narrow range of keys rewrote every file")
+    return edits.read_stored(spark, path)
+
+
 def dirty_text(spark, d):
     e = _t(spark, d, "events")
     k = F.col("event_id") % 5
@@ -592,6 +605,12 @@ def q_export_json(spark, d):
     return read_json(spark, path, schema=src.schema).select("c_custkey", "c_name", "c_nationkey")
 
 
+def q_export_json_array(spark, d):
+    src, path = _t(spark, d, "customer"), scratch_path(spark, "customer-json-array")
+    export_table(src.repartition(3), path, "json", lines=False)
+    return read_json(spark, path, schema=src.schema, multiLine=True).select("c_custkey", "c_name", "c_nationkey")
+
+
 def q_explore(spark, d):
     report = stats.explore(events_with_nulls(spark, d).select("event_id", "event_type", "value"))
     rows = [(report["total_rows"], r["summary"], str(r["event_type"]) if r.get("event_type") is not None else None,
@@ -623,13 +642,43 @@ def q_poll_increment(spark, d):
     return read_parquet(spark, out, recursiveFileLookup=True).select("event_id", "user_id", "event_type", "value")
 
 
+def q_poll_stream(spark, d):
+    # half of the table, then, after a restart, the rest: every row once
+    src, out, ckpt = (scratch_path(spark, f"poll-stream-{x}") for x in ("in", "out", "ckpt"))
+    events = _t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    late = F.col("event_id") % 1000 >= 500
+    schema = events.schema
+    for part in (events.where(~late).withColumn("seq", F.col("event_id")), events.where(late).withColumn("seq", F.col("event_id") + 10_000_000)):
+        part.repartitionByRange(4, "seq").write.mode("append").parquet(src)
+        poll_stream(spark, src, part.schema, "seq", out, ckpt, available_now=True)
+    return read_parquet(spark, out).select(*schema.names)
+
+
 def q_stream_dedup_ingest(spark, d):
     out, ckpt = scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt")
     stream = file_stream(spark, d, "parquet", _t(spark, d, "events").schema, pattern="events.parquet")
-    dedup_ingest(stream, ["user_id", "event_type"], "ts", out, ckpt, delay="3650 days", available_now=True)
+    dedup_ingest(stream, ["user_id", "event_type"], "ts", out, ckpt, delay="3650 days", available_now=True, close=True)
     return read_parquet(spark, out, recursiveFileLookup=True).select("user_id", "event_type")
 
 
+def q_stream_first(spark, d):
+    # the same rows, with NULL keys, in one, three and seven files: the same rows are kept
+    events = _t(spark, d, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_type")
+    day = F.dayofmonth("ts")
+    out = None
+    for files in (1, 3, 7):
+        path, target, ckpt = (scratch_path(spark, f"first-{x}") for x in ("in", "out", "ckpt"))
+        for i in range(files):
+            events.where(F.floor((day - 1) * files / 31) == i).coalesce(1).write.mode("append").parquet(path)
+        stream = file_stream(spark, path, "parquet", events.schema, max_files_per_trigger=1)
+        dedup_ingest(stream, ["user_id", "event_type"], "ts", target, ckpt, delay="36 hours", lateness="1 hour", order=["event_id"],
+                     available_now=True, close=True)
+        rows = read_parquet(spark, target, recursiveFileLookup=True).select(F.lit(files).alias("files"), "event_id", "user_id", "event_type")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def q_audit_append(spark, d):
     entries = auditlog.sanitize_details(
         auditlog.filter_log(log_from_events(spark, d), action="task_failed"))
@@ -726,6 +775,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explore": q_explore,
     "poll_increment": q_poll_increment,
     "stream_dedup_ingest": q_stream_dedup_ingest,
+    "stream_first": q_stream_first,
+    "poll_stream": q_poll_stream,
+    "edit_files": q_edit_files,
+    "export_json_array": q_export_json_array,
     "nan_to_null": q_nan_to_null,
     "name_search": q_name_search,
     "new_only": q_new_only,
