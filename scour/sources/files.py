@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import qualified
 
@@ -21,6 +22,7 @@ FILE_SOURCE = "Local File"     # what the catalog shows as the source of a file
 # ------------------------------------------------------------------------------
 
 FILE_FORMATS = ("csv", "parquet", "json")
+SCHEMES = ("file:", "hdfs:", "s3:", "s3a:", "s3n:", "gs:", "gcs:")      # stores that tasks open themselves
 
 # the functions tasks run travel with the job: executors need not have this package
 register_pickle_by_value(sys.modules[__name__])
@@ -28,18 +30,23 @@ register_pickle_by_value(sys.modules[__name__])
 
 def read_csv(spark: SparkSession, path: str | list[str], *, header: bool = True,
              infer_schema: bool = True, schema=None, sampling_ratio: float | None = None,
-             multi_line: bool = True, **options) -> DataFrame:
+             multi_line: bool = True, split_bytes: int | None = None, **options) -> DataFrame:
     """CSV with a header row (S1); a UTF-8 byte-order mark is stripped.
 
-    Quoted values may hold delimiters, doubled quotes and line breaks.  Line
-    breaks in values make a file one task, since it cannot be cut at lines;
-    ``multi_line=False`` reads plain files, without such values, in splits.
+    Quoted values may hold delimiters, doubled quotes and line breaks.  A file beyond ``split_bytes`` (64 MB) is read by
+    byte ranges that know how many quotes came before them (``csvsplit``), given a ``schema`` or
+    ``infer_schema=False``; smaller files, and files whose quotes are not RFC 4180's, are one task each.
+    ``multi_line=False`` reads files without line breaks in values, in splits.
 
     ``infer_schema`` costs an extra pass over the files; at scale pass an
     explicit ``schema`` (or a ``sampling_ratio``) instead.  Without inference
     every column is a string, which the reference's Spark path did.
     """
     r = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"')
+    if multi_line and (schema is not None or not infer_schema) and isinstance(path, str):
+        got = _split_csv(spark, path, header, schema, split_bytes, options)
+        if got is not None:
+            return got
     if schema is not None:
         r = r.schema(schema)
     else:
@@ -49,6 +56,36 @@ def read_csv(spark: SparkSession, path: str | list[str], *, header: bool = True,
     return r.options(**options).csv(path)
 
 
+def _split_csv(spark: SparkSession, path: str, header: bool, schema, split_bytes: int | None, options: dict) -> DataFrame | None:
+    """The files read by ranges, where some are big and all can be; else None."""
+    from . import csvsplit
+    size = split_bytes or csvsplit.SPLIT_BYTES
+    base = qualified(spark, path)
+    if any(c in path for c in "*?[{") or not csvsplit.splittable(path, options) or not any(base.startswith(s) for s in SCHEMES):
+        return None
+    fs, p = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(base)
+    status = fs.getFileStatus(p)
+    one = status.isFile()
+    if one and status.getLen() <= size:
+        return None
+    listing = list_objects(spark, base.rsplit("/", 1)[0] if one else base, recursive=False)
+    name = F.col("Key")
+    listing = listing.where(name == base.rsplit("/", 1)[1]) if one else listing.where(~name.startswith("_") & ~name.startswith("."))
+    if not one and (not listing.where(F.col("Size") > size).limit(1).count()
+                    or listing.where(F.lower(name).rlike("|".join(s.replace(".", r"\.") + "$" for s in csvsplit.PACKED))).limit(1).count()):
+        return None
+    if schema is None:
+        plain = spark.read.option("header", header).option("multiLine", True).option("escape", '"').options(**options)
+        schema = plain.option("inferSchema", False).csv(path).schema
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = csvsplit.records(spark, listing, header=header, sep=str(options.get("sep", options.get("delimiter", ","))), split_bytes=size)
+    if rows is None:
+        return None
+    flat = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kind.fields))
+    parsed = rows.select(F.from_csv("value", flat, {"escape": '"', "multiLine": "true", **{k: str(v) for k, v in options.items()}}).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(f.name) for i, f in enumerate(kind.fields)])
+
+
 def read_parquet(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Parquet (S2): column pruning, predicate and partition pruning are Spark's."""
     paths = [path] if isinstance(path, str) else list(path)

@@ -175,3 +175,43 @@ def test_json_array_export(spark, tmp_dir):
     assert len(arrays(tmp_dir + "/one")) == 1 and sorted(arrays(tmp_dir + "/one")[0], key=lambda r: r["k"]) == want
     export_table(df.limit(0), tmp_dir + "/none", "json", lines=False, single=True)
     assert arrays(tmp_dir + "/none") in ([], [[]])
+
+
+ODD_CSV = [(1, "plain", "x"), (2, 'line\nbreak, "quoted"', None), (3, "\r\n", "é\n\n"), (4, ",,,", '"'), (5, "tail " * 50, "last\n"), (6, None, None), (7, " a ", "b")]
+
+
+@pytest.mark.parametrize("split", [7, 64, 1000])
+def test_csv_with_line_breaks_in_splits(spark, tmp_dir, split):
+    from scour.sinks import export_table
+    from scour.sources.files import read_csv
+    df = spark.createDataFrame([(i * 10 + k, a, b) for i in range(20) for k, a, b in ODD_CSV], "k int, a string, b string")
+    export_table(df.repartition(2), tmp_dir + "/csv", "csv")
+    whole = sorted(map(tuple, read_csv(spark, tmp_dir + "/csv", schema=df.schema).collect()), key=str)
+    got = read_csv(spark, tmp_dir + "/csv", schema=df.schema, split_bytes=split)
+    assert sorted(map(tuple, got.collect()), key=str) == whole and got.rdd.getNumPartitions() > 4
+    text = read_csv(spark, tmp_dir + "/csv", infer_schema=False, split_bytes=split)
+    assert text.columns == ["k", "a", "b"] and sorted(r.k for r in text.collect()) == sorted(str(r[0]) for r in whole)
+
+
+def test_csv_splits_leave_odd_quotes_to_the_whole_reader(spark, tmp_dir):
+    from scour.sources.files import read_csv
+    path = tmp_dir + "/odd.csv"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\ufeffk,a\r\n" + "".join(f'{i},5" disk {i}\r\n' for i in range(100)))
+    got = read_csv(spark, path, schema="k int, a string", split_bytes=50)
+    assert sorted((r.k, r.a) for r in got.collect()) == [(i, f'5" disk {i}') for i in range(100)]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\ufeff\"k\",a\r\n" + "".join(f'{i},"x\n{i}"\r\n' for i in range(100)) + '100,"no end of line"')
+    got = read_csv(spark, path, schema="k int, a string", split_bytes=50)
+    assert sorted((r.k, r.a) for r in got.collect()) == [*((i, f"x\n{i}") for i in range(100)), (100, "no end of line")]
+    assert got.rdd.getNumPartitions() > 4
+
+
+def test_documents_as_one_csv_file_in_many_tasks(spark, tmp_dir):
+    from scour.sinks import export_table
+    from scour.sources.files import read_csv
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    export_table(docs, tmp_dir + "/docs", "csv", single=True)
+    got = read_csv(spark, tmp_dir + "/docs", schema=docs.schema, split_bytes=200_000)
+    assert got.rdd.getNumPartitions() >= 8
+    assert sorted(map(tuple, got.collect())) == sorted((r.doc_id, r.text or None, r.lang, r.source, r.n_chars) for r in docs.collect())
