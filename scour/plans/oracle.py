@@ -285,6 +285,7 @@ t AS (SELECT 'supplier' AS copied, (SELECT count(*) FROM supplier) AS n
 SELECT copied, format, 'row_count' AS check_name, n AS rows, true AS ok FROM t, f
 UNION ALL SELECT copied, format, 'checksum', NULL, true FROM t, f""",
     "csv_documents": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
+    "csv_splits": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
     "file_query": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
     "export_json": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "explore": _explore(),

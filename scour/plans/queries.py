@@ -587,6 +587,14 @@ def q_copy_verify(spark, d):
     return out
 
 
+def q_csv_splits(spark, d):
+    # one file of whole documents, line breaks in its values, read by byte ranges
+    docs, path = _t(spark, d, "documents"), scratch_path(spark, "documents-one-csv")
+    export_table(docs, path, "csv", single=True)
+    rows = read_csv(spark, path, schema=docs.schema, split_bytes=1 << 20)
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
+
+
 def q_csv_documents(spark, d):
     # whole documents: quotes, delimiters, line breaks and blanks survive the way through CSV
     docs, path = _t(spark, d, "documents"), scratch_path(spark, "documents-csv")
@@ -778,6 +786,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_first": q_stream_first,
     "poll_stream": q_poll_stream,
     "edit_files": q_edit_files,
+    "csv_splits": q_csv_splits,
     "export_json_array": q_export_json_array,
     "nan_to_null": q_nan_to_null,
     "name_search": q_name_search,

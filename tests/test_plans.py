@@ -8,7 +8,7 @@ from scour.plans.queries import QUERIES
 from scour.operators import auditlog, cleaning
 
 SF = "/root/testdata/sf0.001"
-BYTE_MOVERS = {"object_copy"}          # mapInPandas streams object bytes on executors
+BYTE_MOVERS = {"object_copy", "csv_splits"}    # bytes of objects and of byte ranges, on the executors
 
 
 def physical(df) -> str:
