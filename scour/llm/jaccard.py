@@ -3,10 +3,10 @@
 The Jaccard distance of two documents' sets of word shingles is a metric.  The join
 
 1. puts equal sets together as one node;
-2. chooses pivots: nodes are grouped by several min-hashes, and a node that leads all
-   its groups is a pivot.  Every other node tries the pivots that lead its groups and goes
-   to the Voronoi region of the nearest, if that is within the region radius; a
-   node without such a pivot is a pivot itself.  The distance to the pivot is kept;
+2. chooses pivots: nodes are grouped by several min-hashes, and a node that is among the
+   first ``PIVOTS`` of all its groups is a pivot.  Every node is compared with the pivots
+   of its groups, and one that is none goes to the Voronoi region of the nearest, if that is
+   within the region radius; else it is a pivot itself.  The distance to the pivot is kept;
 3. finds the regions that may hold a link: two sets within the distance share a token of
    their prefixes (rarest shingles first) with enough tokens left behind it, so regions
    are paired by the prefix tokens of their members.  A region states a token once,
@@ -18,8 +18,8 @@ The Jaccard distance of two documents' sets of word shingles is a metric.  The j
 5. joins the boundary again by the same steps with a smaller radius, down to zero, where
    every node is its own region; there the pivots' distance is the pair's own.
 
-Nodes that links connect already need no further comparison, so later rounds look at
-pairs of different components only.  Every link that could connect two components is
+Nodes that links connect already need no further comparison, so only pairs of different
+components are looked at.  Every link that could connect two components is
 computed exactly, from whole sets.  The order of the prefix tokens comes from a count of
 all shingles in ``COUNTERS`` cells, which is what is sent to every task (one byte a cell,
 whatever the corpus); any order gives the same result, this one keeps common shingles
@@ -44,59 +44,33 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_heavy, materialize, small
 from .components import components
-from .linededup import Stretches
+from .words import Stretches, chunks
 
 WORDS, LEAST = 5, Fraction(4, 5)
-#: Min-hash groupings of a round, and the region radius of each round; the last must be 0.
-GROUPINGS, RADII = 4, (0.2, 0.05, 0.0)
+#: Min-hash groupings that choose pivots, pivots of a group, and the region radius of each round; the last must be 0.
+GROUPINGS, PIVOTS, RADII = 3, 8, (0.2, 0.05, 0.0)
 #: Cells that count shingles, and cells in a block of them.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
-#: Words hashed in one go, and distinct words a task remembers.
-CHUNK, KNOWN = 1 << 20, 1 << 20
 SLACK = 1e-9
 
 
-class Words(dict):
-    """Hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-def shingle_sets(texts: list, known: Words, k: int):
-    """(first place, sets) of runs of texts: the sorted distinct shingle hashes of each."""
-
-    def flush(first, words, sizes):
-        x = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def shingle_sets(texts: pa.Array, k: int):
+    """(first row, sets) of runs of rows: the sorted distinct shingle hashes of each."""
+    for first, sizes, x in chunks(texts, fold=True):
         parts = Stretches(x)
         whole = parts.at(np.arange(len(x) - k + 1), k) if len(x) >= k else np.zeros(0, np.uint64)
-        ends = np.cumsum(sizes)
         out = []
-        for n, z in zip(sizes, ends.tolist()):
+        for n, z in zip(sizes.tolist(), np.cumsum(sizes).tolist()):
             if n >= k:
                 out.append(np.unique(whole[z - n:z - k + 1]))
             else:
                 out.append(parts.at(np.array([z - n]), n) if n else np.zeros(0, np.uint64))
-        return first, out
-
-    words, sizes, first = [], [], 0
-    for i, t in enumerate(texts):
-        own = (t or "").encode().lower().split()
-        words += own
-        sizes.append(len(own))
-        if len(words) >= CHUNK:
-            yield flush(first, words, sizes)
-            words, sizes, first = [], [], i + 1
-    if sizes:
-        yield flush(first, words, sizes)
+        yield first, out
 
 
 def scatter(x: np.ndarray, j: int) -> np.ndarray:
@@ -123,14 +97,14 @@ class Join:
 
     def describe(self) -> DataFrame:
         """(id, th, node, again, n, keys) of every row, and the counts of the shingles' cells (block, counts)."""
-        k, seed, keys = self.k, self.seed, len(self.radii) * self.groupings
+        k, seed, keys = self.k, self.seed, max(1, (len(self.radii) - 1) * self.groupings)
         schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("again", pa.int64()), ("n", pa.int32()),
                             ("keys", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
 
         def run(batches):
-            known, counts = Words(), np.zeros(COUNTERS, np.int64)
+            counts = np.zeros(COUNTERS, np.int64)
             for b in batches:
-                for lo, sets in shingle_sets(b.column(2).to_pylist(), known, k):
+                for lo, sets in shingle_sets(b.column(2), k):
                     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                     np.add(counts, np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts)
                     n = np.array([len(s) for s in sets])
@@ -180,9 +154,8 @@ class Join:
         src = self.docs.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("at"))).select("node", "text")
 
         def run(batches):
-            known = Words()
             for b in batches:
-                for lo, sets in shingle_sets(b.column(1).to_pylist(), known, k):
+                for lo, sets in shingle_sets(b.column(1), k):
                     own = [s.tobytes() if len(s) and signed([xxhash.xxh3_64_intdigest(s.tobytes(), seed)])[0] == v else None
                            for s, v in zip(sets, b.column(0).slice(lo, len(sets)).to_pylist())]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sets)), pa.array(own, pa.binary())], ["node", "set"])
@@ -193,7 +166,7 @@ class Join:
         """(a, b, common, total) of ``pairs`` (a, b): sizes of intersection and union, exact."""
         ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
                            .select("node", "id", "th"), "jaccard-ends")
-        sets = materialize(self.sets(ends), "jaccard-sets")
+        sets = self.sets(ends)  # both joins read one exchange of it
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
@@ -219,22 +192,21 @@ class Join:
 
     # -- regions --------------------------------------------------------------------------
 
-    def candidates(self, nodes: DataFrame, depth: int) -> DataFrame:
-        """(a, b): nodes that lead not all of their groups, and the pivots among the leaders of these."""
-        lo = depth * self.groupings
-        own = nodes.select("node", F.posexplode(F.slice("keys", lo + 1, self.groupings)).alias("j", "low")) \
+    def candidates(self, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        """(node): the pivots among ``nodes`` that share a group; (a, b): nodes and the pivots of their groups."""
+        own = nodes.select("node", F.posexplode(F.slice("keys", depth * self.groupings + 1, self.groupings)).alias("j", "low")) \
             .select("node", F.xxhash64("j", "low").alias("key"))
         groups = materialize(own.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-groups")
         members = materialize(join_heavy(own, groups, "key", "size"), "jaccard-members")
         # the typical node of a group has the most company in its other groups as well
-        company = materialize(members.groupBy("node").agg(F.sum("size").alias("company")), "jaccard-company")
-        ranked = members.join(company.hint("merge"), "node")
-        leaders = materialize(ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"), F.count("*").alias("size"))
-                              .select("key", F.col("top.node").alias("leader"), "size"), "jaccard-leaders")
-        led = materialize(join_heavy(members.drop("size"), leaders, "key", "size").select("node", "leader"), "jaccard-led")
-        pivots = led.groupBy("node").agg(F.bool_and(F.col("leader") == F.col("node")).alias("leads")).where("leads") \
-            .select(F.col("node").alias("leader"))
-        return led.where("node <> leader").distinct().join(pivots, "leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        company = members.groupBy("node").agg(F.sum("size").alias("company"), F.count("*").alias("all"))
+        order = Window.partitionBy("key").orderBy(F.col("company").desc(), "node")  # cut to PIVOTS rows a key by every task
+        first = materialize(members.join(company.hint("merge"), "node").withColumn("rank", F.row_number().over(order))
+                            .where(F.col("rank") <= PIVOTS).select("key", "size", "node", "all"), "jaccard-first")
+        pivots = materialize(first.groupBy("node").agg(F.count("*").alias("n"), F.first("all").alias("all")).where("n = all").select("node"), "jaccard-pivots")
+        lists = materialize(first.join(pivots, "node").groupBy("key").agg(F.collect_list("node").alias("pivots"), F.first("size").alias("size")), "jaccard-lists")
+        tries = join_heavy(members.select("node", "key"), lists, "key", "size", members.count()).select("node", F.explode("pivots").alias("b"))
+        return pivots, tries.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
     def regions(self, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         """(node, region, away) of every node, and the links (a, b) found on the way."""
@@ -242,33 +214,43 @@ class Join:
         alone = nodes.select("node", F.col("node").alias("region"), F.lit(0.0).alias("away"))
         if not radius:
             return alone, nodes.sparkSession.createDataFrame([], "a long, b long")
-        tried = materialize(self.distances(self.candidates(nodes, depth), nodes), "jaccard-tried")
+        pivots, tries = self.candidates(nodes, depth)
+        tried = materialize(self.distances(tries, nodes).where(self.near()), "jaccard-tried")
         away = (1 - F.col("common") / F.col("total")).alias("away")
-        stars = tried.where(self.near()).select("a", "b", away).where(F.col("away") <= radius + SLACK) \
+        stars = tried.select("a", "b", away).where(F.col("away") <= radius + SLACK).join(pivots, F.col("a") == F.col("node"), "left_anti") \
             .groupBy("a").agg(F.min(F.struct("away", "b")).alias("s"))
         out = alone.select("node").join(stars, F.col("node") == F.col("a"), "left").select(
             "node", F.coalesce("s.b", "node").alias("region"), F.coalesce("s.away", F.lit(0.0)).alias("away"))
-        return materialize(out, "jaccard-regions"), tried.where(self.near()).select("a", "b")
+        return materialize(out, "jaccard-regions"), tried.select("a", "b")
 
-    def tokens(self, nodes: DataFrame, regions: DataFrame, levels: np.ndarray) -> DataFrame:
+    def tokens(self, described: DataFrame, nodes: DataFrame, regions: DataFrame, levels: np.ndarray, every: bool) -> DataFrame:
         """(w, region, lo, rem): the prefix tokens of each region's members, with the least size of a member that has it there
-        and the most tokens left from it on; sizes apart by more than a tenth are stated on their own."""
+        and the most tokens left from it on; sizes apart by more than a tenth are stated on their own.  ``every``: all
+        rows have a say, and only those of another node's region are looked up; else those of ``nodes``."""
         k, seed, least = self.k, self.seed, self.least
-        where = nodes.join(regions, "node").select("node", F.col("id").alias("rep"), F.col("th").alias("at"), "region")
-        src = self.docs.join(where.hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("at"))) \
+        if every:
+            told = described.where("node IS NOT NULL").select("node", "id", "th").join(regions.where("node <> region").hint("merge"), "node").distinct()
+        else:
+            told = nodes.select("node", "id", "th").join(regions, "node")
+        told = materialize(told.select(F.col("id").alias("rep"), F.col("th").alias("at"), "node", "region"), "jaccard-told")
+        src = self.docs.join(small(told), F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("at")), "left" if every else "inner") \
             .select("node", "region", "text")
 
         def run(batches):
-            known = Words()
             for b in batches:
-                for lo, sets in shingle_sets(b.column(2).to_pylist(), known, k):
+                for lo, sets in shingle_sets(b.column(2), k):
                     nodes, regions = (b.column(c).slice(lo, len(sets)).to_pylist() for c in (0, 1))
                     w, region, size, rem = [], [], [], []
-                    shared = len(set(regions)) < len(regions)
+                    shared = any(r is not None for r in regions)
                     for s, node, r in zip(sets, nodes, regions):
                         n = len(s)
-                        if not n or signed([xxhash.xxh3_64_intdigest(s.tobytes(), seed)])[0] != node:
+                        if not n:
                             continue
+                        own = int(signed([xxhash.xxh3_64_intdigest(s.tobytes(), seed)])[0])
+                        if own != node:
+                            if not every:
+                                continue
+                            r = own
                         first = np.lexsort((s, levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n - math.ceil(least * n) + 1]
                         w.append(s[first])
                         region.append(np.full(len(first), r, np.int64))
@@ -288,24 +270,24 @@ class Join:
 
         return src.mapInArrow(run, "w long, region long, lo int, rem int")
 
-    def met(self, tokens: DataFrame, comps: DataFrame | None) -> DataFrame:
+    def met(self, tokens: DataFrame, comps: DataFrame) -> DataFrame:
         """(a, b): pairs of regions, of different components, that share a token with enough left behind it."""
-        from pyspark.sql import Window
-
-        if comps is None:
-            side, told = "region", tokens
-        else:
-            side = "comp"
-            told = tokens.join(comps.select(F.col("node").alias("region"), "comp").hint("merge"), "region")
         every = Window.partitionBy("w")
-        shared = materialize(told.withColumn("from", F.min(side).over(every)).withColumn("to", F.max(side).over(every))
+        shared = materialize(tokens.withColumn("from", F.min("region").over(every)).withColumn("to", F.max("region").over(every))
                              .where(F.col("from") != F.col("to")).drop("from", "to"), "jaccard-shared")
+        told = materialize(shared.join(comps.select(F.col("node").alias("region"), "comp").hint("merge"), "region"), "jaccard-told")
         p, q = self.least.numerator, self.least.denominator
-        x, y = shared.alias("x"), shared.alias("y")
+        x, y = told.alias("x"), told.alias("y")
         enough = (p + q) * F.least("x.rem", "y.rem") >= p * (F.col("x.lo") + F.col("y.lo"))
-        pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col(f"x.{side}") < F.col(f"y.{side}")) & enough)
+        pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & enough)
         return pairs.select(F.least("x.region", "y.region").alias("a"), F.greatest("x.region", "y.region").alias("b")).distinct()
 
+    def components(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, comp) of all ``nodes``."""
+        linked = components(links).toDF("linked", "root")
+        return materialize(nodes.select("node").join(linked, F.col("node") == F.col("linked"), "left")
+                           .select("node", F.coalesce("root", "node").alias("comp")), "jaccard-comps")
+
     def boundary(self, apart: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
         """(node): members of regions whose pivots lie ``apart`` (a, b, away) within the windows, components being different."""
         reach = regions.groupBy("region").agg(F.max("away").alias("reach"))
@@ -331,16 +313,18 @@ class Join:
                 break
             self.seed += 2  # two sets agree in their first digest
         levels = self.levels(described)
-        links, comps, left = None, None, nodes.select("node", "id", "th", "keys")
+        left, links, comps = nodes.select("node", "id", "th", "keys"), nodes.sparkSession.createDataFrame([], "a long, b long"), None
         for depth in range(len(self.radii)):
             regions, found = self.regions(left, depth)
-            pairs = materialize(self.met(self.tokens(left, regions, levels), comps), f"jaccard-pairs-{depth}")
+            if self.radii[depth]:
+                links = materialize(links.union(found), "jaccard-links")
+                comps = self.components(nodes, links)
+            elif comps is None:
+                comps = nodes.select("node", F.col("node").alias("comp"))
+            pairs = materialize(self.met(self.tokens(described, left, regions, levels, depth == 0), comps), f"jaccard-pairs-{depth}")
             measured = materialize(self.distances(pairs, left), f"jaccard-distances-{depth}")
-            found = found.union(measured.where(self.near()).select("a", "b"))
-            links = materialize(found if links is None else links.union(found), "jaccard-links")
-            linked = components(links).toDF("linked", "root")
-            comps = materialize(nodes.select("node").join(linked, F.col("node") == F.col("linked"), "left")
-                                .select("node", F.coalesce("root", "node").alias("comp")), "jaccard-comps")
+            links = materialize(links.union(measured.where(self.near()).select("a", "b")), "jaccard-links")
+            comps = self.components(nodes, links)
             if depth + 1 < len(self.radii):
                 apart = measured.where(~self.near()).select("a", "b", (1 - F.col("common") / F.col("total")).alias("away"))
                 edge = materialize(self.boundary(apart, regions, comps), "jaccard-boundary")

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scour.llm import jaccard as J
 from scour.llm import queries
+from scour.llm import words as W
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,7 +69,7 @@ def family(rng, n, words, edits, vocabulary=400):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_near_copies_at_every_distance(spark, seed):
     rng = random.Random(seed)
     texts = []
@@ -86,7 +88,7 @@ def test_near_copies_at_every_distance(spark, seed):
     rows = [(rng.choice([None, i, i, i, i // 3]), t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("id", F.lit(1)).repartition(6)
     want = brute(rows)
-    radii = [J.RADII, (0.2, 0.1, 0.05, 0.0), (0.0,), (0.1, 0.0)][seed]
+    radii = [J.RADII, (0.0,), (0.1, 0.0)][seed]
     assert rows_of(J.near_duplicates(df, radii=radii)) == want
     assert len({c for _, _, c in want}) < len(want) - 50
 
@@ -108,8 +110,8 @@ def test_empty(spark):
 
 
 def test_sets_of_a_chunk_are_those_of_each_text(monkeypatch):
-    monkeypatch.setattr(J, "CHUNK", 10)
+    monkeypatch.setattr(W, "CHUNK", 10)
     texts = ["a b c d e f", None, "a b", "a b c d e f g", "", "A B c D e F"]
-    got = [s for _, sets in J.shingle_sets(texts, J.Words(), 5) for s in sets]
+    got = [s for _, sets in J.shingle_sets(pa.array(texts), 5) for s in sets]
     assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
     assert np.array_equal(got[0], got[5]) and np.isin(got[0], got[3]).all()
