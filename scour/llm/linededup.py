@@ -1,106 +1,63 @@
 """Line dedup by pairwise alignment: blocks that an earlier document has leave the later one.
 
-A document is a sequence of words.  A *window* is ``MIN_WORDS`` words in a row; a word
-is deleted exactly if it lies in a window that an earlier document (smaller id) has,
-wherever lines and sentences end.  Windows are hashed, never sampled.
-
-1. Runs: the rarest-looking gram of a window (the least hash of its ``gram_words``
-   word grams) depends on the window alone, so equal windows agree on it.  Neighbouring
-   windows with the same gram make one run, a row with the gram, the hash of the run's
-   words and its place.  Grams that one document alone has are done with.
-2. A run that an earlier document has word for word is copied as a whole.  Of every
-   other run the first holder is left; where a gram has several different runs, the
-   windows of these are compared one by one, with their texts at hand.
-3. Alignment: every hit names the first holder (never all holders, so a passage that a
-   third of all documents share makes one pair per document).  The hits of a pair that
-   touch on one diagonal are merged and aligned by patience diff; what crosses the
-   alignment, because it was moved or repeated, counts as it is.  All hits end up in
-   blocks: the result is their union.
-4. The blocks' words, with the blanks that follow them, are deleted from the later
-   document.
+A document is a sequence of words.  A *window* is ``MIN_WORDS`` words in a row.
+
+1. Anchors: the least hash of a window's ``gram_words`` word grams depends on the window
+   alone, so equal windows agree on it.  Neighbouring windows with the same gram make one
+   run, a row with the gram, the hash of the run's words and its place.  Grams that one
+   document alone has are done with.
+2. Hits: a run that an earlier document has word for word is one.  Of every other run the
+   first holder is left; where a gram has several different runs, the windows of these are
+   compared one by one, with their texts at hand.  Every hit names the first holder (never
+   all holders, so a passage that a third of all documents share makes one pair per document).
+3. Alignment: the hits of a pair that touch on one diagonal are merged, and patience
+   picks the blocks that stand in the same order in both documents.  What crosses the
+   alignment, because it was moved or repeated, counts as it is.
+4. Gaps: between two aligned blocks the two documents' words are compared with each other,
+   again by patience, now over their grams of ``gram_words`` words; common blocks of so many
+   words and more are aligned too.  Only these stretches of the earlier document travel,
+   in segments that all its partners share.
+5. All aligned words, with the blanks that follow them, are deleted from the later document.
+
+So a word is deleted if it lies in a window that an earlier document has, wherever lines
+and sentences end, or in a shorter block that lies between two aligned ones in both.
+A hash that a large share of all rows has is joined without a shuffle of its rows
+(``join_heavy``).
 
 Edge cases: null and empty texts have no words and stay as they are; documents
 under MIN_WORDS words are never touched; rows that share an id are one document
 (not compared with each other, repeated rows get the same result), rows without
 an id come last and count as one document as well; an empty table gives no rows;
-further columns are carried along.  Ids are integers.
+further columns, whatever their names, are carried along as one struct (``doc_id`` and ``text`` must differ).  Ids are integers.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import free_names, join_heavy, materialize
+from .words import Stretches, chunks, hashes, words_of
 
 MIN_WORDS = 20
-#: A line ends after a line break, or after the blanks that follow a sentence end.
-LINE_END = re.compile("[.?…][ \t]+|\n")
 NO_ID = (1 << 63) - 1
-
-
-def lines(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Starts of the lines that hold words (and the text's length), words of each, hash of each."""
-    starts, words, hashes, a = [], [], [], 0
-    digest = xxhash.xxh3_64_intdigest
-    for b in [m.end() for m in LINE_END.finditer(text)] + [len(text)]:
-        w = text[a:b].split()
-        if w:
-            starts.append(a)
-            words.append(len(w))
-            hashes.append(digest(" ".join(w)))
-        a = b
-    return [*starts, len(text)], np.array(words, np.int64), np.array(hashes, np.uint64)
-
-
-WORD = re.compile(r"\S+")
-#: Words hashed in one go, and distinct words a task remembers.
-CHUNK, KNOWN = 1 << 20, 1 << 20
-STEP = 0x9E3779B97F4A7C15
-BACK = pow(STEP, -1, 1 << 64)
-
-
-class Hashes(dict):
-    """Hash of each word, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+#: Words of a segment in which an earlier document's words travel.
+SEGMENT = 64
+#: Classes of grams in the sieve (8 MB).
+SIEVE = 1 << 26
 
 
 def gram_words(least: int) -> int:
+    """Words of an anchor gram, and of the shortest block that counts between two aligned ones."""
     return max(1, 2 * least // 5)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class Stretches:
-    """Hashes of any stretches of a word sequence, by prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, x: np.ndarray):
-        power = np.full(len(x) + 1, STEP, np.uint64)
-        power[0] = 1
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(power)[:-1], dtype=np.uint64)])
-        power[1:] = BACK
-        self.back = np.cumprod(power)
-
-    def at(self, a: np.ndarray, n) -> np.ndarray:
-        """Hashes of the n words from each of the places a."""
-        return mix((self.sums[a + n] - self.sums[a]) * self.back[a] + np.asarray(n).astype(np.uint64))
-
-
 def runs(x: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share their least gram, of documents laid end to end: document, first window's word,
     windows, gram, hash of all words."""
@@ -128,71 +85,94 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def run_rows(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """(g, h, d, t, pos, n) of every run: its gram, the hash of its words, its document and the hash of its text,
-    place and number of words."""
-    src = docs.select("__d", "__t", text)
+def gram_rows(docs: DataFrame, least: int) -> DataFrame:
+    """(g, d, runs): the least grams of the windows of ``docs`` (d, t, text), once a document, and the runs that have them."""
 
     def run(batches):
-        known = Hashes()
+        for b in batches:
+            for first, sizes, x in chunks(b.column(1)):
+                doc, _, _, gram, _ = runs(x, sizes, least)
+                at = np.lexsort((gram, doc))
+                doc, gram = doc[at], gram[at]
+                fresh = np.ones(len(doc), bool)
+                fresh[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+                at = np.flatnonzero(fresh)
+                yield pa.RecordBatch.from_arrays([signed(gram[at]), b.column(0).take(pa.array(doc[at] + first)),
+                                                  pa.array(np.diff(at, append=len(doc)).astype(np.int32))], ["g", "d", "runs"])
+
+    return docs.select("d", "text").mapInArrow(run, "g long, d long, runs int")
 
-        def flush(b, at, words, sizes):
-            doc, pos, n, gram, whole = runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(sizes), least)
-            at = pa.array(np.array(at, np.int64)[doc])
-            return pa.RecordBatch.from_arrays(
-                [signed(gram), signed(whole), b.column(0).take(at), b.column(1).take(at), pa.array(pos.astype(np.int32)),
-                 pa.array((n + least - 1).astype(np.int32))], ["g", "h", "d", "t", "pos", "n"])
 
+def sieve(grams: DataFrame) -> np.ndarray:
+    """One bit for each of ``SIEVE`` classes of grams: whether a gram of the class is among ``grams``.
+
+    Its size is fixed.  What passes it is joined with the grams all the same, so a crowded sieve costs rows and changes none.
+    """
+    place = F.col("g").bitwiseAND(F.lit(SIEVE - 1)) + 1
+    bits = grams.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for r in bits.collect():
+        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def run_rows(docs: DataFrame, least: int, wanted: np.ndarray) -> DataFrame:
+    """(g, h, d, t, pos, n) of every run of ``docs`` (d, t, text) whose gram passes the sieve: its gram, the hash of its
+    words, its document and the hash of its text, place and number of words."""
+
+    def run(batches):
         for b in batches:
-            at, words, sizes = [], [], []
-            for i, t in enumerate(b.column(2)):
-                own = (t.as_py() or "").split()
-                if len(own) >= least:
-                    at.append(i)
-                    sizes.append(len(own))
-                    words += own
-                if len(words) >= CHUNK:
-                    yield flush(b, at, words, sizes)
-                    at, words, sizes = [], [], []
-            if at:
-                yield flush(b, at, words, sizes)
-
-    return src.mapInArrow(run, "g long, h long, d long, t long, pos int, n int")
-
-
-def window_rows(docs: DataFrame, text: str, places: DataFrame, least: int) -> DataFrame:
+            for first, sizes, x in chunks(b.column(2)):
+                doc, pos, n, gram, whole = runs(x, sizes, least)
+                place = (gram & np.uint64(SIEVE - 1)).astype(np.int64)
+                some = np.flatnonzero((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                at = pa.array(doc[some] + first)
+                yield pa.RecordBatch.from_arrays(
+                    [signed(gram[some]), signed(whole[some]), b.column(0).take(at), b.column(1).take(at), pa.array(pos[some].astype(np.int32)),
+                     pa.array((n[some] + least - 1).astype(np.int32))], ["g", "h", "d", "t", "pos", "n"])
+
+    return docs.select("d", "t", "text").mapInArrow(run, "g long, h long, d long, t long, pos int, n int")
+
+
+def window_rows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """(h, d, t, pos, n) of every window in the runs ``places`` (d, t, pos, n)."""
-    lists = places.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    src = (docs.select("__d", "__t", text).join(lists.hint("merge"), (F.col("__d") == F.col("d")) & (F.col("__t") == F.col("t")))
-           .select("d", "t", F.col(text).alias("text"), "runs"))
+    lists = places.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs")).toDF("d1", "t1", "runs")
+    src = docs.join(lists.hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1"))).select("d", "t", "text", "runs")
 
     def run(batches):
-        known = Hashes()
         for b in batches:
             flat = b.column(3).flatten()
-            pos, n = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            pos, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in flat.flatten())
             ends = np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))
-            for i, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
-                words = b.column(2)[i].as_py().split()
-                parts = Stretches(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-                at = np.unique(np.concatenate([np.arange(a, a + m - least + 1) for a, m in zip(pos[lo:hi].tolist(), n[lo:hi].tolist())]))
-                row = pa.array(np.full(len(at), i))
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends, prepend=0))
+            windows = n - least + 1
+            row = np.repeat(row, windows)
+            at = np.repeat(pos - np.cumsum(windows) + windows, windows) + np.arange(len(row))
+            for first, sizes, x in chunks(b.column(2)):
+                lo, hi = np.searchsorted(row, [first, first + len(sizes)])
+                own = np.unique((row[lo:hi] << 40) + at[lo:hi])
+                r, p = own >> 40, own & (1 << 40) - 1
+                starts = np.cumsum(sizes) - sizes
+                h = Stretches(x).at(starts[r - first] + p, least)
+                r = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(parts.at(at, least)), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)),
-                     pa.array(np.full(len(at), least, np.int32))], ["h", "d", "t", "pos", "n"])
+                    [signed(h), b.column(0).take(r), b.column(1).take(r), pa.array(p.astype(np.int32)),
+                     pa.array(np.full(len(p), least, np.int32))], ["h", "d", "t", "pos", "n"])
 
     return src.mapInArrow(run, "h long, d long, t long, pos int, n int")
 
 
 def holders(rows: DataFrame, *keep: str) -> DataFrame:
-    """The first document (a) that holds each hash, its place there (other) and the last document (z)."""
-    return (rows.groupBy("h", *keep).agg(F.min(F.struct("d", "t", "pos")).alias("one"), F.max("d").alias("z"))
-            .select("h", *keep, F.col("one.d").alias("a"), F.col("one.pos").alias("other"), "z"))
+    """The first document (a, ta) that holds each hash, its place there (other), the last document (z), and the rows (weight)."""
+    return (rows.groupBy("h", *keep).agg(F.min(F.struct("d", "t", "pos")).alias("one"), F.max("d").alias("z"), F.count("*").alias("weight"))
+            .select("h", *keep, F.col("one.d").alias("a"), F.col("one.t").alias("ta"), F.col("one.pos").alias("other"), "z", "weight"))
 
 
 def later(rows: DataFrame, first: DataFrame) -> DataFrame:
     """Hits: the rows whose hash an earlier document has."""
-    return rows.join(first.where("a < z").select("h", "a", "other"), "h").where("d > a").select("d", "t", "a", "pos", "other", "n")
+    known = first.where("a < z").select("h", "a", "ta", "other", "weight")
+    return join_heavy(rows.select("h", "d", "t", "pos", "n"), known, "h", "weight", rows.count()).where("d > a") \
+        .select("d", "t", "a", "ta", "pos", "other", "n")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -214,44 +194,69 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def merge(doc: np.ndarray, a: np.ndarray, pos: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def merge(doc: np.ndarray, a: np.ndarray, ta: np.ndarray, pos: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """The hits with those that touch on one diagonal of a pair made one, by document and partner."""
-    order = np.lexsort((pos, other - pos, a, doc))
-    doc, a, pos, other, n = (x[order].astype(np.int64) for x in (doc, a, pos, other, n))
+    order = np.lexsort((pos, other - pos, ta, a, doc))
+    doc, a, ta, pos, other, n = (x[order].astype(np.int64) for x in (doc, a, ta, pos, other, n))
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (np.diff(doc) != 0) | (np.diff(a) != 0) | (np.diff(other - pos) != 0)
+    fresh[1:] = (np.diff(doc) != 0) | (a[1:] != a[:-1]) | (ta[1:] != ta[:-1]) | (np.diff(other - pos) != 0)
     group = np.cumsum(fresh) << 32
     reach = np.maximum.accumulate(group + pos + n) - group
     fresh[1:] |= pos[1:] > reach[:-1]
     at = np.flatnonzero(fresh)
     stop = reach[np.append(at[1:], len(doc)) - 1] if len(at) else reach
-    return doc[at], a[at], pos[at], other[at], stop - pos[at]
-
-
-def align(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Common blocks (own first, own last + 1, other first) from anchors (own, other, length) of one pair."""
-    left, blocks = sorted(set(found)), []
-    if left:
-        # own positions must rise as well: of several runs at one place the longest speaks
-        best: dict[int, tuple[int, int, int]] = {}
-        for p in left:
-            if p[0] not in best or p[2] > best[p[0]][2]:
-                best[p[0]] = p
-        row = list(best.values())
-        chosen = [row[i] for i in patience([(a, y) for a, y, _ in row])]
-        merged: list[list[int]] = []
-        for a, y, n in chosen:
-            if merged and a <= merged[-1][1] and y - a == merged[-1][2] - merged[-1][0]:
-                merged[-1][1] = max(merged[-1][1], a + n)
-            else:
-                merged.append([a, a + n, y])
-        blocks += [(a, z, y) for a, z, y in merged]
-        covered = np.zeros(max(a + n for a, _, n in left) + 1, bool)
-        for a, z, _ in merged:
-            covered[a:z] = True
-        # what crosses the alignment, because it was moved or repeated, counts as it is
-        blocks += [(a, a + n, y) for a, y, n in left if not covered[a:a + n].all()]
-    return blocks
+    return doc[at], a[at], ta[at], pos[at], other[at], stop - pos[at]
+
+
+def align(found: list[tuple[int, int, int]], gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """From the merged hits (own, other, length) of one pair: the own ranges (first, last + 1) that the other document
+    has, and the gaps (own range, other's range) of ``gap`` words and more between consecutive aligned blocks."""
+    row = sorted(set(found))
+    # own positions must rise as well: of several hits at one place the longest speaks
+    best: dict[int, tuple[int, int, int]] = {}
+    for p in row:
+        if p[0] not in best or p[2] > best[p[0]][2]:
+            best[p[0]] = p
+    row = list(best.values())
+    gaps = []
+    chosen = [row[i] for i in patience([(x, y) for x, y, _ in row])]
+    for (x, y, n), (x2, y2, _) in zip(chosen, chosen[1:]):
+        if x2 - x - n >= gap and y2 - y - n >= gap:
+            gaps.append((x + n, x2, y + n, y2))
+    return [(x, x + n) for x, _, n in found], gaps
+
+
+def gap_blocks(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Own ranges of the blocks of ``k`` words and more that patience aligns between the word hashes of a gap."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    if len(x) < k or len(y) < k:
+        return out
+    gx, gy = (Stretches(v).at(np.arange(len(v) - k + 1), k) for v in (x, y))
+    while todo:
+        a, b, c, d = todo.pop()
+        if b - a < k or d - c < k:
+            continue
+        (u, at, n), (v, other, m) = (np.unique(g, return_index=True, return_counts=True) for g in (gx[a:b - k + 1], gy[c:d - k + 1]))
+        common, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        once = (n[i] == 1) & (m[j] == 1)
+        pairs = sorted(zip((at[i[once]] + a).tolist(), (other[j[once]] + c).tolist()))
+        ends = [(a, c)]
+        for p, q in [pairs[i] for i in patience(pairs)]:
+            lo, hi = ends[-1]
+            if p < lo or q < hi:
+                continue  # inside the block before
+            s = p, q
+            while s[0] > lo and s[1] > hi and x[s[0] - 1] == y[s[1] - 1]:
+                s = s[0] - 1, s[1] - 1
+            e = p + k, q + k
+            while e[0] < b and e[1] < d and x[e[0]] == y[e[1]]:
+                e = e[0] + 1, e[1] + 1
+            out.append((s[0], e[0]))
+            todo.append((lo, s[0], hi, s[1]))
+            ends.append(e)
+        if len(ends) > 1:
+            todo.append((ends[-1][0], b, ends[-1][1], d))
+    return out
 
 
 def ranges(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,78 +270,161 @@ def ranges(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def copied_blocks(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """(d, t, cuts): the words (first, last + 1, flat) to delete from each document that repeats an earlier one."""
-    rows = materialize(run_rows(docs, text, least), "lines-runs")
-    shared = materialize(rows.groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("g"), "lines-shared")
-    rows = materialize(rows.join(shared, "g"), "lines-candidates")
-    first = materialize(holders(rows, "g"), "lines-holders")
-    # grams whose runs differ: only there a window can be shared without its run
-    mixed = first.groupBy("g").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("g")
-    places = rows.join(first.join(mixed, "g").select("h", "a"), "h").where("d = a").select("d", "t", "pos", "n")
-    windows = materialize(window_rows(docs, text, places, least), "lines-windows")
-    hits = later(rows, first).unionByName(later(windows, holders(windows)))
-    per_doc = hits.groupBy("d", "t").agg(F.collect_list(F.struct("a", "pos", "other", "n")).alias("hits"))
+def aligned(hits: DataFrame, least: int) -> DataFrame:
+    """(d, t, cuts, gaps): the words of each document that first holders have (first, last + 1, flat), and the gaps to compare."""
+    per_doc = hits.groupBy("d", "t").agg(F.collect_list(F.struct("a", "ta", "pos", "other", "n")).alias("hits"))
+    k = gram_words(least)
+    gap_type = pa.list_(pa.struct([("a", pa.int64()), ("ta", pa.int64()), *((c, pa.int32()) for c in ("i", "j", "from", "to"))]))
 
     def run(batches):
         for b in batches:
             sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             fields = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
-            doc, a, pos, other, n = merge(np.repeat(np.arange(len(sizes)), sizes), *fields)
+            doc, a, ta, pos, other, n = merge(np.repeat(np.arange(len(sizes)), sizes), *fields)
             own: list[list[tuple[int, int]]] = [[] for _ in sizes]
-            at = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(a) != 0))) if len(doc) else doc
+            gaps: list[list[tuple]] = [[] for _ in sizes]
+            at = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (a[1:] != a[:-1]) | (ta[1:] != ta[:-1]))) if len(doc) else doc
             for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(doc)]):
-                own[doc[lo]] += [x[:2] for x in align(list(zip(pos[lo:hi].tolist(), other[lo:hi].tolist(), n[lo:hi].tolist())))]
-            cuts = [[x for r in ranges(o) for x in r] for o in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.int32()))], ["d", "t", "cuts"])
-
-    return per_doc.mapInArrow(run, "d long, t long, cuts array<int>")
+                i = doc[lo]
+                if hi == lo + 1:
+                    own[i].append((int(pos[lo]), int(pos[lo] + n[lo])))
+                    continue
+                blocks, between = align(list(zip(pos[lo:hi].tolist(), other[lo:hi].tolist(), n[lo:hi].tolist())), k)
+                own[i] += blocks
+                gaps[i] += [(int(a[lo]), int(ta[lo]), *g) for g in between]
+            cuts = [ranges(o) for o in own]
+            # a gap that other partners' blocks cover has nothing left to find
+            gaps = [[dict(zip(("a", "ta", "i", "j", "from", "to"), g)) for g in gs if not any(x <= g[2] and g[3] <= z for x, z in c)]
+                    for gs, c in zip(gaps, cuts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[x for r in c for x in r] for c in cuts], pa.list_(pa.int32())),
+                                              pa.array(gaps, gap_type)], ["d", "t", "cuts", "gaps"])
+
+    return per_doc.mapInArrow(run, "d long, t long, cuts array<int>, gaps array<struct<a long, ta long, i int, j int, from int, to int>>")
+
+
+def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, weight, words) of the ``wanted`` (key: a, ta and seg; weight): the word hashes of an earlier document's segments."""
+    lists = wanted.groupBy("key.a", "key.ta").agg(F.collect_list(F.struct("key.seg", "weight")).alias("segs"))
+    src = docs.join(lists.hint("merge"), (F.col("d") == F.col("a")) & (F.col("t") == F.col("ta"))).select("a", "ta", "text", "segs") \
+        .dropDuplicates(["a", "ta"])
 
-
-def cut(text: str, cuts: list[int]) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the words cut, the deleted spans in code points, and the words deleted."""
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    def run(batches):
+        for b in batches:
+            for first, sizes, x in chunks(b.column(2)):
+                starts, out = np.cumsum(sizes) - sizes, []
+                for i, n in enumerate(sizes.tolist()):
+                    own = x[starts[i]:starts[i] + n]
+                    for s in b.column(3)[first + i].as_py():
+                        out.append((i + first, s["seg"], s["weight"], own[s["seg"] * SEGMENT:(s["seg"] + 1) * SEGMENT].tobytes()))
+                row, seg, weight, words = zip(*out) if out else ((),) * 4
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(seg, pa.int32()),
+                                                  pa.array(weight, pa.int64()), pa.array(words, pa.binary())], ["a", "ta", "seg", "weight", "words"])
+
+    return src.mapInArrow(run, "a long, ta long, seg int, weight long, words binary") \
+        .select(F.struct("a", "ta", "seg").alias("key"), "weight", "words")
+
+
+def gap_words(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(d, t, parts): for each document with gaps, the stretches of other documents to compare them with, in segments."""
+    asked = blocks.where(F.size("gaps") > 0).select("d", "t", F.posexplode("gaps").alias("no", "g")).select(
+        "d", "t", "no", "g.*", F.explode(F.sequence(F.floor(F.col("g.from") / SEGMENT).cast("int"), F.floor((F.col("g.to") - 1) / SEGMENT).cast("int"))).alias("seg"))
+    asked = materialize(asked.select(F.struct("a", "ta", "seg").alias("key"), "d", "t", "no", "i", "j", "from", "to", "seg"), "lines-gaps")
+    wanted = asked.groupBy("key").agg(F.count("*").alias("weight"))
+    found = materialize(segments(docs, wanted), "lines-segments")
+    return join_heavy(asked, found, "key", "weight", asked.count()).groupBy("d", "t").agg(
+        F.collect_list(F.struct("no", "seg", "i", "j", "from", "to", "words")).alias("parts"))
+
+
+def copied_blocks(docs: DataFrame, least: int) -> DataFrame:
+    """(d, t, cuts, parts) of each of ``docs`` (d, t, text) that repeats earlier ones: the words to delete (first, last + 1,
+    flat), and what its gaps are to be compared with."""
+    shared = materialize(gram_rows(docs, least).groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.sum("runs").alias("weight"))
+                         .where("a < z").select("g", "weight"), "lines-grams")
+    rows = materialize(run_rows(docs, least, sieve(shared)), "lines-runs")
+    rows = materialize(join_heavy(rows, shared, "g", "weight", rows.count()).drop("weight"), "lines-candidates")
+    first = materialize(holders(rows, "g"), "lines-holders")
+    # grams whose runs differ: only there a window can be shared without its run
+    mixed = first.groupBy("g").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("g")
+    some = materialize(first.join(mixed, "g").select("h", "a", "weight"), "lines-mixed")
+    places = join_heavy(rows, some, "h", "weight", rows.count()).where("d = a").select("d", "t", "pos", "n")
+    windows = materialize(window_rows(docs, places, least), "lines-windows")
+    whole = materialize(holders(windows).where("a < z"), "lines-windows-held")
+    blocks = materialize(aligned(later(rows, first).unionByName(later(windows, whole)), least), "lines-blocks")
+    parts = gap_words(docs, blocks).toDF("d2", "t2", "parts")
+    return blocks.drop("gaps").join(parts.hint("merge"), (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2")), "left") \
+        .select("d", "t", "cuts", "parts")
+
+
+def cut(raw: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]], int]:
+    """The UTF-8 text without the words cut, the deleted spans in code points, and the words deleted."""
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.append(words_of(data, np.array([0, len(data)]))[0], len(data))
     starts[0] = 0
-    spans = [(starts[a], starts[z]) for a, z in zip(cuts[::2], cuts[1::2])]
-    gone = sum(z - a for a, z in zip(cuts[::2], cuts[1::2]))
+    spans = [(int(starts[a]), int(starts[z])) for a, z in cuts]
     kept, last = [], 0
     for a, z in spans:
-        kept.append(text[last:a])
+        kept.append(raw[last:a])
         last = z
-    return "".join([*kept, text[last:]]), spans, gone
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs``, its text without the blocks earlier documents have, and beside its own columns
-    __spans (deleted code points, "start:end" joined by commas), __removed_words and __removed_chars."""
+    if not raw.isascii():
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        spans = [(int(before[a]), int(before[z])) for a, z in spans]
+    return b"".join([*kept, raw[last:]]), spans, sum(z - a for a, z in cuts)
+
+
+def all_cuts(raw: bytes, cuts: list[int], parts: list[dict] | None, k: int) -> list[tuple[int, int]]:
+    """The cuts and what the gaps of the text add to them."""
+    blocks = list(zip(cuts[::2], cuts[1::2]))
+    if parts:
+        data = np.frombuffer(raw, np.uint8)
+        own = hashes(data, np.array([0, len(data)]))[0]
+        gaps: dict[int, list[dict]] = {}
+        for p in parts:
+            gaps.setdefault(p["no"], []).append(p)
+        for g in gaps.values():
+            g.sort(key=lambda p: p["seg"])
+            lead = g[0]["seg"] * SEGMENT
+            other = np.frombuffer(b"".join(p["words"] for p in g), np.uint64)[g[0]["from"] - lead:g[0]["to"] - lead]
+            i, j = g[0]["i"], g[0]["j"]
+            blocks += [(a + i, z + i) for a, z in gap_blocks(own[i:j], other, k)]
+    return ranges(blocks)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+    """(row, text, spans, removed_words, removed_chars) of every row of ``docs``: its other columns as a struct, its text without
+    the blocks earlier documents have, and what was deleted (code points, "start:end" joined by commas)."""
     # one pair of columns knows a row's document and text
-    src = (docs.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-           .withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    blocks = materialize(copied_blocks(src, text, least), "lines-blocks").select(
-        F.col("d").alias("__bd"), F.col("t").alias("__bt"), F.col("cuts").alias("__cuts"))
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.col(text).alias("text"),
+                      F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    k = gram_words(least)
+    blocks = materialize(copied_blocks(src.select("d", "t", "text"), least), "lines-cuts").toDF("d1", "t1", "cuts", "parts")
     # always a shuffle join: what is cut grows with the documents, so it is never sent to every task
-    joined = src.join(blocks.hint("merge"), (F.col("__d") == F.col("__bd")) & (F.col("__t") == F.col("__bt")), "left") \
-        .drop("__d", "__t", "__bd", "__bt")
-    names, at = docs.columns, docs.columns.index(text)
+    joined = src.join(blocks.hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1")), "left").select("row", "text", "cuts", "parts")
 
     def run(batches):
         for b in batches:
-            texts, spans, words, chars = b.column(at).to_pylist(), [], [], []
-            for i, c in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                old = texts[i]
-                if c:
-                    texts[i], gone, n = cut(old, c)
-                    spans.append(",".join(f"{a}:{z}" for a, z in gone))
-                    words.append(n)
-                    chars.append(len(old) - len(texts[i]))
-                else:
-                    spans.append("")
-                    words.append(0)
-                    chars.append(0)
-            own = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(spans, pa.string()), pa.array(words, pa.int64()), pa.array(chars, pa.int64())],
-                [*names, "__spans", "__removed_words", "__removed_chars"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, __spans string, __removed_words long, __removed_chars long")
+            n, hit = b.num_rows, b.column(2).is_valid()
+            mask = hit.to_numpy(zero_copy_only=False)
+            spans, words, chars, new = [""] * n, np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            some = b.select([1, 2, 3]).filter(hit)
+            for i, raw, c, parts in zip(np.flatnonzero(mask).tolist(), some.column(0).cast(pa.binary()).to_pylist(),
+                                        some.column(1).to_pylist(), some.column(2).to_pylist()):
+                short, gone, words[i] = cut(raw, all_cuts(raw, c, parts, k))
+                spans[i], chars[i] = ",".join(f"{a}:{z}" for a, z in gone), sum(z - a for a, z in gone)
+                new.append(short)
+            texts = b.column(1).cast(pa.string())
+            if new:
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(spans, pa.string()), pa.array(words), pa.array(chars)],
+                                             ["row", "text", "spans", "removed_words", "removed_chars"])
+
+    return joined.mapInArrow(run, StructType([src.schema["row"], *(StructField(c, t) for c, t in (
+        ("text", StringType()), ("spans", StringType()), ("removed_words", LongType()), ("removed_chars", LongType())))]))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+    """Every row of ``docs``, its text without the blocks earlier documents have, and behind its own columns
+    spans, removed_words and removed_chars (with "_" before them where ``docs`` has such a column)."""
+    own = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
+    names = free_names(docs.columns, "spans", "removed_words", "removed_chars")
+    return dedup(docs, doc_id, text, least).select(*own, *(F.col(c).alias(n) for c, n in zip(("spans", "removed_words", "removed_chars"), names)))

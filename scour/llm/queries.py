@@ -22,9 +22,9 @@ def op1_pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what is deleted because an earlier document has it, and the md5 of what stays."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__removed_words").alias("removed_words"), F.col("__removed_chars").alias("removed_chars"),
-                      F.col("__spans").alias("removed_spans"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "removed_words", "removed_chars", F.col("spans").alias("removed_spans"),
+                      F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 def op3_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,51 +1,57 @@
-"""Alignment and deletion against a brute-force search for copied runs."""
+"""Alignment and deletion against brute force over word windows."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scour.llm import linededup as L
 from scour.llm import queries
+from scour.llm.common import join_heavy, materialize
 
+SF = "/root/testdata/sf0.01"
 
-def brute(docs, least=20):
-    """docs: {id: text}; lines of each document that lie in a run of ``least`` words or more some earlier document has."""
-    split = {}
-    for d, t in docs.items():
-        starts, words, hashes = L.lines(t or "")
-        split[d] = (starts, words.tolist(), hashes.tolist())
-    runs, out = {}, {}
-    for d in sorted(docs):
-        starts, words, hashes = split[d]
-        n, gone = len(words), set()
-        own = []
-        for i in range(n):
-            total = 0
-            for j in range(i, n):
-                total += words[j]
-                if total >= least:
-                    # minimal at its front or at its end: any longer run is a union of such
-                    if total - words[j] < least or total - words[i] < least:
-                        own.append((i, j))
-                    if total - words[j] >= least and total - words[i] >= least:
-                        break
-        for i, j in own:
-            if runs.get(tuple(hashes[i:j + 1]), d) < d:
-                gone.update(range(i, j + 1))
-        for i, j in own:
-            runs.setdefault(tuple(hashes[i:j + 1]), d)
-        t = docs[d] or ""
-        if starts[:-1]:
-            starts = [0, *starts[1:]]
-        out[d] = "".join([t[:starts[0]], *(t[starts[i]:starts[i + 1]] for i in range(n) if i not in gone)]) if n else t
-    return out
+
+def split(t):
+    return re.findall("[^\x20\x09-\x0D]+", t or "")
 
 
 def words(rng, n):
     return " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
 
 
+def covered(docs, least):
+    """docs: {id: text}; of each document the places of words that lie in ``least`` words in a row some earlier document has."""
+    first, out = {}, {}
+    texts = {d: split(t) for d, t in docs.items()}
+    for d in sorted(docs):
+        own, gone = [tuple(texts[d][i:i + least]) for i in range(len(texts[d]) - least + 1)], set()
+        for i, w in enumerate(own):
+            if first.setdefault(w, d) < d:
+                gone.update(range(i, i + least))
+        out[d] = gone
+    return out
+
+
+def check(docs, rows, least=20):
+    """Every window an earlier document has is gone; what else is gone stands in ``gram_words`` words an earlier document has."""
+    must, may = covered(docs, least), covered(docs, L.gram_words(least))
+    assert len(rows) == len(docs)
+    more = 0
+    for r in rows:
+        old = docs[r.doc_id] or ""
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        at = [m.start() for m in re.finditer("[^\x20\x09-\x0D]+", old)]
+        gone = {i for i, p in enumerate(at) if any(a <= p < z for a, z in spans)}
+        assert must[r.doc_id] <= gone <= may[r.doc_id] | must[r.doc_id]
+        assert len(gone) == r.removed_words and len(old) - len(r.text or "") == r.removed_chars == sum(z - a for a, z in spans)
+        assert split(r.text) == [w for i, w in enumerate(split(old)) if i not in gone]
+        more += len(gone) - len(must[r.doc_id])
+    return more
+
+
 def make(seed):
     rng = random.Random(seed)
     passages = [". ".join(words(rng, rng.randint(3, 12)) for _ in range(rng.randint(3, 8))) + "." for _ in range(6)]
@@ -65,65 +71,6 @@ def make(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_deletes_what_brute_force_finds(spark, seed):
-    docs = make(seed)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.text or "" for r in L.dedup_lines(df).collect()}
-    assert got == brute(docs)
-
-
-def test_passage_inside_a_paragraph_goes_and_the_rest_stays(spark):
-    passage = "Alpha beta gamma delta one two three four five six. Seven eight nine ten eleven twelve. " \
-              "Thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty end."
-    rows = [(7, f"First words here. {passage} Tail of seven."), (9, f"Other start of nine. {passage} And its own end."),
-            (2, "Nothing shared. At all."), (None, f"{passage} No id.")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string")
-    out = {r.doc_id: r for r in L.dedup_lines(df).collect()}
-    assert out[7].text == rows[0][1] and out[2].text == rows[2][1] and out[7].h == "x"
-    assert out[9].text == "Other start of nine. And its own end."
-    assert out[None].text == "No id."
-    a, z = map(int, out[9]["__spans"].split(":"))
-    assert rows[1][1][a:z].strip() == passage and out[9]["__removed_words"] == 25
-
-
-def test_moved_and_repeated_blocks_are_aligned_in_further_rounds():
-    assert L.align([(0, 10, 3), (3, 0, 3)]) in ([(0, 3, 10), (3, 6, 0)], [(3, 6, 0), (0, 3, 10)])
-    assert sorted(L.align([(0, 5, 2), (1, 6, 2), (9, 5, 2)])) == [(0, 3, 5), (9, 11, 5)]
-    assert L.align([]) == []
-
-
-def test_edges(spark):
-    text = " ".join(f"a{i}" for i in range(30))
-    df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text), (None, text)], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.text) for r in L.dedup_lines(df).collect()), key=str)
-    assert got == [(1, text), (1, text), (2, ""), (2, ""), (None, "")]
-    assert L.dedup_lines(df.limit(0)).count() == 0
-
-
-def test_whole_table(spark):
-    sf = "/root/testdata/sf0.01"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = brute(docs)
-    df = spark.createDataFrame(list(want.items()), "doc_id long, text string").select("doc_id", F.md5("text").alias("m"))
-    want = {r.doc_id: r.m for r in df.collect()}
-    rows = queries.op2_line_alignment(spark, sf).collect()
-    assert len(rows) == len(docs) and {r.doc_id: r.kept_md5 for r in rows} == want
-    assert sum(r.removed_words > 0 for r in rows) > 20
-
-
-def brute_words(docs, least=20):
-    """docs: {id: text}; each text without the words that lie in ``least`` words in a row some earlier document has."""
-    first, split, out = {}, {d: (t or "").split() for d, t in docs.items()}, {}
-    for d in sorted(docs):
-        own, gone = [tuple(split[d][i:i + least]) for i in range(len(split[d]) - least + 1)], set()
-        for i, w in enumerate(own):
-            if first.setdefault(w, d) < d:
-                gone.update(range(i, i + least))
-        out[d] = [w for i, w in enumerate(split[d]) if i not in gone]
-    return out
-
-
 def tangled(seed):
     """Passages cut anywhere, with words changed, in documents with few sentence ends."""
     rng = random.Random(seed)
@@ -133,8 +80,9 @@ def tangled(seed):
         for p in rng.sample(passages, rng.choice([0, 1, 2, 3])):
             a = rng.randint(0, len(p) // 2)
             part = p[a:rng.randint(a, len(p))]
-            if part and rng.random() < 0.5:
-                part[rng.randrange(len(part))] = "changed"
+            for _ in range(rng.choice([0, 0, 1, 6])):
+                if part:
+                    part[rng.randrange(len(part))] = "changed"
             at = rng.randint(0, len(text))
             text[at:at] = part
         docs[d] = "".join(w + rng.choice([" "] * 9 + ["! ", "\n", ".\n", "  "]) for w in text)
@@ -145,13 +93,81 @@ def tangled(seed):
 def test_deletes_every_shared_window_of_words(spark, seed):
     docs = tangled(seed)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    rows = L.dedup_lines(df).collect()
-    assert {r.doc_id: (r.text or "").split() for r in rows} == brute_words(docs)
-    for r in rows:
-        spans = [tuple(map(int, s.split(":"))) for s in r["__spans"].split(",") if s]
-        old = docs[r.doc_id] or ""
-        assert sum(len(old[a:z].split()) for a, z in spans) == r["__removed_words"]
-        assert len(old) - len(r.text or "") == r["__removed_chars"] == sum(z - a for a, z in spans)
+    check(docs, L.dedup_lines(df).collect())
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_lines_and_repeats(spark, seed):
+    docs = make(seed)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    check(docs, L.dedup_lines(df, least=10).collect(), least=10)
+
+
+def edited():
+    """A text, and a copy whose middle has a word changed every twelve words."""
+    base = [f"b{i}" for i in range(160)]
+    copy = list(base)
+    for i in range(52, 110, 12):
+        copy[i] = f"new{i}"
+    return " ".join(base), " ".join(copy)
+
+
+def removed(spark):
+    a, b = edited()
+    rows = L.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    return {r.doc_id: r.text for r in rows}, check({1: a, 2: b}, rows)
+
+
+def test_patience_aligns_the_gaps_between_blocks(spark):
+    texts, more = removed(spark)
+    assert texts[2].split() == ["new52", "new64", "new76", "new88", "new100"] and more == 44
+
+
+def test_without_patience_the_gaps_stay(spark, monkeypatch):
+    monkeypatch.setattr(L, "patience", lambda pairs: [])
+    texts, more = removed(spark)
+    assert more == 0 and "b60" in texts[2]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_gap_blocks_are_common_and_in_order(seed):
+    rng = random.Random(seed)
+    x = [rng.randint(0, 30) for _ in range(rng.randint(0, 200))]
+    y = list(x)
+    for _ in range(rng.randint(0, 12)):
+        if y:
+            i = rng.randrange(len(y))
+            y[i:i + rng.randint(0, 9)] = [rng.randint(100, 200)] * rng.randint(0, 9)
+    got = sorted(L.gap_blocks(np.array(x, np.uint64), np.array(y, np.uint64), 4))
+    at = 0
+    for (a, z), after in zip(got, [*got[1:], (len(x), None)]):
+        assert z - a >= 4 and z <= after[0]
+        places = [i for i in range(at, len(y)) if y[i:i + z - a] == x[a:z]]
+        assert places
+        at = places[0] + z - a
+    if x and x == y and len(x) >= 4 and len({tuple(x[i:i + 4]) for i in range(len(x) - 3)}) == len(x) - 3:
+        assert got == [(0, len(x))]
+
+
+def test_moved_and_repeated_hits_count_and_gaps_lie_between_aligned_ones():
+    blocks, gaps = L.align([(0, 30, 20), (50, 0, 20), (80, 60, 20)], 8)
+    assert sorted(blocks) == [(0, 20), (50, 70), (80, 100)]
+    assert gaps == [(20, 80, 50, 60)] or gaps == [(70, 80, 20, 60)]
+    assert L.align([(0, 5, 20), (25, 30, 20)], 8)[1] == [] and L.align([], 8) == ([], [])
+
+
+def test_passage_inside_a_paragraph_goes_and_the_rest_stays(spark):
+    passage = "Alpha beta gamma delta one two three four five six. Seven eight nine ten eleven twelve. " \
+              "Thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty end."
+    rows = [(7, f"First words here. {passage} Tail of seven."), (9, f"Other start of nine. {passage} And its own end."),
+            (2, "Nothing shared. At all."), (None, f"{passage} No id.")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string")
+    out = {r.doc_id: r for r in L.dedup_lines(df).collect()}
+    assert out[7].text == rows[0][1] and out[2].text == rows[2][1] and out[7].h == "x"
+    assert out[9].text == "Other start of nine. And its own end."
+    assert out[None].text == "No id."
+    a, z = map(int, out[9].spans.split(":"))
+    assert rows[1][1][a:z].strip() == passage and out[9].removed_words == 25
 
 
 def test_passage_from_mid_sentence_to_mid_sentence_goes(spark):
@@ -162,9 +178,38 @@ def test_passage_from_mid_sentence_to_mid_sentence_goes(spark):
     assert out == {1: f"It says {passage} and goes on.", 2: "Who said here?", 3: f"Only {passage[:-4]} is short."}
 
 
+def test_edges(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text), (None, text)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in L.dedup_lines(df).collect()), key=str)
+    assert got == [(1, text), (1, text), (2, ""), (2, ""), (None, "")]
+    assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    names = ["d", "t", "__d", "__t", "__bd", "cuts", "__cuts", "row", "key", "h", "g", "weight", "parts", "spans", "Removed_Words", "a.b"]
+    df = spark.createDataFrame([(1, text, *range(len(names))), (2, text, *range(len(names)))], ["doc_id", "text", *names])
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "_spans", "_removed_words", "removed_chars"]
+    assert all(tuple(r)[2:2 + len(names)] == tuple(range(len(names))) for r in out.collect())
+    assert {r.doc_id: r.text for r in out.collect()} == {1: text, 2: ""}
+
+
 def test_every_shared_window_of_the_whole_table(spark):
-    sf = "/root/testdata/sf0.01"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = brute_words(docs)
-    got = {r.doc_id: r.removed_words for r in queries.op2_line_alignment(spark, sf).collect()}
-    assert got == {d: len((docs[d] or "").split()) - len(w) for d, w in want.items()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op2_line_alignment(spark, SF)
+    assert rows.columns == ["doc_id", "removed_words", "removed_chars", "removed_spans", "kept_md5"]
+    must = covered(docs, 20)
+    got = {r.doc_id: r.removed_words for r in rows.collect()}
+    assert len(got) == len(docs) and all(got[d] >= len(m) for d, m in must.items()) and sum(n > 0 for n in got.values()) > 20
+    check(docs, L.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+
+
+def test_heavy_keys_join_like_others(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900).alias("k"), "id")
+    table = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2).where("k <> 5"), "heavy")
+    got = join_heavy(rows, table, "k", "n")
+    want = rows.join(table, "k")
+    assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, want.select("k", "id", "v").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
