@@ -9,12 +9,13 @@ the stage at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.llm import linededup, mixing, packing, rules, simhash
-from scour.llm.common import materialize, table
+from scour.llm.common import table
 from scour.llm.queries import tokenizer
+from scour.session import delete_path, scratch_path, scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of earlier ones; a document that loses all its words goes."""
-    out = linededup.dedup_lines(docs)
-    left = out.where((F.col("__removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    fixed = [F.when(F.col("__removed_words") > 0, F.char_length("text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars"
-             else F.col(f"`{c}`") for c, t in docs.dtypes]
-    return left.select(*fixed)
+    out = linededup.dedup(docs)
+    left = out.where((F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+    def column(name: str, kind: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col(f"row.`{name}`")
+        if name == "n_chars":
+            return F.when(F.col("removed_words") > 0, F.char_length("text")).otherwise(own).cast(kind).alias(name)
+        return own
+
+    return left.select(*(column(c, t) for c, t in docs.dtypes))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+        with scratch_scope(spark):  # what the stage wrote on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
