@@ -57,15 +57,11 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = NUMBER) -> D
     (df.repartitionByRange(*order).sortWithinPartitions(*order)
      .select("*", part.alias("__part"), place.alias("__place")).write.parquet(path))
     rows = spark.read.parquet(path)
-    start, sizes = {}, rows.groupBy("__part").count().collect()
-    total = 0
-    for r in sorted(sizes, key=lambda r: r["__part"]):
-        start[r["__part"]] = total
-        total += r["count"]
-    if not start:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    pairs = [F.lit(x) for p, n in start.items() for x in (p, n)]
-    return rows.withColumn(name, F.col("__place") + F.create_map(*pairs)[F.col("__part")]).drop("__part", "__place")
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    start = rows.groupBy("__part").count().select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    # one row a partition of the shuffle
+    placed = rows.join(F.broadcast(start), "__part").withColumn(name, F.col("__place") + F.col("__start"))
+    return placed.drop("__part", "__place", "__start")
 
 
 def page_after(df: DataFrame, key: str | Sequence[str], after=None, limit: int = 100,
