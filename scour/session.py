@@ -128,3 +128,10 @@ def qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and absolute, as Spark's own file system layer resolves it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def on_shared_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies below the checkpoint folder or the warehouse, which driver and executors share whatever their scheme."""
+    at = qualified(spark, path).rstrip("/") + "/"
+    shared = (ensure_checkpoint_dir(spark), spark.conf.get("spark.sql.warehouse.dir", None))
+    return any(at.startswith(qualified(spark, s).rstrip("/") + "/") for s in shared if s)

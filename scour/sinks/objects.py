@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import is_local, qualified, scratch_path
+from ..session import is_local, on_shared_folder, qualified, scratch_path
 from ..sources.files import list_objects, open_fs
 
 CHUNK_BYTES = 8 << 20
@@ -26,6 +26,11 @@ COPY_SCHEMA = "Key string, source string, target string, bytes bigint, error str
 register_pickle_by_value(sys.modules[__name__])
 
 
+def _spread(listing: DataFrame) -> DataFrame:
+    """The listing dealt object by object: a listing has a task per folder, however many objects lie in it."""
+    return listing.repartition(2 * listing.sparkSession.sparkContext.defaultParallelism)
+
+
 def _chunks(stream):
     while chunk := stream.read(CHUNK_BYTES):
         yield chunk
@@ -50,7 +55,7 @@ def object_digests(listing: DataFrame, path_col: str = "path",
             pdf[digest_col] = [_md5(p) for p in pdf[path_col]]
             yield pdf
 
-    return listing.mapInPandas(digest, schema)
+    return _spread(listing).mapInPandas(digest, schema)
 
 
 def _copy(source: str, target: str) -> int:
@@ -72,11 +77,13 @@ def copy_objects(listing: DataFrame, target_root: str, key_col: str = "Key",
     Returns one row per object: Key, source path, target path, bytes copied and
     the error, if it could not be copied (the others are copied all the same).
     The result is read from a written table, so using it copies nothing again.
-    Whether the target holds the right bytes is for ``verify_copy`` to say.
+    Whether the target holds the right bytes is for ``verify_copy`` to say.  On a
+    cluster a ``file:`` target must lie below ``spark.checkpoint.dir`` or the
+    warehouse, the folders that executors share; any other raises.
     """
     spark = listing.sparkSession
     root = qualified(spark, target_root).rstrip("/")
-    if root.startswith("file:") and not is_local(spark.sparkContext.master):
+    if root.startswith("file:") and not is_local(spark.sparkContext.master) and not on_shared_folder(spark, root):
         raise ValueError(f"{root} is another folder on every executor; name a shared store")
 
     def run(batches):
@@ -93,7 +100,7 @@ def copy_objects(listing: DataFrame, target_root: str, key_col: str = "Key",
             yield pd.DataFrame(out, columns=["Key", "source", "target", "bytes", "error"])
 
     path = scratch_path(spark, "copied")
-    listing.select(key_col, path_col).mapInPandas(run, COPY_SCHEMA).write.parquet(path)
+    _spread(listing.select(key_col, path_col)).mapInPandas(run, COPY_SCHEMA).write.parquet(path)
     return spark.read.schema(COPY_SCHEMA).parquet(path)
 
 

@@ -123,6 +123,19 @@ def test_objects_that_cannot_be_copied_are_reported(spark, tmp_dir):
     assert out["one"] is None and "FileNotFoundError" in out["two"]
 
 
+def test_copies_on_a_cluster_go_to_shared_folders_only(spark, tmp_dir, monkeypatch):
+    import sys
+    from scour.session import scratch_path
+    fill(tmp_dir + "/b", ["one", "two"])
+    listing = sources.list_objects(spark, tmp_dir + "/b")
+    monkeypatch.setattr(sys.modules["scour.sinks.objects"], "is_local", lambda master: False)
+    target = scratch_path(spark, "copy")        # below spark.checkpoint.dir
+    assert sinks.copy_objects(listing, target).where("error is null").count() == 2
+    assert all(r.ok for r in sinks.verify_copy(listing, target).collect())
+    with pytest.raises(ValueError, match="another folder"):
+        sinks.copy_objects(listing, tmp_dir + "/elsewhere")
+
+
 def test_jdbc_options_and_targets():
     url = sources.jdbc_url("mysql", "h", None, "db")
     assert url == "jdbc:mysql://h:3306/db"
