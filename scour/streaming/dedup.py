@@ -7,11 +7,11 @@ has passed it, since only then nothing earlier can come; until then it waits in
 state of its key.  So the result depends on the rows alone, not on how they fall into
 files and micro-batches, as long as no row is later than ``lateness``.
 
-The state is Spark's own (``transformWithState``): per key the event time of the row
-kept last, which goes once ``within`` has passed, and the rows that wait.  Event-time
-timers wake a key when its first waiting row is decided.  Nothing written before
-is ever read again.  State of this kind needs the RocksDB provider, which is set for the
-query alone.
+The state is Spark's own, in two steps.  Rows wait in an aggregate by key and event time (of rows equal in both only the
+first by ``order`` can be kept), which gives them out when the watermark has passed them; no Python sees them before.
+``transformWithState`` then decides them: all it keeps of a key is the event time of the row kept last, which goes once
+``within`` has passed.  Keys are dealt to ``BUCKETS`` buckets that are read and written as one.  Nothing written before is
+ever read again.  State of this kind needs the RocksDB provider, which is set for the query alone.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -26,13 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
-from ..functions.columns import field_types, qcol
+from ..functions.columns import field_types, qcol, quote
 
 PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time (for the watermark), the same in microseconds, and the tie-break.
 TIME, AT, TIE = "__event_time", "__at", "__tie"
+#: A waiting row, in the state.
+ROW = "__row"
+#: Keys share state by a hash, since every state call is a message between the worker and Spark.  The number is part of a checkpoint.
+BUCKET, BUCKETS = "__bucket", 1 << 11
+#: The two steps as Spark numbers them in the checkpoint, from the last one back.
+DECIDED, WAITING = 0, 1
 
 # the functions tasks run travel with the job: executors need not have this package
 register_pickle_by_value(sys.modules[__name__])
@@ -58,54 +66,60 @@ def _due(t: int) -> int:
     return t // 1000 + 1
 
 
+def _same(value):
+    """A value that is equal and hashes alike for equal keys (NULL and NaN are equal to themselves)."""
+    if isinstance(value, float) and value != value:
+        return (float,)
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_same, value))
+    return bytes(value) if isinstance(value, bytearray) else value
+
+
 class FirstWithin(StatefulProcessor):
-    """Episodes of one key."""
+    """Episodes of the keys of one bucket, from rows that the watermark has passed.
+
+    ``keys``: where the key columns lie in a row.  The state is read and written once a bucket and batch; an entry goes when
+    its episode is over and the bucket has rows again, or when all episodes of the bucket are over.
+    """
 
-    def __init__(self, schema: StructType, within: int):
-        self.schema, self.within = schema, within
+    def __init__(self, schema: StructType, keys: list[int], within: int):
+        self.schema, self.keys, self.within = schema, keys, within
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
-        self.held = handle.getListState("held", self.schema)
+        self.last = handle.getListState("last", StructType(
+            [*(StructField(f"k{i}", self.schema.fields[k].dataType) for i, k in enumerate(self.keys)), StructField("t", LongType())]))
+        self.named = Row(*self.schema.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        last = self._last()
-        new = [tuple(r)[:-1] for r in rows]
-        # what lies in the episode that is open already can go at once
-        new = [r for r in new if last is None or not last <= r[-2] < last + self.within]
-        if new:
-            self.held.appendList(new)
-            self.handle.registerTimer(_due(min(r[-2] for r in new)))
-        return iter(())
+        before = {_same(e[:-1]): e for e in map(tuple, self.last.get())}
+        found: dict = {}
+        for r in rows:
+            row = tuple(r)[:len(self.schema)]
+            found.setdefault(_same(tuple(row[k] for k in self.keys)), []).append(row)
+        after, out = dict(before), []
+        for k, mine in found.items():
+            kept, last = decide(sorted(mine, key=_place), before[k][-1] if k in before else None, self.within)
+            out += kept
+            after[k] = (*(mine[0][i] for i in self.keys), last)
+        self._keep(before, after, timerValues.getCurrentWatermarkInMs(), not before)
+        return (self.named(*row) for row in out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        now, last = timerValues.getCurrentWatermarkInMs(), self._last()
-        rows = sorted((tuple(r) for r in self.held.get()), key=_place)
-        ready = [r for r in rows if _due(r[-2]) <= now]
-        wait = rows[len(ready):]
-        kept, last = decide(ready, last, self.within)
-        if ready:
-            if wait:
-                self.held.put(wait)
-            else:
-                self.held.clear()
-        if kept:
-            self.last.update((last,))
-        if wait:
-            self.handle.registerTimer(_due(wait[0][-2]))
-        elif last is not None:
-            end = _due(last + self.within)
-            if end <= now:
-                self.last.clear()
-            else:
-                self.handle.registerTimer(end)
-        named = Row(*self.schema.names)
-        yield from (named(*row) for row in kept)
+        before = dict(enumerate(map(tuple, self.last.get())))
+        self._keep(before, before, timerValues.getCurrentWatermarkInMs(), True)
+        return iter(())
 
-    def _last(self) -> int | None:
-        got = self.last.get()
-        return got[0] if got else None
+    def _keep(self, before: dict, after: dict, now: int, timer: bool) -> None:
+        ends = {k: end for k, e in after.items() if (end := _due(e[-1] + self.within)) > now}
+        if not ends:
+            if before:
+                self.last.clear()
+            return
+        if len(ends) < len(before) or any(k not in before or before[k][-1] != after[k][-1] for k in ends):
+            self.last.put([after[k] for k in ends])
+        if timer:       # otherwise one is set already, and goes on to the end of the last episode when it is due
+            self.handle.registerTimer(max(ends.values()))
 
     def close(self) -> None:
         pass
@@ -147,8 +161,14 @@ def dedup_first(stream: DataFrame, columns: Sequence[str], event_time: str, *, w
     """
     timed = _timed(stream, event_time, order).withWatermark(TIME, lateness)
     schema = StructType(timed.schema.fields[:-1])
-    process = FirstWithin(schema, micros(stream.sparkSession, within))
-    return _plain(timed.groupBy(*[qcol(c) for c in columns]).transformWithState(process, schema, "append", "eventtime"), stream.schema)
+    span = micros(stream.sparkSession, within)
+    if span <= 0:
+        raise ValueError(f"no row is another's duplicate within {within}")
+    process = FirstWithin(schema, [schema.names.index(c) for c in columns], span)
+    own = [qcol(c) for c in schema.names]
+    passed = timed.groupBy(*[qcol(c) for c in columns], TIME).agg(F.min_by(F.struct(*own), TIE).alias(ROW)).select(f"{ROW}.*", TIME)
+    passed = passed.withColumn(BUCKET, F.pmod(F.xxhash64(*[qcol(c) for c in columns]), F.lit(BUCKETS)).cast("int"))
+    return _plain(passed.groupBy(BUCKET).transformWithState(process, schema, "append", "eventtime"), stream.schema)
 
 
 @contextmanager
@@ -170,18 +190,21 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def waiting_rows(spark: SparkSession, checkpoint: str, schema: StructType, within: str) -> DataFrame:
+def waiting_rows(spark: SparkSession, checkpoint: str, schema: StructType, columns: Sequence[str], within: str) -> DataFrame:
     """The rows of a stream (of ``schema``) that would be kept if nothing more came: decided from the state a query left.
 
     For a stream that has ended.  A query that goes on with the checkpoint emits the same rows itself in time.
     """
-    def state(name: str) -> DataFrame:
-        return spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", "true").load(checkpoint)
-
-    held = state("held").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
-        F.col(f"list_element.{AT}").alias("t"), F.col(f"list_element.{TIE}").alias("tie"), F.col("list_element").alias("row")))).alias("rows"))
-    last = state("last").select(F.col("key").alias("of"), F.col("value.t").alias("last"))
-    both = held.join(last, F.col("key").eqNullSafe(F.col("of")), "left")
+    def state(operator: int, **options: str) -> DataFrame:
+        return spark.read.format("statestore").option("operatorId", operator).options(**options).load(checkpoint)
+
+    waits = state(WAITING)
+    waits = waits.select(F.col(f"value.{waits.schema['value'].dataType.names[0]}").alias("row"))
+    held = waits.groupBy(*[F.col(f"row.{quote(c)}").alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(f"row.{AT}").alias("t"), F.col(f"row.{TIE}").alias("tie"), F.col("row")))).alias("rows")).alias("h")
+    last = state(DECIDED, stateVarName="last", flattenCollectionTypes="true").select("list_element.*").withColumnRenamed("t", "last").alias("l")
+    same = [F.col(f"h.k{i}").eqNullSafe(F.col(f"l.k{i}")) for i in range(len(columns))]
+    both = held.join(last, reduce(and_, same), "left")
     begin = F.struct(F.col("last").alias("last"), F.slice("rows", 1, 0).alias("kept"))
     done = F.aggregate("rows", begin, lambda a, x: F.when(
         a["last"].isNull() | (x["t"] < a["last"]) | (x["t"] >= a["last"] + micros(spark, within)),

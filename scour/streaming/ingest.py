@@ -126,7 +126,7 @@ def dedup_ingest(stream: DataFrame, columns: list[str], event_time: str, target:
     if available_now:
         q.awaitTermination()
     if close:
-        waiting_rows(spark, checkpoint, stream.schema, delay).write.mode("overwrite").parquet(f"{target}/closing")
+        waiting_rows(spark, checkpoint, stream.schema, columns, delay).write.mode("overwrite").parquet(f"{target}/closing")
     return q
 
 

@@ -133,6 +133,20 @@ def test_what_dedup_keeps_does_not_depend_on_files(spark, tmp_dir, cuts):
     assert all(times[n] == s for _, s, n in rows if n in times)
 
 
+def test_python_keeps_no_waiting_rows(spark, tmp_dir):
+    rows = [(k, 60 * i, 100 * i + j) for i in range(30) for k in (None, 1, 2) for j in (1, 0)]     # two rows of a key at every time
+    spark.createDataFrame(rows, "k long, s long, n long").selectExpr("k", "timestamp_seconds(1700000000 + s) as ts", "n").coalesce(1).write.parquet(tmp_dir + "/in")
+    stream = file_stream(spark, tmp_dir + "/in", "parquet", spark.read.parquet(tmp_dir + "/in").schema)
+    dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="5 minutes", lateness="5 minutes", order=["n"], available_now=True, close=True)
+    assert sorted(((r.k, r.n) for r in polled(spark, tmp_dir + "/out").collect()), key=str) == greedy(rows, 300)
+    state = {r.operatorName: r.operatorProperties for r in spark.read.format("state-metadata").load(tmp_dir + "/ck").collect()}
+    assert set(state) == {"transformWithStateInPySparkExec", "stateStoreSave"} and "held" not in state["transformWithStateInPySparkExec"]
+    last = spark.read.format("statestore").option("stateVarName", "last").option("flattenCollectionTypes", "true").load(tmp_dir + "/ck")
+    assert last.count() <= 3        # one entry a bucket: one time a key, and only of episodes that are open
+    with pytest.raises(ValueError, match="duplicate"):
+        dedup_ingest(stream, ["k"], "ts", tmp_dir + "/out", tmp_dir + "/ck", delay="0 seconds", available_now=True)
+
+
 def test_rows_without_an_event_time_raise(spark, tmp_dir):
     spark.sql("select 1 as k, cast(null as timestamp) as ts").write.parquet(tmp_dir + "/in")
     stream = file_stream(spark, tmp_dir + "/in", "parquet", spark.read.parquet(tmp_dir + "/in").schema)
