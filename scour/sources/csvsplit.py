@@ -14,12 +14,15 @@ line is, ``records`` returns None and the file has to be read whole.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLIT_BYTES = 64 << 20
+#: What a task holds of a range at once (and the record that goes beyond it).
+BLOCK_BYTES = 1 << 20
 #: Options under which ranges of a file mean the same as the whole.
 KNOWN = {"header", "multiline", "sep", "delimiter", "nullvalue", "emptyvalue", "dateformat", "timestampformat", "timestampntzformat",
          "ignoreleadingwhitespace", "ignoretrailingwhitespace", "nanvalue", "positiveinf", "negativeinf", "locale", "maxcharspercolumn", "maxcolumns"}
@@ -34,57 +37,66 @@ def _at(f, start: int, end: int) -> bytes:
     return f.read(end - start)
 
 
-def _count(data: bytes, before: bytes, sep: int) -> tuple[int, int, int]:
+def _count(f, start: int, end: int, sep: int) -> tuple[int, int, int]:
     """Quotes in a range, and opening quotes not at the start of a value if the range begins outside or inside quotes."""
     import numpy as np
-    x = np.frombuffer(before[-1:] + data, np.uint8)
-    q = np.flatnonzero(x[len(before[-1:]):] == 34)
-    prev = np.full(len(q), 10, np.uint8)
-    at = q + len(before[-1:]) - 1
-    prev[at >= 0] = x[at[at >= 0]]
-    odd = ~np.isin(prev, [10, 13, sep, 34])
-    if not before and len(q) and q[0] == 3 and data[:3] == b"\xef\xbb\xbf":
-        odd[0] = False
-    return len(q), int(odd[::2].sum()), int(odd[1::2].sum())
-
-
-def _cut(f, start: int, end: int, size: int, inside: int, header: bool) -> list[bytes]:
-    """The records that begin in a range."""
+    n, odds, at = 0, [0, 0], start
+    while at < end:
+        before = _at(f, max(at - 1, 0), at)
+        data = _at(f, at, min(at + BLOCK_BYTES, end))
+        if not data:
+            break
+        x = np.frombuffer(before + data, np.uint8)
+        q = np.flatnonzero(x[len(before):] == 34)
+        prev = np.full(len(q), 10, np.uint8)
+        near = q + len(before) - 1
+        prev[near >= 0] = x[near[near >= 0]]
+        odd = ~np.isin(prev, [10, 13, sep, 34])
+        if not at and len(q) and q[0] == 3 and data[:3] == b"\xef\xbb\xbf":
+            odd[0] = False
+        odds[n % 2] += int(odd[::2].sum())
+        odds[1 - n % 2] += int(odd[1::2].sum())
+        n += len(q)
+        at += len(data)
+    return n, odds[0], odds[1]
+
+
+def _cut(f, start: int, end: int, size: int, inside: int, header: bool) -> Iterator[list[bytes]]:
+    """The records that begin in a range, those of a block at a time."""
     import numpy as np
-    data = _at(f, max(start - 1, 0), end)
-    head, data = (data[:1], data[1:]) if start else (b"\n", data)
-
-    def breaks(part: bytes, parity: int) -> tuple[np.ndarray, int]:
-        x = np.frombuffer(part, np.uint8)
-        after = (parity + np.cumsum(x == 34)) & 1
-        return np.flatnonzero((x == 10) & (after == 0)), int(after[-1]) if len(after) else parity
-
-    ends, parity = breaks(data, inside)
-    begins = ends + 1
-    if head == b"\n" and not inside:
-        begins = np.concatenate([[0], begins])
-    begins = begins[begins < len(data)]
-    if not len(begins):
-        return []
-    tail, at = b"", end
-    if not (len(ends) and ends[-1] == len(data) - 1):
-        while at < size:
-            more = _at(f, at, min(at + (1 << 20), size))
-            stop, parity = breaks(more, parity)
-            at += len(more)
-            if len(stop):
-                tail += more[:stop[0]]
-                break
-            tail += more
-    cuts = [*begins.tolist(), len(data)]
-    out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-    out[-1] += tail
-    out = [r.removesuffix(b"\n").removesuffix(b"\r") for r in out]
-    if start == 0:
-        out[0] = out[0].removeprefix(b"\xef\xbb\xbf")
-        if header:
-            out = out[1:]
-    return [r for r in out if r]
+    head = _at(f, start - 1, start) if start else b"\n"
+    begun, parity, at, rest, first = head == b"\n" and not inside, inside, start, [], start == 0
+
+    def done(last: bytes) -> list[bytes]:
+        nonlocal first, rest
+        r, rest = b"".join([*rest, last]).removesuffix(b"\r"), []
+        if first:
+            first, r = False, b"" if header else r.removeprefix(b"\xef\xbb\xbf")
+        return [r] if r else []
+
+    f.seek(start)
+    while at < end or begun and at < size:
+        data = f.read(min(BLOCK_BYTES, (end if at < end else size) - at))
+        if not data:
+            break
+        x = np.frombuffer(data, np.uint8)
+        quotes, breaks = np.flatnonzero(x == 34), np.flatnonzero(x == 10)
+        ends = breaks[(parity + np.searchsorted(quotes, breaks)) % 2 == 0]
+        parity = (parity + len(quotes)) % 2
+        out, lo, behind = [], 0, at >= end
+        for e in ends[:1].tolist() if behind else ends.tolist():
+            if begun:
+                out += done(data[lo:e])
+            begun, lo = not behind, e + 1
+        at += len(data)
+        if at == end and lo == len(data):       # the next record begins in the next range
+            begun = False
+        if begun:
+            rest.append(data[lo:])
+        if out:
+            yield out
+    if begun and (out := done(b"")):
+        yield out
 
 
 def records(spark: SparkSession, listing: DataFrame, *, header: bool, sep: str = ",", split_bytes: int = SPLIT_BYTES) -> DataFrame | None:
@@ -103,8 +115,7 @@ def records(spark: SparkSession, listing: DataFrame, *, header: bool, sep: str =
             for path, _, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 fs, at = open_fs(path)
                 with fs.open_input_file(at) as f:
-                    before = _at(f, max(start - 1, 0), start)
-                    out.append(_count(_at(f, start, end), before, mark))
+                    out.append(_count(f, start, end, mark))
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in cols)], ["path", "Size", "start", "end", "quotes", "odd0", "odd1"])
 
@@ -121,9 +132,9 @@ def records(spark: SparkSession, listing: DataFrame, *, header: bool, sep: str =
             for path, size, start, end, inside in zip(*(c.to_pylist() for c in b.columns)):
                 fs, at = open_fs(path)
                 with fs.open_input_file(at) as f:
-                    rows = _cut(f, start, end, size, inside, header)
-                for lo in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[lo:lo + 10_000], pa.binary()).cast(pa.string())], ["value"])
+                    for rows in _cut(f, start, end, size, inside, header):
+                        for lo in range(0, len(rows), 10_000):
+                            yield pa.RecordBatch.from_arrays([pa.array(rows[lo:lo + 10_000], pa.binary()).cast(pa.string())], ["value"])
 
     return begun.select("path", "Size", "start", "end", "inside").repartition(n).mapInArrow(cut, "value string")
 

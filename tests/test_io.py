@@ -206,6 +206,41 @@ def test_csv_with_line_breaks_in_splits(spark, tmp_dir, split):
     assert text.columns == ["k", "a", "b"] and sorted(r.k for r in text.collect()) == sorted(str(r[0]) for r in whole)
 
 
+@pytest.mark.parametrize("block", [1, 5, 64, 1 << 20])
+def test_csv_ranges_are_read_in_blocks(tmp_dir, monkeypatch, block):
+    import csv
+    import io
+    from scour.sources import csvsplit
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\r\n").writerows([("k", "a", "b")] + [(i, a, b) for i in range(5) for _, a, b in ODD_CSV])
+    for body in (text.getvalue(), "\ufeff" + text.getvalue().removesuffix("\r\n"), '"k",x"y"\n\n1,"2""3"\n'):
+        with open(tmp_dir + "/x.csv", "wb") as f:
+            f.write(body.encode())
+        data, most = body.encode(), [0]
+
+        class Watched(io.BytesIO):
+            def read(self, n):
+                most[0] = max(most[0], n)
+                return super().read(n)
+
+        f, size = Watched(data), len(data)
+        monkeypatch.setattr(csvsplit, "BLOCK_BYTES", 1 << 30)
+        want = [r for part in csvsplit._cut(f, 0, size, size, 0, True) for r in part]
+        whole = csvsplit._count(f, 0, size, 44)
+        monkeypatch.setattr(csvsplit, "BLOCK_BYTES", block)
+        most[0] = 0
+        assert csvsplit._count(f, 0, size, 44) == whole
+        for step in (7, 50, 1000):
+            got, odd, quotes = [], 0, 0
+            for lo in range(0, size, step):
+                hi = min(lo + step, size)
+                n, *odds = csvsplit._count(f, lo, hi, 44)
+                got += [r for part in csvsplit._cut(f, lo, hi, size, quotes % 2, True) for r in part]
+                odd, quotes = odd + odds[quotes % 2], quotes + n
+            assert got == want and (quotes, odd) == whole[:2]
+        assert most[0] <= max(block, 1)
+
+
 def test_csv_splits_leave_odd_quotes_to_the_whole_reader(spark, tmp_dir):
     from scour.sources.files import read_csv
     path = tmp_dir + "/odd.csv"
