@@ -162,8 +162,8 @@ def dedup_first(stream: DataFrame, columns: Sequence[str], event_time: str, *, w
     timed = _timed(stream, event_time, order).withWatermark(TIME, lateness)
     schema = StructType(timed.schema.fields[:-1])
     span = micros(stream.sparkSession, within)
-    if span <= 0:
-        raise ValueError(f"no row is another's duplicate within {within}")
+    if span <= 0:       # no row is another's duplicate
+        return _plain(timed, stream.schema)
     process = FirstWithin(schema, [schema.names.index(c) for c in columns], span)
     own = [qcol(c) for c in schema.names]
     passed = timed.groupBy(*[qcol(c) for c in columns], TIME).agg(F.min_by(F.struct(*own), TIE).alias(ROW)).select(f"{ROW}.*", TIME)

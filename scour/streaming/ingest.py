@@ -36,7 +36,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..functions.columns import field_types, qcol
 from ..session import delete_path, path_exists
 from ..sources.polled import polled
-from .dedup import dedup_first, state_settings, waiting_rows
+from .dedup import dedup_first, micros, state_settings, waiting_rows
 
 # --- fixed values: must equal the reference's behaviour -----------------------
 POLL_SECONDS = 5           # default poll interval
@@ -125,7 +125,7 @@ def dedup_ingest(stream: DataFrame, columns: list[str], event_time: str, target:
         q = _trigger(w, available_now, interval_seconds).start(f"{target}/kept")
     if available_now:
         q.awaitTermination()
-    if close:
+    if close and micros(spark, delay) > 0:      # otherwise no row has waited
         waiting_rows(spark, checkpoint, stream.schema, columns, delay).write.mode("overwrite").parquet(f"{target}/closing")
     return q
 
