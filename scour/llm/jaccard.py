@@ -18,6 +18,10 @@ The Jaccard distance of two documents' sets of word shingles is a metric.  The j
 5. joins the boundary again by the same steps with a smaller radius, down to zero, where
    every node is its own region; there the pivots' distance is the pair's own.
 
+Pairs of nodes meet only if their signatures allow it.  A signature says of each of ``BITS`` classes of shingles
+whether the set has an odd number of them; where two signatures differ, a shingle is in one set alone, so the bits
+that differ bound the distance from below, and what they rule out need not be computed.
+
 Nodes that links connect already need no further comparison, so only pairs of different
 components are looked at.  Every link that could connect two components is
 computed exactly, from whole sets.  The order of the prefix tokens comes from a count of
@@ -44,7 +48,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_heavy, materialize, small
@@ -56,6 +60,8 @@ WORDS, LEAST = 5, Fraction(4, 5)
 GROUPINGS, PIVOTS, RADII = 3, 8, (0.2, 0.05, 0.0)
 #: Cells that count shingles, and cells in a block of them.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
+#: Classes of shingles in a signature, a multiple of 64.
+BITS = 512
 SLACK = 1e-9
 
 
@@ -84,6 +90,22 @@ def signed(x) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
+def signatures(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The signatures, as rows of longs, of sets of n hashes each that lie end to end."""
+    place = ((flat >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64) + np.repeat(np.arange(len(n)) * BITS, n)
+    odd = (np.bincount(place, minlength=len(n) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(n), BITS // 64)
+
+
+def may_lie_within(away: Column, n: tuple[Column, Column], sig: tuple[Column, Column]) -> Column:
+    """Whether two sets of sizes ``n`` can be ``away`` or less from each other, as far as their signatures tell.
+
+    Sets that differ in k shingles are 2k / (n + n + k) apart, which rises with k, and k bits that differ are k shingles or more.
+    """
+    differ = sum((F.bit_count(sig[0][i].bitwiseXOR(sig[1][i])) for i in range(BITS // 64)), F.lit(0))
+    return 2 * differ <= (away + SLACK) * (n[0] + n[1] + differ)
+
+
 class Join:
     """The steps over one table of documents (id, th, text); ``th`` is a hash of the text that finds a row again."""
 
@@ -96,10 +118,10 @@ class Join:
     # -- sets -----------------------------------------------------------------------------
 
     def describe(self) -> DataFrame:
-        """(id, th, node, again, n, keys) of every row, and the counts of the shingles' cells (block, counts)."""
+        """(id, th, node, again, n, keys, sig) of every row, and the counts of the shingles' cells (block, counts)."""
         k, seed, keys = self.k, self.seed, max(1, (len(self.radii) - 1) * self.groupings)
         schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("again", pa.int64()), ("n", pa.int32()),
-                            ("keys", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+                            ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
 
         def run(batches):
             counts = np.zeros(COUNTERS, np.int64)
@@ -119,16 +141,17 @@ class Join:
                     node, again = (pa.array(signed([d[i] for d in digests]), pa.int64(), mask=none) for i in (0, 1))
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).slice(lo, len(sets)), b.column(1).slice(lo, len(sets)), node, again, pa.array(n.astype(np.int32)),
-                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * keys + 1, keys, dtype=np.int32)), pa.array(low.ravel().view(np.int64))),
+                         *(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64)))
+                           for x in (low, signatures(flat, n))),
                          pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
             blocks = counts.reshape(-1, BLOCK)
             some = np.flatnonzero(blocks.any(1))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(len(some), f.type) for f in list(schema)[:6]), pa.array(some.astype(np.int32)),
+                [*(pa.nulls(len(some), f.type) for f in list(schema)[:7]), pa.array(some.astype(np.int32)),
                  pa.array([blocks[i].astype("<i8").tobytes() for i in some.tolist()], pa.binary())], schema=schema)
 
         return self.docs.select("id", "th", "text").mapInArrow(
-            run, "id long, th long, node long, again long, n int, keys array<long>, block int, counts binary")
+            run, "id long, th long, node long, again long, n int, keys array<long>, sig array<long>, block int, counts binary")
 
     def levels(self, described: DataFrame) -> np.ndarray:
         """How common each cell is, one byte each: a block is summed as a stream, and one small row of it reaches the driver."""
@@ -193,20 +216,23 @@ class Join:
     # -- regions --------------------------------------------------------------------------
 
     def candidates(self, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        """(node): the pivots among ``nodes`` that share a group; (a, b): nodes and the pivots of their groups."""
-        own = nodes.select("node", F.posexplode(F.slice("keys", depth * self.groupings + 1, self.groupings)).alias("j", "low")) \
-            .select("node", F.xxhash64("j", "low").alias("key"))
+        """(node): the pivots among ``nodes`` that share a group; (a, b): nodes and the pivots of their groups that may be within the bound."""
+        own = nodes.select("node", "n", "sig", F.posexplode(F.slice("keys", depth * self.groupings + 1, self.groupings)).alias("j", "low")) \
+            .select("node", "n", "sig", F.xxhash64("j", "low").alias("key"))
         groups = materialize(own.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-groups")
         members = materialize(join_heavy(own, groups, "key", "size"), "jaccard-members")
         # the typical node of a group has the most company in its other groups as well
         company = members.groupBy("node").agg(F.sum("size").alias("company"), F.count("*").alias("all"))
         order = Window.partitionBy("key").orderBy(F.col("company").desc(), "node")  # cut to PIVOTS rows a key by every task
         first = materialize(members.join(company.hint("merge"), "node").withColumn("rank", F.row_number().over(order))
-                            .where(F.col("rank") <= PIVOTS).select("key", "size", "node", "all"), "jaccard-first")
-        pivots = materialize(first.groupBy("node").agg(F.count("*").alias("n"), F.first("all").alias("all")).where("n = all").select("node"), "jaccard-pivots")
-        lists = materialize(first.join(pivots, "node").groupBy("key").agg(F.collect_list("node").alias("pivots"), F.first("size").alias("size")), "jaccard-lists")
-        tries = join_heavy(members.select("node", "key"), lists, "key", "size", members.count()).select("node", F.explode("pivots").alias("b"))
-        return pivots, tries.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+                            .where(F.col("rank") <= PIVOTS).select("key", "size", "node", "n", "sig", "all"), "jaccard-first")
+        pivots = materialize(first.groupBy("node").agg(F.count("*").alias("times"), F.first("all").alias("all")).where("times = all").select("node"), "jaccard-pivots")
+        lists = materialize(first.join(pivots, "node").groupBy("key").agg(
+            F.collect_list(F.struct("node", "n", "sig")).alias("pivots"), F.first("size").alias("size")), "jaccard-lists")
+        tries = join_heavy(members.select("node", "n", "sig", "key"), lists, "key", "size", members.count()) \
+            .select("node", "n", "sig", F.explode("pivots").alias("p"))
+        near = may_lie_within(F.lit(self.bound), (F.col("n"), F.col("p.n")), (F.col("sig"), F.col("p.sig")))
+        return pivots, tries.where((F.col("node") != F.col("p.node")) & near).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
 
     def regions(self, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         """(node, region, away) of every node, and the links (a, b) found on the way."""
@@ -270,16 +296,24 @@ class Join:
 
         return src.mapInArrow(run, "w long, region long, lo int, rem int")
 
-    def met(self, tokens: DataFrame, comps: DataFrame) -> DataFrame:
-        """(a, b): pairs of regions, of different components, that share a token with enough left behind it."""
+    def met(self, tokens: DataFrame, nodes: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
+        """(a, b): pairs of regions, of different components, that share a token with enough left behind it and whose pivots'
+        signatures allow a link of members."""
+        p, q = self.least.numerator, self.least.denominator
         every = Window.partitionBy("w")
+        # a token too far behind for the least partner that has it is of no use either
         shared = materialize(tokens.withColumn("from", F.min("region").over(every)).withColumn("to", F.max("region").over(every))
-                             .where(F.col("from") != F.col("to")).drop("from", "to"), "jaccard-shared")
-        told = materialize(shared.join(comps.select(F.col("node").alias("region"), "comp").hint("merge"), "region"), "jaccard-told")
-        p, q = self.least.numerator, self.least.denominator
+                             .withColumn("least", F.min("lo").over(every))
+                             .where((F.col("from") != F.col("to")) & ((p + q) * F.col("rem") >= p * (F.col("lo") + F.col("least"))))
+                             .drop("from", "to", "least"), "jaccard-shared")
+        reach = regions.groupBy("region").agg(F.max("away").alias("reach"))
+        of = materialize(nodes.select(F.col("node").alias("region"), "n", "sig").join(reach, "region")
+                         .join(comps.select(F.col("node").alias("region"), "comp"), "region"), "jaccard-pivots-of")
+        told = materialize(shared.join(of.hint("merge"), "region"), "jaccard-told")
         x, y = told.alias("x"), told.alias("y")
         enough = (p + q) * F.least("x.rem", "y.rem") >= p * (F.col("x.lo") + F.col("y.lo"))
-        pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & enough)
+        near = may_lie_within(F.col("x.reach") + F.col("y.reach") + self.bound, (F.col("x.n"), F.col("y.n")), (F.col("x.sig"), F.col("y.sig")))
+        pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") < F.col("y.comp")) & enough & near)
         return pairs.select(F.least("x.region", "y.region").alias("a"), F.greatest("x.region", "y.region").alias("b")).distinct()
 
     def components(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -307,13 +341,14 @@ class Join:
             rows = described.where("node IS NOT NULL")
             rep = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th"))
             nodes = materialize(rows.groupBy("node").agg(
-                rep.alias("rep"), F.min("again").alias("lo"), F.max("again").alias("hi"), F.min("keys").alias("keys"))
-                .select("node", "rep.id", "rep.th", "lo", "hi", "keys"), "jaccard-nodes")
+                rep.alias("rep"), F.min("again").alias("lo"), F.max("again").alias("hi"), F.min("keys").alias("keys"),
+                F.min("n").alias("n"), F.min("sig").alias("sig"))
+                .select("node", "rep.id", "rep.th", "lo", "hi", "keys", "n", "sig"), "jaccard-nodes")
             if not nodes.where("lo <> hi").limit(1).count():
                 break
             self.seed += 2  # two sets agree in their first digest
         levels = self.levels(described)
-        left, links, comps = nodes.select("node", "id", "th", "keys"), nodes.sparkSession.createDataFrame([], "a long, b long"), None
+        left, links, comps = nodes.select("node", "id", "th", "keys", "n", "sig"), nodes.sparkSession.createDataFrame([], "a long, b long"), None
         for depth in range(len(self.radii)):
             regions, found = self.regions(left, depth)
             if self.radii[depth]:
@@ -321,7 +356,7 @@ class Join:
                 comps = self.components(nodes, links)
             elif comps is None:
                 comps = nodes.select("node", F.col("node").alias("comp"))
-            pairs = materialize(self.met(self.tokens(described, left, regions, levels, depth == 0), comps), f"jaccard-pairs-{depth}")
+            pairs = materialize(self.met(self.tokens(described, left, regions, levels, depth == 0), left, regions, comps), f"jaccard-pairs-{depth}")
             measured = materialize(self.distances(pairs, left), f"jaccard-distances-{depth}")
             links = materialize(links.union(measured.where(self.near()).select("a", "b")), "jaccard-links")
             comps = self.components(nodes, links)

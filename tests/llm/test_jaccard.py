@@ -115,3 +115,42 @@ def test_sets_of_a_chunk_are_those_of_each_text(monkeypatch):
     got = [s for _, sets in J.shingle_sets(pa.array(texts), 5) for s in sets]
     assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
     assert np.array_equal(got[0], got[5]) and np.isin(got[0], got[3]).all()
+
+
+def test_signatures_spare_pairs_that_lie_too_far_apart(spark, monkeypatch):
+    # alike, but no two within the bound: sharing a token of the prefixes is no reason to compare two of them
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(140)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for i in rng.sample(range(140), 2):
+            own[i] = f"e{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    compared, real = [], J.Join.distances
+
+    def distances(self, pairs, nodes):
+        compared.append(pairs.count())
+        return real(self, pairs, nodes)
+
+    monkeypatch.setattr(J.Join, "distances", distances)
+    got = rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radii=(0.0,)))
+    sets = [shingles(t) for t in texts]
+    alike = sum(5 * len(a & b) >= 3 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert got == brute(rows) and alike > 7000 and sum(compared) < 2500
+
+
+def test_signatures_never_rule_out_a_pair_within_reach(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        n = int(rng.integers(1, 400))
+        s = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [s, np.concatenate([s[rng.random(n) < 0.85], rng.integers(0, 1 << 63, n // 9 + 1, dtype=np.uint64)])]
+    n = np.array([len(s) for s in sets])
+    sig = J.signatures(np.concatenate(sets), n)
+    rows = [(int(n[i]), sig[i].tolist(), int(n[i + 1]), sig[i + 1].tolist(), 1 - len(set(sets[i]) & set(sets[i + 1])) / len(set(sets[i]) | set(sets[i + 1])))
+            for i in range(0, len(sets), 2)]
+    df = spark.createDataFrame(rows, "n int, s array<long>, m int, t array<long>, away double")
+    assert df.where(~J.may_lie_within(F.col("away"), (F.col("n"), F.col("m")), (F.col("s"), F.col("t")))).count() == 0
