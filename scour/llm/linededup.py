@@ -19,6 +19,10 @@ A document is a sequence of words.  A *window* is ``MIN_WORDS`` words in a row.
    in segments that all its partners share.
 5. All aligned words, with the blanks that follow them, are deleted from the later document.
 
+A document whose whole text an earlier one has needs none of this: all its words go, and as a holder it never is the first.
+That is known of the ``KNOWN`` texts that most rows have; a copy of any other text takes the steps like all documents.
+Where a step needs the texts of some documents, a sieve of these keeps the other texts out of the shuffle.
+
 So a word is deleted if it lies in a window that an earlier document has, wherever lines
 and sentences end, or in a shorter block that lies between two aligned ones in both.
 A hash that a large share of all rows has is joined without a shuffle of its rows
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import free_names, join_heavy, materialize
+from .common import free_names, join_heavy, materialize, word_count
 from .words import Stretches, chunks, hashes, words_of
 
 MIN_WORDS = 20
@@ -51,6 +55,8 @@ NO_ID = (1 << 63) - 1
 SEGMENT = 64
 #: Classes of grams in the sieve (8 MB).
 SIEVE = 1 << 26
+#: Most texts of which every task knows the first document (4 MB).
+KNOWN = 1 << 18
 
 
 def gram_words(least: int) -> int:
@@ -85,12 +91,35 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def gram_rows(docs: DataFrame, least: int) -> DataFrame:
+class Firsts:
+    """The first document of texts that several documents have."""
+
+    def __init__(self, docs: DataFrame):
+        many = docs.groupBy("t").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count("*").alias("n")).where("a < z")
+        top = many.orderBy(F.col("n").desc(), "t").limit(KNOWN).select("t", "a").toArrow()
+        t, a = (top.column(c).to_numpy() for c in ("t", "a"))
+        order = np.argsort(t)
+        self.t, self.a = t[order], a[order]
+
+    def copies(self, d: pa.Array, t: pa.Array) -> np.ndarray:
+        """Which rows have the text of an earlier document."""
+        d, t = (c.to_numpy(zero_copy_only=False) for c in (d, t))
+        if not len(self.t):
+            return np.zeros(len(t), bool)
+        at = np.minimum(np.searchsorted(self.t, t), len(self.t) - 1)
+        return (self.t[at] == t) & (self.a[at] < d)
+
+    def others(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a batch (d, t, text) that are no copies."""
+        return b.filter(pa.array(~self.copies(b.column(0), b.column(1))))
+
+
+def gram_rows(docs: DataFrame, least: int, firsts: Firsts) -> DataFrame:
     """(g, d, runs): the least grams of the windows of ``docs`` (d, t, text), once a document, and the runs that have them."""
 
     def run(batches):
-        for b in batches:
-            for first, sizes, x in chunks(b.column(1)):
+        for b in map(firsts.others, batches):
+            for first, sizes, x in chunks(b.column(2)):
                 doc, _, _, gram, _ = runs(x, sizes, least)
                 at = np.lexsort((gram, doc))
                 doc, gram = doc[at], gram[at]
@@ -100,11 +129,11 @@ def gram_rows(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([signed(gram[at]), b.column(0).take(pa.array(doc[at] + first)),
                                                   pa.array(np.diff(at, append=len(doc)).astype(np.int32))], ["g", "d", "runs"])
 
-    return docs.select("d", "text").mapInArrow(run, "g long, d long, runs int")
+    return docs.select("d", "t", "text").mapInArrow(run, "g long, d long, runs int")
 
 
 def sieve(grams: DataFrame) -> np.ndarray:
-    """One bit for each of ``SIEVE`` classes of grams: whether a gram of the class is among ``grams``.
+    """One bit for each of ``SIEVE`` classes of grams (or other hashes): whether a gram of the class is among ``grams``.
 
     Its size is fixed.  What passes it is joined with the grams all the same, so a crowded sieve costs rows and changes none.
     """
@@ -116,16 +145,37 @@ def sieve(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def run_rows(docs: DataFrame, least: int, wanted: np.ndarray) -> DataFrame:
+def passes(wanted: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which of the grams, as longs, the sieve lets pass."""
+    place = g & (SIEVE - 1)
+    return ((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def documents(rows: DataFrame) -> np.ndarray:
+    """The sieve of the documents (d, t) among ``rows``."""
+    return sieve(rows.select(F.xxhash64("d", "t").alias("g")))
+
+
+def among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``docs`` (d, t) that may be among ``rows`` (d, t), and few others: a join needs to shuffle these only."""
+    wanted = documents(rows)
+
+    @F.arrow_udf("boolean")
+    def some(g: pa.Array) -> pa.Array:
+        return pa.array(passes(wanted, g.to_numpy(zero_copy_only=False)))
+
+    return docs.where(some(F.xxhash64("d", "t")))
+
+
+def run_rows(docs: DataFrame, least: int, wanted: np.ndarray, firsts: Firsts) -> DataFrame:
     """(g, h, d, t, pos, n) of every run of ``docs`` (d, t, text) whose gram passes the sieve: its gram, the hash of its
     words, its document and the hash of its text, place and number of words."""
 
     def run(batches):
-        for b in batches:
+        for b in map(firsts.others, batches):
             for first, sizes, x in chunks(b.column(2)):
                 doc, pos, n, gram, whole = runs(x, sizes, least)
-                place = (gram & np.uint64(SIEVE - 1)).astype(np.int64)
-                some = np.flatnonzero((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                some = np.flatnonzero(passes(wanted, gram.view(np.int64)))
                 at = pa.array(doc[some] + first)
                 yield pa.RecordBatch.from_arrays(
                     [signed(gram[some]), signed(whole[some]), b.column(0).take(at), b.column(1).take(at), pa.array(pos[some].astype(np.int32)),
@@ -136,8 +186,9 @@ def run_rows(docs: DataFrame, least: int, wanted: np.ndarray) -> DataFrame:
 
 def window_rows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """(h, d, t, pos, n) of every window in the runs ``places`` (d, t, pos, n)."""
-    lists = places.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs")).toDF("d1", "t1", "runs")
-    src = docs.join(lists.hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1"))).select("d", "t", "text", "runs")
+    lists = materialize(places.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs")), "lines-places")
+    src = among(docs, lists).join(lists.toDF("d1", "t1", "runs").hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1"))) \
+        .select("d", "t", "text", "runs")
 
     def run(batches):
         for b in batches:
@@ -304,9 +355,9 @@ def aligned(hits: DataFrame, least: int) -> DataFrame:
 
 def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, weight, words) of the ``wanted`` (key: a, ta and seg; weight): the word hashes of an earlier document's segments."""
-    lists = wanted.groupBy("key.a", "key.ta").agg(F.collect_list(F.struct("key.seg", "weight")).alias("segs"))
-    src = docs.join(lists.hint("merge"), (F.col("d") == F.col("a")) & (F.col("t") == F.col("ta"))).select("a", "ta", "text", "segs") \
-        .dropDuplicates(["a", "ta"])
+    lists = materialize(wanted.groupBy("key.a", "key.ta").agg(F.collect_list(F.struct("key.seg", "weight")).alias("segs")), "lines-wanted")
+    src = among(docs, lists.toDF("d", "t", "segs")).join(lists.hint("merge"), (F.col("d") == F.col("a")) & (F.col("t") == F.col("ta"))) \
+        .select("a", "ta", "text", "segs").dropDuplicates(["a", "ta"])
 
     def run(batches):
         for b in batches:
@@ -336,12 +387,12 @@ def gap_words(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         F.collect_list(F.struct("no", "seg", "i", "j", "from", "to", "words")).alias("parts"))
 
 
-def copied_blocks(docs: DataFrame, least: int) -> DataFrame:
-    """(d, t, cuts, parts) of each of ``docs`` (d, t, text) that repeats earlier ones: the words to delete (first, last + 1,
+def copied_blocks(docs: DataFrame, least: int, firsts: Firsts) -> DataFrame:
+    """(d, t, cuts, parts) of each of ``docs`` (d, t, text) that repeats earlier ones and is no known copy of one: the words to delete (first, last + 1,
     flat), and what its gaps are to be compared with."""
-    shared = materialize(gram_rows(docs, least).groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.sum("runs").alias("weight"))
+    shared = materialize(gram_rows(docs, least, firsts).groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.sum("runs").alias("weight"))
                          .where("a < z").select("g", "weight"), "lines-grams")
-    rows = materialize(run_rows(docs, least, sieve(shared)), "lines-runs")
+    rows = materialize(run_rows(docs, least, sieve(shared), firsts), "lines-runs")
     rows = materialize(join_heavy(rows, shared, "g", "weight", rows.count()).drop("weight"), "lines-candidates")
     first = materialize(holders(rows, "g"), "lines-holders")
     # grams whose runs differ: only there a window can be shared without its run
@@ -397,9 +448,26 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.col(text).alias("text"),
                       F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     k = gram_words(least)
-    blocks = materialize(copied_blocks(src.select("d", "t", "text"), least), "lines-cuts").toDF("d1", "t1", "cuts", "parts")
+    firsts = Firsts(src.select("d", "t"))
+    blocks = materialize(copied_blocks(src.select("d", "t", "text"), least, firsts), "lines-cuts")
+    wanted = documents(blocks)
+
+    @F.arrow_udf("int")
+    def way(g: pa.Array, d: pa.Array, t: pa.Array) -> pa.Array:
+        """2: a copy, 1: may have cuts, 0: has none."""
+        return pa.array(np.where(firsts.copies(d, t), 2, passes(wanted, g.to_numpy(zero_copy_only=False))).astype(np.int32))
+
+    src = src.withColumn("way", way(F.xxhash64("d", "t"), "d", "t"))
+    words = F.when(F.col("way") == 2, word_count(F.col("text"))).otherwise(F.lit(0))
+    chars = F.char_length("text").cast("long")
+    whole = src.where("way <> 1").withColumn("words", words).withColumn("gone", F.col("words") >= least).select(
+        "row", F.when(F.col("gone"), F.lit("")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("gone"), F.concat(F.lit("0:"), chars)).otherwise(F.lit("")).alias("spans"),
+        F.when(F.col("gone"), F.col("words")).otherwise(F.lit(0)).cast("long").alias("removed_words"),
+        F.when(F.col("gone"), chars).otherwise(F.lit(0)).cast("long").alias("removed_chars"))
     # always a shuffle join: what is cut grows with the documents, so it is never sent to every task
-    joined = src.join(blocks.hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1")), "left").select("row", "text", "cuts", "parts")
+    joined = src.where("way = 1").join(blocks.toDF("d1", "t1", "cuts", "parts").hint("merge"), (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1")), "left") \
+        .select("row", "text", "cuts", "parts")
 
     def run(batches):
         for b in batches:
@@ -418,8 +486,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
             yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(spans, pa.string()), pa.array(words), pa.array(chars)],
                                              ["row", "text", "spans", "removed_words", "removed_chars"])
 
-    return joined.mapInArrow(run, StructType([src.schema["row"], *(StructField(c, t) for c, t in (
-        ("text", StringType()), ("spans", StringType()), ("removed_words", LongType()), ("removed_chars", LongType())))]))
+    return whole.unionByName(joined.mapInArrow(run, StructType([src.schema["row"], *(StructField(c, t) for c, t in (
+        ("text", StringType()), ("spans", StringType()), ("removed_words", LongType()), ("removed_chars", LongType())))])))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:

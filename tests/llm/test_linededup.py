@@ -213,3 +213,26 @@ def test_heavy_keys_join_like_others(spark):
     want = rows.join(table, "k")
     assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, want.select("k", "id", "v").collect()))
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_copies_of_whole_texts_take_no_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    long, other, short = (" ".join(f"é{c}{rng.randrange(10 ** 9)}" for _ in range(n)) for c, n in (("a", 300), ("b", 100), ("c", 12)))
+    docs = dict(enumerate([long] * 20 + [other] * 5 + [short] * 3 + ["", None, " \n" + " ".join(f"x{i}" for i in range(50))]))
+    docs[40] = docs[41] = docs[30] + "  "
+    docs[50] = short + " " + " ".join(f"y{i}" for i in range(40))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    counts, real = {}, L.materialize
+
+    def counted(rows, name, **options):
+        out = real(rows, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(L, "materialize", counted)
+    rows = L.dedup_lines(df).collect()
+    check(docs, rows)
+    # only the fifty words that stand in 30 and, with other blanks, in 40 are looked at
+    assert counts["lines-blocks"] == 1 and 0 < counts["lines-runs"] < 20
+    monkeypatch.setattr(L, "KNOWN", 1)  # copies of other texts go the long way, to the same end
+    assert sorted(map(str, L.dedup_lines(df).collect())) == sorted(map(str, rows)) and counts["lines-blocks"] == 6
